@@ -7,7 +7,7 @@ trigram = every 3-character substring that is not all whitespace
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from botsift.functions.text import SPLIT_WS_RE, WS
@@ -25,25 +25,36 @@ def words(c) -> Column:
 
 
 def bigrams_of(w: Column) -> Column:
-    """Adjacent pairs of an array of words."""
-    return F.when(
-        F.size(w) >= 2,
-        F.transform(F.sequence(F.lit(1), F.size(w) - 1),
-                    lambda i: F.concat(F.element_at(w, i), F.lit(" "), F.element_at(w, i + 1))),
-    ).otherwise(F.array().cast("array<string>"))
+    """Adjacent pairs of an array of words: the array zipped with itself shifted by one.
+    (Indexing the array from inside a lambda would re-evaluate it per element.)"""
+    k = F.size(w) - 1
+    return F.when(F.size(w) >= 2,
+                  F.zip_with(F.slice(w, 1, k), F.slice(w, 2, k), lambda a, b: F.concat(a, F.lit(" "), b))) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def bigrams(c) -> Column:
     return bigrams_of(words(c))
 
 
-def trigrams(c) -> Column:
-    t = _c(c)
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, 3))
-    return F.when(F.length(t) >= 3, F.filter(grams, lambda g: g.rlike(_HAS_NON_WS))) \
+def trigrams_of_chars(chars: Column) -> Column:
+    """3-code-point windows of an array of code points: the array zipped with its shifts."""
+    k = F.size(chars) - 2
+    grams = F.zip_with(F.zip_with(F.slice(chars, 1, k), F.slice(chars, 2, k), lambda a, b: F.concat(a, b)),
+                       F.slice(chars, 3, k), lambda ab, x: F.concat(ab, x))
+    return F.when(F.size(chars) >= 3, F.filter(grams, lambda g: g.rlike(_HAS_NON_WS))) \
         .otherwise(F.array().cast("array<string>"))
 
 
+def chars(c) -> Column:
+    """One element per code point (Spark splits an empty pattern by code point)."""
+    return F.split(_c(c), "")
+
+
+def trigrams(c) -> Column:
+    return trigrams_of_chars(chars(c))
+
+
 def terms(c, kind: str) -> Column:
     if kind == "word":
         return words(c)
@@ -52,3 +63,27 @@ def terms(c, kind: str) -> Column:
     if kind == "trigram":
         return trigrams(c)
     raise ValueError(f"unknown term kind {kind!r}; use one of {TERM_KINDS}")
+
+
+def with_terms(df: DataFrame, text_col: str, kinds, prefix: str = "_terms_") -> DataFrame:
+    """Adds one array column per term kind (``{prefix}{kind}``), computed in two projections so
+    that the word and code-point arrays are built once per row and shared by the n-grams
+    (Catalyst does not re-inline a non-trivial expression that is used more than once)."""
+    kinds = list(dict.fromkeys(kinds))
+    base = []
+    if {"word", "bigram"} & set(kinds):
+        base.append(words(text_col).alias("_w"))
+    if "trigram" in kinds:
+        base.append(chars(text_col).alias("_ch"))
+    staged = df.select("*", *base)
+    out = []
+    for k in kinds:
+        if k == "word":
+            out.append(F.col("_w").alias(prefix + k))
+        elif k == "bigram":
+            out.append(bigrams_of(F.col("_w")).alias(prefix + k))
+        elif k == "trigram":
+            out.append(trigrams_of_chars(F.col("_ch")).alias(prefix + k))
+        else:
+            raise ValueError(f"unknown term kind {k!r}; use one of {TERM_KINDS}")
+    return staged.select("*", *out).drop(*[c for c in ("_w", "_ch") if c in staged.columns])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from botsift.config import DEFAULT_PROFILE, Profile
 from botsift.functions.numeric import safe_sigmoid
-from botsift.functions.terms import terms
+from botsift.functions.terms import with_terms
 from botsift.operators.joins import MAX_BROADCAST_ROWS, join_small
 
 # Fixed values of the style scorer.
@@ -49,18 +49,20 @@ def style_model(name: str = "style", profile: Profile = DEFAULT_PROFILE) -> Text
     return TextModel(name=name, kind="style", profile=profile)
 
 
-def _tagged_terms(text_col: str, specs) -> "F.Column":
-    """One array of (model, term) structs for all naive-Bayes models, so one explode serves all."""
+def _tagged_terms(specs, prefix: str = "_terms_") -> "F.Column":
+    """One array of (model, term) structs for all naive-Bayes models, so one explode serves all.
+    Reads the per-kind arrays added by :func:`with_terms`."""
     def tag(name):  # F.transform hands a 2-argument lambda the index, so close over the name
         return lambda t: F.struct(F.lit(name).alias("model"), t.alias("term"))
 
-    return F.concat(*[F.transform(terms(text_col, kind), tag(name)) for name, kind in specs])
+    return F.concat(*[F.transform(F.col(prefix + kind), tag(name)) for name, kind in specs])
 
 
 def term_counts(train: DataFrame, specs, text_col: str = "text", label_col: str = "label") -> DataFrame:
     """(model, term, c1, c0): occurrences per class for every model in ONE pass over the training
     rows. Partial aggregation runs before the shuffle, so a stop word costs one row per task."""
-    ex = train.select(F.col(label_col).alias("_y"), F.explode(_tagged_terms(text_col, specs)).alias("_t"))
+    staged = with_terms(train.select(F.col(label_col).alias("_y"), text_col), text_col, [k for _, k in specs])
+    ex = staged.select("_y", F.explode(_tagged_terms(specs)).alias("_t"))
     return ex.groupBy(F.col("_t.model").alias("model"), F.col("_t.term").alias("term")).agg(
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("bigint").alias("c1"),
         F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).cast("bigint").alias("c0"),
@@ -113,8 +115,9 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
     nb = [m for m in models if m.kind == "nb"]
     length = F.length(F.col(text_col)).alias("_len")
     if nb:
-        tagged = _tagged_terms(text_col, [(m.name, m.terms) for m in nb])
-        ex = df.select(key, *carry, length, F.explode_outer(tagged).alias("_t")) \
+        specs = [(m.name, m.terms) for m in nb]
+        staged = with_terms(df.select(key, *carry, length, text_col), text_col, [k for _, k in specs])
+        ex = staged.select(key, *carry, "_len", F.explode_outer(_tagged_terms(specs)).alias("_t")) \
             .select(key, *carry, "_len", F.col("_t.model").alias("model"), F.col("_t.term").alias("term"))
         table = reduce(lambda a, b: a.unionByName(b),
                        [m.weights.select(F.lit(m.name).alias("model"), "term", "weight") for m in nb])

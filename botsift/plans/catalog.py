@@ -343,3 +343,324 @@ def q_metrics_by_domain(spark, sf):
     wide = score_models(target, models, key="post_id", carry=("dataset", "label"))
     long = to_long(wide, [m.name for m in models], carry=("dataset", "label"))
     return _metrics6(mt.compare_models(long, by=("dataset", "model")), by=("dataset", "model"))
+
+
+# ------------------------------------------------------------------ 2.1 sources (files written from the tables)
+
+def _posts_csv(spark, sf, sep):
+    from botsift.sources.csv import read_posts_csv, write_csv
+
+    path = scratch_path(spark, "posts-csv")
+    write_csv(tables.posts(spark, sf), path, sep=sep)
+    return normalize_columns(read_posts_csv(spark, path, sep=sep, on_bad="skip"))
+
+
+@query("read_posts_semicolon")
+def q_read_posts_semicolon(spark, sf):
+    return _posts_csv(spark, sf, ";")
+
+
+@query("read_posts_comma")
+def q_read_posts_comma(spark, sf):
+    return _posts_csv(spark, sf, ",")
+
+
+@query("read_prepared_test")
+def q_read_prepared_test(spark, sf):
+    """A prepared test file (tweet, label) from the labelled documents, read back strictly."""
+    from botsift.sources.csv import read_prepared_test, write_csv
+
+    path = scratch_path(spark, "prepared-csv")
+    d = tables.second_domain(spark, sf).select("post_id", F.col("text").alias("tweet"), "label")
+    write_csv(d, path, sep=",")
+    back = read_prepared_test(spark, path)
+    return back.select("post_id", lb.text_as_string("tweet", "nan").alias("tweet"),
+                       lb.label_as_int("label").alias("label"))
+
+
+@query("load_model")
+def q_load_model(spark, sf):
+    from botsift.operators.head import fixture_weights, score_head
+    from botsift.sinks.writers import load_head, save_head
+
+    path = scratch_path(spark, "head")
+    save_head(spark, fixture_weights(), path)
+    w = load_head(spark, path)
+    e = tables.vectors(spark, sf)
+    return e.select("post_id", round6(score_head("embedding", w)).alias("p"))
+
+
+@query("available_models")
+def q_available_models(spark, sf):
+    train = split_posts(spark, sf).filter(F.col("split") == "train")
+    models = fit_all_models(train)
+    path = scratch_path(spark, "models")
+    save_models(spark, models, path)
+    reg = registry_frame(spark, list(DEFAULT_REGISTRY) + [MISSING_MODEL])
+    return available_models(reg, stored_models(spark, path)).select("model", "status")
+
+
+@query("post_stream_source")
+def q_post_stream_source(spark, sf):
+    from botsift.streaming.stream import POSTS_SCHEMA, post_stream
+
+    src, out, ck = (scratch_path(spark, n) for n in ("stream-src", "stream-out", "stream-ck"))
+    tables.posts(spark, sf).write.parquet(src)
+    s = post_stream(spark, src, POSTS_SCHEMA)
+    qy = (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+          .trigger(availableNow=True).start())
+    qy.awaitTermination()
+    return spark.read.schema(POSTS_SCHEMA).parquet(out)
+
+
+# ------------------------------------------------------------------ 2.5 encoding
+
+def _vocab_and_split(spark, sf, profile=DEFAULT_PROFILE):
+    from botsift.operators.encode import VOCAB_SIZE, build_vocab
+
+    sp = split_posts(spark, sf, profile)
+    vocab = build_vocab(sp.filter(F.col("split") == "train"), VOCAB_SIZE)
+    return sp, vocab
+
+
+@query("build_vocab")
+def q_build_vocab(spark, sf):
+    _, vocab = _vocab_and_split(spark, sf)
+    return vocab
+
+
+@query("encode_ids")
+def q_encode_ids(spark, sf):
+    from botsift.operators.encode import VOCAB_SIZE, encode_ids
+
+    sp, vocab = _vocab_and_split(spark, sf)
+    return encode_ids(sp, vocab, 128, vocab_rows=VOCAB_SIZE)
+
+
+@query("truncate_ids")
+def q_truncate_ids(spark, sf):
+    """Evaluation encoding of the second data set: light cleaning, 256 ids."""
+    from botsift.operators.encode import VOCAB_SIZE, encode_ids
+
+    prof = DEFAULT_PROFILE.with_(clean="light", max_len=MAX_LEN_LONG)
+    sp, vocab = _vocab_and_split(spark, sf, prof)
+    enc = encode_ids(sp, vocab, prof.max_len, vocab_rows=VOCAB_SIZE)
+    return enc.select("post_id", "input_ids", F.size("input_ids").alias("n_ids"))
+
+
+@query("pad_and_mask")
+def q_pad_and_mask(spark, sf):
+    from botsift.operators.encode import VOCAB_SIZE, encode_ids, pad_and_mask
+
+    sp, vocab = _vocab_and_split(spark, sf)
+    enc = encode_ids(sp, vocab, 128, vocab_rows=VOCAB_SIZE)
+    return enc.select("post_id", *pad_and_mask("input_ids", 128))
+
+
+@query("length_profile")
+def q_length_profile(spark, sf):
+    from botsift.operators.encode import length_profile
+
+    return length_profile(labelled_posts(spark, sf), 128)
+
+
+@query("assign_batches")
+def q_assign_batches(spark, sf):
+    from botsift.operators.rank import assign_batches
+
+    train = split_posts(spark, sf).filter(F.col("split") == "train").select("post_id", "label")
+    return assign_batches(train, 16, shuffled=True).select("post_id", "rank", "batch")
+
+
+# ------------------------------------------------------------------ 2.6 head scoring
+
+def _head():
+    from botsift.operators.head import fixture_weights
+
+    return fixture_weights()
+
+
+@query("cls_pool")
+def q_cls_pool(spark, sf):
+    from botsift.operators.head import chunk_states, cls_pool
+
+    e = tables.vectors(spark, sf)
+    return e.select("post_id", cls_pool(chunk_states("embedding", 4, 16)).alias("cls"))
+
+
+def _round_arr(c):
+    return F.transform(c, lambda x: F.round(x, 6))
+
+
+@query("dense_relu")
+def q_dense_relu(spark, sf):
+    from botsift.operators.head import dense_relu
+
+    e = tables.vectors(spark, sf)
+    return e.select("post_id", _round_arr(dense_relu("embedding", _head())).alias("hidden"))
+
+
+@query("dropout_mask")
+def q_dropout_mask(spark, sf):
+    from botsift.operators.head import dense_relu, dropout_mask
+
+    e = tables.vectors(spark, sf).select("post_id", dense_relu("embedding", _head()).alias("hidden"))
+    return e.select("post_id", _round_arr(dropout_mask("hidden", "post_id", seed=42, step=0)).alias("hidden"))
+
+
+@query("dense_sigmoid")
+def q_dense_sigmoid(spark, sf):
+    from botsift.operators.head import dense_relu, dense_sigmoid
+
+    w = _head()
+    e = tables.vectors(spark, sf).select("post_id", dense_relu("embedding", w).alias("hidden"))
+    return e.select("post_id", round6(dense_sigmoid("hidden", w)).alias("p"))
+
+
+@query("score_head")
+def q_score_head(spark, sf):
+    from botsift.operators.head import score_head
+
+    e = tables.vectors(spark, sf).select("post_id", "label", score_head("embedding", _head()).alias("p"))
+    return e.select("post_id", "label", round6("p").alias("p"), predict_threshold("p").alias("predicted"))
+
+
+@query("score_external")
+def q_score_external(spark, sf):
+    """The batch-model contract with a plain numpy stand-in for a pretrained encoder + head."""
+    from botsift.operators.head import np_head, score_external
+
+    w = _head()
+
+    def make_predict_fn():
+        return lambda x: np_head(x, w)
+
+    e = tables.vectors(spark, sf)
+    p = score_external("embedding", make_predict_fn, input_tensor_shapes=[[64]])
+    return e.select("post_id", round6(p).alias("p"))
+
+
+# ------------------------------------------------------------------ 2.7 head training
+
+@query("bce_loss")
+def q_bce_loss(spark, sf):
+    from botsift.operators.head import score_head
+    from botsift.operators.training import bce_loss
+
+    e = tables.vectors(spark, sf).select("post_id", "label", score_head("embedding", _head()).alias("p"))
+    return e.select("post_id", "label", round6(bce_loss("p", "label")).alias("loss"))
+
+
+@query("epoch_loss")
+def q_epoch_loss(spark, sf):
+    from botsift.operators.head import score_head
+    from botsift.operators.rank import assign_batches
+    from botsift.operators.training import bce_loss, epoch_loss
+
+    e = tables.vectors(spark, sf).select(F.col("post_id"), "label",
+                                         bce_loss(score_head("embedding", _head()), "label").alias("loss"))
+    batched = assign_batches(e, 16, shuffled=False)
+    return epoch_loss(batched).select(round6("epoch_loss").alias("epoch_loss"), "n_batches")
+
+
+@query("head_gradient")
+def q_head_gradient(spark, sf):
+    from botsift.operators.training import head_gradient
+
+    g = head_gradient(tables.vectors(spark, sf), _head())
+    return g.select("param", "idx", F.round(F.col("grad"), 9).alias("grad"))
+
+
+@query("adamw_step")
+def q_adamw_step(spark, sf):
+    """First AdamW step from the fixture weights with the full-table gradient (lr 2e-5)."""
+    from botsift.operators.head import fixture_param_value
+    from botsift.operators.training import adamw_columns, head_gradient
+
+    g = head_gradient(tables.vectors(spark, sf), _head())
+    theta0 = fixture_param_value(F.col("param"), F.col("idx"))
+    theta1, _, _ = adamw_columns(theta0, F.col("grad"), F.lit(0.0), F.lit(0.0), t=1)
+    return g.select("param", "idx", F.round(theta1, 9).alias("value"))
+
+
+@query("fit_head")
+def q_fit_head(spark, sf):
+    """A few AdamW steps over shuffled global batches; returns the loss history (rows-only check)."""
+    from botsift.operators.training import fit_head
+
+    _, hist = fit_head(tables.vectors(spark, sf), _head(), epochs=2, batch_rows=256, lr=1e-3)
+    return spark.createDataFrame(hist, "epoch int, step int, batch_loss double")
+
+
+@query("fit_text_lr")
+def q_fit_text_lr(spark, sf):
+    from botsift.operators.logistic import fit_text_lr, score_lr
+
+    sp = split_posts(spark, sf)
+    model = fit_text_lr(sp.filter(F.col("split") == "train"))
+    scored = score_lr(model, sp.filter(F.col("split") == "test"))
+    return scored.select("post_id", "label", round6("p").alias("p"), predict_threshold("p").alias("predicted"))
+
+
+# ------------------------------------------------------------------ 2.9 sinks (written, then read back)
+
+@query("write_results_csv")
+def q_write_results_csv(spark, sf):
+    from botsift.sinks.writers import read_results_csv, write_results_csv
+
+    path = scratch_path(spark, "results-csv")
+    write_results_csv(_metrics6(mt.compare_models(_pred(spark, sf, ensemble=True))), path)
+    return read_results_csv(spark, path)
+
+
+@query("save_model")
+def q_save_model(spark, sf):
+    from botsift.operators.registry import load_models
+    from botsift.sinks.writers import save_model
+
+    train = split_posts(spark, sf).filter(F.col("split") == "train")
+    path = scratch_path(spark, "models")
+    save_model(spark, fit_all_models(train), path)
+    m = load_models(spark, path, ["nb_word"])[0]
+    return m.weights.select("term", round6("weight").alias("weight"))
+
+
+@query("write_predictions")
+def q_write_predictions(spark, sf):
+    from botsift.sinks.writers import write_predictions
+
+    path = scratch_path(spark, "predictions")
+    write_predictions(_round_p(_pred(spark, sf)), path)
+    return spark.read.parquet(path).select("post_id", "label", "model", "p", "predicted")
+
+
+# ------------------------------------------------------------------ 2.10 streaming
+
+def _run_prediction_stream(spark, sf):
+    from botsift.streaming.stream import POSTS_SCHEMA, post_stream, stream_predict
+
+    train = split_posts(spark, sf).filter(F.col("split") == "train")
+    models = fit_all_models(train)
+    src, out, ck = (scratch_path(spark, n) for n in ("stream-src", "stream-pred", "stream-ck"))
+    tables.posts(spark, sf).write.parquet(src)
+    stream_predict(post_stream(spark, src, POSTS_SCHEMA, max_files_per_trigger=4), models, out, ck).awaitTermination()
+    return out
+
+
+@query("stream_predict")
+def q_stream_predict(spark, sf):
+    from botsift.streaming.stream import PRED_SCHEMA
+
+    out = _run_prediction_stream(spark, sf)
+    return _round_p(spark.read.schema(PRED_SCHEMA).parquet(out)).select(
+        "post_id", "model", "label", "p", "predicted", "prediction")
+
+
+@query("stream_metrics")
+def q_stream_metrics(spark, sf):
+    from botsift.streaming.stream import stream_metrics
+
+    pred = _run_prediction_stream(spark, sf)
+    out, ck = scratch_path(spark, "stream-metrics"), scratch_path(spark, "stream-metrics-ck")
+    stream_metrics(spark, pred, out, ck).awaitTermination()
+    return spark.read.parquet(out).select("model", "tp", "fp", "fn", "tn")

@@ -21,10 +21,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over the cluster when the scan yields fewer splits than there are cores
+    (a table written as one row group is read by one task, and every regex and n-gram over
+    its texts would then run on one core). Large inputs already have enough splits and are
+    left alone; the planner pushes filters and column pruning below the round-robin exchange."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P: one post per conversation turn; the role gives the author type in mixed spelling
     (user -> human / Human, assistant -> bot / BOT, system stays 'system' and is not a class)."""
-    c = read_table(spark, sf_dir, "conversations")
+    c = spread(read_table(spark, sf_dir, "conversations"))
     author = (
         F.when(F.col("role") == "user", F.when(F.col("turn") % 4 == 0, F.lit("Human")).otherwise(F.lit("human")))
         .when(F.col("role") == "assistant", F.when(F.col("conv_id") % 7 == 0, F.lit("BOT")).otherwise(F.lit("bot")))
@@ -45,14 +57,14 @@ def posts_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H: raw web pages as posts (the URL supplies the 'http' case)."""
-    pg = read_table(spark, sf_dir, "pages")
+    pg = spread(read_table(spark, sf_dir, "pages"))
     return pg.select(F.col("page_id").cast("string").alias("post_id"),
                      F.concat(F.col("url"), F.lit(" "), F.col("html")).alias("text"))
 
 
 def second_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L: labelled documents; label = 1 - quality (low quality counts as machine-written)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id").select(
         F.col("doc_id").cast("string").alias("post_id"),

@@ -122,3 +122,106 @@ oracle("metrics_by_domain", with_(*BASE, L, "tgt AS (SELECT 'P' AS dataset, post
                                   s.long_from_wide(extra=", dataset"),
                                   f"cnt AS ({s.counts_by('lg', 'dataset, model')})")
        + f"SELECT dataset, {s.metrics_select()} FROM cnt")
+
+# ------------------------------------------------------------------ 2.1 sources
+_PN = f"SELECT {_nullword('post_id')} AS post_id, {_nullword('text')} AS text, " \
+      f"{_nullword(chr(34) + 'account.type' + chr(34))} AS \"account.type\" FROM p"
+oracle("read_posts_semicolon", with_(P) + _PN)
+oracle("read_posts_comma", with_(P) + _PN)
+oracle("read_prepared_test", with_(L) + f"SELECT post_id, coalesce({_nullword('text')}, 'nan') AS tweet, label FROM l")
+oracle("post_stream_source", with_(P) + "SELECT * FROM p")
+oracle("available_models", "SELECT * FROM (VALUES ('nb_word', 'available'), ('nb_bigram', 'available'), "
+       "('nb_trigram', 'available'), ('style', 'available'), ('missing_model', 'skipped')) t(model, status)")
+
+# ------------------------------------------------------------------ 2.5 encoding
+def _vocab(train: str = "tr", size: int = 1000) -> str:
+    return f"""vtok AS (SELECT unnest({s.words('text')}) AS token FROM {train}),
+vcnt AS (SELECT token, count(*) AS n FROM vtok GROUP BY token),
+vtop AS (SELECT token, n FROM vcnt ORDER BY n DESC, token LIMIT {size}),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id, CAST(n AS BIGINT) AS n FROM vtop)"""
+
+
+def _encode(src: str = "sp", max_len: int = 128) -> str:
+    return f"""ews AS (SELECT post_id, {s.words('text')}[1:{max_len - 2}] AS ws FROM {src}),
+etok AS (SELECT post_id, unnest(ws) AS token, unnest(range(1, len(ws) + 1)) AS pos FROM ews),
+eid AS (SELECT t.post_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids FROM etok t LEFT JOIN vocab v ON t.token = v.token
+        GROUP BY t.post_id),
+enc AS (SELECT s.post_id, CAST([2] || coalesce(eid.ids, []) || [3] AS INTEGER[]) AS input_ids
+        FROM {src} s LEFT JOIN eid ON s.post_id = eid.post_id)"""
+
+
+oracle("build_vocab", with_(*BASE, _vocab()) + "SELECT * FROM vocab")
+oracle("encode_ids", with_(*BASE, _vocab(), _encode()) + "SELECT post_id, input_ids FROM enc")
+_BASE_LIGHT = [P, s.labelled("light"), s.split_ctes(), "tr AS (SELECT * FROM sp WHERE split = 'train')"]
+oracle("truncate_ids", with_(*_BASE_LIGHT, _vocab(), _encode(max_len=256))
+       + "SELECT post_id, input_ids, CAST(len(input_ids) AS INTEGER) AS n_ids FROM enc")
+oracle("pad_and_mask", with_(*BASE, _vocab(), _encode()) + """SELECT post_id,
+  CAST(input_ids || list_transform(range(128 - len(input_ids)), lambda x: 0) AS INTEGER[]) AS input_ids,
+  CAST(list_transform(range(len(input_ids)), lambda x: 1) || list_transform(range(128 - len(input_ids)), lambda x: 0)
+       AS INTEGER[]) AS attention_mask FROM enc""")
+oracle("length_profile", with_(P, s.labelled()) + f"""SELECT CAST(count(*) AS BIGINT) AS n_posts,
+  CAST(sum(CASE WHEN t > 126 THEN 1 ELSE 0 END) AS BIGINT) AS n_truncated, CAST(max(t) AS BIGINT) AS max_tokens,
+  round(avg(i), 6) AS avg_ids, round(sum(128 - i) / (count(*) * 128), 6) AS pad_share
+FROM (SELECT len({s.words('text')}) AS t, least(len({s.words('text')}), 126) + 2 AS i FROM lp)""")
+oracle("assign_batches", with_(*BASE) + """SELECT post_id, rk AS rank, CAST((rk - 1) // 16 AS BIGINT) AS batch FROM (
+  SELECT post_id, CAST(row_number() OVER (ORDER BY md5('42:' || post_id), post_id) AS BIGINT) AS rk FROM tr)""")
+
+# ------------------------------------------------------------------ 2.6 head
+_HEAD = [E, """x AS (SELECT post_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM e)""",
+         """w1 AS (SELECT k // 128 AS i, k % 128 AS j, CAST(((k // 128) * 31 + (k % 128) * 17) % 101 - 50 AS DOUBLE) / 250.0 AS w
+        FROM range(8192) t(k))""",
+         """w2 AS (SELECT j, CAST((j * 13) % 29 - 14 AS DOUBLE) / 50.0 AS w FROM range(128) t(j))""",
+         """hz AS (SELECT x.post_id, w1.j, sum(x.v * w1.w) AS z FROM x JOIN w1 ON x.i = w1.i GROUP BY x.post_id, w1.j)""",
+         """hid AS (SELECT post_id, j, z, greatest(z, 0.0) AS h FROM hz)""",
+         f"""pr AS (SELECT hid.post_id, {s.sigmoid('sum(hid.h * w2.w)')} AS p FROM hid JOIN w2 ON hid.j = w2.j
+        GROUP BY hid.post_id)""",
+         """pe AS (SELECT pr.post_id, e.label, pr.p FROM pr JOIN e ON pr.post_id = e.post_id)"""]
+oracle("cls_pool", with_(E) + "SELECT post_id, embedding[1:16] AS cls FROM e")
+oracle("dense_relu", with_(*_HEAD) + "SELECT post_id, list(round(h, 6) ORDER BY j) AS hidden FROM hid GROUP BY post_id")
+oracle("dropout_mask", with_(*_HEAD) + f"""SELECT post_id, list(round(CASE WHEN
+  {s.hex_uniform("md5('42:0:' || CAST(post_id AS VARCHAR) || ':' || CAST(j AS VARCHAR))")} < CAST(0.3 AS DOUBLE)
+  THEN 0.0 ELSE h / CAST({1.0 - 0.3!r} AS DOUBLE) END, 6) ORDER BY j) AS hidden FROM hid GROUP BY post_id""")
+oracle("dense_sigmoid", with_(*_HEAD) + "SELECT post_id, round(p, 6) AS p FROM pr")
+oracle("score_head", with_(*_HEAD) + "SELECT post_id, label, round(p, 6) AS p, CAST(p > 0.5 AS INTEGER) AS predicted FROM pe")
+oracle("score_external", with_(*_HEAD) + "SELECT post_id, round(p, 6) AS p FROM pr")
+oracle("load_model", with_(*_HEAD) + "SELECT post_id, round(p, 6) AS p FROM pr")
+
+# ------------------------------------------------------------------ 2.7 head training
+_BCE = "-(label * greatest(ln(p), -100.0) + (1 - label) * greatest(ln(1.0 - p), -100.0))"
+oracle("bce_loss", with_(*_HEAD) + f"SELECT post_id, label, round({_BCE}, 6) AS loss FROM pe")
+oracle("epoch_loss", with_(*_HEAD) + f"""SELECT round(avg(m), 6) AS epoch_loss, CAST(count(*) AS BIGINT) AS n_batches FROM (
+  SELECT b, avg(loss) AS m FROM (SELECT (row_number() OVER (ORDER BY post_id) - 1) // 16 AS b, {_BCE} AS loss FROM pe)
+  GROUP BY b)""")
+_GRAD = [*_HEAD, "nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM e)",
+         "d AS (SELECT post_id, p - label AS d2 FROM pe)",
+         """dz AS (SELECT hid.post_id, hid.j, hid.h, d.d2, CASE WHEN hid.z > 0 THEN d.d2 * w2.w ELSE 0.0 END AS dh
+        FROM hid JOIN d ON hid.post_id = d.post_id JOIN w2 ON hid.j = w2.j)""",
+         """grad AS (
+  SELECT 'W1' AS param, CAST(x.i * 128 + dz.j AS INTEGER) AS idx, sum(x.v * dz.dh) / max(nn.n) AS grad
+    FROM x JOIN dz ON x.post_id = dz.post_id JOIN nn ON TRUE GROUP BY x.i, dz.j
+  UNION ALL SELECT 'b1', CAST(j AS INTEGER), sum(dh) / max(nn.n) FROM dz JOIN nn ON TRUE GROUP BY j
+  UNION ALL SELECT 'w2', CAST(j AS INTEGER), sum(h * d2) / max(nn.n) FROM dz JOIN nn ON TRUE GROUP BY j
+  UNION ALL SELECT 'b2', 0, sum(d2) / max(nn.n) FROM d JOIN nn ON TRUE)"""]
+oracle("head_gradient", with_(*_GRAD) + "SELECT param, idx, round(grad, 9) AS grad FROM grad")
+_LR, _WD, _B1, _B2, _EPS = 2e-5, 0.01, 0.9, 0.999, 1e-8
+_theta0 = """CASE WHEN param = 'W1' THEN CAST(((idx // 128) * 31 + (idx % 128) * 17) % 101 - 50 AS DOUBLE) / 250.0
+  WHEN param = 'w2' THEN CAST((idx * 13) % 29 - 14 AS DOUBLE) / 50.0 ELSE 0.0 END"""
+_m1 = f"({_B1!r} * 0.0 + {1 - _B1!r} * grad)"
+_v1 = f"({_B2!r} * 0.0 + {1 - _B2!r} * grad * grad)"
+_den = f"(sqrt({_v1}) / {float((1 - _B2) ** 0.5)!r} + {_EPS!r})"
+oracle("adamw_step", with_(*_GRAD) + f"""SELECT param, idx,
+  round(({_theta0}) * {1 - _LR * _WD!r} - {_LR / (1 - _B1)!r} * {_m1} / {_den}, 9) AS value FROM grad""")
+
+# ------------------------------------------------------------------ 2.9 sinks
+oracle("write_results_csv", ORACLE["compare_with_ensemble"])
+oracle("save_model", ORACLE["fit_text_nb"])
+oracle("write_predictions", ORACLE["score_batched"])
+
+# ------------------------------------------------------------------ 2.10 streaming
+_ALLP = f"""allp AS (SELECT post_id, {s.clean_strong('text')} AS text, {s.encode_label_ci('"account.type"')} AS label
+  FROM p WHERE coalesce(length({s.strip_ws('text')}) > 0, false))"""
+_STREAM = with_(*BASE, _ALLP, s.all_models_wide(target="allp"), s.long_from_wide())
+oracle("stream_predict", _STREAM + """SELECT post_id, model, label, round(p, 6) AS p, predicted,
+  CASE WHEN predicted = 1 THEN 'Bot' ELSE 'Human' END AS prediction FROM lg""")
+oracle("stream_metrics", _STREAM.rstrip() + ",\nlab AS (SELECT * FROM lg WHERE label IS NOT NULL)\n"
+       + s.counts_by("lab"))
