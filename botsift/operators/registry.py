@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from botsift.config import DEFAULT_PROFILE, Profile
-from botsift.operators.textmodels import TextModel, fit_naive_bayes, fit_naive_bayes_many, style_model
+from botsift.operators.textmodels import TextModel, fit_naive_bayes, fit_naive_bayes_many, style_model, weight_table
 
 
 @dataclass(frozen=True)
@@ -73,10 +73,7 @@ def save_models(spark: SparkSession, models: list[TextModel], path: str) -> None
     """Write the term tables (partitioned by model) and the one-row-per-model meta table."""
     nb = [m for m in models if m.kind == "nb"]
     if nb:
-        from functools import reduce
-        table = reduce(lambda a, b: a.unionByName(b),
-                       [m.weights.select(F.lit(m.name).alias("model"), "term", "weight") for m in nb])
-        table.write.mode("overwrite").partitionBy("model").parquet(f"{path}/terms")
+        weight_table(nb).write.mode("overwrite").partitionBy("model").parquet(f"{path}/terms")
     spark.createDataFrame(models_summary(models), META_SCHEMA).coalesce(1) \
         .write.mode("overwrite").parquet(f"{path}/meta")
 

@@ -43,6 +43,8 @@ class TextModel:
     weights: DataFrame | None = field(default=None, repr=False)   # (term, weight)
     n_terms: int = 0
     profile: Profile = DEFAULT_PROFILE
+    source: DataFrame | None = field(default=None, repr=False)   # shared (model, term, c1, c0) table
+    totals: tuple | None = None                                    # (T1, T0, V) of this model
 
 
 def style_model(name: str = "style", profile: Profile = DEFAULT_PROFILE) -> TextModel:
@@ -58,17 +60,28 @@ def _tagged_terms(specs, prefix: str = "_terms_") -> "F.Column":
     return F.concat(*[F.transform(F.col(prefix + kind), tag(name)) for name, kind in specs])
 
 
+# pseudo-term counted once per post, so that posts per class come out of the same pass
+_POSTS = "__posts__"
+
+
 def term_counts(train: DataFrame, specs, text_col: str = "text", label_col: str = "label") -> DataFrame:
     """(model, term, c1, c0): occurrences per class for every model in ONE pass over the training
-    rows. Partial aggregation runs before the shuffle, so a stop word costs one row per task."""
+    rows, plus one (__posts__, '') row holding the number of posts per class. Partial aggregation
+    runs before the shuffle, so a stop word costs one row per task."""
     staged = with_terms(train.select(F.col(label_col).alias("_y"), text_col), text_col, [k for _, k in specs])
-    ex = staged.select("_y", F.explode(_tagged_terms(specs)).alias("_t"))
+    per_post = F.array(F.struct(F.lit(_POSTS).alias("model"), F.lit("").alias("term")))
+    ex = staged.select("_y", F.explode(F.concat(_tagged_terms(specs), per_post)).alias("_t"))
     return ex.groupBy(F.col("_t.model").alias("model"), F.col("_t.term").alias("term")).agg(
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("bigint").alias("c1"),
         F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).cast("bigint").alias("c0"),
     )
 
 
+def _weight(t1: int, t0: int, v: int):
+    return (F.log((F.col("c1") + 1) / F.lit(float(t1 + v)))
+            - F.log((F.col("c0") + 1) / F.lit(float(t0 + v))))
+
+
 def fit_naive_bayes_many(train: DataFrame, specs, text_col: str = "text", label_col: str = "label",
                          profile: Profile = DEFAULT_PROFILE) -> list[TextModel]:
     """Fit several naive-Bayes models (``specs`` = [(name, term kind)]) with one scan of ``train``.
@@ -79,21 +92,18 @@ def fit_naive_bayes_many(train: DataFrame, specs, text_col: str = "text", label_
     counts = term_counts(train, specs, text_col, label_col).checkpoint(eager=True)
     tots = {r["model"]: r for r in counts.groupBy("model").agg(
         F.sum("c1").alias("t1"), F.sum("c0").alias("t0"), F.count(F.lit(1)).alias("v")).collect()}
-    per_class = {r[0]: r[1] for r in train.groupBy(label_col).count().collect()}
-    n1, n0 = per_class.get(1, 0), per_class.get(0, 0)
+    posts = tots.get(_POSTS)
+    n1, n0 = (int(posts["t1"]), int(posts["t0"])) if posts else (0, 0)
     if n1 == 0 or n0 == 0:
-        raise ValueError(f"naive Bayes needs both classes in the training data, got {per_class}")
+        raise ValueError(f"naive Bayes needs both classes in the training data, got {n1} / {n0} posts")
+    table = counts.filter(F.col("model") != _POSTS)
     out = []
     for name, kind in specs:
         r = tots.get(name)
         t1, t0, v = (int(r["t1"]), int(r["t0"]), int(r["v"])) if r else (0, 0, 0)
-        weights = counts.filter(F.col("model") == name).select(
-            "term",
-            (F.log((F.col("c1") + 1) / F.lit(float(t1 + v))) - F.log((F.col("c0") + 1) / F.lit(float(t0 + v))))
-            .alias("weight"),
-        )
+        weights = table.filter(F.col("model") == name).select("term", _weight(t1, t0, v).alias("weight"))
         out.append(TextModel(name=name, kind="nb", terms=kind, bias=math.log(n1 / n0), weights=weights,
-                             n_terms=v, profile=profile))
+                             n_terms=v, profile=profile, source=table, totals=(t1, t0, v)))
     return out
 
 
@@ -102,6 +112,20 @@ def fit_naive_bayes(train: DataFrame, kind: str, name: str | None = None, text_c
     return fit_naive_bayes_many(train, [(name or f"nb_{kind}", kind)], text_col, label_col, profile)[0]
 
 
+def weight_table(nb: list[TextModel]) -> DataFrame:
+    """(model, term, weight) for several models: one scan with a per-model expression when they
+    were fitted together (one shared count table), else a union of their own tables."""
+    src = nb[0].source
+    if src is not None and all(m.source is src and m.totals for m in nb):
+        w = None
+        for m in nb:
+            w = (F.when(F.col("model") == m.name, _weight(*m.totals)) if w is None
+                 else w.when(F.col("model") == m.name, _weight(*m.totals)))
+        return src.filter(F.col("model").isin([m.name for m in nb])).select("model", "term", w.alias("weight"))
+    return reduce(lambda a, b: a.unionByName(b),
+                  [m.weights.select(F.lit(m.name).alias("model"), "term", "weight") for m in nb])
+
+
 def prob_col(name: str) -> str:
     return f"p_{name}"
 
@@ -119,8 +143,7 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         staged = with_terms(df.select(key, *carry, length, text_col), text_col, [k for _, k in specs])
         ex = staged.select(key, *carry, "_len", F.explode_outer(_tagged_terms(specs)).alias("_t")) \
             .select(key, *carry, "_len", F.col("_t.model").alias("model"), F.col("_t.term").alias("term"))
-        table = reduce(lambda a, b: a.unionByName(b),
-                       [m.weights.select(F.lit(m.name).alias("model"), "term", "weight") for m in nb])
+        table = weight_table(nb)
         joined = join_small(ex, table, ["model", "term"], "left", small_rows=sum(m.n_terms for m in nb),
                             max_rows=max_broadcast_rows)
         sums = [F.sum(F.when(F.col("model") == m.name, F.col("weight"))).alias(f"_s_{m.name}") for m in nb]
