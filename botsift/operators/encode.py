@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from botsift.config import END_ID, MAX_LEN, N_SPECIAL, PAD_ID, START_ID, UNK_ID
 from botsift.functions.terms import words
 from botsift.operators.joins import join_small
+from botsift.session import materialize
 
 VOCAB_SIZE = 1000
 
@@ -25,8 +26,8 @@ def build_vocab(train: DataFrame, size: int = VOCAB_SIZE, text_col: str = "text"
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
     w = Window.orderBy(F.desc("n"), F.asc("token"))
-    return top.select("token", (F.row_number().over(w) + N_SPECIAL - 1).cast("int").alias("id"),
-                      F.col("n").cast("bigint").alias("n")).checkpoint(eager=True)
+    return materialize(top.select("token", (F.row_number().over(w) + N_SPECIAL - 1).cast("int").alias("id"),
+                      F.col("n").cast("bigint").alias("n")), "vocab")
 
 
 def encode_ids(df: DataFrame, vocab: DataFrame, max_len: int = MAX_LEN, key: str = "post_id",

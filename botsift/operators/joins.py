@@ -18,3 +18,28 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", small_r
     if small_rows <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
+
+
+def join_weights(big: DataFrame, table: DataFrame, on, total_rows: int, max_rows: int = MAX_BROADCAST_ROWS,
+                 freq_col: str = "n", weight_col: str = "weight") -> DataFrame:
+    """Left join of term occurrences to a term table (``on`` keys, ``weight_col``, ``freq_col``).
+
+    Within the bound: one broadcast join. Beyond it (an unbounded vocabulary, e.g. bigrams of a
+    very large corpus): the most frequent terms -- which carry most occurrences and every hot key
+    such as stop words -- are broadcast; only occurrences of the remaining tail terms are shuffled
+    to a sort-merge join with the tail. The split point is an approximate quantile of term
+    frequency and the broadcast side is counted before it is shipped; if it is still too large
+    the whole join is a shuffle join (AQE splits skewed partitions)."""
+    tbl = table.select(*on, weight_col, freq_col)
+    if total_rows <= max_rows:
+        return big.join(F.broadcast(tbl.drop(freq_col)), on, "left")
+    share = max(0.0, 1.0 - 0.9 * max_rows / float(total_rows))
+    cut = tbl.agg(F.percentile_approx(freq_col, share, 10000).alias("c")).first()["c"]
+    hot = tbl.filter(F.col(freq_col) > F.lit(cut)).drop(freq_col)
+    if cut is None or hot.count() > max_rows:
+        return big.join(tbl.drop(freq_col), on, "left")
+    tail = tbl.filter(F.col(freq_col) <= F.lit(cut)).drop(freq_col)
+    first = big.join(F.broadcast(hot.withColumnRenamed(weight_col, "_w_hot")), on, "left")
+    done = first.filter(F.col("_w_hot").isNotNull()).withColumnRenamed("_w_hot", weight_col)
+    rest = first.filter(F.col("_w_hot").isNull()).drop("_w_hot").join(tail, on, "left")
+    return done.unionByName(rest)

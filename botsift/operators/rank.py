@@ -3,7 +3,7 @@
 Rows are range-partitioned on the order key and sorted inside each partition; each row gets
 (partition, position) from ``monotonically_increasing_id``. The per-partition counts (one row
 per partition) give each partition's offset, so rank = offset + position + 1. The ranged data is
-checkpointed once in the shared folder so that the ids cannot change between the two passes
+written once as parquet in the shared folder so that the ids cannot change between the two passes
 (range bounds come from sampling).
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from botsift.session import materialize
+
 _MID, _PID = "_rank_mid", "_rank_pid"
 _LOW_BITS = 33
 
@@ -22,7 +24,8 @@ def global_rank(df: DataFrame, order_cols, rank_col: str = "rank", n_parts: int
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranged = (df.repartitionByRange(n_parts, *cols).sortWithinPartitions(*cols)
               .withColumn(_MID, F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+              )
+    ranged = materialize(ranged, "ranked")
     pid = F.shiftright(F.col(_MID), _LOW_BITS)
     counts = ranged.groupBy(pid.alias(_PID)).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)

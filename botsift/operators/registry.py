@@ -92,7 +92,7 @@ def load_models(spark: SparkSession, path: str, names=None) -> list[TextModel]:
     for r in meta.collect():
         prof = Profile(clean=r["clean"], max_len=r["max_len"])
         if r["kind"] == "nb":
-            w = spark.read.parquet(f"{path}/terms").filter(F.col("model") == r["model"]).select("term", "weight")
+            w = spark.read.parquet(f"{path}/terms").filter(F.col("model") == r["model"]).select("term", "weight", "n")
             out.append(TextModel(r["model"], "nb", r["terms"], r["bias"], w, int(r["n_terms"]), prof))
         else:
             out.append(TextModel(r["model"], r["kind"], r["terms"], r["bias"], None, int(r["n_terms"]), prof))

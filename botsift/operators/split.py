@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from botsift.functions.numeric import hash_key, hex_uniform
+from botsift.session import materialize
 
 H, B = "_split_h", "_split_b"
 BUCKET_HEX = 4
@@ -58,7 +59,7 @@ def split_stratified_exact(df: DataFrame, label_col: str = "label", key_col: str
     hist = keyed.groupBy(label_col, B).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(label_col).orderBy(B).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_incl", F.sum("_n").over(w)).withColumn("_before", F.col("_incl") - F.col("_n"))
-    hist = hist.checkpoint(eager=True)
+    hist = materialize(hist, "split-hist")
 
     counts = {r[0]: r[1] for r in hist.groupBy(label_col).agg(F.sum("_n")).collect()}
     if len(counts) > MAX_CLASSES:

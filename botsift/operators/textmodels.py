@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from botsift.config import DEFAULT_PROFILE, Profile
 from botsift.functions.numeric import safe_sigmoid
 from botsift.functions.terms import with_terms
-from botsift.operators.joins import MAX_BROADCAST_ROWS, join_small
+from botsift.operators.joins import MAX_BROADCAST_ROWS, join_weights
+from botsift.session import materialize
 
 # Fixed values of the style scorer.
 STYLE_CENTER, STYLE_SCALE = 250.0, 100.0
@@ -40,7 +41,7 @@ class TextModel:
     kind: str                       # "nb" or "style"
     terms: str | None = None        # "word" / "bigram" / "trigram" for nb
     bias: float = 0.0
-    weights: DataFrame | None = field(default=None, repr=False)   # (term, weight)
+    weights: DataFrame | None = field(default=None, repr=False)   # (term, weight, n = occurrences)
     n_terms: int = 0
     profile: Profile = DEFAULT_PROFILE
     source: DataFrame | None = field(default=None, repr=False)   # shared (model, term, c1, c0) table
@@ -89,7 +90,7 @@ def fit_naive_bayes_many(train: DataFrame, specs, text_col: str = "text", label_
     specs = list(specs)
     if not specs:
         return []
-    counts = term_counts(train, specs, text_col, label_col).checkpoint(eager=True)
+    counts = materialize(term_counts(train, specs, text_col, label_col), "nb-counts")
     tots = {r["model"]: r for r in counts.groupBy("model").agg(
         F.sum("c1").alias("t1"), F.sum("c0").alias("t0"), F.count(F.lit(1)).alias("v")).collect()}
     posts = tots.get(_POSTS)
@@ -101,7 +102,8 @@ def fit_naive_bayes_many(train: DataFrame, specs, text_col: str = "text", label_
     for name, kind in specs:
         r = tots.get(name)
         t1, t0, v = (int(r["t1"]), int(r["t0"]), int(r["v"])) if r else (0, 0, 0)
-        weights = table.filter(F.col("model") == name).select("term", _weight(t1, t0, v).alias("weight"))
+        weights = table.filter(F.col("model") == name).select(
+            "term", _weight(t1, t0, v).alias("weight"), (F.col("c1") + F.col("c0")).alias("n"))
         out.append(TextModel(name=name, kind="nb", terms=kind, bias=math.log(n1 / n0), weights=weights,
                              n_terms=v, profile=profile, source=table, totals=(t1, t0, v)))
     return out
@@ -121,9 +123,10 @@ def weight_table(nb: list[TextModel]) -> DataFrame:
         for m in nb:
             w = (F.when(F.col("model") == m.name, _weight(*m.totals)) if w is None
                  else w.when(F.col("model") == m.name, _weight(*m.totals)))
-        return src.filter(F.col("model").isin([m.name for m in nb])).select("model", "term", w.alias("weight"))
+        return src.filter(F.col("model").isin([m.name for m in nb])).select(
+            "model", "term", w.alias("weight"), (F.col("c1") + F.col("c0")).alias("n"))
     return reduce(lambda a, b: a.unionByName(b),
-                  [m.weights.select(F.lit(m.name).alias("model"), "term", "weight") for m in nb])
+                  [m.weights.select(F.lit(m.name).alias("model"), "term", "weight", "n") for m in nb])
 
 
 def prob_col(name: str) -> str:
@@ -144,8 +147,8 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         ex = staged.select(key, *carry, "_len", F.explode_outer(_tagged_terms(specs)).alias("_t")) \
             .select(key, *carry, "_len", F.col("_t.model").alias("model"), F.col("_t.term").alias("term"))
         table = weight_table(nb)
-        joined = join_small(ex, table, ["model", "term"], "left", small_rows=sum(m.n_terms for m in nb),
-                            max_rows=max_broadcast_rows)
+        joined = join_weights(ex, table, ["model", "term"], total_rows=sum(m.n_terms for m in nb),
+                              max_rows=max_broadcast_rows)
         sums = [F.sum(F.when(F.col("model") == m.name, F.col("weight"))).alias(f"_s_{m.name}") for m in nb]
         base = joined.groupBy(key, *carry, "_len").agg(*sums)
     else:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from botsift.config import LEARNING_RATE
 from botsift.functions.numeric import bce
 from botsift.operators.head import HeadWeights, np_sigmoid
+from botsift.session import materialize
 
 # AdamW defaults (published formulas): betas, eps, weight decay.
 BETA1, BETA2, EPS, WEIGHT_DECAY = 0.9, 0.999, 1e-8, 0.01
@@ -78,7 +79,7 @@ def gradient_sums(df: DataFrame, w: HeadWeights, emb_col: str = "embedding", lab
 def head_gradient(df: DataFrame, w: HeadWeights, **kw) -> DataFrame:
     """(param, idx, grad): gradient of the MEAN log-loss over ``df``."""
     n_params = w.flat().size
-    sums = gradient_sums(df, w, **kw).checkpoint(eager=True)
+    sums = materialize(gradient_sums(df, w, **kw), "head-grad")
     n = sums.filter(F.col("idx") == n_params).first()["value"]
     if not n:
         raise ValueError("gradient over zero rows")

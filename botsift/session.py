@@ -51,3 +51,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder (never reused, so no clean-up race)."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet in the shared folder and read it back: cuts the lineage (a lost
+    executor cannot force a recomputation from the source), keeps column statistics for the
+    planner, and is readable by any later job. Preferred over RDD checkpoints for large tables."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
