@@ -1,7 +1,8 @@
 """Headline queries timed on local[$BENCH_CPUS] over $BENCH_SF_DIR; prints one JSON line.
 
 Each query is executed in full through the ``noop`` sink (every column computed, nothing
-collected to the driver), once to warm the JVM and then timed.
+collected to the driver), once on the smallest tables to warm the JVM and the Python
+workers, then timed on $BENCH_SF_DIR.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ def main():
 
     spark = local_session(cpus, "botsift-bench", shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
     names = [q for q in HEADLINE if q in QUERIES]
-    # warm-up: JVM class loading and codegen on the smallest data set
+    # warm-up on the smallest data set: JVM class loading, codegen, Python worker start-up
     warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
-    for q in names[:3]:
+    for q in names:
         QUERIES[q](spark, warm).write.format("noop").mode("overwrite").save()
     times = {}
     for q in names:

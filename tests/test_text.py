@@ -82,3 +82,12 @@ def test_trace_steps(spark):
     assert [r.step for r in rows] == list(tx.TRACE_STEPS)
     assert rows[-1].value == "a href tail"
     assert rows[1].value == '<a href=" tail'
+
+
+def test_property_class_equals_explicit_list(spark):
+    """The fast class body and the explicit character list select the same characters."""
+    chars = [chr(c) for c in range(0, 0x3100)] + ["\U0001F600", "﻿", "᠎"]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    rows = df.select("c", F.col("c").rlike(f"^[{tx.WS}]$").alias("a"),
+                     F.col("c").rlike(f"^[{tx.WS_EXPLICIT}]$").alias("b")).collect()
+    assert all(r.a == r.b == r.c.isspace() for r in rows), [r for r in rows if not (r.a == r.b == r.c.isspace())][:5]
