@@ -38,7 +38,8 @@ def bigrams(c) -> Column:
 
 
 def trigrams_of_chars(chars: Column) -> Column:
-    """3-code-point windows of an array of code points: the array zipped with its shifts."""
+    """3-code-point windows of an array of code points: the array zipped with its shifts.
+    Exact for any text (supplementary characters included), but lambda-evaluated per element."""
     k = F.size(chars) - 2
     grams = F.zip_with(F.zip_with(F.slice(chars, 1, k), F.slice(chars, 2, k), lambda a, b: F.concat(a, b)),
                        F.slice(chars, 3, k), lambda ab, x: F.concat(ab, x))
@@ -46,13 +47,23 @@ def trigrams_of_chars(chars: Column) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
+# One regex pass over a text without supplementary characters: at every position, capture the next
+# three characters unless all three are whitespace (zero-width matches advance one char at a time).
+_TRIGRAM_RE = f"(?s)(?=((?![{WS}]{{3}}).{{3}}))"
+_SUPPLEMENTARY_RE = r"[\x{10000}-\x{10FFFF}]"
+
+
 def chars(c) -> Column:
     """One element per code point (Spark splits an empty pattern by code point)."""
     return F.split(_c(c), "")
 
 
 def trigrams(c) -> Column:
-    return trigrams_of_chars(chars(c))
+    """Codegen'd single regex pass when every character is in the BMP (one UTF-16 unit = one code
+    point, always true after strong cleaning); the exact code-point path otherwise."""
+    t = _c(c)
+    fast = F.regexp_extract_all(t, F.lit(_TRIGRAM_RE), 1)
+    return F.when(t.rlike(_SUPPLEMENTARY_RE), trigrams_of_chars(chars(t))).otherwise(fast)
 
 
 def terms(c, kind: str) -> Column:
@@ -73,8 +84,6 @@ def with_terms(df: DataFrame, text_col: str, kinds, prefix: str = "_terms_") ->
     base = []
     if {"word", "bigram"} & set(kinds):
         base.append(words(text_col).alias("_w"))
-    if "trigram" in kinds:
-        base.append(chars(text_col).alias("_ch"))
     staged = df.select("*", *base)
     out = []
     for k in kinds:
@@ -83,7 +92,7 @@ def with_terms(df: DataFrame, text_col: str, kinds, prefix: str = "_terms_") ->
         elif k == "bigram":
             out.append(bigrams_of(F.col("_w")).alias(prefix + k))
         elif k == "trigram":
-            out.append(trigrams_of_chars(F.col("_ch")).alias(prefix + k))
+            out.append(trigrams(text_col).alias(prefix + k))
         else:
             raise ValueError(f"unknown term kind {k!r}; use one of {TERM_KINDS}")
-    return staged.select("*", *out).drop(*[c for c in ("_w", "_ch") if c in staged.columns])
+    return staged.select("*", *out).drop(*[c for c in ("_w",) if c in staged.columns])

@@ -22,7 +22,7 @@ VOCAB_SIZE = 1000
 def build_vocab(train: DataFrame, size: int = VOCAB_SIZE, text_col: str = "text") -> DataFrame:
     """(token, id, n). The top-``size`` is a bounded TakeOrderedAndProject; the id window runs on
     those ``size`` rows only. Materialised once so every encoder reuses the same ids."""
-    counts = (train.select(F.explode(words(text_col)).alias("token"))
+    counts = (train.select(F.explode_outer(words(text_col)).alias("token")).filter(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
     w = Window.orderBy(F.desc("n"), F.asc("token"))

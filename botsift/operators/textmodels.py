@@ -71,7 +71,9 @@ def term_counts(train: DataFrame, specs, text_col: str = "text", label_col: str
     runs before the shuffle, so a stop word costs one row per task."""
     staged = with_terms(train.select(F.col(label_col).alias("_y"), text_col), text_col, [k for _, k in specs])
     per_post = F.array(F.struct(F.lit(_POSTS).alias("model"), F.lit("").alias("term")))
-    ex = staged.select("_y", F.explode(F.concat(_tagged_terms(specs), per_post)).alias("_t"))
+    # explode_outer: a plain explode makes the optimizer infer "size(array) > 0" and push that copy of
+    # the whole term expression below the exchange; the arrays are never empty (one pseudo-term each)
+    ex = staged.select("_y", F.explode_outer(F.concat(_tagged_terms(specs), per_post)).alias("_t"))
     return ex.groupBy(F.col("_t.model").alias("model"), F.col("_t.term").alias("term")).agg(
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("bigint").alias("c1"),
         F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).cast("bigint").alias("c0"),

@@ -65,3 +65,18 @@ def test_entry_contract(spark):
     rows = entry.entry(spark).collect()
     assert [r.model for r in rows if r.model == "ENSEMBLE"] == ["ENSEMBLE"]
     assert len(rows) == 5
+
+
+def test_term_arrays_are_not_copied_into_filters(spark):
+    """A plain explode would make the optimizer infer size(array) > 0 and push a second copy of
+    the term expression into the scan; the fit and the vocabulary must not do that."""
+    from botsift.operators.encode import build_vocab
+    from botsift.operators.textmodels import term_counts
+
+    train = catalog.split_posts(spark, SF_SMALL).filter(F.col("split") == "train")
+    specs = [("nb_word", "word"), ("nb_bigram", "bigram"), ("nb_trigram", "trigram")]
+    plan = _plan(term_counts(train, specs))
+    filters = [l for l in plan.splitlines() if "Filter" in l]
+    assert not any("zip_with" in l or "split(" in l for l in filters), filters
+    counts = train.select(F.explode_outer(F.split("text", " ")).alias("token"))
+    assert "size(" not in _plan(counts)
