@@ -35,10 +35,12 @@ def encode_ids(df: DataFrame, vocab: DataFrame, max_len: int = MAX_LEN, key: str
     """(key, input_ids): [start] + ids of the first max_len-2 tokens (unknown id if not in the
     vocabulary) + [end]. Unpadded; see :func:`pad_and_mask`."""
     carry = [c for c in carry if c in df.columns]
-    toks = df.select(key, *carry, F.posexplode_outer(F.slice(words(text_col), 1, max_len - 2)).alias("pos", "token"))
+    rid = F.monotonically_increasing_id().alias("_rid")       # regroup per row, not per key
+    toks = (df.select(rid, key, *carry, F.slice(words(text_col), 1, max_len - 2).alias("_w"))
+            .select("_rid", key, *carry, F.posexplode_outer("_w").alias("pos", "token")))
     joined = join_small(toks, vocab.select("token", "id"), "token", "left", small_rows=vocab_rows)
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
-    grouped = joined.groupBy(key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_ids"))
+    grouped = joined.groupBy("_rid", key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_ids"))
     ids = F.concat(F.array(F.lit(START_ID)), F.transform("_ids", lambda s: s["id"]), F.array(F.lit(END_ID)))
     return grouped.select(key, *carry, ids.cast("array<int>").alias("input_ids"))
 

@@ -13,7 +13,9 @@ of a class is a prefix of the hash order, i.e. everything up to one cutoff ``(h*
 3. only the rows of that bucket (~n_c / 65,536) are ranked to find the cutoff row;
 4. the split column is then a narrow comparison with per-class literals: no join, no shuffle.
 
-Keys must be unique; rows sharing a key always land on the same side.
+Keys are expected to be unique. Rows sharing a key always land on the same side (so with
+duplicates a quota can be overshot by the copies of the cutoff key); a heavily repeated key never
+lands in one task, because the boundary bucket is reduced to distinct keys before it is ranked.
 """
 
 from __future__ import annotations
@@ -75,16 +77,20 @@ def split_stratified_exact(df: DataFrame, label_col: str = "label", key_col: str
              .filter((F.col("_before") < F.col("_q")) & (F.col("_q") <= F.col("_incl")))
              .select(label_col, B, (F.col("_q") - F.col("_before")).alias("_k")).collect())
 
-    # 3. rank only the rows of those buckets; keep the k-th one per class
+    # 3. inside those buckets, the k-th row of the class in (hash, key) order. Rows are first
+    #    collapsed to distinct keys with their counts (map-side combined), so even a key repeated
+    #    in a third of all rows is one row here; the running sum then finds the cutoff key.
     cutoffs = {}
     if edges:
         in_edge = reduce(lambda a, b: a | b, [_class_pred(label_col, r[0]) & (F.col(B) == r[1]) for r in edges])
         k_col = reduce(lambda acc, r: acc.when(_class_pred(label_col, r[0]), F.lit(r[2])), edges[1:],
                        F.when(_class_pred(label_col, edges[0][0]), F.lit(edges[0][2])))
-        rw = Window.partitionBy(label_col).orderBy(H, key_col)
-        cut_rows = (keyed.filter(in_edge).select(label_col, H, key_col)
-                    .withColumn("_rk", F.row_number().over(rw))
-                    .filter(F.col("_rk") == k_col).collect())
+        distinct = keyed.filter(in_edge).groupBy(label_col, H, key_col).agg(F.count(F.lit(1)).alias("_c"))
+        rw = Window.partitionBy(label_col).orderBy(H, key_col).rowsBetween(Window.unboundedPreceding,
+                                                                            Window.currentRow)
+        run = distinct.withColumn("_cum", F.sum("_c").over(rw))
+        cut_rows = (run.filter((F.col("_cum") >= k_col) & (F.col("_cum") - F.col("_c") < k_col))
+                    .select(label_col, H, key_col).collect())
         cutoffs = {r[0]: (r[1], r[2]) for r in cut_rows}
 
     # 4. narrow: test iff (h, key) <= the class cutoff

@@ -145,14 +145,17 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
     length = F.length(F.col(text_col)).alias("_len")
     if nb:
         specs = [(m.name, m.terms) for m in nb]
-        staged = with_terms(df.select(key, *carry, length, text_col), text_col, [k for _, k in specs])
-        ex = staged.select(key, *carry, "_len", F.explode_outer(_tagged_terms(specs)).alias("_t")) \
-            .select(key, *carry, "_len", F.col("_t.model").alias("model"), F.col("_t.term").alias("term"))
+        # terms are summed back per input ROW (a row id), not per key: duplicated keys are scored
+        # row by row and a key repeated in many rows never becomes one huge group
+        rid = F.monotonically_increasing_id().alias("_rid")
+        staged = with_terms(df.select(rid, key, *carry, length, text_col), text_col, [k for _, k in specs])
+        ex = staged.select("_rid", key, *carry, "_len", F.explode_outer(_tagged_terms(specs)).alias("_t")) \
+            .select("_rid", key, *carry, "_len", F.col("_t.model").alias("model"), F.col("_t.term").alias("term"))
         table = weight_table(nb)
         joined = join_weights(ex, table, ["model", "term"], total_rows=sum(m.n_terms for m in nb),
                               max_rows=max_broadcast_rows)
         sums = [F.sum(F.when(F.col("model") == m.name, F.col("weight"))).alias(f"_s_{m.name}") for m in nb]
-        base = joined.groupBy(key, *carry, "_len").agg(*sums)
+        base = joined.groupBy("_rid", key, *carry, "_len").agg(*sums)
     else:
         base = df.select(key, *carry, length)
     out = [F.col(key), *[F.col(c) for c in carry]]

@@ -37,3 +37,18 @@ def test_saved_models_score_the_same(spark):
     test = sp.filter(F.col("split") == "test")
     a, b = _scores(score_models(test, models)), _scores(score_models(test, loaded))
     assert a.keys() == b.keys() and all(abs(x - y) < 1e-12 for k in a for x, y in zip(a[k], b[k]))
+
+
+def test_duplicate_keys_are_scored_per_row(spark):
+    sp = catalog.split_posts(spark, SF_SMALL)
+    models = fit_all_models(sp.filter(F.col("split") == "train"))
+    one = sp.filter(F.col("split") == "test").limit(3).collect()
+    rows = [(r.post_id, r.label, r.text) for r in one]
+    dup = [("dup", 1, rows[0][2]), ("dup", 0, rows[1][2])]
+    df = spark.createDataFrame(rows + dup, "post_id string, label int, text string")
+    out = score_models(df, models).collect()
+    assert len(out) == 5
+    dups = sorted((r.label, r.p_nb_word) for r in out if r.post_id == "dup")
+    by_id = {r.post_id: r.p_nb_word for r in out if r.post_id != "dup"}
+    assert len(dups) == 2
+    assert sorted(d[1] for d in dups) == sorted([by_id[rows[0][0]], by_id[rows[1][0]]])

@@ -54,3 +54,14 @@ def test_split_plan_has_no_global_window(spark):
     df = spark.createDataFrame([(f"p{i}", i % 2) for i in range(300)], "post_id string, label int")
     plan = split_stratified_exact(df)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_heavily_repeated_key(spark):
+    """A key holding a third of all rows: every copy lands on the same side and nothing fails."""
+    rows = [(f"p{i}", i % 2) for i in range(600)] + [("hot", 1)] * 300
+    df = spark.createDataFrame(rows, "post_id string, label int")
+    got = split_stratified_exact(df, bucket_hex=1).collect()
+    assert len(got) == 900
+    sides = {r.split for r in got if r.post_id == "hot"}
+    assert len(sides) == 1
+    want, _ = _expected([(k, y) for k, y in rows if k != "hot"] + [("hot", 1)])
