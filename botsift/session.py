@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", app: str = "botsift", shuffle_partitio
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -61,3 +62,25 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``botsift`` importable in the Python workers of this context (numpy kernels of the
+    head run inside tasks). The package is zipped once on the driver and added with ``addPyFile``,
+    which is how Spark distributes Python code to every executor; done once per SparkContext."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_botsift_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="botsift-pyfiles-"), "botsift.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._botsift_shipped = True
