@@ -5,6 +5,11 @@ Rows are range-partitioned on the order key and sorted inside each partition; ea
 per partition) give each partition's offset, so rank = offset + position + 1. The ranged data is
 written once as parquet in the shared folder so that the ids cannot change between the two passes
 (range bounds come from sampling).
+
+Hot keys: the range is taken over (order key, input row id), so rows that share an order key --
+even exact copies holding a third of the table -- are cut across several range partitions
+instead of landing in one task. The input row id comes from the position in the input partition,
+which a re-executed scan reproduces; ties are thus broken by input position.
 """
 
 from __future__ import annotations
@@ -14,18 +19,24 @@ from pyspark.sql import functions as F
 
 from botsift.session import materialize
 
-_MID, _PID = "_rank_mid", "_rank_pid"
+_MID, _PID, _TIE = "_rank_mid", "_rank_pid", "_rank_tie"
 _LOW_BITS = 33
 
 
-def global_rank(df: DataFrame, order_cols, rank_col: str = "rank", n_parts: int | None = None) -> DataFrame:
+def ranged_layout(df: DataFrame, order_cols, n_parts: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted on (order_cols, input row id), with ``_rank_mid`` =
+    (range partition << 33) + position, written once to the shared folder."""
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = (df.repartitionByRange(n_parts, *cols).sortWithinPartitions(*cols)
-              .withColumn(_MID, F.monotonically_increasing_id())
-              )
-    ranged = materialize(ranged, "ranked")
+    keyed = df.withColumn(_TIE, F.monotonically_increasing_id())
+    ranged = (keyed.repartitionByRange(n_parts, *cols, F.col(_TIE)).sortWithinPartitions(*cols, _TIE)
+              .withColumn(_MID, F.monotonically_increasing_id()).drop(_TIE))
+    return materialize(ranged, "ranked")
+
+
+def global_rank(df: DataFrame, order_cols, rank_col: str = "rank", n_parts: int | None = None) -> DataFrame:
+    ranged = ranged_layout(df, order_cols, n_parts)
     pid = F.shiftright(F.col(_MID), _LOW_BITS)
     counts = ranged.groupBy(pid.alias(_PID)).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
