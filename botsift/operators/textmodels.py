@@ -12,8 +12,9 @@ The style scorer needs no training: z = (length(text) - 250) / 100.
 
 Fitting is one explode + groupBy(term) (map-side combined); the term table is materialised in the
 shared folder and its row count kept, so scoring can decide to broadcast it on a checked size.
-Scoring all models is ONE pass over the posts: the term arrays of every model are concatenated,
-exploded once, joined to the union of the term tables and summed per post.
+Scoring all models is ONE pass over the posts: the term arrays of every model are concatenated
+(tagged with a small model index), exploded once, joined to the union of the term tables and
+summed per post.
 """
 
 from __future__ import annotations
@@ -53,12 +54,21 @@ def style_model(name: str = "style", profile: Profile = DEFAULT_PROFILE) -> Text
 
 
 def _tagged_terms(specs, prefix: str = "_terms_") -> "F.Column":
-    """One array of (model, term) structs for all naive-Bayes models, so one explode serves all.
+    """One array of (m, term) structs for all naive-Bayes models, so one ``inline`` serves all;
+    ``m`` is the model's position in ``specs``. Built from codegen'd array functions (a constant
+    array zipped with the term array); a ``transform`` lambda here would be interpreted per term.
     Reads the per-kind arrays added by :func:`with_terms`."""
-    def tag(name):  # F.transform hands a 2-argument lambda the index, so close over the name
-        return lambda t: F.struct(F.lit(name).alias("model"), t.alias("term"))
+    parts = []
+    for i, (_, kind) in enumerate(specs):
+        terms = F.col(prefix + kind)
+        parts.append(F.arrays_zip(F.array_repeat(F.lit(i), F.size(terms)).alias("m"), terms.alias("term")))
+    return F.concat(*parts)
 
-    return F.concat(*[F.transform(F.col(prefix + kind), tag(name)) for name, kind in specs])
+
+def _model_name(specs, names_extra=()) -> "F.Column":
+    """Position ``m`` back to the model name (on aggregated rows only)."""
+    return F.element_at(F.array(*[F.lit(n) for n, _ in specs], *[F.lit(n) for n in names_extra]),
+                        F.col("m") + 1)
 
 
 # pseudo-term counted once per post, so that posts per class come out of the same pass
@@ -70,14 +80,15 @@ def term_counts(train: DataFrame, specs, text_col: str = "text", label_col: str
     rows, plus one (__posts__, '') row holding the number of posts per class. Partial aggregation
     runs before the shuffle, so a stop word costs one row per task."""
     staged = with_terms(train.select(F.col(label_col).alias("_y"), text_col), text_col, [k for _, k in specs])
-    per_post = F.array(F.struct(F.lit(_POSTS).alias("model"), F.lit("").alias("term")))
-    # explode_outer: a plain explode makes the optimizer infer "size(array) > 0" and push that copy of
-    # the whole term expression below the exchange; the arrays are never empty (one pseudo-term each)
-    ex = staged.select("_y", F.explode_outer(F.concat(_tagged_terms(specs), per_post)).alias("_t"))
-    return ex.groupBy(F.col("_t.model").alias("model"), F.col("_t.term").alias("term")).agg(
+    per_post = F.array(F.struct(F.lit(len(specs)).alias("m"), F.lit("").alias("term")))
+    # inline_outer: a plain generator makes the optimizer infer "size(array) > 0" and push that copy
+    # of the whole term expression below the exchange; the arrays are never empty (one pseudo-term each)
+    ex = staged.select("_y", F.inline_outer(F.concat(_tagged_terms(specs), per_post)))
+    counts = ex.groupBy("m", "term").agg(
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("bigint").alias("c1"),
         F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).cast("bigint").alias("c0"),
     )
+    return counts.select(_model_name(specs, [_POSTS]).alias("model"), "term", "c1", "c0")
 
 
 def _weight(t1: int, t0: int, v: int):
@@ -149,12 +160,14 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         # row by row and a key repeated in many rows never becomes one huge group
         rid = F.monotonically_increasing_id().alias("_rid")
         staged = with_terms(df.select(rid, key, *carry, length, text_col), text_col, [k for _, k in specs])
-        ex = staged.select("_rid", key, *carry, "_len", F.explode_outer(_tagged_terms(specs)).alias("_t")) \
-            .select("_rid", key, *carry, "_len", F.col("_t.model").alias("model"), F.col("_t.term").alias("term"))
-        table = weight_table(nb)
-        joined = join_weights(ex, table, ["model", "term"], total_rows=sum(m.n_terms for m in nb),
+        ex = staged.select("_rid", key, *carry, "_len", F.inline_outer(_tagged_terms(specs)))
+        # the term table keyed by the same small model index (an int instead of a name in the join key)
+        idx = reduce(lambda acc, i: acc.when(F.col("model") == nb[i].name, F.lit(i)), range(1, len(nb)),
+                     F.when(F.col("model") == nb[0].name, F.lit(0)))
+        table = weight_table(nb).select(idx.alias("m"), "term", "weight", "n")
+        joined = join_weights(ex, table, ["m", "term"], total_rows=sum(m.n_terms for m in nb),
                               max_rows=max_broadcast_rows)
-        sums = [F.sum(F.when(F.col("model") == m.name, F.col("weight"))).alias(f"_s_{m.name}") for m in nb]
+        sums = [F.sum(F.when(F.col("m") == i, F.col("weight"))).alias(f"_s_{m.name}") for i, m in enumerate(nb)]
         base = joined.groupBy("_rid", key, *carry, "_len").agg(*sums)
     else:
         base = df.select(key, *carry, length)
