@@ -10,7 +10,9 @@ of a class is a prefix of the hash order, i.e. everything up to one cutoff ``(h*
 
 1. histogram of (class, first 4 hex digits of the hash) -> at most 65,536 rows per class;
 2. running sums over that histogram locate the bucket holding the cutoff;
-3. only the rows of that bucket (~n_c / 65,536) are ranked to find the cutoff row;
+3. only the rows of that bucket (~n_c / 65,536) are ranked to find the cutoff row; a bucket
+   above ``max_edge_rows`` is first narrowed by the next hex digits (one small histogram per
+   round), so the ranked rows stay bounded at any table size;
 4. the split column is then a narrow comparison with per-class literals: no join, no shuffle.
 
 Keys are expected to be unique. Rows sharing a key always land on the same side (so with
@@ -31,6 +33,8 @@ from botsift.session import materialize
 
 H, B = "_split_h", "_split_b"
 BUCKET_HEX = 4
+REFINE_HEX = 4
+MAX_EDGE_ROWS = 2_000_000
 MAX_CLASSES = 256
 
 
@@ -52,9 +56,49 @@ def _class_pred(label_col: str, c) -> Column:
     return F.col(label_col).isNull() if c is None else F.col(label_col) == F.lit(c)
 
 
+def _in_bucket(prefix: str) -> Column:
+    return F.substring(F.col(H), 1, len(prefix)) == F.lit(prefix)
+
+
+def _refine_edges(keyed: DataFrame, edges, label_col: str, max_edge_rows: int):
+    """Narrow a boundary bucket holding more than ``max_edge_rows`` rows to the sub-bucket (next
+    REFINE_HEX hex digits) that holds its k-th row, so that the final ranking never sees more
+    than about ``max_edge_rows`` rows whatever the table size. Each round is one filtered scan and
+    a histogram of at most 16**REFINE_HEX rows per class (bounded, so collected). A round that no
+    longer shrinks the bucket (one heavily repeated key fills it) ends the refinement; copies of
+    a key are collapsed before ranking anyway."""
+    edges = list(edges)
+    while True:
+        big = [e for e in edges if e[3] > max_edge_rows and len(e[1]) < 32]
+        if not big:
+            return edges
+        cond = reduce(lambda a, b: a | b, [_class_pred(label_col, e[0]) & _in_bucket(e[1]) for e in big])
+        plen = {e[0]: min(32, len(e[1]) + REFINE_HEX) for e in big}
+        sub_b = reduce(lambda acc, e: acc.when(_class_pred(label_col, e[0]), F.substring(F.col(H), 1, plen[e[0]])),
+                       big[1:], F.when(_class_pred(label_col, big[0][0]), F.substring(F.col(H), 1, plen[big[0][0]])))
+        rows = (keyed.filter(cond).groupBy(F.col(label_col).alias("_y"), sub_b.alias("_sb"))
+                .agg(F.count(F.lit(1)).alias("_n")).collect())
+        by_class = {}
+        for r in rows:
+            by_class.setdefault(r["_y"], []).append((r["_sb"], r["_n"]))
+        shrunk = False
+        out = [e for e in edges if e not in big]
+        for c, prefix, k, n in big:
+            before = 0
+            for sb, m in sorted(by_class.get(c, [])):
+                if before < k <= before + m:
+                    out.append((c, sb, k - before, m))
+                    shrunk = shrunk or m < n
+                    break
+                before += m
+        edges = out
+        if not shrunk:
+            return edges
+
+
 def split_stratified_exact(df: DataFrame, label_col: str = "label", key_col: str = "post_id",
                            seed: int = 42, test_share: float = 0.2, split_col: str = "split",
-                           bucket_hex: int = BUCKET_HEX) -> DataFrame:
+                           bucket_hex: int = BUCKET_HEX, max_edge_rows: int = MAX_EDGE_ROWS) -> DataFrame:
     keyed = df.withColumn(H, hash_key(seed, key_col)).withColumn(B, F.substring(F.col(H), 1, bucket_hex))
 
     # 1. bounded histogram (map-side combined), materialised once in the shared folder
@@ -70,19 +114,21 @@ def split_stratified_exact(df: DataFrame, label_col: str = "label", key_col: str
         raise ValueError("null labels: drop incomplete rows before splitting")
     quotas = stratified_quotas(counts, test_share)
 
-    # 2. the bucket that holds the q-th row of each class, and the rank k inside it
+    # 2. the bucket that holds the q-th row of each class, the rank k inside it and its size
     quota_col = reduce(lambda acc, c: acc.when(_class_pred(label_col, c), F.lit(quotas[c])),
                        list(quotas)[1:], F.when(_class_pred(label_col, list(quotas)[0]), F.lit(quotas[list(quotas)[0]])))
-    edges = (hist.withColumn("_q", quota_col)
+    edges = [(r[0], r[1], r[2], r[3]) for r in
+             hist.withColumn("_q", quota_col)
              .filter((F.col("_before") < F.col("_q")) & (F.col("_q") <= F.col("_incl")))
-             .select(label_col, B, (F.col("_q") - F.col("_before")).alias("_k")).collect())
+             .select(label_col, B, (F.col("_q") - F.col("_before")).alias("_k"), "_n").collect()]
+    edges = _refine_edges(keyed, edges, label_col, max_edge_rows)
 
     # 3. inside those buckets, the k-th row of the class in (hash, key) order. Rows are first
     #    collapsed to distinct keys with their counts (map-side combined), so even a key repeated
     #    in a third of all rows is one row here; the running sum then finds the cutoff key.
     cutoffs = {}
     if edges:
-        in_edge = reduce(lambda a, b: a | b, [_class_pred(label_col, r[0]) & (F.col(B) == r[1]) for r in edges])
+        in_edge = reduce(lambda a, b: a | b, [_class_pred(label_col, r[0]) & _in_bucket(r[1]) for r in edges])
         k_col = reduce(lambda acc, r: acc.when(_class_pred(label_col, r[0]), F.lit(r[2])), edges[1:],
                        F.when(_class_pred(label_col, edges[0][0]), F.lit(edges[0][2])))
         distinct = keyed.filter(in_edge).groupBy(label_col, H, key_col).agg(F.count(F.lit(1)).alias("_c"))

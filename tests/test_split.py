@@ -65,3 +65,21 @@ def test_heavily_repeated_key(spark):
     sides = {r.split for r in got if r.post_id == "hot"}
     assert len(sides) == 1
     want, _ = _expected([(k, y) for k, y in rows if k != "hot"] + [("hot", 1)])
+
+
+def test_boundary_bucket_refinement_matches_brute_force(spark):
+    """A boundary bucket above the row bound is narrowed by further hex digits: same membership."""
+    rows = [(f"p{i}", int(i % 3 == 0)) for i in range(3000)]
+    want, q = _expected(rows)
+    df = spark.createDataFrame(rows, "post_id string, label int").repartition(7)
+    for bound in (10, 100):
+        got = split_stratified_exact(df, bucket_hex=1, max_edge_rows=bound)
+        assert {r.post_id for r in got.filter("split = 'test'").collect()} == want
+
+
+def test_refinement_stops_on_a_repeated_key(spark):
+    rows = [(f"p{i}", i % 2) for i in range(400)] + [("hot", 1)] * 400
+    df = spark.createDataFrame(rows, "post_id string, label int")
+    got = split_stratified_exact(df, bucket_hex=1, max_edge_rows=5).collect()
+    assert len(got) == 800
+    assert len({r.split for r in got if r.post_id == "hot"}) == 1
