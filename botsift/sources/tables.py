@@ -64,9 +64,13 @@ def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def second_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L: labelled documents; label = 1 - quality (low quality counts as machine-written)."""
+    from botsift.operators.joins import join_small
+
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id").select(
+    # labels grow with the corpus: broadcast only under the checked row bound (the count comes
+    # from parquet footers), so the document texts are not shuffled; beyond it a shuffle join
+    return join_small(docs, labels, "doc_id", "inner").select(
         F.col("doc_id").cast("string").alias("post_id"),
         F.col("text"),
         (F.lit(1) - F.col("quality")).cast("int").alias("label"),
