@@ -1,8 +1,12 @@
-"""Term arrays for the text scorers, as higher-order built-in functions (no Python).
+"""Term arrays for the text scorers, as built-in functions (no Python).
 
 word    = non-empty pieces between whitespace
 bigram  = adjacent words joined by one blank
 trigram = every 3-character substring that is not all whitespace
+
+The scoring path uses one codegen'd split / regex pass per kind (``words``, ``bigrams``,
+``trigrams``); ``bigrams_of`` and ``trigrams_of_chars`` are the same definitions written with
+array lambdas, kept as executable specifications for the tests.
 """
 
 from __future__ import annotations
@@ -35,8 +39,17 @@ def bigrams_of(w: Column) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
+# Overlapping pairs in one regex pass over the text with whitespace runs collapsed to one blank and
+# the ends trimmed: at every word start (not preceded by a non-blank, and not the second half of a
+# surrogate pair, where a zero-width match can land), capture "word blank word".
+_BIGRAM_RE = "(?<![^ ])(?![\\x{DC00}-\\x{DFFF}])(?=([^ ]+ [^ ]+))"
+
+
 def bigrams(c) -> Column:
-    return bigrams_of(words(c))
+    """Adjacent words joined by one blank, as generated code (no lambda): equal to
+    ``bigrams_of(words(c))``."""
+    norm = F.regexp_replace(F.regexp_replace(_c(c), SPLIT_WS_RE, " "), "^ | $", "")
+    return F.regexp_extract_all(norm, F.lit(_BIGRAM_RE), 1)
 
 
 def trigrams_of_chars(chars: Column) -> Column:
@@ -49,10 +62,10 @@ def trigrams_of_chars(chars: Column) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-# One regex pass over a text without supplementary characters: at every position, capture the next
-# three characters unless all three are whitespace (zero-width matches advance one char at a time).
-_TRIGRAM_RE = f"(?s)(?=((?![{WS}]{{3}}).{{3}}))"
-_SUPPLEMENTARY_RE = r"[\x{10000}-\x{10FFFF}]"
+# One regex pass: at every position, capture the next three code points unless all three are
+# whitespace. A zero-width match advances one UTF-16 unit, so it can land between the halves of a
+# surrogate pair; a start on a low surrogate is refused, which makes the pass exact for any text.
+_TRIGRAM_RE = f"(?s)(?=((?![{WS}]{{3}})(?![\\x{{DC00}}-\\x{{DFFF}}]).{{3}}))"
 
 
 def chars(c) -> Column:
@@ -61,11 +74,9 @@ def chars(c) -> Column:
 
 
 def trigrams(c) -> Column:
-    """Codegen'd single regex pass when every character is in the BMP (one UTF-16 unit = one code
-    point, always true after strong cleaning); the exact code-point path otherwise."""
-    t = _c(c)
-    fast = F.regexp_extract_all(t, F.lit(_TRIGRAM_RE), 1)
-    return F.when(t.rlike(_SUPPLEMENTARY_RE), trigrams_of_chars(chars(t))).otherwise(fast)
+    """3-code-point windows that are not all whitespace, in generated code (no lambda); equal to
+    ``trigrams_of_chars(chars(c))``."""
+    return F.regexp_extract_all(_c(c), F.lit(_TRIGRAM_RE), 1)
 
 
 def terms(c, kind: str) -> Column:
@@ -79,22 +90,14 @@ def terms(c, kind: str) -> Column:
 
 
 def with_terms(df: DataFrame, text_col: str, kinds, prefix: str = "_terms_") -> DataFrame:
-    """Adds one array column per term kind (``{prefix}{kind}``), computed in two projections so
-    that the word and code-point arrays are built once per row and shared by the n-grams
-    (Catalyst does not re-inline a non-trivial expression that is used more than once)."""
+    """Adds one array column per term kind (``{prefix}{kind}``). Each kind is one pass of a
+    codegen'd string function over the text (split / regex), so the whole projection stays in
+    whole-stage codegen; no array is re-indexed from inside a lambda."""
     kinds = list(dict.fromkeys(kinds))
-    base = []
-    if {"word", "bigram"} & set(kinds):
-        base.append(words(text_col).alias("_w"))
-    staged = df.select("*", *base)
     out = []
     for k in kinds:
-        if k == "word":
-            out.append(F.col("_w").alias(prefix + k))
-        elif k == "bigram":
-            out.append(bigrams_of(F.col("_w")).alias(prefix + k))
-        elif k == "trigram":
-            out.append(trigrams(text_col).alias(prefix + k))
+        if k in TERM_KINDS:
+            out.append(terms(text_col, k).alias(prefix + k))
         else:
             raise ValueError(f"unknown term kind {k!r}; use one of {TERM_KINDS}")
-    return staged.select("*", *out).drop(*[c for c in ("_w",) if c in staged.columns])
+    return df.select("*", *out)

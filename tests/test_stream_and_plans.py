@@ -80,3 +80,16 @@ def test_term_arrays_are_not_copied_into_filters(spark):
     assert not any("zip_with" in l or "split(" in l for l in filters), filters
     counts = train.select(F.explode_outer(F.split("text", " ")).alias("token"))
     assert "size(" not in _plan(counts)
+
+
+def test_term_pass_has_no_interpreted_lambda(spark):
+    """Words, bigrams, trigrams and the model tagging are generated code: no array lambda in the
+    scoring or fitting plans (a lambda would take the whole projection out of whole-stage codegen)."""
+    from botsift.operators.textmodels import score_models, term_counts
+
+    sp = catalog.split_posts(spark, SF_SMALL)
+    specs = [("nb_word", "word"), ("nb_bigram", "bigram"), ("nb_trigram", "trigram")]
+    counts = term_counts(sp.filter(F.col("split") == "train"), specs)
+    assert "lambdafunction" not in _plan(counts)
+    models = fit_all_models(sp.filter(F.col("split") == "train"))
+    assert "lambdafunction" not in _plan(score_models(sp.filter(F.col("split") == "test"), models))
