@@ -41,7 +41,7 @@ def encode_ids(df: DataFrame, vocab: DataFrame, max_len: int = MAX_LEN, key: str
     joined = join_small(toks, vocab.select("token", "id"), "token", "left", small_rows=vocab_rows)
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
     grouped = joined.groupBy("_rid", key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_ids"))
-    ids = F.concat(F.array(F.lit(START_ID)), F.transform("_ids", lambda s: s["id"]), F.array(F.lit(END_ID)))
+    ids = F.concat(F.array(F.lit(START_ID)), F.col("_ids")["id"], F.array(F.lit(END_ID)))
     return grouped.select(key, *carry, ids.cast("array<int>").alias("input_ids"))
 
 

@@ -7,6 +7,8 @@ comes from one ``inline`` afterwards, so the posts are scanned once for all mode
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ def ensemble_mean(wide: DataFrame, names: list[str], out: str = ENSEMBLE) -> Dat
     """Unweighted mean of the available models' probabilities (a confident minority can win)."""
     if not names:
         raise ValueError("ensemble of zero models: no model was available")
-    probs = F.array(*[F.col(prob_col(n)) for n in names])
-    mean = F.aggregate(probs, F.lit(0.0), lambda acc, x: acc + x) / F.lit(float(len(names)))
+    total = reduce(lambda a, b: a + b, [F.col(prob_col(n)) for n in names])   # left to right, as a fold
+    mean = total / F.lit(float(len(names)))
     return wide.withColumn(prob_col(out), mean)
 
 
