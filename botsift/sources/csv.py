@@ -7,9 +7,11 @@ extra columns that let us reproduce the bad-line rule of the original reader:
 * a line with too few fields is kept and padded with nulls.
 
 Spark flags both shapes as corrupt. With one surplus column ``_overflow`` declared, a line of
-exactly N fields is "corrupt" (one short) and a line of N+1 fields is not, so:
-skip iff ``_overflow IS NOT NULL OR _corrupt_record IS NULL``. Known gap: two or more surplus
-fields whose first one is empty are kept.
+exactly N fields is "corrupt" (one short) and a line of N+1 fields is not, so a line is too long
+iff ``_overflow IS NOT NULL OR _corrupt_record IS NULL`` -- or, when the first surplus field is
+empty (``_overflow`` null), iff the raw record kept in ``_corrupt_record`` has more than N fields.
+That count is two regex passes: doubled quotes, then quoted fields are removed, and the
+separators left are counted.
 
 ``multiLine`` (needed for quoted line breaks) makes each file one task; for large inputs convert
 once to parquet with :func:`csv_to_parquet` and read that.
@@ -17,6 +19,8 @@ once to parquet with :func:`csv_to_parquet` and read that.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +45,19 @@ def _reader(spark: SparkSession, sep: str, multi_line: bool):
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
+def raw_field_count(record, sep: str):
+    """Fields of one raw CSV record: separators outside quoted fields, plus one.
+
+    Doubled quotes are removed first (that keeps the parity of the quotes before every character,
+    so no separator changes sides); a quoted field is then a quote at a field start, non-quotes and
+    a quote -- a plain character-class loop, which Java's regex runs without recursion whatever the
+    length of the text (an alternation inside a repeated group would recurse per character)."""
+    esc = re.escape(sep)
+    no_pairs = F.regexp_replace(record, '""', "")
+    unquoted = F.regexp_replace(no_pairs, f'(?:^|(?<={esc}))"[^"]*"', "")
+    return F.size(F.split(unquoted, esc, -1))
+
+
 def header_columns(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> list[str]:
     """Column names from the header line (reads the first record only, no inference)."""
     return _reader(spark, sep, multi_line).csv(path).columns
@@ -61,7 +78,8 @@ def read_posts_csv(spark: SparkSession, path: str, sep: str = ",", on_bad: str =
                              T.StructField(CORRUPT, T.StringType(), True)])
     raw = (_reader(spark, sep, multi_line).schema(schema).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(path))
-    too_long = F.col(OVERFLOW).isNotNull() | F.col(CORRUPT).isNull()
+    too_long = (F.col(OVERFLOW).isNotNull() | F.col(CORRUPT).isNull()
+                | (raw_field_count(F.col(CORRUPT), sep) > F.lit(len(cols))))
     if on_bad == "skip":
         raw = raw.filter(~too_long)
     elif on_bad == "fail":
