@@ -23,6 +23,9 @@ from botsift.session import materialize
 # AdamW defaults (published formulas): betas, eps, weight decay.
 BETA1, BETA2, EPS, WEIGHT_DECAY = 0.9, 0.999, 1e-8, 0.01
 
+# Consecutive training batches per staged file.
+BATCHES_PER_FILE = 8
+
 
 def bce_loss(p, y) -> Column:
     return bce(p, y)
@@ -131,7 +134,10 @@ def fit_head(df: DataFrame, w0: HeadWeights, epochs: int = 1, batch_rows: int =
                              key=key, seed=seed)
     path = staging_path or scratch_path(spark, "head-batches")
     n_batches = batched.agg(F.max("batch")).first()[0] + 1
-    (batched.repartitionByRange(max(1, min(n_batches, 200)), "batch").sortWithinPartitions("batch")
+    # files hold consecutive batches and their number grows with the data (a fixed count would make
+    # each writer task, and each file, grow with the table); each step's filter skips other files
+    n_files = max(1, -(-n_batches // BATCHES_PER_FILE))
+    (batched.repartitionByRange(n_files, "batch").sortWithinPartitions("batch")
      .write.mode("overwrite").parquet(path))
     data = spark.read.parquet(path)
     theta = w0.flat()
