@@ -84,13 +84,15 @@ def _refine_edges(keyed: DataFrame, edges, label_col: str, max_edge_rows: int):
         shrunk = False
         out = [e for e in edges if e not in big]
         for c, prefix, k, n in big:
-            before = 0
+            before, found = 0, None
             for sb, m in sorted(by_class.get(c, [])):
                 if before < k <= before + m:
-                    out.append((c, sb, k - before, m))
-                    shrunk = shrunk or m < n
+                    found = (c, sb, k - before, m)
                     break
                 before += m
+            # the sub-histogram re-reads the input; if it disagrees, keep the coarser bucket
+            out.append(found or (c, prefix, k, n))
+            shrunk = shrunk or (found is not None and found[3] < n)
         edges = out
         if not shrunk:
             return edges
