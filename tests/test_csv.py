@@ -95,3 +95,9 @@ def test_long_quoted_text_counts_without_deep_regex_recursion(spark):
     content = f"a,text,label\n1,{quoted},bot\n2,{quoted},bot,,\n"
     rows = {r.a: r for r in read_posts_csv(spark, _file(content), sep=",").collect()}
     assert set(rows) == {"1"} and rows["1"].text == long_text
+
+
+def test_regex_special_separator(spark):
+    content = 'a|text|label\n1|"x|y"|bot\n2|t|bot||\n3|u|human\n'
+    rows = {r.a: r for r in read_posts_csv(spark, _file(content), sep="|").collect()}
+    assert set(rows) == {"1", "3"} and rows["1"].text == "x|y"

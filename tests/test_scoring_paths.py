@@ -52,3 +52,15 @@ def test_duplicate_keys_are_scored_per_row(spark):
     by_id = {r.post_id: r.p_nb_word for r in out if r.post_id != "dup"}
     assert len(dups) == 2
     assert sorted(d[1] for d in dups) == sorted([by_id[rows[0][0]], by_id[rows[1][0]]])
+
+
+def test_checked_broadcast_falls_back_to_a_shuffle_join(spark):
+    from botsift.operators.joins import join_small
+
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    small = spark.range(0, 1000, 3).withColumnRenamed("id", "k")
+    a = join_small(big, small, "k", small_rows=334)
+    b = join_small(big, small, "k", small_rows=334, max_rows=10)
+    plan_a = a._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan_a
+    assert sorted(r.k for r in a.collect()) == sorted(r.k for r in b.collect()) == list(range(0, 1000, 3))
