@@ -21,7 +21,7 @@ from botsift.operators.registry import DEFAULT_REGISTRY, MISSING_MODEL, availabl
     fit_all_models, registry_frame, save_models, stored_models
 from botsift.operators.split import split_counts, split_stratified_exact, split_stratified_hash
 from botsift.operators.textmodels import prob_col, score_models
-from botsift.plans.workflow import Evaluation, fit_and_score, labelled_posts, predictions_long, prepare_posts
+from botsift.plans.workflow import Evaluation, fit_and_score, labelled_posts, predictions_long
 from botsift.session import scratch_path
 from botsift.sources import tables
 from botsift.sources.columns import normalize_columns, q, schema_peek, select_detected, select_text_label
