@@ -31,14 +31,15 @@ def build_vocab(train: DataFrame, size: int = VOCAB_SIZE, text_col: str = "text"
 
 
 def encode_ids(df: DataFrame, vocab: DataFrame, max_len: int = MAX_LEN, key: str = "post_id",
-               text_col: str = "text", vocab_rows: int | None = None, carry=()) -> DataFrame:
+               text_col: str = "text", carry=()) -> DataFrame:
     """(key, input_ids): [start] + ids of the first max_len-2 tokens (unknown id if not in the
     vocabulary) + [end]. Unpadded; see :func:`pad_and_mask`."""
     carry = [c for c in carry if c in df.columns]
     rid = F.monotonically_increasing_id().alias("_rid")       # regroup per row, not per key
     toks = (df.select(rid, key, *carry, F.slice(words(text_col), 1, max_len - 2).alias("_w"))
             .select("_rid", key, *carry, F.posexplode_outer("_w").alias("pos", "token")))
-    joined = join_small(toks, vocab.select("token", "id"), "token", "left", small_rows=vocab_rows)
+    # the vocabulary has at most ``size`` rows, but tokens have no length limit: rows and bytes checked
+    joined = join_small(toks, vocab.select("token", "id"), "token", "left", str_cols=("token",))
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
     grouped = joined.groupBy("_rid", key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_ids"))
     ids = F.concat(F.array(F.lit(START_ID)), F.col("_ids")["id"], F.array(F.lit(END_ID)))

@@ -1,42 +1,75 @@
-"""Joins against a side whose size is known: broadcast only below a checked bound."""
+"""Joins against a side whose size is known: broadcast only below a checked bound.
+
+The bound is on rows AND on bytes: term and token strings have no length limit (a junk document
+can hold one 100k-character "word"), so a row count alone does not bound the size of what every
+executor receives. The byte figure is the summed string length plus a per-row overhead for the
+hashed relation.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a model / vocabulary table that may be shipped to every executor (~64 bytes a row).
+# Rows of a model / vocabulary table that may be shipped to every executor.
 MAX_BROADCAST_ROWS = 1_000_000
+# Bytes of such a table (string bytes + per-row overhead) that may be shipped to every executor.
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+ROW_OVERHEAD_BYTES = 64
+
+
+def size_of(df: DataFrame, str_cols) -> tuple[int, int]:
+    """(rows, estimated bytes) of ``df`` in one aggregate."""
+    lens = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in str_cols]
+    total = sum(lens[1:], lens[0]) if lens else F.lit(0)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("b")).first()
+    return int(r["n"]), int(r["b"] or 0) + int(r["n"]) * ROW_OVERHEAD_BYTES
+
+
+def fits(rows: int, nbytes: int | None, max_rows: int = MAX_BROADCAST_ROWS,
+         max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    return rows <= max_rows and (nbytes is None or nbytes <= max_bytes)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", small_rows: int | None = None,
-               max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` when its row count (known, or counted here) is within ``max_rows``;
-    otherwise a shuffle join, left to AQE (which also splits skewed keys such as stop words)."""
-    if small_rows is None:
+               max_rows: int = MAX_BROADCAST_ROWS, str_cols=(), max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``small`` when its rows (known, or counted here) and, for string columns
+    ``str_cols``, its bytes are within the bounds; otherwise a shuffle join, left to AQE (which
+    also splits skewed keys such as stop words)."""
+    nbytes = None
+    if str_cols:
+        small_rows, nbytes = size_of(small, str_cols)
+    elif small_rows is None:
         small_rows = small.count()
-    if small_rows <= max_rows:
+    if fits(small_rows, nbytes, max_rows, max_bytes):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 
 
 def join_weights(big: DataFrame, table: DataFrame, on, total_rows: int, max_rows: int = MAX_BROADCAST_ROWS,
-                 freq_col: str = "n", weight_col: str = "weight") -> DataFrame:
+                 freq_col: str = "n", weight_col: str = "weight", total_bytes: int | None = None,
+                 str_col: str = "term", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Left join of term occurrences to a term table (``on`` keys, ``weight_col``, ``freq_col``).
 
-    Within the bound: one broadcast join. Beyond it (an unbounded vocabulary, e.g. bigrams of a
-    very large corpus): the most frequent terms -- which carry most occurrences and every hot key
-    such as stop words -- are broadcast; only occurrences of the remaining tail terms are shuffled
-    to a sort-merge join with the tail. The split point is an approximate quantile of term
-    frequency and the broadcast side is counted before it is shipped; if it is still too large
-    the whole join is a shuffle join (AQE splits skewed partitions)."""
+    Within the bounds (rows, and bytes of the term strings -- measured here when the fit did not
+    record them): one broadcast join. Beyond them (an unbounded vocabulary, e.g. bigrams of a very
+    large corpus): the most frequent terms -- which carry most occurrences and every hot key such
+    as stop words -- are broadcast; only occurrences of the remaining tail terms are shuffled to a
+    sort-merge join with the tail. The split point is an approximate quantile of term frequency
+    and the broadcast side is measured (rows and bytes) before it is shipped; if it is still too
+    large the whole join is a shuffle join (AQE splits skewed partitions)."""
     tbl = table.select(*on, weight_col, freq_col)
-    if total_rows <= max_rows:
+    if total_rows <= max_rows and total_bytes is None:
+        total_rows, total_bytes = size_of(tbl, [str_col])
+    if fits(total_rows, total_bytes, max_rows, max_bytes):
         return big.join(F.broadcast(tbl.drop(freq_col)), on, "left")
-    share = max(0.0, 1.0 - 0.9 * max_rows / float(total_rows))
+    over = max(total_rows / max_rows, (total_bytes or 0) / max_bytes, 1.0)
+    share = max(0.0, 1.0 - 0.9 / over)
     cut = tbl.agg(F.percentile_approx(freq_col, share, 10000).alias("c")).first()["c"]
+    if cut is None:
+        return big.join(tbl.drop(freq_col), on, "left")
     hot = tbl.filter(F.col(freq_col) > F.lit(cut)).drop(freq_col)
-    if cut is None or hot.count() > max_rows:
+    if not fits(*size_of(hot, [str_col]), max_rows, max_bytes):
         return big.join(tbl.drop(freq_col), on, "left")
     tail = tbl.filter(F.col(freq_col) <= F.lit(cut)).drop(freq_col)
     first = big.join(F.broadcast(hot.withColumnRenamed(weight_col, "_w_hot")), on, "left")

@@ -93,9 +93,9 @@ def load_models(spark: SparkSession, path: str, names=None) -> list[TextModel]:
         prof = Profile(clean=r["clean"], max_len=r["max_len"])
         if r["kind"] == "nb":
             w = spark.read.parquet(f"{path}/terms").filter(F.col("model") == r["model"]).select("term", "weight", "n")
-            out.append(TextModel(r["model"], "nb", r["terms"], r["bias"], w, int(r["n_terms"]), prof))
+            out.append(TextModel(r["model"], "nb", r["terms"], r["bias"], w, int(r["n_terms"]), profile=prof))
         else:
-            out.append(TextModel(r["model"], r["kind"], r["terms"], r["bias"], None, int(r["n_terms"]), prof))
+            out.append(TextModel(r["model"], r["kind"], r["terms"], r["bias"], None, int(r["n_terms"]), profile=prof))
     order = {n: i for i, n in enumerate(names)} if names is not None else {}
     return sorted(out, key=lambda m: order.get(m.name, 0))
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from botsift.config import DEFAULT_PROFILE, Profile
 from botsift.functions.numeric import safe_sigmoid
 from botsift.functions.terms import with_terms
-from botsift.operators.joins import MAX_BROADCAST_ROWS, join_weights
+from botsift.operators.joins import MAX_BROADCAST_ROWS, ROW_OVERHEAD_BYTES, join_weights
 from botsift.session import materialize
 
 # Fixed values of the style scorer.
@@ -44,6 +44,7 @@ class TextModel:
     bias: float = 0.0
     weights: DataFrame | None = field(default=None, repr=False)   # (term, weight, n = occurrences)
     n_terms: int = 0
+    term_bytes: int | None = None   # summed UTF-8 length of the terms (None: not recorded)
     profile: Profile = DEFAULT_PROFILE
     source: DataFrame | None = field(default=None, repr=False)   # shared (model, term, c1, c0) table
     totals: tuple | None = None                                    # (T1, T0, V) of this model
@@ -105,7 +106,8 @@ def fit_naive_bayes_many(train: DataFrame, specs, text_col: str = "text", label_
         return []
     counts = materialize(term_counts(train, specs, text_col, label_col), "nb-counts")
     tots = {r["model"]: r for r in counts.groupBy("model").agg(
-        F.sum("c1").alias("t1"), F.sum("c0").alias("t0"), F.count(F.lit(1)).alias("v")).collect()}
+        F.sum("c1").alias("t1"), F.sum("c0").alias("t0"), F.count(F.lit(1)).alias("v"),
+        F.sum(F.octet_length("term")).alias("b")).collect()}
     posts = tots.get(_POSTS)
     n1, n0 = (int(posts["t1"]), int(posts["t0"])) if posts else (0, 0)
     if n1 == 0 or n0 == 0:
@@ -118,7 +120,8 @@ def fit_naive_bayes_many(train: DataFrame, specs, text_col: str = "text", label_
         weights = table.filter(F.col("model") == name).select(
             "term", _weight(t1, t0, v).alias("weight"), (F.col("c1") + F.col("c0")).alias("n"))
         out.append(TextModel(name=name, kind="nb", terms=kind, bias=math.log(n1 / n0), weights=weights,
-                             n_terms=v, profile=profile, source=table, totals=(t1, t0, v)))
+                             n_terms=v, term_bytes=int(r["b"] or 0) if r else 0, profile=profile,
+                             source=table, totals=(t1, t0, v)))
     return out
 
 
@@ -165,8 +168,11 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         idx = reduce(lambda acc, i: acc.when(F.col("model") == nb[i].name, F.lit(i)), range(1, len(nb)),
                      F.when(F.col("model") == nb[0].name, F.lit(0)))
         table = weight_table(nb).select(idx.alias("m"), "term", "weight", "n")
+        known = all(m.term_bytes is not None for m in nb)
+        total_bytes = (sum(m.term_bytes for m in nb) + ROW_OVERHEAD_BYTES * sum(m.n_terms for m in nb)
+                       if known else None)
         joined = join_weights(ex, table, ["m", "term"], total_rows=sum(m.n_terms for m in nb),
-                              max_rows=max_broadcast_rows)
+                              max_rows=max_broadcast_rows, total_bytes=total_bytes)
         sums = [F.sum(F.when(F.col("m") == i, F.col("weight"))).alias(f"_s_{m.name}") for i, m in enumerate(nb)]
         base = joined.groupBy("_rid", key, *carry, "_len").agg(*sums)
     else:

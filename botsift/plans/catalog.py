@@ -431,29 +431,29 @@ def q_build_vocab(spark, sf):
 
 @query("encode_ids")
 def q_encode_ids(spark, sf):
-    from botsift.operators.encode import VOCAB_SIZE, encode_ids
+    from botsift.operators.encode import encode_ids
 
     sp, vocab = _vocab_and_split(spark, sf)
-    return encode_ids(sp, vocab, 128, vocab_rows=VOCAB_SIZE)
+    return encode_ids(sp, vocab, 128)
 
 
 @query("truncate_ids")
 def q_truncate_ids(spark, sf):
     """Evaluation encoding of the second data set: light cleaning, 256 ids."""
-    from botsift.operators.encode import VOCAB_SIZE, encode_ids
+    from botsift.operators.encode import encode_ids
 
     prof = DEFAULT_PROFILE.with_(clean="light", max_len=MAX_LEN_LONG)
     sp, vocab = _vocab_and_split(spark, sf, prof)
-    enc = encode_ids(sp, vocab, prof.max_len, vocab_rows=VOCAB_SIZE)
+    enc = encode_ids(sp, vocab, prof.max_len)
     return enc.select("post_id", "input_ids", F.size("input_ids").alias("n_ids"))
 
 
 @query("pad_and_mask")
 def q_pad_and_mask(spark, sf):
-    from botsift.operators.encode import VOCAB_SIZE, encode_ids, pad_and_mask
+    from botsift.operators.encode import encode_ids, pad_and_mask
 
     sp, vocab = _vocab_and_split(spark, sf)
-    enc = encode_ids(sp, vocab, 128, vocab_rows=VOCAB_SIZE)
+    enc = encode_ids(sp, vocab, 128)
     return enc.select("post_id", *pad_and_mask("input_ids", 128))
 
 

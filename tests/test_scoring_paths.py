@@ -64,3 +64,24 @@ def test_checked_broadcast_falls_back_to_a_shuffle_join(spark):
     plan_a = a._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan_a
     assert sorted(r.k for r in a.collect()) == sorted(r.k for r in b.collect()) == list(range(0, 1000, 3))
+
+
+def test_broadcast_bound_counts_bytes_not_only_rows(spark):
+    """Few rows with very long strings are not broadcast."""
+    from botsift.operators.joins import join_small, join_weights, size_of
+
+    small = spark.createDataFrame([(i, "x" * 5000) for i in range(10)], "k long, s string")
+    rows, nbytes = size_of(small, ["s"])
+    assert rows == 10 and nbytes >= 50000
+    big = spark.range(100).withColumnRenamed("id", "k")
+    kept = join_small(big, small, "k", str_cols=("s",), max_bytes=10_000)
+    # no broadcast hint on the long-string side (the planner may still broadcast the tiny other side)
+    assert "BuildRight" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 10
+    table = small.select("k", F.col("s").alias("term"), F.lit(1.0).alias("weight"), F.col("k").alias("n"))
+    occ = big.select("k", F.lit("x" * 5000).alias("term"))
+    a = join_weights(occ, table, ["k", "term"], total_rows=10, total_bytes=nbytes)
+    b = join_weights(occ, table, ["k", "term"], total_rows=10, total_bytes=nbytes, max_bytes=10_000)
+    assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
+    got = lambda df: sorted((r.k, r.weight) for r in df.collect())
+    assert got(a) == got(b)
