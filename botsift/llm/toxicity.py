@@ -49,7 +49,10 @@ MARKS = ("plain", "aimed", "negated", "reported")
 GRAMMAR = {"plain": 1.0, "aimed": 1.3, "negated": 0.25, "reported": 0.4}
 BASE, UNIT = -4.0, 1.5
 #: a stem needs so many toxic rows, and so small a share of the others
-LEAST_ROWS, MOST_OTHER, COVER, STEMS = 4, 0.02, 3, 5_000
+LEAST_ROWS, MOST_OTHER, COVER, STEMS = 4, 0.06, 6, 5_000
+#: rows that a stem has to explain for each other row it stands in
+PRICE = 4
+BEGINNINGS = range(4, 10)
 _CLAUSE = re.compile(r"[.,;:!?()\[\]|\n\r\"«»“”]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
@@ -112,7 +115,7 @@ def grammar() -> dict:
 
 def stems_of(word: str) -> list[str]:
     """The word itself and its beginnings, which are written with a star."""
-    return [word] + [f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k]
+    return [word] + [f"{word[:k]}*" for k in BEGINNINGS if len(word) > k]
 
 
 def seed_lexicon() -> dict[str, tuple[str, float]]:
@@ -164,7 +167,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[str, float]]:
     covered = np.zeros(len(rows), np.int64)
     at = {s: np.array(v) for s, v in by_stem.items()}
     while at:
-        gain = {s: int((covered[v] < COVER).sum()) for s, v in at.items()}
+        gain = {s: int((covered[v] < COVER).sum()) - PRICE * kept[names[s]][1] for s, v in at.items()}
         at = {s: v for s, v in at.items() if gain[s] >= max(LEAST_ROWS, toxic // 250)}
         if not at:
             break
@@ -196,7 +199,7 @@ class Reader:
 
     def symbol(self, word: str) -> tuple[str, float]:
         best = self.words.get(word, ("", 0.0))
-        for k in (4, 5, 6):
+        for k in BEGINNINGS:
             found = self.starts.get(word[:k]) if len(word) > k else None
             if found and found[1] > best[1]:
                 best = found
@@ -291,3 +294,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None =
     out = score(docs, lexicon, weights)
     return out.select("doc_id", (remainder("doc_id", MODULUS) == 0).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_kinds")
+
+
+def clean_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` (columns doc_id, text and any others) whose score is under one half."""
+    lexicon, weights = fit(docs, labels, bound)
+    w = weights.tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, v = Reader(lexicon), np.array(w)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([float(reader.features(t.as_py() or "") @ v) < 0 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
