@@ -8,7 +8,7 @@ are written once; their numbers stay valid for all later jobs, also when a task
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ def rising(values: np.ndarray) -> np.ndarray:
 
 def texts_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a block's texts, counted from its first."""
-    raw, offsets = buffer_of(batch.column(batch.schema.get_field_index("text")))
+    raw, offsets = buffer_of(batch.column(1))
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
@@ -59,9 +59,10 @@ def rows(kind: str, block: list[int], shard: list[int], payload: list[bytes]) ->
 
 
 def write_blocks(docs: DataFrame, ask: Callable[[int, pa.RecordBatch], Iterator[pa.RecordBatch]], name: str,
-                 block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
+                 carry: Sequence[str] = ()) -> DataFrame:
     """Write the texts in blocks, with what ``ask`` (block number, rows) yields for each of them, and
-    read all of it back. Texts are rows of kind ``text``."""
+    read all of it back. Texts are rows of kind ``text``: id, text and the columns ``carry``, in this order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,7 +73,7 @@ def write_blocks(docs: DataFrame, ask: Callable[[int, pa.RecordBatch], Iterator[
             nonlocal number, held, size
             table = pa.Table.from_batches(held).combine_chunks()
             block = table.to_batches()[0]
-            yield rows("text", [number], [0], [pack(doc_id=block.column(0), text=block.column(1))])
+            yield rows("text", [number], [0], [pack(**{str(i): c for i, c in enumerate(block.columns)})])
             yield from ask(number, block)
             number, held, size = number + 1, [], 0
 
@@ -97,7 +98,8 @@ def write_blocks(docs: DataFrame, ask: Callable[[int, pa.RecordBatch], Iterator[
 
     spark = docs.sparkSession
     path = scratch_path(spark, name)
-    id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").partitionBy("kind").parquet(path)
+    texts = id_and_text(docs, id_col, text_col, carry)
+    texts.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").partitionBy("kind").parquet(path)
     return spark.read.schema("block long, shard int, payload binary, kind string").parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +18,13 @@ def remainder(col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % F.lit(modulus)
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text (null: empty) under fixed names, whatever else the table holds."""
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Only the id and the text (null: empty) under fixed names, whatever else the table holds; the columns
+    ``carry`` behind them, as carried_0, carried_1, ..."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)],
     )
 
 

@@ -97,7 +97,7 @@ def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
 
 def word_lists(block: pa.RecordBatch) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Distinct words of a block's texts with the number of each place, and the words per text."""
-    cut = pc.ascii_split_whitespace(pc.ascii_lower(block.column(block.schema.get_field_index("text"))))
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(block.column(1)))
     flat = cut.flatten()
     full = pc.not_equal(pc.binary_length(flat), 0)
     owner = pc.list_parent_indices(cut).to_numpy(zero_copy_only=False)[full.to_numpy(zero_copy_only=False)]

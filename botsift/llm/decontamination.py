@@ -155,6 +155,17 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (columns doc_id, text and any others) without a window of an item."""
+    keys = ["__none", "__id", "__hash"]
+    hit = contamination(docs, benchmark).where("n_hit > 0").select(
+        F.col("doc_id").isNull().alias(keys[0]), F.coalesce("doc_id", F.lit(0)).alias(keys[1]), F.col("th").alias(keys[2])).distinct()
+    rows = docs.select(
+        "*", F.col("doc_id").isNull().alias(keys[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(keys[1]),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias(keys[2]))
+    return rows.join(hit, keys, "left_anti").drop(*keys)
+
+
 def oracle(window: int = WINDOW_WORDS) -> str:
     """DuckDB SQL of the same rows, by comparing every place of every text with every window."""
     words = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from botsift.llm.common import id_and_text, steps
 from botsift.llm.components import connected_components
@@ -61,16 +62,18 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint of every whole text, as a signed long."""
+    """(doc_id, text_hash, fp): the 64-bit fingerprint of every whole text, as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 fps = [fingerprint(t, words) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _cut(bits: list[int], pieces: int) -> list[list[int]]:
@@ -165,8 +168,8 @@ def link(distinct: DataFrame, distance: int = MAX_DISTANCE, key_limit: int = KEY
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row: fingerprints within ``distance`` bits are linked,
-    component_id is the smallest id that can be reached."""
+    """(doc_id, text_hash, fp, component, component_id) for every row: fingerprints within ``distance`` bits are
+    linked; component is the smallest fingerprint and component_id the smallest id that can be reached."""
     rows = fingerprints(docs, words, id_col, text_col)
     rows = materialize(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "fingerprints")
     shares = materialize(rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("least")), "fingerprint-shares")
@@ -177,6 +180,21 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int =
     heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     heads = heads.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    named = materialize(placed.join(heads, ["component", "part"]).select("fp", "component_id"), "fingerprint-components")
+    named = materialize(placed.join(heads, ["component", "part"]).select("fp", "component", "component_id"), "fingerprint-components")
     named = shares.select("fp", "salt").join(named, "fp")
-    return rows.join(named, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    return rows.join(named, ["fp", "salt"]).select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of ``docs`` (columns doc_id, text and any others) of which one stays in each component: the smallest id
+    (null last), then the smallest hash of the text; of wholly equal rows one."""
+    found = near_duplicates(docs, words, distance)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    keys = ["__none", "__id", "__hash"]
+    first = first.select(F.col("k.none").alias(keys[0]), F.coalesce("k.doc_id", F.lit(0)).alias(keys[1]), F.col("k.text_hash").alias(keys[2]))
+    rows = docs.select(
+        "*", F.col("doc_id").isNull().alias(keys[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(keys[1]),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias(keys[2]))
+    kept = rows.join(first, keys, "left_semi")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    return kept.withColumn("__number", number).where(F.col("__number") == 1).drop(*keys, "__number")

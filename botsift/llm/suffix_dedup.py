@@ -20,12 +20,13 @@ and short texts lose nothing; repeated rows give a row each; extra columns are l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from botsift.llm.blocks import by_block, by_shard, numbers, pack, rising, rows, runs_of, shard_count, texts_of, unpack, write_blocks
 
@@ -443,53 +444,58 @@ def compared(length: int):
     return run
 
 
-def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def removed(carried: list[str]):
     """Per block: spans first, then the texts; the spans of each text united, and what is left of it."""
-    for _, part in runs_of(batches, "block"):
-        found, block = [], None
-        for row in part:
-            b = unpack(row["payload"])
-            if row["kind"] == "spans":
-                found.append([numbers(b, c) for c in ("row", "start", "stop")])
-            else:
-                block = b
-        block, _, _ = in_order(block)
-        raw, offsets = texts_of(block)
-        depth = np.zeros(len(raw) + 1, np.int32)
-        if found:
-            row, start, stop = (np.concatenate(x) for x in zip(*found))
-            np.add.at(depth, offsets[row] + start, 1)
-            np.add.at(depth, offsets[row] + stop, -1)
-        gone = np.cumsum(depth[:-1]) > 0
-        # a run ends with its text
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        edge = offsets[1:-1][offsets[1:-1] < len(raw)]
-        begins[edge] = gone[edge]
-        starts = np.flatnonzero(begins)
-        owner = np.searchsorted(offsets, starts, side="right") - 1
-        stays = np.concatenate([[0], np.cumsum(~gone)])
-        kept_at = stays[offsets]
-        ends = np.flatnonzero(np.concatenate([gone[:-1] & (~gone[1:] | begins[1:]), gone[-1:]])) + 1
-        per = np.bincount(owner, minlength=block.num_rows)
-        data = raw[~gone].tobytes()
-        for a in range(0, block.num_rows, 2000):
-            b = min(a + 2000, block.num_rows)
-            x, y = np.searchsorted(owner, [a, b])
-            pairs = np.stack([starts[x:y] - offsets[owner[x:y]], ends[x:y] - offsets[owner[x:y]]], 1)
-            cut = np.concatenate([[0], np.cumsum(per[a:b])]).astype(np.int32)
-            inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * (y - x) + 1, 2, dtype=np.int32)), pa.array(pairs.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0).slice(a, b - a), pa.array(np.diff(offsets)[a:b], pa.int64()), pa.ListArray.from_arrays(pa.array(cut), inner),
-                 pa.array([data[kept_at[i] : kept_at[i + 1]] for i in range(a, b)], pa.binary())],
-                names=["doc_id", "n_bytes", "spans", "kept"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in runs_of(batches, "block"):
+            found, block = [], None
+            for row in part:
+                b = unpack(row["payload"])
+                if row["kind"] == "spans":
+                    found.append([numbers(b, c) for c in ("row", "start", "stop")])
+                else:
+                    block = b
+            block, _, _ = in_order(block)
+            raw, offsets = texts_of(block)
+            depth = np.zeros(len(raw) + 1, np.int32)
+            if found:
+                row, start, stop = (np.concatenate(x) for x in zip(*found))
+                np.add.at(depth, offsets[row] + start, 1)
+                np.add.at(depth, offsets[row] + stop, -1)
+            gone = np.cumsum(depth[:-1]) > 0
+            # a run ends with its text
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            edge = offsets[1:-1][offsets[1:-1] < len(raw)]
+            begins[edge] = gone[edge]
+            starts = np.flatnonzero(begins)
+            owner = np.searchsorted(offsets, starts, side="right") - 1
+            stays = np.concatenate([[0], np.cumsum(~gone)])
+            kept_at = stays[offsets]
+            ends = np.flatnonzero(np.concatenate([gone[:-1] & (~gone[1:] | begins[1:]), gone[-1:]])) + 1
+            per = np.bincount(owner, minlength=block.num_rows)
+            data = raw[~gone].tobytes()
+            for a in range(0, block.num_rows, 2000):
+                b = min(a + 2000, block.num_rows)
+                x, y = np.searchsorted(owner, [a, b])
+                pairs = np.stack([starts[x:y] - offsets[owner[x:y]], ends[x:y] - offsets[owner[x:y]]], 1)
+                cut = np.concatenate([[0], np.cumsum(per[a:b])]).astype(np.int32)
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * (y - x) + 1, 2, dtype=np.int32)), pa.array(pairs.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [block.column(0).slice(a, b - a), pa.array(np.diff(offsets)[a:b], pa.int64()), pa.ListArray.from_arrays(pa.array(cut), inner),
+                     pa.array([data[kept_at[i] : kept_at[i + 1]] for i in range(a, b)], pa.binary()), *[c.slice(a, b - a) for c in block.columns[2:]]],
+                    names=["doc_id", "n_bytes", "spans", "kept", *carried])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
-                   shard_bytes: int = SHARD_BYTES, hot_contexts: int = HOT_CONTEXTS, **blocks) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): removed byte spans [start, stop] of every row, and the bytes that are left."""
+                   shard_bytes: int = SHARD_BYTES, hot_contexts: int = HOT_CONTEXTS, carry: Sequence[str] = (), **blocks) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept): removed byte spans [start, stop] of every row, and the bytes that are left;
+    the columns ``carry`` of the row behind them, as carried_0, carried_1, ..."""
     shards = shard_count(docs, text_col, shard_bytes)
-    written = write_blocks(docs, asked(shards, length, seed), "suffix-blocks", id_col=id_col, text_col=text_col, **blocks)
+    written = write_blocks(docs, asked(shards, length, seed), "suffix-blocks", id_col=id_col, text_col=text_col, carry=carry, **blocks)
     order = ["kind", "block", "shard", "payload"]
     texts = written.where(F.col("kind") == "text").select(order)
     again = by_shard(written.where(F.col("kind") == "anchors").select(order)).mapInArrow(repeated(hot_contexts), COLUMNS)
@@ -497,11 +503,35 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     # spans that need no comparison are dealt by block, so that they don't meet in one shard
     sent = sent.withColumn("shard", F.when(F.col("shard") < 0, F.lit(shards) + F.pmod(F.col("block"), F.lit(shards)).cast("int")).otherwise(F.col("shard")))
     spans = by_shard(sent).mapInArrow(compared(length), COLUMNS)
-    return by_block(spans.unionByName(texts), "kind").mapInArrow(
-        removed, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    behind = [T.StructField(f"carried_{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
+    shape = T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()), *behind])
+    return by_block(spans.unionByName(texts), "kind").mapInArrow(removed([f.name for f in behind]), shape)
 
 
 def report(found: DataFrame) -> DataFrame:
     """The columns of the registered query."""
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def shortened(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (columns doc_id, text and any others) with the repeats cut out of the text; characters that
+    a cut has split go wholly. A column n_chars gets the new length."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = remove_repeats(docs, carry=others)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("kept")
+            texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    shape = T.StructType([T.StructField("kept", T.StringType()) if f.name == "kept" else f for f in found.drop("spans").schema])
+    found = found.drop("spans").mapInArrow(whole, shape)
+    columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text": F.col("kept").alias("text")}
+    columns |= {c: F.col(f"carried_{i}").alias(c) for i, c in enumerate(others)}
+    if "n_chars" in others:
+        columns["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return found.select(*[columns[c] for c in docs.columns])
