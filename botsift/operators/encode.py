@@ -1,45 +1,48 @@
-"""Vocabulary and fixed-length id encoding.
+"""Vocabulary and id encoding.
 
-Tokens are the words of the cleaned text. The vocabulary is the top ``size`` training tokens by
-(count desc, token asc); ids start after the special ids (pad 0, unknown 1, start 2, end 3).
-Encoding truncates BEFORE exploding (at most max_len-2 tokens per post), looks ids up in the
-vocabulary (bounded by ``size``: a checked broadcast), and reassembles in position order.
+Tokens are the words of the cleaned text. The vocabulary holds every training token, numbered by
+(count desc, token asc) after the special ids (pad 0, unknown 1, start 2, end 3); a caller may ask for the
+top ``size`` only. Encoding covers the whole post unless a ``max_len`` is given; ids are looked up by a
+broadcast of the vocabulary within the checked bounds and by broadcast of its most frequent tokens plus a shuffle join beyond
+them, and put back in order of position.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botsift.config import END_ID, MAX_LEN, N_SPECIAL, PAD_ID, START_ID, UNK_ID
 from botsift.functions.terms import words
-from botsift.operators.joins import join_small
+from botsift.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, hot_and_tail, join_terms
+from botsift.operators.rank import global_rank, with_row_id
 from botsift.session import materialize
 
-VOCAB_SIZE = 1000
 
-
-def build_vocab(train: DataFrame, size: int = VOCAB_SIZE, text_col: str = "text") -> DataFrame:
-    """(token, id, n). The top-``size`` is a bounded TakeOrderedAndProject; the id window runs on
-    those ``size`` rows only. Materialised once so every encoder reuses the same ids."""
+def build_vocab(train: DataFrame, size: int | None = None, text_col: str = "text") -> DataFrame:
+    """(token, id, n) of every training token, or of the ``size`` most frequent ones. Ids are ranks over range
+    partitions (no single-partition window). Materialised once so every encoder reuses the same ids."""
     counts = (train.select(F.explode_outer(words(text_col)).alias("token")).filter(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
-    w = Window.orderBy(F.desc("n"), F.asc("token"))
-    return materialize(top.select("token", (F.row_number().over(w) + N_SPECIAL - 1).cast("int").alias("id"),
-                      F.col("n").cast("bigint").alias("n")), "vocab")
+    if size is not None:
+        counts = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
+    ranked = global_rank(counts, [F.desc("n"), F.asc("token")], "rank")
+    return materialize(ranked.select("token", (F.col("rank") + N_SPECIAL - 1).cast("int").alias("id"),
+                                     F.col("n").cast("bigint").alias("n")), "vocab")
 
 
-def encode_ids(df: DataFrame, vocab: DataFrame, max_len: int = MAX_LEN, key: str = "post_id",
-               text_col: str = "text", carry=()) -> DataFrame:
-    """(key, input_ids): [start] + ids of the first max_len-2 tokens (unknown id if not in the
-    vocabulary) + [end]. Unpadded; see :func:`pad_and_mask`."""
+def encode_ids(df: DataFrame, vocab: DataFrame, max_len: int | None = None, key: str = "post_id",
+               text_col: str = "text", carry=(), max_rows: int = MAX_BROADCAST_ROWS,
+               max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """(key, input_ids): [start] + ids of the tokens (unknown id if not in the vocabulary) + [end];
+    of all tokens, or of the first max_len-2. Unpadded; see :func:`pad_and_mask`."""
     carry = [c for c in carry if c in df.columns]
-    rid = F.monotonically_increasing_id().alias("_rid")       # regroup per row, not per key
-    toks = (df.select(rid, key, *carry, F.slice(words(text_col), 1, max_len - 2).alias("_w"))
+    tokens = words(text_col) if max_len is None else F.slice(words(text_col), 1, max_len - 2)
+    rows = with_row_id(df.select(key, *carry, text_col))      # regroup per row, not per key
+    toks = (rows.select("_rid", key, *carry, tokens.alias("_w"))
             .select("_rid", key, *carry, F.posexplode_outer("_w").alias("pos", "token")))
-    # the vocabulary has at most ``size`` rows, but tokens have no length limit: rows and bytes checked
-    joined = join_small(toks, vocab.select("token", "id"), "token", "left", str_cols=("token",))
+    hot, tail = hot_and_tail(vocab, "token", "n", max_rows, max_bytes)
+    joined = join_terms(toks, hot, tail, ["token"], "id", ["_rid", "pos"])
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
     grouped = joined.groupBy("_rid", key, *carry).agg(F.array_sort(F.collect_list(item)).alias("_ids"))
     ids = F.concat(F.array(F.lit(START_ID)), F.col("_ids")["id"], F.array(F.lit(END_ID)))

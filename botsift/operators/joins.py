@@ -4,6 +4,12 @@ The bound is on rows AND on bytes: term and token strings have no length limit (
 can hold one 100k-character "word"), so a row count alone does not bound the size of what every
 executor receives. The byte figure is the summed string length plus a per-row overhead for the
 hashed relation.
+
+Beyond the bound a table of terms is cut by frequency: the most frequent terms, as many as the bound
+allows (exactly: from a histogram of the frequencies), are broadcast, and the rest is joined by shuffle.
+Both joins follow each other in ONE branch, so the posts are read once, and occurrences that the
+broadcast has settled (or that have no term) get keys of their own in the second join: they are spread
+evenly and match nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +22,10 @@ MAX_BROADCAST_ROWS = 1_000_000
 # Bytes of such a table (string bytes + per-row overhead) that may be shipped to every executor.
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
+# Steps of the frequency histogram for each doubling of the frequency.
+STEPS_PER_DOUBLING = 8
+# Keys that settled occurrences are spread over.
+SPREAD = 1 << 20
 
 
 def size_of(df: DataFrame, str_cols) -> tuple[int, int]:
@@ -35,7 +45,7 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", small_r
                max_rows: int = MAX_BROADCAST_ROWS, str_cols=(), max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``small`` when its rows (known, or counted here) and, for string columns
     ``str_cols``, its bytes are within the bounds; otherwise a shuffle join, left to AQE (which
-    also splits skewed keys such as stop words)."""
+    also splits skewed keys)."""
     nbytes = None
     if str_cols:
         small_rows, nbytes = size_of(small, str_cols)
@@ -46,33 +56,52 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", small_r
     return big.join(small, on, how)
 
 
-def join_weights(big: DataFrame, table: DataFrame, on, total_rows: int, max_rows: int = MAX_BROADCAST_ROWS,
-                 freq_col: str = "n", weight_col: str = "weight", total_bytes: int | None = None,
-                 str_col: str = "term", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Left join of term occurrences to a term table (``on`` keys, ``weight_col``, ``freq_col``).
-
-    Within the bounds (rows, and bytes of the term strings -- measured here when the fit did not
-    record them): one broadcast join. Beyond them (an unbounded vocabulary, e.g. bigrams of a very
-    large corpus): the most frequent terms -- which carry most occurrences and every hot key such
-    as stop words -- are broadcast; only occurrences of the remaining tail terms are shuffled to a
-    sort-merge join with the tail. The split point is an approximate quantile of term frequency
-    and the broadcast side is measured (rows and bytes) before it is shipped; if it is still too
-    large the whole join is a shuffle join (AQE splits skewed partitions)."""
-    tbl = table.select(*on, weight_col, freq_col)
-    if total_rows <= max_rows and total_bytes is None:
-        total_rows, total_bytes = size_of(tbl, [str_col])
+def hot_and_tail(table: DataFrame, str_col: str, freq_col: str, max_rows: int, max_bytes: int,
+                 total_rows: int | None = None, total_bytes: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(hot, tail): the most frequent terms that fit into the bounds, and the rest (None where empty).
+    The cut lies between two steps of a histogram of log2(frequency) with rows and bytes per step,
+    so the hot side never exceeds the bounds; a few hundred rows reach the driver."""
+    if total_rows is None or (total_rows <= max_rows and total_bytes is None):
+        total_rows, total_bytes = size_of(table, [str_col])
     if fits(total_rows, total_bytes, max_rows, max_bytes):
-        return big.join(F.broadcast(tbl.drop(freq_col)), on, "left")
-    over = max(total_rows / max_rows, (total_bytes or 0) / max_bytes, 1.0)
-    share = max(0.0, 1.0 - 0.9 / over)
-    cut = tbl.agg(F.percentile_approx(freq_col, share, 10000).alias("c")).first()["c"]
+        return table, None
+    step = F.floor(F.log2(F.greatest(F.col(freq_col), F.lit(1))) * STEPS_PER_DOUBLING).cast("int")
+    steps = table.groupBy(step.alias("step")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(str_col)).alias("b")).orderBy(F.desc("step")).collect()
+    rows = nbytes = 0
+    cut = None
+    for s in steps:
+        rows, nbytes = rows + s["n"], nbytes + (s["b"] or 0) + s["n"] * ROW_OVERHEAD_BYTES
+        if not fits(rows, nbytes, max_rows, max_bytes):
+            break
+        cut = s["step"]
     if cut is None:
-        return big.join(tbl.drop(freq_col), on, "left")
-    hot = tbl.filter(F.col(freq_col) > F.lit(cut)).drop(freq_col)
-    if not fits(*size_of(hot, [str_col]), max_rows, max_bytes):
-        return big.join(tbl.drop(freq_col), on, "left")
-    tail = tbl.filter(F.col(freq_col) <= F.lit(cut)).drop(freq_col)
-    first = big.join(F.broadcast(hot.withColumnRenamed(weight_col, "_w_hot")), on, "left")
-    done = first.filter(F.col("_w_hot").isNotNull()).withColumnRenamed("_w_hot", weight_col)
-    rest = first.filter(F.col("_w_hot").isNull()).drop("_w_hot").join(tail, on, "left")
-    return done.unionByName(rest)
+        return None, table
+    return table.filter(step >= cut), table.filter(step < cut)
+
+
+def join_terms(big: DataFrame, hot: DataFrame | None, tail: DataFrame | None, on: list[str], value_col: str,
+               spread_cols: list[str], sum_by: list[str] | None = None) -> DataFrame:
+    """Left join of term occurrences to a term table cut by :func:`hot_and_tail`; adds ``value_col``.
+
+    ``on``: key columns, the last one the term. With ``sum_by`` occurrences are added up: one row for each
+    ``sum_by`` + ``on`` group comes out, all settled occurrences of a ``sum_by`` row in one, and the value is the
+    group's sum; only these sums are shuffled to the tail."""
+    term = on[-1]
+    settled = F.col(term).isNull()
+    if hot is not None:
+        big = big.join(F.broadcast(hot.select(*on, F.col(value_col).alias("_hot"))), on, "left")
+        settled = settled | F.col("_hot").isNotNull()
+    else:
+        big = big.withColumn("_hot", F.lit(None).cast(dict(tail.dtypes)[value_col]))
+    if tail is None:
+        return big.withColumnRenamed("_hot", value_col)
+    big = big.withColumn("_key", F.when(settled, F.lit("")).otherwise(F.col(term)))
+    big = big.withColumn("_part", F.when(settled, F.pmod(F.xxhash64(*spread_cols), F.lit(SPREAD)) + 1).otherwise(F.lit(0)))
+    if sum_by is not None:
+        big = big.groupBy(*sum_by, *on[:-1], "_key", "_part").agg(F.sum("_hot").alias("_hot"), F.count(F.lit(1)).alias("_times"))
+    rest = tail.select(*on[:-1], F.col(term).alias("_key"), F.lit(0).cast("bigint").alias("_part"), F.col(value_col).alias("_tail"))
+    joined = big.join(rest, [*on[:-1], "_key", "_part"], "left")
+    value = F.col("_tail") * F.col("_times") if sum_by is not None else F.col("_tail")
+    joined = joined.withColumn(value_col, F.coalesce("_hot", value))
+    return joined.drop("_key", "_part", "_hot", "_tail", "_times")

@@ -8,8 +8,8 @@ written once as parquet in the shared folder so that the ids cannot change betwe
 
 Hot keys: the range is taken over (order key, input row id), so rows that share an order key --
 even exact copies holding a third of the table -- are cut across several range partitions
-instead of landing in one task. The input row id comes from the position in the input partition,
-which a re-executed scan reproduces; ties are thus broken by input position.
+instead of landing in one task. The input row id is written with the rows before they are ranged,
+so a re-executed task sees the same ids.
 """
 
 from __future__ import annotations
@@ -23,13 +23,20 @@ _MID, _PID, _TIE = "_rank_mid", "_rank_pid", "_rank_tie"
 _LOW_BITS = 33
 
 
+def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
+    """``df`` with a number for each row that stays the same in every later job and attempt: the numbered
+    rows are written to the shared folder once (a number given in the middle of a plan would change
+    when a task behind a shuffle is run again, or in a second branch of the plan)."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def ranged_layout(df: DataFrame, order_cols, n_parts: int | None = None) -> DataFrame:
     """``df`` range-partitioned and sorted on (order_cols, input row id), with ``_rank_mid`` =
     (range partition << 33) + position, written once to the shared folder."""
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    keyed = df.withColumn(_TIE, F.monotonically_increasing_id())
+    keyed = with_row_id(df, _TIE)
     ranged = (keyed.repartitionByRange(n_parts, *cols, F.col(_TIE)).sortWithinPartitions(*cols, _TIE)
               .withColumn(_MID, F.monotonically_increasing_id()).drop(_TIE))
     return materialize(ranged, "ranked")

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from botsift.config import DEFAULT_PROFILE, Profile
 from botsift.functions.numeric import safe_sigmoid
 from botsift.functions.terms import with_terms
-from botsift.operators.joins import MAX_BROADCAST_ROWS, ROW_OVERHEAD_BYTES, join_weights
+from botsift.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, ROW_OVERHEAD_BYTES, hot_and_tail, join_terms
+from botsift.operators.rank import with_row_id
 from botsift.session import materialize
 
 # Fixed values of the style scorer.
@@ -150,7 +151,8 @@ def prob_col(name: str) -> str:
 
 
 def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", text_col: str = "text",
-                 carry=("label",), max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                 carry=("label",), max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Wide scores: one row per post with ``p_<model>`` for every model, in one pass."""
     if not models:
         raise ValueError("no models to score")
@@ -159,10 +161,10 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
     length = F.length(F.col(text_col)).alias("_len")
     if nb:
         specs = [(m.name, m.terms) for m in nb]
-        # terms are summed back per input ROW (a row id), not per key: duplicated keys are scored
+        # terms are summed back per input ROW (a written row id), not per key: duplicated keys are scored
         # row by row and a key repeated in many rows never becomes one huge group
-        rid = F.monotonically_increasing_id().alias("_rid")
-        staged = with_terms(df.select(rid, key, *carry, length, text_col), text_col, [k for _, k in specs])
+        rows = with_row_id(df.select(key, *carry, text_col))
+        staged = with_terms(rows.select("_rid", key, *carry, length, text_col), text_col, [k for _, k in specs])
         ex = staged.select("_rid", key, *carry, "_len", F.inline_outer(_tagged_terms(specs)))
         # the term table keyed by the same small model index (an int instead of a name in the join key)
         idx = reduce(lambda acc, i: acc.when(F.col("model") == nb[i].name, F.lit(i)), range(1, len(nb)),
@@ -171,10 +173,12 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         known = all(m.term_bytes is not None for m in nb)
         total_bytes = (sum(m.term_bytes for m in nb) + ROW_OVERHEAD_BYTES * sum(m.n_terms for m in nb)
                        if known else None)
-        joined = join_weights(ex, table, ["m", "term"], total_rows=sum(m.n_terms for m in nb),
-                              max_rows=max_broadcast_rows, total_bytes=total_bytes)
+        by = ["_rid", key, *carry, "_len"]
+        hot, tail = hot_and_tail(table, "term", "n", max_broadcast_rows, max_broadcast_bytes,
+                                 sum(m.n_terms for m in nb), total_bytes)
+        joined = join_terms(ex, hot, tail, ["m", "term"], "weight", ["_rid", "m"], sum_by=by)
         sums = [F.sum(F.when(F.col("m") == i, F.col("weight"))).alias(f"_s_{m.name}") for i, m in enumerate(nb)]
-        base = joined.groupBy("_rid", key, *carry, "_len").agg(*sums)
+        base = joined.groupBy(*by).agg(*sums)
     else:
         base = df.select(key, *carry, length)
     out = [F.col(key), *[F.col(c) for c in carry]]

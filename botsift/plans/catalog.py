@@ -416,11 +416,10 @@ def q_post_stream_source(spark, sf):
 # ------------------------------------------------------------------ 2.5 encoding
 
 def _vocab_and_split(spark, sf, profile=DEFAULT_PROFILE):
-    from botsift.operators.encode import VOCAB_SIZE, build_vocab
+    from botsift.operators.encode import build_vocab
 
     sp = split_posts(spark, sf, profile)
-    vocab = build_vocab(sp.filter(F.col("split") == "train"), VOCAB_SIZE)
-    return sp, vocab
+    return sp, build_vocab(sp.filter(F.col("split") == "train"))
 
 
 @query("build_vocab")
@@ -434,7 +433,7 @@ def q_encode_ids(spark, sf):
     from botsift.operators.encode import encode_ids
 
     sp, vocab = _vocab_and_split(spark, sf)
-    return encode_ids(sp, vocab, 128)
+    return encode_ids(sp, vocab)
 
 
 @query("truncate_ids")

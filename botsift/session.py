@@ -22,7 +22,7 @@ def local_session(cores: int | str = "*", app: str = "botsift", shuffle_partitio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("BOTSIFT_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("BOTSIFT_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,8 +34,8 @@ def local_session(cores: int | str = "*", app: str = "botsift", shuffle_partitio
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a folder of our own is made
-    and registered, so that ``DataFrame.checkpoint`` and our scratch tables work everywhere.
+    Read from the session. Only a local session (tests) may leave it unset: then a folder of our own is
+    made and registered. On a cluster no machine's own folder would do, so an unset one is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="botsift-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -134,15 +134,15 @@ oracle("available_models", "SELECT * FROM (VALUES ('nb_word', 'available'), ('nb
        "('nb_trigram', 'available'), ('style', 'available'), ('missing_model', 'skipped')) t(model, status)")
 
 # ------------------------------------------------------------------ 2.5 encoding
-def _vocab(train: str = "tr", size: int = 1000) -> str:
+def _vocab(train: str = "tr") -> str:
     return f"""vtok AS (SELECT unnest({s.words('text')}) AS token FROM {train}),
 vcnt AS (SELECT token, count(*) AS n FROM vtok GROUP BY token),
-vtop AS (SELECT token, n FROM vcnt ORDER BY n DESC, token LIMIT {size}),
-vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id, CAST(n AS BIGINT) AS n FROM vtop)"""
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id, CAST(n AS BIGINT) AS n FROM vcnt)"""
 
 
-def _encode(src: str = "sp", max_len: int = 128) -> str:
-    return f"""ews AS (SELECT post_id, {s.words('text')}[1:{max_len - 2}] AS ws FROM {src}),
+def _encode(src: str = "sp", max_len: int | None = None) -> str:
+    cut = "" if max_len is None else f"[1:{max_len - 2}]"
+    return f"""ews AS (SELECT post_id, {s.words('text')}{cut} AS ws FROM {src}),
 etok AS (SELECT post_id, unnest(ws) AS token, unnest(range(1, len(ws) + 1)) AS pos FROM ews),
 eid AS (SELECT t.post_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids FROM etok t LEFT JOIN vocab v ON t.token = v.token
         GROUP BY t.post_id),
@@ -155,7 +155,7 @@ oracle("encode_ids", with_(*BASE, _vocab(), _encode()) + "SELECT post_id, input_
 _BASE_LIGHT = [P, s.labelled("light"), s.split_ctes(), "tr AS (SELECT * FROM sp WHERE split = 'train')"]
 oracle("truncate_ids", with_(*_BASE_LIGHT, _vocab(), _encode(max_len=256))
        + "SELECT post_id, input_ids, CAST(len(input_ids) AS INTEGER) AS n_ids FROM enc")
-oracle("pad_and_mask", with_(*BASE, _vocab(), _encode()) + """SELECT post_id,
+oracle("pad_and_mask", with_(*BASE, _vocab(), _encode(max_len=128)) + """SELECT post_id,
   CAST(input_ids || list_transform(range(128 - len(input_ids)), lambda x: 0) AS INTEGER[]) AS input_ids,
   CAST(list_transform(range(len(input_ids)), lambda x: 1) || list_transform(range(128 - len(input_ids)), lambda x: 0)
        AS INTEGER[]) AS attention_mask FROM enc""")

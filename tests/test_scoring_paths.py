@@ -68,7 +68,7 @@ def test_checked_broadcast_falls_back_to_a_shuffle_join(spark):
 
 def test_broadcast_bound_counts_bytes_not_only_rows(spark):
     """Few rows with very long strings are not broadcast."""
-    from botsift.operators.joins import join_small, join_weights, size_of
+    from botsift.operators.joins import hot_and_tail, join_small, join_terms, size_of
 
     small = spark.createDataFrame([(i, "x" * 5000) for i in range(10)], "k long, s string")
     rows, nbytes = size_of(small, ["s"])
@@ -80,8 +80,64 @@ def test_broadcast_bound_counts_bytes_not_only_rows(spark):
     assert kept.count() == 10
     table = small.select("k", F.col("s").alias("term"), F.lit(1.0).alias("weight"), F.col("k").alias("n"))
     occ = big.select("k", F.lit("x" * 5000).alias("term"))
-    a = join_weights(occ, table, ["k", "term"], total_rows=10, total_bytes=nbytes)
-    b = join_weights(occ, table, ["k", "term"], total_rows=10, total_bytes=nbytes, max_bytes=10_000)
+    a = join_terms(occ, *hot_and_tail(table, "term", "n", 100, 100_000, 10, nbytes), ["k", "term"], "weight", ["k"])
+    b = join_terms(occ, *hot_and_tail(table, "term", "n", 100, 10_000, 10, nbytes), ["k", "term"], "weight", ["k"])
     assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
     got = lambda df: sorted((r.k, r.weight) for r in df.collect())
     assert got(a) == got(b)
+
+
+def test_hot_cut_is_exact(spark):
+    """Two million terms with frequencies as one over the rank: as many hot terms as allowed, never none."""
+    from botsift.operators.joins import hot_and_tail
+
+    table = spark.range(1, 2_000_001).select(F.col("id").cast("string").alias("term"), F.floor(F.lit(2_000_000) / F.col("id")).alias("n"))
+    for allowed in (18, 100):
+        hot, tail = hot_and_tail(table, "term", "n", allowed, 1 << 28, 2_000_000, 1 << 24)
+        n = hot.count()
+        assert allowed / 2 <= n <= allowed
+        assert n + tail.count() == 2_000_000
+        assert hot.agg(F.min("n")).first()[0] > tail.agg(F.max("n")).first()[0]
+
+
+def test_large_vocabulary_plan_reads_the_posts_once(spark):
+    sp = catalog.split_posts(spark, SF_SMALL)
+    models = fit_all_models(sp.filter(F.col("split") == "train"))
+    df = score_models(sp.filter(F.col("split") == "test").repartition(5), models, max_broadcast_rows=300)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 3 and plan.count("Generate inline") == 1
+    assert "monotonically_increasing_id" not in plan
+
+
+def test_terms_without_a_post_and_settled_terms_are_spread(spark):
+    from botsift.operators.joins import hot_and_tail, join_terms
+
+    table = spark.createDataFrame([("the", 1.0, 1000), ("rare", 2.0, 1), ("odd", 3.0, 1)], "term string, weight double, n long")
+    big = spark.createDataFrame([(1, "the"), (1, "rare"), (2, None), (3, "unseen"), (4, "the"), (4, "the"), (4, "odd")], "rid long, term string")
+    hot, tail = hot_and_tail(table, "term", "n", 1, 1 << 28)
+    rows = join_terms(big, hot, tail, ["term"], "weight", ["rid"]).collect()
+    assert sorted((r.rid, r.weight or 0) for r in rows) == [(1, 1), (1, 2), (2, 0), (3, 0), (4, 1), (4, 1), (4, 3)]
+    sums = join_terms(big, hot, tail, ["term"], "weight", ["rid"], sum_by=["rid"]).groupBy("rid").agg(F.sum("weight").alias("w")).collect()
+    assert {r.rid: r.w or 0 for r in sums} == {1: 3, 2: 0, 3: 0, 4: 5}
+
+
+def test_no_training_word_is_unknown_and_no_post_is_cut(spark):
+    from botsift.config import UNK_ID
+    from botsift.functions.terms import words
+    from botsift.operators.encode import build_vocab, encode_ids
+
+    sp = catalog.split_posts(spark, SF_SMALL)
+    train = sp.filter(F.col("split") == "train")
+    vocab = build_vocab(train)
+    sizes = {(r.post_id, r.n) for r in train.select("post_id", F.size(words("text")).alias("n")).collect()}
+    small = None
+    for limit in (10**6, 50, 0):
+        enc = encode_ids(train, vocab, max_rows=limit).collect()
+        assert {(r.post_id, len(r.input_ids) - 2) for r in enc} == sizes
+        assert not any(UNK_ID in r.input_ids for r in enc)
+        got = sorted((r.post_id, list(r.input_ids)) for r in enc)
+        small = small or got
+        assert got == small
+    assert max(len(i) for _, i in small) > 128
+    ids = sorted(r.id for r in vocab.collect())
+    assert ids == list(range(4, 4 + len(ids)))
