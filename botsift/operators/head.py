@@ -157,3 +157,21 @@ def score_external(cols, make_predict_fn, return_type=T.DoubleType(), batch_size
     fn = predict_batch_udf(make_predict_fn, return_type=return_type, batch_size=batch_size,
                            input_tensor_shapes=input_tensor_shapes)
     return fn(*cols)
+
+
+def write_head(spark, w: HeadWeights, path: str) -> None:
+    """Head weights in long form (param, idx, value) with the two sizes; ~8.4k rows whatever the data size."""
+    rows = [(*r, w.d_in, w.width) for r in w.long_rows()]
+    spark.createDataFrame(rows, "param string, idx int, value double, d_in int, width int").coalesce(1) \
+        .write.mode("overwrite").parquet(path)
+
+
+def read_head(spark, path: str) -> HeadWeights:
+    """Read the stored head back (model-sized, collected once, then shipped with the scoring UDF)."""
+    rows = spark.read.parquet(path).collect()
+    d_in, width = rows[0]["d_in"], rows[0]["width"]
+    first = {"W1": 0, "b1": d_in * width, "w2": d_in * width + width, "b2": d_in * width + 2 * width}
+    v = np.zeros(d_in * width + 2 * width + 1)
+    for r in rows:
+        v[first[r["param"]] + r["idx"]] = r["value"]
+    return HeadWeights.from_flat(v, d_in, width)

@@ -38,3 +38,9 @@ def score_lr(model: PipelineModel, df: DataFrame, keep=("post_id", "label")) ->
     out = model.transform(df)
     keep = [c for c in keep if c in df.columns]
     return out.select(*keep, vector_to_array("_prob")[1].alias("p"))
+
+
+def add_probability(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
+    """``df`` with the probability of class 1 as column ``out``."""
+    scored = model.transform(df).withColumn(out, vector_to_array("_prob")[1])
+    return scored.select(*df.columns, out)

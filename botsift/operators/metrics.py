@@ -48,6 +48,12 @@ def compare_models(pred: DataFrame, by=("model",), label_col: str = "label", pre
     return metrics_from_counts(confusion_counts(pred, by, label_col, pred_col), by)
 
 
+def in_order(table: DataFrame, names: list[str]) -> DataFrame:
+    """Adds ``position``: the place (from 1) of each row's model in ``names``."""
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("model")).cast("int")
+    return table.withColumn("position", place)
+
+
 def accuracy(pred: DataFrame, **kw) -> DataFrame:
     return compare_models(pred, **kw).select(*kw.get("by", ("model",)), "accuracy")
 

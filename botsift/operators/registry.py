@@ -1,14 +1,20 @@
 """Model registry: names -> how to fit, store and load them.
 
-A stored model is two parquet tables under one folder:
-``meta``  (model, kind, terms, bias, n_terms, clean, max_len)  one row per model
-``terms`` (model, term, weight) partitioned by model          the naive-Bayes term tables
+Stored models are tables under one folder:
+``meta``   one row per model: kind, terms, bias, sizes and the whole profile it was fitted under
+``terms``  (model, term, weight, n) partitioned by model: the naive-Bayes term tables
+``lr/<model>``, ``head/<model>``  the fitted pipeline, the head's weights
+
+``nb`` and ``style`` read terms and lengths; ``lr``, ``head`` and ``external`` score row by row in the same pass
+(``external``: any batch model given as a function, which is not stored: its function is given again when loading).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +28,7 @@ class ModelSpec:
     name: str
     kind: str                 # "nb" | "style" | "lr" | "head" | "external"
     terms: str | None = None
+    options: tuple = ()       # (name, value) pairs for fitting, e.g. the hashed features of "lr"
 
 
 DEFAULT_REGISTRY = (
@@ -39,8 +46,12 @@ META_SCHEMA = T.StructType([
     T.StructField("terms", T.StringType(), True),
     T.StructField("bias", T.DoubleType(), False),
     T.StructField("n_terms", T.LongType(), False),
+    T.StructField("term_bytes", T.LongType(), True),
     T.StructField("clean", T.StringType(), False),
     T.StructField("max_len", T.IntegerType(), False),
+    T.StructField("threshold", T.DoubleType(), False),
+    T.StructField("seed", T.LongType(), False),
+    T.StructField("test_share", T.DoubleType(), False),
 ])
 
 
@@ -49,15 +60,43 @@ def fit_model(train: DataFrame, spec: ModelSpec, profile: Profile = DEFAULT_PROF
         return fit_naive_bayes(train, spec.terms, name=spec.name, profile=profile, **kw)
     if spec.kind == "style":
         return style_model(spec.name, profile)
-    raise ValueError(f"{spec.name}: kind {spec.kind!r} is fitted by its own module")
+    if spec.kind == "lr":
+        from botsift.operators.logistic import fit_text_lr
+
+        return lr_model(spec.name, fit_text_lr(train, **dict(spec.options)), profile)
+    raise ValueError(f"{spec.name}: a model of kind {spec.kind!r} is given, not fitted on texts; see head_model and external_model")
+
+
+def lr_model(name: str, pipeline, profile: Profile = DEFAULT_PROFILE) -> TextModel:
+    """A fitted pipeline over the text as a registry model."""
+    from botsift.operators.logistic import add_probability
+
+    return TextModel(name, "lr", profile=profile, fitted=pipeline, apply=lambda df, out: add_probability(pipeline, df, out))
+
+
+def head_model(name: str, weights, emb_col: str = "embedding", profile: Profile = DEFAULT_PROFILE) -> TextModel:
+    """The two-layer head over a vector column as a registry model."""
+    from botsift.operators.head import score_head
+
+    return TextModel(name, "head", profile=profile, fitted=weights, inputs=(emb_col,),
+                     apply=lambda df, out: df.withColumn(out, score_head(emb_col, weights)))
+
+
+def external_model(name: str, make_predict_fn: Callable, inputs: tuple[str, ...], profile: Profile = DEFAULT_PROFILE,
+                   input_tensor_shapes=None) -> TextModel:
+    """Any batch model over columns (e.g. input_ids and attention_mask of an encoder) as a registry model."""
+    from botsift.operators.head import score_external
+
+    return TextModel(name, "external", profile=profile, inputs=tuple(inputs), apply=lambda df, out: df.withColumn(
+        out, score_external(list(inputs), make_predict_fn, input_tensor_shapes=input_tensor_shapes)))
 
 
 def fit_all_models(train: DataFrame, specs=DEFAULT_REGISTRY, profile: Profile = DEFAULT_PROFILE) -> list[TextModel]:
     """One model per registry entry on the same training split; all naive-Bayes entries are
-    fitted together in one pass over the training rows."""
-    nb = fit_naive_bayes_many(train, [(s.name, s.terms) for s in specs if s.kind == "nb"], profile=profile)
+    fitted together in one pass over the training rows. An entry that already is a model stays as it is."""
+    nb = fit_naive_bayes_many(train, [(s.name, s.terms) for s in specs if s.kind == "nb" and isinstance(s, ModelSpec)], profile=profile)
     by_name = {m.name: m for m in nb}
-    return [by_name[s.name] if s.kind == "nb" else fit_model(train, s, profile) for s in specs]
+    return [s if isinstance(s, TextModel) else by_name[s.name] if s.kind == "nb" else fit_model(train, s, profile) for s in specs]
 
 
 def registry_frame(spark: SparkSession, specs) -> DataFrame:
@@ -65,35 +104,68 @@ def registry_frame(spark: SparkSession, specs) -> DataFrame:
 
 
 def models_summary(models: list[TextModel]) -> list[tuple]:
-    return [(m.name, m.kind, m.terms, float(m.bias), int(m.n_terms), m.profile.clean, int(m.profile.max_len))
-            for m in models]
+    return [(m.name, m.kind, m.terms, float(m.bias), int(m.n_terms), m.term_bytes, m.profile.clean, int(m.profile.max_len),
+             float(m.profile.threshold), int(m.profile.seed), float(m.profile.test_share)) for m in models]
 
 
 def save_models(spark: SparkSession, models: list[TextModel], path: str) -> None:
-    """Write the term tables (partitioned by model) and the one-row-per-model meta table."""
+    """Write the term tables (partitioned by model), row-by-row models, and the meta table."""
+    from botsift.operators.head import write_head
+
     nb = [m for m in models if m.kind == "nb"]
     if nb:
         weight_table(nb).write.mode("overwrite").partitionBy("model").parquet(f"{path}/terms")
+    for m in models:
+        if m.kind == "lr":
+            m.fitted.write().overwrite().save(f"{path}/lr/{m.name}")
+        elif m.kind == "head":
+            write_head(spark, m.fitted, f"{path}/head/{m.name}")
     spark.createDataFrame(models_summary(models), META_SCHEMA).coalesce(1) \
         .write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table, or an empty one where there is none."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def stored_models(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/meta")
+    """Meta rows of the models whose weights are there too: a naive-Bayes row without its term table is left out.
+    Without a model folder the table is empty."""
+    meta = _read(spark, f"{path}/meta", META_SCHEMA)
+    names = _read(spark, f"{path}/terms", T.StructType([T.StructField("term", T.StringType()), T.StructField("model", T.StringType())]))
+    names = names.select("model").distinct().withColumn("_there", F.lit(True))     # the partition column only
+    with_terms_ = meta.join(F.broadcast(names), "model", "left")                   # one row per model
+    return with_terms_.filter((F.col("kind") != "nb") | F.col("_there") | (F.col("n_terms") == 0)).drop("_there")
+
 
+def load_models(spark: SparkSession, path: str, names=None, external: dict[str, TextModel] | None = None) -> list[TextModel]:
+    """Read the meta rows (a handful) and point each model at its stored weights; term tables stay
+    DataFrames (read lazily, pruned to one partition per model). ``external``: models that aren't stored, by name."""
+    from botsift.operators.head import read_head
+    from pyspark.ml import PipelineModel
 
-def load_models(spark: SparkSession, path: str, names=None) -> list[TextModel]:
-    """Read the meta rows (a handful) and point each model at its partition of the term table;
-    the term table itself stays a DataFrame (read lazily, pruned to one partition per model)."""
     meta = stored_models(spark, path)
     if names is not None:
         meta = meta.filter(F.col("model").isin(list(names)))
     out = []
     for r in meta.collect():
-        prof = Profile(clean=r["clean"], max_len=r["max_len"])
+        prof = Profile(r["clean"], r["max_len"], r["threshold"], r["seed"], r["test_share"])
         if r["kind"] == "nb":
             w = spark.read.parquet(f"{path}/terms").filter(F.col("model") == r["model"]).select("term", "weight", "n")
-            out.append(TextModel(r["model"], "nb", r["terms"], r["bias"], w, int(r["n_terms"]), profile=prof))
+            out.append(TextModel(r["model"], "nb", r["terms"], r["bias"], w, int(r["n_terms"]), r["term_bytes"], prof))
+        elif r["kind"] == "lr":
+            out.append(lr_model(r["model"], PipelineModel.load(f"{path}/lr/{r['model']}"), prof))
+        elif r["kind"] == "head":
+            out.append(head_model(r["model"], read_head(spark, f"{path}/head/{r['model']}"), profile=prof))
+        elif r["kind"] == "external":
+            if external and r["model"] in external:
+                out.append(external[r["model"]])
         else:
             out.append(TextModel(r["model"], r["kind"], r["terms"], r["bias"], None, int(r["n_terms"]), profile=prof))
     order = {n: i for i, n in enumerate(names)} if names is not None else {}

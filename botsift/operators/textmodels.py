@@ -20,7 +20,8 @@ summed per post.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -40,7 +41,7 @@ STYLE_CENTER, STYLE_SCALE = 250.0, 100.0
 @dataclass
 class TextModel:
     name: str
-    kind: str                       # "nb" or "style"
+    kind: str                       # "nb", "style", or one that scores row by row: "lr", "head", "external"
     terms: str | None = None        # "word" / "bigram" / "trigram" for nb
     bias: float = 0.0
     weights: DataFrame | None = field(default=None, repr=False)   # (term, weight, n = occurrences)
@@ -49,6 +50,10 @@ class TextModel:
     profile: Profile = DEFAULT_PROFILE
     source: DataFrame | None = field(default=None, repr=False)   # shared (model, term, c1, c0) table
     totals: tuple | None = None                                    # (T1, T0, V) of this model
+    table: DataFrame | None = field(default=None, repr=False)    # shared (model, term, weight, n) table, see prepare()
+    apply: Callable[[DataFrame, str], DataFrame] | None = field(default=None, repr=False)  # adds the named column
+    inputs: tuple[str, ...] = ()                                   # columns besides the text that ``apply`` reads
+    fitted: object = field(default=None, repr=False)             # what a row-by-row model is stored from
 
 
 def style_model(name: str = "style", profile: Profile = DEFAULT_PROFILE) -> TextModel:
@@ -134,6 +139,8 @@ def fit_naive_bayes(train: DataFrame, kind: str, name: str | None = None, text_c
 def weight_table(nb: list[TextModel]) -> DataFrame:
     """(model, term, weight) for several models: one scan with a per-model expression when they
     were fitted together (one shared count table), else a union of their own tables."""
+    if nb[0].table is not None and all(m.table is nb[0].table for m in nb):
+        return nb[0].table.filter(F.col("model").isin([m.name for m in nb]))
     src = nb[0].source
     if src is not None and all(m.source is src and m.totals for m in nb):
         w = None
@@ -146,18 +153,41 @@ def weight_table(nb: list[TextModel]) -> DataFrame:
                   [m.weights.select(F.lit(m.name).alias("model"), "term", "weight", "n") for m in nb])
 
 
+def prepare(models: list[TextModel]) -> list[TextModel]:
+    """The models with one written weight table for all of them, for plans that are run many times."""
+    nb = [m for m in models if m.kind == "nb"]
+    if not nb:
+        return models
+    table = materialize(weight_table(nb), "weights")
+    sizes = {r["model"]: r["b"] for r in table.groupBy("model").agg(F.sum(F.octet_length("term")).alias("b")).collect()}
+    return [replace(m, table=table, term_bytes=int(sizes.get(m.name) or 0)) if m.kind == "nb" else m for m in models]
+
+
 def prob_col(name: str) -> str:
     return f"p_{name}"
 
 
 def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", text_col: str = "text",
                  carry=("label",), max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Wide scores: one row per post with ``p_<model>`` for every model, in one pass."""
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES, profile: Profile | None = None) -> DataFrame:
+    """Wide scores: one row per post with ``p_<model>`` for every model, in one pass over the posts.
+    ``profile``: how ``df`` was cleaned; a model fitted under another profile is an error."""
     if not models:
         raise ValueError("no models to score")
+    if profile is not None:
+        for m in models:
+            m.profile.check_same(profile)
     carry = [c for c in carry if c in df.columns]
     nb = [m for m in models if m.kind == "nb"]
+    by_row = [m for m in models if m.apply is not None]
+    if by_row:
+        inputs = [c for c in dict.fromkeys(c for m in by_row for c in m.inputs) if c not in (key, text_col, *carry)]
+        kept = (key, *carry)
+        df = df.select(key, *carry, text_col, *inputs)
+        for m in by_row:
+            df = m.apply(df, prob_col(m.name))
+        df = df.select(*kept, text_col, *[prob_col(m.name) for m in by_row])
+        carry = [*carry, *[prob_col(m.name) for m in by_row]]
     length = F.length(F.col(text_col)).alias("_len")
     if nb:
         specs = [(m.name, m.terms) for m in nb]
@@ -181,8 +211,12 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         base = joined.groupBy(*by).agg(*sums)
     else:
         base = df.select(key, *carry, length)
-    out = [F.col(key), *[F.col(c) for c in carry]]
+    rows_of = {prob_col(m.name) for m in by_row}
+    out = [F.col(key), *[F.col(c) for c in carry if c not in rows_of]]
     for m in models:
+        if m.apply is not None:
+            out.append(F.col(prob_col(m.name)))
+            continue
         if m.kind == "nb":
             z = F.lit(m.bias) + F.coalesce(F.col(f"_s_{m.name}"), F.lit(0.0))
         elif m.kind == "style":

@@ -7,6 +7,7 @@ which sums in another order, compares equal.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from botsift.operators import metrics as mt
 from botsift.operators.filters import choose_model, drop_incomplete, reject_blank
 from botsift.operators.predict import ENSEMBLE, ensemble_mean, to_long, with_display
 from botsift.operators.registry import DEFAULT_REGISTRY, MISSING_MODEL, available_models, \
-    fit_all_models, registry_frame, save_models, stored_models
+    external_model, fit_all_models, head_model, load_models, registry_frame, save_models, stored_models, ModelSpec
 from botsift.operators.split import split_counts, split_stratified_exact, split_stratified_hash
 from botsift.operators.textmodels import prob_col, score_models
 from botsift.plans.workflow import Evaluation, fit_and_score, labelled_posts, predictions_long
@@ -114,11 +115,14 @@ def q_reject_blank(spark, sf):
 
 @query("choose_model")
 def q_choose_model(spark, sf):
-    specs = [s for s in DEFAULT_REGISTRY if s.name == "nb_bigram"]
-    reg = registry_frame(spark, DEFAULT_REGISTRY)
-    chosen = [r["model"] for r in choose_model(reg, "nb_bigram").collect()]
-    ev = evaluation(spark, sf, [s for s in specs if s.name in chosen])
-    return _round_p(predictions_long(ev)).select("post_id", "model", "p", "predicted")
+    """The choice decides what is loaded: the stored registry is filtered, only that model is read and applied."""
+    sp = split_posts(spark, sf)
+    path = scratch_path(spark, "models")
+    save_models(spark, fit_all_models(sp.filter(F.col("split") == "train")), path)
+    chosen = [r["model"] for r in choose_model(stored_models(spark, path), "nb_bigram").select("model").collect()]
+    models = load_models(spark, path, chosen)
+    wide = score_models(sp.filter(F.col("split") == "test"), models, profile=DEFAULT_PROFILE)
+    return _round_p(to_long(wide, [m.name for m in models])).select("post_id", "model", "p", "predicted")
 
 
 # ------------------------------------------------------------------ 2.1 sources
@@ -232,14 +236,25 @@ def q_decode_label(spark, sf):
     return ev.wide.select("post_id", lb.decode_label(predict_threshold(prob_col("nb_word"))).alias("prediction"))
 
 
+def _predict_one(spark, sf, profile):
+    """The chosen model applied to every post of the table (labelled or not): blank posts are refused, the text
+    is cleaned as the model's profile says."""
+    accepted, _ = reject_blank(tables.posts(spark, sf).select("post_id", "text"))
+    posts = accepted.select("post_id", tx.clean("text", profile.clean).alias("text"))
+    ev = evaluation(spark, sf, [DEFAULT_REGISTRY[0]], profile, score_on=posts)
+    long = with_display(to_long(ev.wide, ["nb_word"], carry=(), threshold=profile.threshold))
+    return long.select("post_id", "model", "prediction")
+
+
 @query("predict_one_model")
 def q_predict_one_model(spark, sf):
-    """The chosen model applied to every post of the table (labelled or not)."""
-    posts = tables.posts(spark, sf).select("post_id", tx.clean_strong("text").alias("text"))
-    posts = posts.filter(F.col("text").isNotNull())
-    ev = evaluation(spark, sf, [DEFAULT_REGISTRY[0]], score_on=posts)
-    long = with_display(to_long(ev.wide, ["nb_word"], carry=()))
-    return long.select("post_id", "model", "prediction")
+    return _predict_one(spark, sf, DEFAULT_PROFILE)
+
+
+@query("predict_one_raw")
+def q_predict_one_raw(spark, sf):
+    """The same with texts as they are, for models fitted on raw text."""
+    return _predict_one(spark, sf, DEFAULT_PROFILE.with_(clean="raw"))
 
 
 @query("predict_all_models")
@@ -263,6 +278,24 @@ def q_ensemble_mean(spark, sf):
                        predict_threshold(prob_col(ENSEMBLE)).alias("predicted"))
 
 
+@query("predict_mixed")
+def q_predict_mixed(spark, sf):
+    """A registry of all kinds on the vectors' rows: the head, an external batch model (a numpy stand-in that reads
+    the first vector half) and the style scorer, averaged."""
+    from botsift.operators.head import fixture_weights
+
+    e = tables.vectors(spark, sf).withColumn("text", F.array_join(F.transform("embedding", lambda x: F.floor(x * 10).cast("string")), " "))
+
+    def make_predict_fn():
+        return lambda x: 1.0 / (1.0 + np.exp(-x.astype(np.float64)[:, :32].sum(1)))
+
+    specs = [head_model("head", fixture_weights()), ModelSpec("style", "style"),
+             external_model("half", make_predict_fn, ("embedding",), input_tensor_shapes=[[64]])]
+    models = fit_all_models(e, specs)
+    wide = ensemble_mean(score_models(e, models, profile=DEFAULT_PROFILE), [m.name for m in models])
+    return _round_p(to_long(wide, [*(m.name for m in models), ENSEMBLE])).select("post_id", "label", "model", "p", "predicted")
+
+
 # ------------------------------------------------------------------ 2.8 metrics
 
 @query("label_distribution")
@@ -316,7 +349,13 @@ def q_compare_models(spark, sf):
 
 @query("compare_with_ensemble")
 def q_compare_with_ensemble(spark, sf):
-    return _metrics6(mt.compare_models(_pred(spark, sf, ensemble=True)))
+    return _ordered_metrics(spark, sf).select("position", "model", *mt.METRICS)
+
+
+def _ordered_metrics(spark, sf):
+    """Registry order, the ensemble last."""
+    names = [s.name for s in DEFAULT_REGISTRY] + [ENSEMBLE]
+    return mt.in_order(_metrics6(mt.compare_models(_pred(spark, sf, ensemble=True))), names)
 
 
 @query("metrics_report")
@@ -378,6 +417,14 @@ def q_read_prepared_test(spark, sf):
                        lb.label_as_int("label").alias("label"))
 
 
+@query("available_none")
+def q_available_none(spark, sf):
+    """Without a model folder every entry of the registry is skipped; the posts are then counted per skipped entry."""
+    reg = registry_frame(spark, list(DEFAULT_REGISTRY) + [MISSING_MODEL])
+    status = available_models(reg, stored_models(spark, scratch_path(spark, "no-models"))).select("model", "status")
+    return status.withColumn("n_posts", F.lit(labelled_posts(spark, sf).count()).cast("bigint"))
+
+
 @query("load_model")
 def q_load_model(spark, sf):
     from botsift.operators.head import fixture_weights, score_head
@@ -608,13 +655,12 @@ def q_write_results_csv(spark, sf):
     from botsift.sinks.writers import read_results_csv, write_results_csv
 
     path = scratch_path(spark, "results-csv")
-    write_results_csv(_metrics6(mt.compare_models(_pred(spark, sf, ensemble=True))), path)
+    write_results_csv(_ordered_metrics(spark, sf), path)
     return read_results_csv(spark, path)
 
 
 @query("save_model")
 def q_save_model(spark, sf):
-    from botsift.operators.registry import load_models
     from botsift.sinks.writers import save_model
 
     train = split_posts(spark, sf).filter(F.col("split") == "train")
@@ -640,17 +686,18 @@ def _run_prediction_stream(spark, sf):
 
     train = split_posts(spark, sf).filter(F.col("split") == "train")
     models = fit_all_models(train)
-    src, out, ck = (scratch_path(spark, n) for n in ("stream-src", "stream-pred", "stream-ck"))
+    src, out, ck, counts = (scratch_path(spark, n) for n in ("stream-src", "stream-pred", "stream-ck", "stream-counts"))
     tables.posts(spark, sf).write.parquet(src)
-    stream_predict(post_stream(spark, src, POSTS_SCHEMA, max_files_per_trigger=4), models, out, ck).awaitTermination()
-    return out
+    stream_predict(post_stream(spark, src, POSTS_SCHEMA, max_files_per_trigger=4), models, out, ck,
+                   metrics_path=counts).awaitTermination()
+    return out, counts
 
 
 @query("stream_predict")
 def q_stream_predict(spark, sf):
     from botsift.streaming.stream import PRED_SCHEMA
 
-    out = _run_prediction_stream(spark, sf)
+    out, _ = _run_prediction_stream(spark, sf)
     return _round_p(spark.read.schema(PRED_SCHEMA).parquet(out)).select(
         "post_id", "model", "label", "p", "predicted", "prediction")
 
@@ -659,7 +706,5 @@ def q_stream_predict(spark, sf):
 def q_stream_metrics(spark, sf):
     from botsift.streaming.stream import stream_metrics
 
-    pred = _run_prediction_stream(spark, sf)
-    out, ck = scratch_path(spark, "stream-metrics"), scratch_path(spark, "stream-metrics-ck")
-    stream_metrics(spark, pred, out, ck).awaitTermination()
-    return spark.read.parquet(out).select("model", "tp", "fp", "fn", "tn")
+    _, counts = _run_prediction_stream(spark, sf)
+    return stream_metrics(spark, counts)

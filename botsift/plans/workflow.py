@@ -56,7 +56,7 @@ def fit_and_score(df_split: DataFrame, specs=DEFAULT_REGISTRY, profile: Profile
     train = df_split.filter(F.col("split") == "train")
     models = fit_all_models(train, specs, profile)
     target = score_on if score_on is not None else df_split.filter(F.col("split") == "test")
-    wide = score_models(target, models)
+    wide = score_models(target, models, profile=profile)
     return Evaluation(models, df_split, wide)
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from botsift.operators.head import HeadWeights
+from botsift.operators.head import read_head, write_head
 from botsift.operators.registry import save_models
 from botsift.sources.csv import write_csv
 
@@ -15,12 +16,17 @@ RESULTS_SCHEMA = T.StructType([T.StructField(c, t, True) for c, t in (
 
 
 def write_results_csv(results: DataFrame, path: str) -> None:
-    """The comparison table (one row per model, a handful of rows) as one CSV file with a header."""
+    """The comparison table (one row per model, a handful of rows) as one CSV file with a header;
+    with a ``position`` column the rows are written in its order (the column itself isn't)."""
+    if "position" in results.columns:
+        results = results.coalesce(1).sortWithinPartitions("position").drop("position")
     write_csv(results, path, sep=",", single_file=True)
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("escape", '"').schema(RESULTS_SCHEMA).csv(path)
+    """The rows with their ``position`` in the one file (from 1)."""
+    rows = spark.read.option("header", True).option("escape", '"').schema(RESULTS_SCHEMA).csv(path)
+    return rows.withColumn("position", (F.monotonically_increasing_id() + 1).cast("int"))
 
 
 def save_model(spark: SparkSession, models, path: str) -> None:
@@ -32,19 +38,4 @@ def write_predictions(pred: DataFrame, path: str, mode: str = "overwrite") -> No
     pred.write.mode(mode).partitionBy("model").parquet(path)
 
 
-def save_head(spark: SparkSession, w: HeadWeights, path: str) -> None:
-    """Head weights in long form (param, idx, value); ~8.4k rows whatever the data size."""
-    spark.createDataFrame(w.long_rows(), "param string, idx int, value double").coalesce(1) \
-        .write.mode("overwrite").parquet(path)
-
-
-def load_head(spark: SparkSession, path: str, d_in: int = 64, width: int = 128) -> HeadWeights:
-    """Read the stored head back (model-sized, collected once, then shipped with the scoring UDF)."""
-    import numpy as np
-
-    rows = spark.read.parquet(path).collect()
-    order = {"W1": 0, "b1": d_in * width, "w2": d_in * width + width, "b2": d_in * width + 2 * width}
-    v = np.zeros(d_in * width + 2 * width + 1)
-    for r in rows:
-        v[order[r["param"]] + r["idx"]] = r["value"]
-    return HeadWeights.from_flat(v, d_in, width)
+save_head, load_head = write_head, read_head

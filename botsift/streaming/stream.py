@@ -5,10 +5,11 @@ Posts carry no event time, so nothing here needs a watermark:
 * ``post_stream``     file source of arriving posts (parquet or JSON files dropped in a folder);
 * ``stream_predict``  each micro-batch goes through the SAME batch plan (reject blank, clean,
                       score all fitted models, threshold) inside ``foreachBatch`` and is written
-                      to ``<out>/batch=<id>`` with overwrite, so a replayed batch is idempotent;
-                      the fitted models are fixed when the query starts;
-* ``stream_metrics``  a second streaming query over the prediction folder: confusion counts per
-                      model (streaming ``groupBy`` in complete mode, a handful of state rows).
+                      to ``<out>/batch=<id>`` with overwrite; with ``metrics_path`` the batch's confusion
+                      counts per model go to ``<metrics>/batch=<id>`` in the same step, also with overwrite.
+                      A replayed batch replaces its own folders, so neither table counts it twice. The
+                      models are fixed, and their term table is prepared, when the query starts;
+* ``stream_metrics``  running confusion counts: the sum of the batches' few rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from botsift.config import DEFAULT_PROFILE, Profile
 from botsift.functions.labels import encode_label
 from botsift.functions.text import clean
 from botsift.operators.filters import reject_blank
+from botsift.operators.metrics import confusion_counts
 from botsift.operators.predict import to_long, with_display
-from botsift.operators.textmodels import TextModel, score_models
+from botsift.operators.textmodels import TextModel, prepare, score_models
 from botsift.sources.columns import q
 
 POSTS_SCHEMA = T.StructType([
@@ -43,54 +45,45 @@ def predict_batch(batch: DataFrame, models: list[TextModel], profile: Profile =
                   label_col: str | None = "account.type", key: str = "post_id") -> DataFrame:
     """The per-post path on a static (micro-)batch: blank posts refused, text cleaned with the
     profile the models were fitted with, every model scored, thresholded and named."""
-    for m in models:
-        m.profile.check_same(profile)
     accepted, _ = reject_blank(batch, "text")
     lab = encode_label(F.col(q(label_col))) if label_col and label_col in batch.columns else F.lit(None).cast("int")
     prepared = accepted.select(key, clean("text", profile.clean).alias("text"), lab.alias("label"))
-    wide = score_models(prepared, models, key=key, carry=("label",))
+    wide = score_models(prepared, models, key=key, carry=("label",), profile=profile)
     long = with_display(to_long(wide, [m.name for m in models], key=key, threshold=profile.threshold))
     return long.select(key, "model", "label", "p", "predicted", "prediction")
 
 
 def stream_predict(stream: DataFrame, models: list[TextModel], out_path: str, checkpoint: str,
-                   profile: Profile = DEFAULT_PROFILE, trigger: dict | None = None):
+                   profile: Profile = DEFAULT_PROFILE, trigger: dict | None = None, metrics_path: str | None = None):
     """Start the prediction stream; returns the StreamingQuery."""
+    ready = prepare(models)
+
     def each(batch: DataFrame, batch_id: int):
-        predict_batch(batch, models, profile).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        spark = batch.sparkSession
+        path = f"{out_path}/batch={batch_id}"
+        predict_batch(batch, ready, profile).write.mode("overwrite").parquet(path)
+        if metrics_path:
+            done = spark.read.schema(BATCH_SCHEMA).parquet(path)
+            confusion_counts(done.filter(F.col("label").isNotNull())).coalesce(1) \
+                .write.mode("overwrite").parquet(f"{metrics_path}/batch={batch_id}")
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
 
-PRED_SCHEMA = T.StructType([
+BATCH_SCHEMA = T.StructType([
     T.StructField("post_id", T.StringType()), T.StructField("model", T.StringType()),
     T.StructField("label", T.IntegerType()), T.StructField("p", T.DoubleType()),
     T.StructField("predicted", T.IntegerType()), T.StructField("prediction", T.StringType()),
-    T.StructField("batch", T.LongType()),
 ])
+PRED_SCHEMA = T.StructType([*BATCH_SCHEMA, T.StructField("batch", T.LongType())])
+COUNTS = ("tp", "fp", "fn", "tn")
+COUNTS_SCHEMA = T.StructType([T.StructField("model", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTS],
+                              T.StructField("batch", T.LongType())])
 
 
-def running_counts(pred_stream: DataFrame) -> DataFrame:
-    """Confusion counts per model over the labelled arrivals (streaming aggregate)."""
-    y, yhat = F.col("label"), F.col("predicted")
-
-    def cnt(c):
-        return F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
-    return pred_stream.filter(y.isNotNull()).groupBy("model").agg(
-        cnt((y == 1) & (yhat == 1)).alias("tp"), cnt((y == 0) & (yhat == 1)).alias("fp"),
-        cnt((y == 1) & (yhat == 0)).alias("fn"), cnt((y == 0) & (yhat == 0)).alias("tn"))
-
-
-def stream_metrics(spark: SparkSession, pred_path: str, out_path: str, checkpoint: str,
-                   trigger: dict | None = None):
-    """Start the metrics stream over the prediction folder; each trigger rewrites the small table."""
-    preds = spark.readStream.schema(PRED_SCHEMA).parquet(pred_path)
-
-    def each(batch: DataFrame, batch_id: int):
-        batch.coalesce(1).write.mode("overwrite").parquet(out_path)
-
-    w = (running_counts(preds).writeStream.outputMode("complete").foreachBatch(each)
-         .option("checkpointLocation", checkpoint))
-    return w.trigger(**(trigger or {"availableNow": True})).start()
+def stream_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
+    """Running confusion counts per model over all batches written so far."""
+    per_batch = spark.read.schema(COUNTS_SCHEMA).parquet(metrics_path)
+    return per_batch.groupBy("model").agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTS])

@@ -80,9 +80,13 @@ oracle("predict_threshold", with_(*BASE, *_NB_WORD)
 oracle("decode_label", with_(*BASE, *_NB_WORD)
        + f"SELECT post_id, CASE WHEN {s.sigmoid('z')} > 0.5 THEN 'Bot' ELSE 'Human' END AS prediction FROM {_ZW}")
 oracle("predict_one_model", with_(*BASE, "allp AS (SELECT post_id, " + s.clean_strong("text")
-                                  + " AS text FROM p WHERE text IS NOT NULL)",
+                                  + f" AS text FROM p WHERE coalesce(length({s.strip_ws('text')}) > 0, false))",
                                   s.nb_fit("word", "nb_word", "tr"), s.nb_score("word", "nb_word", "allp"))
        + f"SELECT post_id, 'nb_word' AS model, CASE WHEN {s.sigmoid('z')} > 0.5 THEN 'Bot' ELSE 'Human' END AS prediction FROM nb_word_z")
+_RAW = [P, s.labelled("raw"), s.split_ctes(), "tr AS (SELECT * FROM sp WHERE split = 'train')"]
+oracle("predict_one_raw", with_(*_RAW, f"allp AS (SELECT post_id, text FROM p WHERE coalesce(length({s.strip_ws('text')}) > 0, false))",
+                                s.nb_fit("word", "nb_word", "tr"), s.nb_score("word", "nb_word", "allp"))
+       + f"SELECT post_id, 'nb_word' AS model, CASE WHEN {s.sigmoid('z')} > 0.5 THEN 'Bot' ELSE 'Human' END AS prediction FROM nb_word_z")
 _WIDE = [*BASE, s.all_models_wide()]
 oracle("predict_all_models", with_(*_WIDE, s.long_from_wide()) + """SELECT post_id, model,
   CASE WHEN predicted = 1 THEN 'Bot' ELSE 'Human' END AS prediction, round(p, 3) AS confidence FROM lg""")
@@ -104,7 +108,8 @@ _MET_E = with_(*_WIDE, s.long_from_wide(ensemble=True), _CNT)
 for _m in ("accuracy", "precision", "recall", "f1"):
     oracle(_m, _MET + f"SELECT model, {_m} FROM (SELECT {s.metrics_select()} FROM cnt)")
 oracle("compare_models", _MET + f"SELECT {s.metrics_select()} FROM cnt")
-oracle("compare_with_ensemble", _MET_E + f"SELECT {s.metrics_select()} FROM cnt")
+_POSITION = ("list_position(['" + "', '".join([*s.MODEL_NAMES, "ENSEMBLE"]) + "'], model)")
+oracle("compare_with_ensemble", _MET_E + f"SELECT CAST({_POSITION} AS INTEGER) AS position, {s.metrics_select()} FROM cnt")
 oracle("metrics_report", _MET_E + f"""SELECT model, printf('%.4f', {s.ratio('tp + tn', 'tp + fp + fn + tn')}) AS accuracy,
   printf('%.4f', {s.ratio('tp', 'tp + fp')}) AS precision, printf('%.4f', {s.ratio('tp', 'tp + fn')}) AS recall,
   printf('%.4f', {s.ratio('2 * tp', '2 * tp + fp + fn')}) AS f1 FROM cnt""")
@@ -132,6 +137,9 @@ oracle("read_prepared_test", with_(L) + f"SELECT post_id, coalesce({_nullword('t
 oracle("post_stream_source", with_(P) + "SELECT * FROM p")
 oracle("available_models", "SELECT * FROM (VALUES ('nb_word', 'available'), ('nb_bigram', 'available'), "
        "('nb_trigram', 'available'), ('style', 'available'), ('missing_model', 'skipped')) t(model, status)")
+oracle("available_none", with_(P, s.labelled()) + """SELECT model, 'skipped' AS status, n_posts FROM
+  (VALUES ('nb_word'), ('nb_bigram'), ('nb_trigram'), ('style'), ('missing_model')) t(model),
+  (SELECT CAST(count(*) AS BIGINT) AS n_posts FROM lp)""")
 
 # ------------------------------------------------------------------ 2.5 encoding
 def _vocab(train: str = "tr") -> str:
@@ -186,6 +194,15 @@ oracle("score_head", with_(*_HEAD) + "SELECT post_id, label, round(p, 6) AS p, C
 oracle("score_external", with_(*_HEAD) + "SELECT post_id, round(p, 6) AS p FROM pr")
 oracle("load_model", with_(*_HEAD) + "SELECT post_id, round(p, 6) AS p FROM pr")
 
+_STYLE = s.sigmoid("(length(t) - 250.0) / 100.0")
+_HALF = s.sigmoid("list_sum([CAST(x AS DOUBLE) FOR x IN embedding[1:32]])")
+oracle("predict_mixed", with_(*_HEAD, f"""mx AS (SELECT pe.post_id, pe.label, pe.p AS p_head, {_STYLE} AS p_style, {_HALF} AS p_half
+  FROM pe JOIN (SELECT *, array_to_string([CAST(floor(x * 10) AS BIGINT) FOR x IN embedding], ' ') AS t FROM e) e ON pe.post_id = e.post_id),
+lg AS (SELECT post_id, label, 'head' AS model, p_head AS p FROM mx UNION ALL SELECT post_id, label, 'style', p_style FROM mx
+  UNION ALL SELECT post_id, label, 'half', p_half FROM mx
+  UNION ALL SELECT post_id, label, 'ENSEMBLE', (p_head + p_style + p_half) / 3.0 FROM mx)""")
+       + "SELECT post_id, label, model, round(p, 6) AS p, CAST(p > 0.5 AS INTEGER) AS predicted FROM lg")
+
 # ------------------------------------------------------------------ 2.7 head training
 _BCE = "-(label * greatest(ln(p), -100.0) + (1 - label) * greatest(ln(1.0 - p), -100.0))"
 oracle("bce_loss", with_(*_HEAD) + f"SELECT post_id, label, round({_BCE}, 6) AS loss FROM pe")
