@@ -3,8 +3,7 @@ dense+sigmoid.
 
 Maths runs in numpy on Arrow batches through ``predict_batch_udf`` (one Python call per batch,
 weights shipped once per task in the closure: they are ~8.4k numbers, independent of the data).
-Dropout is a pure JVM expression: the mask comes from md5(seed:step:key:unit), so a retried
-task repeats it exactly.
+Dropout draws its mask in the same batches from md5(seed:step:key), so a retried task repeats it exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from botsift.config import DROPOUT, HEAD_WIDTH, SEED
-from botsift.functions.numeric import hex_uniform
 
 PARAMS = ("W1", "b1", "w2", "b2")
 
@@ -134,17 +132,35 @@ def score_head(emb, w: HeadWeights, batch_size: int = 4096) -> Column:
     return _batch_udf(make, T.DoubleType(), w.d_in, batch_size)(emb)
 
 
-def dropout_mask(hidden, key, seed: int = SEED, step: int = 0, rate: float = DROPOUT) -> Column:
-    """Training-time dropout: unit u of post k is dropped iff uniform(md5(seed:step:k:u)) < rate;
-    survivors are scaled by 1/(1-rate). Deterministic, so task retries repeat the same mask."""
-    h = F.col(hidden) if isinstance(hidden, str) else hidden
+def row_seed(key, seed, step) -> Column:
+    """The number that a row's mask is drawn from: the first 8 hex digits of md5(seed:step:key)."""
     k = (F.col(key) if isinstance(key, str) else key).cast("string")
-    prefix = F.concat(F.lit(f"{seed}:{step}:"), k, F.lit(":"))
+    step = step if isinstance(step, Column) else F.lit(step)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), step.cast("string"), F.lit(":"), k))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
-    def unit(x, u):
-        drop = hex_uniform(F.md5(F.concat(prefix, u.cast("string")))) < F.lit(rate)
-        return F.when(drop, F.lit(0.0)).otherwise(x / F.lit(1.0 - rate))
-    return F.transform(h, unit)
+
+# Fixed values of the mask's generator: a spread of the units, then two multiplicative steps modulo 2^31 - 1.
+UNIT_STRIDE, MODULUS, STEP_1, STEP_2 = 2654435761, 2147483647, 48271, 69621
+
+
+def np_keep(seeds: np.ndarray, width: int, rate: float) -> np.ndarray:
+    """Factor of each unit: 0 where its draw is under ``rate``, else 1 / (1 - rate)."""
+    x = (seeds.astype(np.int64)[:, None] + (np.arange(width, dtype=np.int64) + 1) * UNIT_STRIDE) % (1 << 32)
+    draw = (x * STEP_1 % MODULUS) * STEP_2 % MODULUS / float(MODULUS)
+    return np.where(draw < rate, 0.0, 1.0 / (1.0 - rate))
+
+
+def dropout_mask(hidden, key, seed: int = SEED, step: int = 0, rate: float = DROPOUT, width: int = HEAD_WIDTH,
+                 batch_size: int = 4096) -> Column:
+    """Training-time dropout on a hidden layer: the mask is drawn in the numpy batch from one number per row
+    (:func:`row_seed`), so task retries repeat it; survivors are scaled by 1/(1-rate)."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    def make():
+        return lambda h, s: h * np_keep(s, width, rate)
+    fn = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes={0: [width]})
+    return fn(F.col(hidden) if isinstance(hidden, str) else hidden, row_seed(key, seed, step))
 
 
 def score_external(cols, make_predict_fn, return_type=T.DoubleType(), batch_size: int = 4096,

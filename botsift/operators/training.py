@@ -1,9 +1,8 @@
 """Training the head (G1-G5): log-loss, epoch loss, closed-form gradient, AdamW, fit loop.
 
 The gradient of the mean log-loss of the two-layer head is summed per partition in numpy
-(``mapInPandas``) and the partial sums are added by one ``groupBy(idx).sum`` (~8.4k keys), so
-the data never leaves the executors; only the parameter vector (independent of the data size)
-reaches the driver for the AdamW step.
+(``mapInArrow``): one dense vector per task, added up in a tree of at most ``TREE_PARTS`` tasks, whose vectors
+reach the driver for the AdamW step (the size of the model, not of the data).
 """
 
 from __future__ import annotations
@@ -11,20 +10,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from botsift.config import LEARNING_RATE
-from botsift.functions.numeric import bce
-from botsift.operators.head import HeadWeights, np_sigmoid
-from botsift.session import materialize
+from botsift.config import DROPOUT, LEARNING_RATE, SEED
+from botsift.functions.numeric import bce, hash_key
+from botsift.operators.head import HeadWeights, np_keep, np_sigmoid, row_seed
+from botsift.session import scratch_path
 
 # AdamW defaults (published formulas): betas, eps, weight decay.
 BETA1, BETA2, EPS, WEIGHT_DECAY = 0.9, 0.999, 1e-8, 0.01
 
-# Consecutive training batches per staged file.
-BATCHES_PER_FILE = 8
+# Tasks that add up the vectors of the gradient tasks, and vectors that reach the driver.
+TREE_PARTS = 32
 
 
 def bce_loss(p, y) -> Column:
@@ -37,58 +36,64 @@ def epoch_loss(df: DataFrame, loss_col: str = "loss", batch_col: str = "batch")
     return per_batch.agg(F.avg("_m").alias("epoch_loss"), F.count(F.lit(1)).alias("n_batches"))
 
 
-def _param_names(n: int, d_in: int, width: int) -> Column:
-    i = F.col("idx")
-    n1 = d_in * width
-    name = (F.when(i < n1, "W1").when(i < n1 + width, "b1").when(i < n1 + 2 * width, "w2").otherwise("b2"))
-    local = (F.when(i < n1, i).when(i < n1 + width, i - n1).when(i < n1 + 2 * width, i - n1 - width)
-             .otherwise(i - n1 - 2 * width))
-    return name, local.cast("int")
+def _vector_sum(batches):
+    """Sum of the vectors of a task (bytes of doubles) as one vector."""
+    total = None
+    for batch in batches:
+        for v in batch.column("v"):
+            x = np.frombuffer(v.as_py(), np.float64)
+            total = x.copy() if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
 
-def gradient_sums(df: DataFrame, w: HeadWeights, emb_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(idx, value): summed gradient of the log-loss per parameter, plus two extra indices:
-    n_params -> number of rows, n_params+1 -> summed loss."""
+def gradient_sums(df: DataFrame, w: HeadWeights, emb_col: str = "embedding", label_col: str = "label",
+                  seed_col: str | None = None, rate: float = DROPOUT) -> np.ndarray:
+    """Summed gradient of the log-loss in the order of ``HeadWeights.flat``, then the number of rows and
+    the summed loss. With ``seed_col`` (see :func:`row_seed`) the forward pass is in train mode, with dropout."""
     n_params = w.flat().size
 
     def part(batches):
         g = np.zeros(n_params + 2)
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            x = np.stack(pdf[emb_col].to_numpy()).astype(np.float64)
-            y = pdf[label_col].to_numpy(dtype=np.float64)
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(n, w.d_in).astype(np.float64)
+            y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
             z1 = x @ w.W1 + w.b1
-            h = np.maximum(z1, 0.0)
+            keep = np_keep(batch.column(2).to_numpy(zero_copy_only=False), w.width, rate) if seed_col else 1.0
+            h = np.maximum(z1, 0.0) * keep
             p = np_sigmoid(h @ w.w2 + w.b2)
             d2 = p - y                                   # d loss / d z2 per row
-            dh = np.outer(d2, w.w2) * (z1 > 0)           # d loss / d z1
+            dh = np.outer(d2, w.w2) * (z1 > 0) * keep    # d loss / d z1
             n1 = w.W1.size
             g[:n1] += (x.T @ dh).ravel()
             g[n1:n1 + w.width] += dh.sum(axis=0)
             g[n1 + w.width:n1 + 2 * w.width] += h.T @ d2
             g[n1 + 2 * w.width] += d2.sum()
-            g[n_params] += len(y)
+            g[n_params] += n
             pc = np.clip(p, 1e-300, 1.0)
             qc = np.clip(1.0 - p, 1e-300, 1.0)
             g[n_params + 1] += float(-(y * np.maximum(np.log(pc), -100.0)
                                        + (1 - y) * np.maximum(np.log(qc), -100.0)).sum())
-        yield pd.DataFrame({"idx": np.arange(n_params + 2, dtype=np.int32), "value": g})
+        if g[n_params]:
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], names=["v"])
 
-    parts = df.select(emb_col, label_col).mapInPandas(part, "idx int, value double")
-    return parts.groupBy("idx").agg(F.sum("value").alias("value"))
+    rows = df.select(emb_col, label_col, *([seed_col] if seed_col else []))
+    sums = rows.mapInArrow(part, "v binary").repartition(TREE_PARTS).mapInArrow(_vector_sum, "v binary").collect()
+    return sum((np.frombuffer(r["v"], np.float64) for r in sums), np.zeros(n_params + 2))
 
 
 def head_gradient(df: DataFrame, w: HeadWeights, **kw) -> DataFrame:
     """(param, idx, grad): gradient of the MEAN log-loss over ``df``."""
-    n_params = w.flat().size
-    sums = materialize(gradient_sums(df, w, **kw), "head-grad")
-    n = sums.filter(F.col("idx") == n_params).first()["value"]
+    sums = gradient_sums(df, w, **kw)
+    n = sums[-2]
     if not n:
         raise ValueError("gradient over zero rows")
-    name, local = _param_names(n_params, w.d_in, w.width)
-    return sums.filter(F.col("idx") < n_params).select(name.alias("param"), local.alias("idx"),
-                                                       (F.col("value") / F.lit(float(n))).alias("grad"))
+    rows = HeadWeights.from_flat(sums[:-2] / n, w.d_in, w.width).long_rows()
+    return df.sparkSession.createDataFrame(rows, "param string, idx int, grad double")
 
 
 def adamw_columns(theta: Column, g: Column, m: Column, v: Column, t: int, lr: float = LEARNING_RATE,
@@ -120,39 +125,33 @@ def adamw_step(theta: np.ndarray, g: np.ndarray, state: AdamState, lr: float = L
     return theta * (1 - lr * wd) - (lr / bc1) * state.m / denom
 
 
-def fit_head(df: DataFrame, w0: HeadWeights, epochs: int = 1, batch_rows: int = 65536, lr: float = LEARNING_RATE,
-             emb_col: str = "embedding", label_col: str = "label", key: str = "post_id", seed: int = 42,
-             staging_path: str | None = None):
-    """Mini-batch AdamW over a global shuffled order. The batched rows are written once (sorted by
-    batch, so each step's filter skips the other row groups); each step is one Spark job that
-    returns only the gradient. Returns (weights, history rows (epoch, step, batch_loss))."""
-    from botsift.operators.rank import assign_batches
-    from botsift.session import scratch_path
-
+def fit_head(df: DataFrame, w0: HeadWeights, epochs: int = 1, steps_per_epoch: int = 16, lr: float = LEARNING_RATE,
+             emb_col: str = "embedding", label_col: str = "label", key: str = "post_id", seed: int = SEED,
+             rate: float = DROPOUT):
+    """Mini-batch AdamW in train mode. Every epoch deals the rows anew into ``steps_per_epoch`` batches by a
+    hash of (seed, epoch, key), so the number of steps, and of jobs, doesn't grow with the table: a larger table has
+    larger batches, which all executors work on. An epoch's rows are written once, in a folder for each batch, so
+    that a step opens its own files only; a step returns only the gradient. Without ``rate`` there is no
+    dropout. Returns (weights, history rows (epoch, step, batch_loss))."""
     spark = df.sparkSession
-    batched = assign_batches(df.select(key, emb_col, label_col), batch_size=batch_rows, shuffled=True,
-                             key=key, seed=seed)
-    path = staging_path or scratch_path(spark, "head-batches")
-    n_batches = batched.agg(F.max("batch")).first()[0] + 1
-    # files hold consecutive batches and their number grows with the data (a fixed count would make
-    # each writer task, and each file, grow with the table); each step's filter skips other files
-    n_files = max(1, -(-n_batches // BATCHES_PER_FILE))
-    (batched.repartitionByRange(n_files, "batch").sortWithinPartitions("batch")
-     .write.mode("overwrite").parquet(path))
-    data = spark.read.parquet(path)
     theta = w0.flat()
     state = AdamState(np.zeros_like(theta), np.zeros_like(theta))
     history = []
-    n_params = theta.size
+    shape = f"{emb_col} array<float>, {label_col} int, _seed bigint, _batch int"
     for ep in range(epochs):
-        for b in range(n_batches):
+        order = F.conv(F.substring(hash_key(f"{seed}:{ep}", key), 1, 8), 16, 10).cast("bigint")
+        batch = F.pmod(order, F.lit(steps_per_epoch)).cast("int")
+        rows = df.select(key, F.col(emb_col).cast("array<float>"), F.col(label_col).cast("int"), batch.alias("_batch"))
+        rows = rows.withColumn("_seed", row_seed(key, seed, F.col("_batch") + ep * steps_per_epoch)).drop(key)
+        path = scratch_path(spark, "head-batches")
+        rows.hint("rebalance", F.col("_batch")).write.partitionBy("_batch").parquet(path)
+        data = spark.read.schema(shape).parquet(path)
+        for b in range(steps_per_epoch):
             w = HeadWeights.from_flat(theta, w0.d_in, w0.width)
-            sums = {r["idx"]: r["value"] for r in
-                    gradient_sums(data.filter(F.col("batch") == b), w, emb_col, label_col).collect()}
-            n = sums.get(n_params, 0.0)
+            sums = gradient_sums(data.filter(F.col("_batch") == b), w, emb_col, label_col, "_seed" if rate else None, rate)
+            n = sums[-2]
             if not n:
                 continue
-            g = np.array([sums[i] for i in range(n_params)]) / n
-            history.append((ep, b, sums[n_params + 1] / n))
-            theta = adamw_step(theta, g, state, lr=lr)
+            history.append((ep, b, float(sums[-1] / n)))
+            theta = adamw_step(theta, sums[:-2] / n, state, lr=lr)
     return HeadWeights.from_flat(theta, w0.d_in, w0.width), history

@@ -631,21 +631,26 @@ def q_adamw_step(spark, sf):
 
 @query("fit_head")
 def q_fit_head(spark, sf):
-    """A few AdamW steps over shuffled global batches; returns the loss history (rows-only check)."""
+    """Two epochs of two AdamW steps in train mode (dropout, new batches per epoch): the loss history."""
     from botsift.operators.training import fit_head
 
-    _, hist = fit_head(tables.vectors(spark, sf), _head(), epochs=2, batch_rows=256, lr=1e-3)
-    return spark.createDataFrame(hist, "epoch int, step int, batch_loss double")
+    _, hist = fit_head(tables.vectors(spark, sf), _head(), epochs=2, steps_per_epoch=2, lr=1e-3)
+    rows = spark.createDataFrame(hist, "epoch int, step int, batch_loss double")
+    return rows.withColumn("batch_loss", round6("batch_loss"))
 
 
 @query("fit_text_lr")
 def q_fit_text_lr(spark, sf):
+    """What holds at the optimum: with a free intercept the mean probability of the training posts is their mean label.
+    Per split the posts, the mean label and (training part) the difference of the means to two digits."""
     from botsift.operators.logistic import fit_text_lr, score_lr
 
     sp = split_posts(spark, sf)
     model = fit_text_lr(sp.filter(F.col("split") == "train"))
-    scored = score_lr(model, sp.filter(F.col("split") == "test"))
-    return scored.select("post_id", "label", round6("p").alias("p"), predict_threshold("p").alias("predicted"))
+    scored = score_lr(model, sp, keep=("split", "label"))
+    off = F.when(F.col("split") == "train", F.round(F.abs(F.avg("p") - F.avg("label")), 2))
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n_posts"), round6(F.avg("label")).alias("mean_label"),
+                                       off.alias("residual"))
 
 
 # ------------------------------------------------------------------ 2.9 sinks (written, then read back)

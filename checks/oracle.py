@@ -186,9 +186,15 @@ _HEAD = [E, """x AS (SELECT post_id, unnest(embedding) AS v, unnest(range(len(em
          """pe AS (SELECT pr.post_id, e.label, pr.p FROM pr JOIN e ON pr.post_id = e.post_id)"""]
 oracle("cls_pool", with_(E) + "SELECT post_id, embedding[1:16] AS cls FROM e")
 oracle("dense_relu", with_(*_HEAD) + "SELECT post_id, list(round(h, 6) ORDER BY j) AS hidden FROM hid GROUP BY post_id")
-oracle("dropout_mask", with_(*_HEAD) + f"""SELECT post_id, list(round(CASE WHEN
-  {s.hex_uniform("md5('42:0:' || CAST(post_id AS VARCHAR) || ':' || CAST(j AS VARCHAR))")} < CAST(0.3 AS DOUBLE)
-  THEN 0.0 ELSE h / CAST({1.0 - 0.3!r} AS DOUBLE) END, 6) ORDER BY j) AS hidden FROM hid GROUP BY post_id""")
+def _keep(step: str) -> str:
+    """Factor of unit j of a post in train mode (the generator of the head's dropout)."""
+    seed = f"CAST(('0x' || substr(md5('42:' || {step} || ':' || CAST(post_id AS VARCHAR)), 1, 8)) AS BIGINT)"
+    x = f"(({seed} + (j + 1) * 2654435761) % 4294967296)"
+    return f"(CASE WHEN (({x} * 48271) % 2147483647 * 69621) % 2147483647 / 2147483647.0 < CAST(0.3 AS DOUBLE) THEN 0.0 ELSE {1 / (1 - 0.3)!r} END)"
+
+
+oracle("dropout_mask", with_(*_HEAD) + f"""SELECT post_id, list(round(h * {_keep("'0'")}, 6) ORDER BY j) AS hidden
+FROM hid GROUP BY post_id""")
 oracle("dense_sigmoid", with_(*_HEAD) + "SELECT post_id, round(p, 6) AS p FROM pr")
 oracle("score_head", with_(*_HEAD) + "SELECT post_id, label, round(p, 6) AS p, CAST(p > 0.5 AS INTEGER) AS predicted FROM pe")
 oracle("score_external", with_(*_HEAD) + "SELECT post_id, round(p, 6) AS p FROM pr")
@@ -229,6 +235,48 @@ _den = f"(sqrt({_v1}) / {float((1 - _B2) ** 0.5)!r} + {_EPS!r})"
 oracle("adamw_step", with_(*_GRAD) + f"""SELECT param, idx,
   round(({_theta0}) * {1 - _LR * _WD!r} - {_LR / (1 - _B1)!r} * {_m1} / {_den}, 9) AS value FROM grad""")
 
+
+
+def _fit_head(epochs: int = 2, steps: int = 2, lr: float = 1e-3) -> str:
+    """The training run as a chain of steps: forward pass in train mode, gradient, AdamW."""
+    parts = [E, """t0 AS MATERIALIZED (
+  SELECT 'W1' AS param, k AS idx, CAST(((k // 128) * 31 + (k % 128) * 17) % 101 - 50 AS DOUBLE) / 250.0 AS val, 0.0 AS m, 0.0 AS v FROM range(8192) r(k)
+  UNION ALL SELECT 'b1', k, 0.0, 0.0, 0.0 FROM range(128) r(k)
+  UNION ALL SELECT 'w2', k, CAST((k * 13) % 29 - 14 AS DOUBLE) / 50.0, 0.0, 0.0 FROM range(128) r(k)
+  UNION ALL SELECT 'b2', 0, 0.0, 0.0, 0.0)"""]
+    for t in range(epochs * steps):
+        ep, b = divmod(t, steps)
+        bc1, bc2 = 1 - _B1 ** (t + 1), 1 - _B2 ** (t + 1)
+        m, v = f"({_B1!r} * th.m + {1 - _B1!r} * g.g)", f"({_B2!r} * th.v + {1 - _B2!r} * g.g * g.g)"
+        parts.append(f"""e{t} AS MATERIALIZED (SELECT * FROM e WHERE CAST(('0x' || substr(md5('42:{ep}:' || CAST(post_id AS VARCHAR)), 1, 8)) AS BIGINT) % {steps} = {b}),
+x{t} AS MATERIALIZED (SELECT post_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM e{t}),
+z{t} AS MATERIALIZED (SELECT post_id, j, z, {_keep(f"'{t}'")} AS keep FROM (
+  SELECT x.post_id, w.idx % 128 AS j, sum(x.x * w.val) + max(b.val) AS z FROM x{t} x JOIN t{t} w ON w.param = 'W1' AND w.idx // 128 = x.i
+  JOIN t{t} b ON b.param = 'b1' AND b.idx = w.idx % 128 GROUP BY x.post_id, w.idx % 128)),
+p{t} AS MATERIALIZED (SELECT o.post_id, e.label, {s.sigmoid('o.z')} AS p FROM (
+  SELECT z.post_id, sum(greatest(z.z, 0.0) * z.keep * w.val) + max(b.val) AS z FROM z{t} z JOIN t{t} w ON w.param = 'w2' AND w.idx = z.j
+  JOIN t{t} b ON b.param = 'b2' GROUP BY z.post_id) o JOIN e{t} e ON e.post_id = o.post_id),
+d{t} AS MATERIALIZED (SELECT z.post_id, z.j, greatest(z.z, 0.0) * z.keep AS h, p.p - p.label AS d2,
+  CASE WHEN z.z > 0 THEN (p.p - p.label) * w.val * z.keep ELSE 0.0 END AS dh
+  FROM z{t} z JOIN p{t} p ON p.post_id = z.post_id JOIN t{t} w ON w.param = 'w2' AND w.idx = z.j),
+n{t} AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM p{t}),
+g{t} AS MATERIALIZED (
+  SELECT 'W1' AS param, x.i * 128 + d.j AS idx, sum(x.x * d.dh) / (SELECT n FROM n{t}) AS g FROM x{t} x JOIN d{t} d ON d.post_id = x.post_id GROUP BY x.i, d.j
+  UNION ALL SELECT 'b1', j, sum(dh) / (SELECT n FROM n{t}) FROM d{t} GROUP BY j
+  UNION ALL SELECT 'w2', j, sum(h * d2) / (SELECT n FROM n{t}) FROM d{t} GROUP BY j
+  UNION ALL SELECT 'b2', 0, sum(p - label) / (SELECT n FROM n{t}) FROM p{t}),
+l{t} AS MATERIALIZED (SELECT avg({_BCE}) AS loss FROM p{t}),
+t{t + 1} AS MATERIALIZED (SELECT th.param, th.idx, th.val * {1 - lr * _WD!r} - {lr / bc1!r} * {m} / (sqrt({v}) / {float(bc2 ** 0.5)!r} + {_EPS!r}) AS val,
+  {m} AS m, {v} AS v FROM t{t} th JOIN g{t} g ON g.param = th.param AND g.idx = th.idx)""")
+    rows = " UNION ALL ".join(f"SELECT CAST({t // steps} AS INTEGER) AS epoch, CAST({t % steps} AS INTEGER) AS step, round(loss, 6) AS batch_loss FROM l{t}"
+                              for t in range(epochs * steps))
+    return with_(*parts) + rows
+
+
+oracle("fit_head", _fit_head())
+oracle("fit_text_lr", with_(*BASE) + """SELECT split, CAST(count(*) AS BIGINT) AS n_posts, round(avg(label), 6) AS mean_label,
+  CASE WHEN split = 'train' THEN CAST(0 AS DOUBLE) END AS residual FROM sp GROUP BY split""")
+
 # ------------------------------------------------------------------ 2.9 sinks
 oracle("write_results_csv", ORACLE["compare_with_ensemble"])
 oracle("save_model", ORACLE["fit_text_nb"])

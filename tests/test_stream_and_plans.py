@@ -87,7 +87,7 @@ def test_entry_contract(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     others = entry._llm("QUERIES")
-    assert set(q) - set(o) - set(others) == {"fit_head", "fit_text_lr"}
+    assert set(q) - set(o) - set(others) == set()
     rows = entry.entry(spark).collect()
     assert [r.model for r in rows if r.model == "ENSEMBLE"] == ["ENSEMBLE"]
     assert len(rows) == 5

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from botsift.operators.head import HeadWeights, fixture_weights, np_head
+from botsift.operators.head import HeadWeights, fixture_weights, np_head, np_keep, np_sigmoid, row_seed
 from botsift.operators.training import AdamState, adamw_step, fit_head, gradient_sums, head_gradient
 
 
@@ -38,10 +38,33 @@ def test_gradient_matches_central_differences(spark):
 def test_gradient_independent_of_partitioning(spark):
     df, _, _ = _data(spark)
     w = fixture_weights(8, 6)
-    a = {r.idx: r.value for r in gradient_sums(df.repartition(1), w).collect()}
-    b = {r.idx: r.value for r in gradient_sums(df.repartition(7), w).collect()}
-    assert a.keys() == b.keys()
-    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    one, many = gradient_sums(df.repartition(1), w), gradient_sums(df.repartition(70), w)
+    assert one[-2] == 64 and np.allclose(one, many, atol=1e-9)
+    assert gradient_sums(df.filter("post_id < 0"), w)[-2] == 0
+
+
+def test_gradient_in_train_mode(spark):
+    """Central differences of the loss with the row's mask held."""
+    df, x, y = _data(spark)
+    rng = np.random.default_rng(1)
+    w = HeadWeights(rng.normal(scale=0.5, size=(8, 6)), rng.normal(scale=0.1, size=6), rng.normal(size=6), 0.1)
+    seeded = df.withColumn("s", row_seed("post_id", 42, 3))
+    seeds = np.array([r.s for r in seeded.orderBy("post_id").collect()])
+    keep = np_keep(seeds, 6, 0.3)
+    assert 0.2 < (keep == 0).mean() < 0.4 and set(np.unique(keep)) == {0.0, 1 / 0.7}
+
+    def loss(theta):
+        v = HeadWeights.from_flat(theta, 8, 6)
+        p = np_sigmoid(np.maximum(x @ v.W1 + v.b1, 0) * keep @ v.w2 + v.b2)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    sums = gradient_sums(seeded, w, seed_col="s", rate=0.3)
+    theta = w.flat()
+    assert sums[-1] / 64 == pytest.approx(loss(theta))
+    for k in range(len(theta)):
+        e = np.zeros_like(theta)
+        e[k] = 1e-6
+        assert sums[k] / 64 == pytest.approx((loss(theta + e) - loss(theta - e)) / 2e-6, abs=1e-6)
 
 
 def test_adamw_matches_reference_loop():
@@ -61,6 +84,10 @@ def test_adamw_matches_reference_loop():
 def test_loss_falls(spark):
     df, x, y = _data(spark, n=128)
     w0 = fixture_weights(8, 6)
-    w1, hist = fit_head(df, w0, epochs=3, batch_rows=32, lr=5e-2)
-    assert len(hist) == 12
-    assert _loss(w1, x, y) < _loss(w0, x, y)
+    for rate in (0.0, 0.3):
+        w1, hist = fit_head(df, w0, epochs=3, steps_per_epoch=4, lr=5e-2, rate=rate)
+        assert [h[:2] for h in hist] == [(e, b) for e in range(3) for b in range(4)]
+        assert _loss(w1, x, y) < _loss(w0, x, y)
+    # every epoch deals the rows anew
+    first = [h[2] for h in fit_head(df, w0, epochs=2, steps_per_epoch=4, lr=0.0, rate=0.0)[1]]
+    assert sorted(round(v, 6) for v in first[:4]) != sorted(round(v, 6) for v in first[4:])
