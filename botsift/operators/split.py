@@ -62,11 +62,11 @@ def _in_bucket(prefix: str) -> Column:
 
 def _refine_edges(keyed: DataFrame, edges, label_col: str, max_edge_rows: int):
     """Narrow a boundary bucket holding more than ``max_edge_rows`` rows to the sub-bucket (next
-    REFINE_HEX hex digits) that holds its k-th row, so that the final ranking never sees more
-    than about ``max_edge_rows`` rows whatever the table size. Each round is one filtered scan and
-    a histogram of at most 16**REFINE_HEX rows per class (bounded, so collected). A round that no
-    longer shrinks the bucket (one heavily repeated key fills it) ends the refinement; copies of
-    a key are collapsed before ranking anyway."""
+    REFINE_HEX hex digits) that holds its k-th row, so that the final ranking sees about
+    ``max_edge_rows`` rows whatever the table size. Each round is one filtered scan of the keys and
+    a histogram of at most 16**REFINE_HEX rows per class. A round that no longer shrinks the
+    bucket (one heavily repeated key fills it) ends the refinement: copies of a key are one
+    row in the ranking, so what is ranked then is a few distinct keys."""
     edges = list(edges)
     while True:
         big = [e for e in edges if e[3] > max_edge_rows and len(e[1]) < 32]
@@ -76,23 +76,16 @@ def _refine_edges(keyed: DataFrame, edges, label_col: str, max_edge_rows: int):
         plen = {e[0]: min(32, len(e[1]) + REFINE_HEX) for e in big}
         sub_b = reduce(lambda acc, e: acc.when(_class_pred(label_col, e[0]), F.substring(F.col(H), 1, plen[e[0]])),
                        big[1:], F.when(_class_pred(label_col, big[0][0]), F.substring(F.col(H), 1, plen[big[0][0]])))
-        rows = (keyed.filter(cond).groupBy(F.col(label_col).alias("_y"), sub_b.alias("_sb"))
-                .agg(F.count(F.lit(1)).alias("_n")).collect())
-        by_class = {}
-        for r in rows:
-            by_class.setdefault(r["_y"], []).append((r["_sb"], r["_n"]))
-        shrunk = False
-        out = [e for e in edges if e not in big]
-        for c, prefix, k, n in big:
-            before, found = 0, None
-            for sb, m in sorted(by_class.get(c, [])):
-                if before < k <= before + m:
-                    found = (c, sb, k - before, m)
-                    break
-                before += m
-            # the sub-histogram re-reads the input; if it disagrees, keep the coarser bucket
-            out.append(found or (c, prefix, k, n))
-            shrunk = shrunk or (found is not None and found[3] < n)
+        # the sub-bucket of each class that holds its k-th row, found in Spark: one row per class comes back
+        k_col = reduce(lambda acc, e: acc.when(_class_pred("_y", e[0]), F.lit(e[2])), big[1:],
+                       F.when(_class_pred("_y", big[0][0]), F.lit(big[0][2])))
+        sub = keyed.filter(cond).groupBy(F.col(label_col).alias("_y"), sub_b.alias("_sb")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = Window.partitionBy("_y").orderBy("_sb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sub = sub.withColumn("_incl", F.sum("_n").over(upto)).withColumn("_k", k_col)
+        sub = sub.filter((F.col("_incl") >= F.col("_k")) & (F.col("_incl") - F.col("_n") < F.col("_k")))
+        found = {r["_y"]: (r["_y"], r["_sb"], r["_k"] - (r["_incl"] - r["_n"]), r["_n"]) for r in sub.collect()}
+        out = [e for e in edges if e not in big] + [found.get(e[0], e) for e in big]
+        shrunk = any(c in found and found[c][3] < n for c, _, _, n in big)
         edges = out
         if not shrunk:
             return edges
@@ -101,7 +94,9 @@ def _refine_edges(keyed: DataFrame, edges, label_col: str, max_edge_rows: int):
 def split_stratified_exact(df: DataFrame, label_col: str = "label", key_col: str = "post_id",
                            seed: int = 42, test_share: float = 0.2, split_col: str = "split",
                            bucket_hex: int = BUCKET_HEX, max_edge_rows: int = MAX_EDGE_ROWS) -> DataFrame:
-    keyed = df.withColumn(H, hash_key(seed, key_col)).withColumn(B, F.substring(F.col(H), 1, bucket_hex))
+    # everything but the last step works on (class, key, hash), written once: the texts are read once more, at the end
+    keyed = materialize(df.select(label_col, key_col, hash_key(seed, key_col).alias(H)), "split-keys")
+    keyed = keyed.withColumn(B, F.substring(F.col(H), 1, bucket_hex))
 
     # 1. bounded histogram (map-side combined), materialised once in the shared folder
     hist = keyed.groupBy(label_col, B).agg(F.count(F.lit(1)).alias("_n"))
@@ -109,9 +104,9 @@ def split_stratified_exact(df: DataFrame, label_col: str = "label", key_col: str
     hist = hist.withColumn("_incl", F.sum("_n").over(w)).withColumn("_before", F.col("_incl") - F.col("_n"))
     hist = materialize(hist, "split-hist")
 
-    counts = {r[0]: r[1] for r in hist.groupBy(label_col).agg(F.sum("_n")).collect()}
+    counts = {r[0]: r[1] for r in hist.groupBy(label_col).agg(F.sum("_n")).limit(MAX_CLASSES + 1).collect()}
     if len(counts) > MAX_CLASSES:
-        raise ValueError(f"{len(counts)} classes; a stratified split expects a class label")
+        raise ValueError(f"more than {MAX_CLASSES} classes; a stratified split expects a class label")
     if None in counts:
         raise ValueError("null labels: drop incomplete rows before splitting")
     quotas = stratified_quotas(counts, test_share)
@@ -152,7 +147,8 @@ def split_stratified_exact(df: DataFrame, label_col: str = "label", key_col: str
             h_cut, k_cut = cutoffs[c]
             cond = (F.col(H) < F.lit(h_cut)) | ((F.col(H) == F.lit(h_cut)) & (F.col(key_col) <= F.lit(k_cut)))
         is_test = is_test | (_class_pred(label_col, c) & cond)
-    return keyed.withColumn(split_col, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop(H, B)
+    rows = df.withColumn(H, hash_key(seed, key_col))
+    return rows.withColumn(split_col, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop(H)
 
 
 def split_stratified_hash(df: DataFrame, key_col: str = "post_id", seed: int = 42, test_share: float = 0.2,

@@ -13,18 +13,22 @@ empty (``_overflow`` null), iff the raw record kept in ``_corrupt_record`` has m
 That count is two regex passes: doubled quotes, then quoted fields are removed, and the
 separators left are counted.
 
-``multiLine`` (needed for quoted line breaks) makes each file one task; for large inputs convert
-once to parquet with :func:`csv_to_parquet` and read that.
+Before reading, one distributed pass over the lines surveys the files: the header of each, and whether
+any line has an odd number of quotes. Without such a line no quoted field holds a line break, and files are
+split over tasks; otherwise ``multiLine`` keeps each file whole. Files whose headers name the same
+columns in another order are read apart and matched by name; other columns are an error.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from botsift.session import materialize
 from botsift.sources.columns import q
 
 OVERFLOW = "_overflow"
@@ -42,6 +46,8 @@ ON_BAD = ("skip", "fail", "keep")
 def _reader(spark: SparkSession, sep: str, multi_line: bool):
     return (spark.read.option("header", True).option("sep", sep).option("quote", '"')
             .option("escape", '"').option("multiLine", multi_line).option("encoding", "UTF-8")
+            # the bad-line rule needs every field of a line, also when the caller selects a few columns
+            .option("columnPruning", False)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
@@ -63,15 +69,52 @@ def header_columns(spark: SparkSession, path: str, sep: str = ",", multi_line: b
     return _reader(spark, sep, multi_line).csv(path).columns
 
 
+#: different headers among the files of one source
+MAX_HEADERS = 16
+
+
+def survey_files(spark: SparkSession, path) -> DataFrame:
+    """(file, header, odd): the first line of each file, and whether a line has an odd number of quotes."""
+    value = F.col("value")
+    odd = F.pmod(F.length(value) - F.length(F.replace(value, F.lit('"'))), F.lit(2))
+    lines = spark.read.text(path).select(
+        F.input_file_name().alias("file"), F.struct(F.input_file_block_start().alias("at"), F.monotonically_increasing_id().alias("id")).alias("place"),
+        "value", odd.alias("odd"))
+    return lines.groupBy("file").agg(F.min_by("value", "place").alias("header"), (F.max("odd") > 0).alias("odd"))
+
+
 def read_posts_csv(spark: SparkSession, path: str, sep: str = ",", on_bad: str = "skip",
-                   null_words=NULL_WORDS, multi_line: bool = True, columns: list[str] | None = None) -> DataFrame:
-    """Read a delimited posts file with a header; every column is a string.
+                   null_words=NULL_WORDS, multi_line: bool | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Read delimited posts files with a header each; every column is a string. ``multi_line=None``: whole
+    files only where a quoted field may hold a line break (see :func:`survey_files`).
 
-    on_bad='skip' drops over-long lines (training / evaluation scripts), 'fail' stops the job on
-    one (prepared test files), 'keep' keeps them (surplus fields dropped).
+    on_bad='skip' drops over-long lines, 'fail' stops the job on one, 'keep' keeps them.
     """
     if on_bad not in ON_BAD:
         raise ValueError(f"on_bad must be one of {ON_BAD}")
+    files = materialize(survey_files(spark, path), "csv-files")
+    headers = [r["header"] for r in files.select("header").distinct().orderBy("header").limit(MAX_HEADERS + 1).collect()]
+    if multi_line is None:
+        multi_line = files.filter("odd").limit(1).count() > 0
+    if len(headers) <= 1:
+        return _read_alike(spark, path, sep, on_bad, null_words, multi_line, columns)
+    if len(headers) > MAX_HEADERS:
+        raise ValueError(f"{path}: more than {MAX_HEADERS} different headers")
+    parts = []
+    for h in headers:  # as many reads as there are headers
+        same = [r["file"] for r in files.filter(F.col("header") == F.lit(h)).select("file").collect()]
+        parts.append(_read_alike(spark, same, sep, on_bad, null_words, multi_line, columns))
+    if len({frozenset(p.columns) for p in parts}) > 1:
+        raise ValueError(f"{path}: the files' headers name different columns: {sorted({tuple(p.columns) for p in parts})[:3]}")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _read_alike(spark: SparkSession, path, sep: str, on_bad: str, null_words, multi_line: bool, columns: list[str] | None) -> DataFrame:
+    """Read files that have one header. Every column is a string.
+
+    on_bad='skip' drops over-long lines (training / evaluation scripts), 'fail' stops the job on
+    one (prepared test files), 'keep' keeps them (surplus fields dropped).
+    """
     cols = columns or header_columns(spark, path, sep, multi_line)
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols]
                           + [T.StructField(OVERFLOW, T.StringType(), True),

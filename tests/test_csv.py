@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from botsift.sources.csv import read_posts_csv, read_prepared_test, write_csv
 from botsift.sources.columns import normalize_columns, detect_columns, select_text_label
@@ -101,3 +102,41 @@ def test_regex_special_separator(spark):
     content = 'a|text|label\n1|"x|y"|bot\n2|t|bot||\n3|u|human\n'
     rows = {r.a: r for r in read_posts_csv(spark, _file(content), sep="|").collect()}
     assert set(rows) == {"1", "3"} and rows["1"].text == "x|y"
+
+
+def _write(folder, **files):
+    import os
+
+    os.makedirs(folder)
+    for name, text in files.items():
+        with open(f"{folder}/{name}.csv", "w", newline="") as f:
+            f.write(text)
+    return folder
+
+
+def test_files_with_columns_in_another_order_are_matched_by_name(spark, tmp_path):
+    path = _write(str(tmp_path / "a"), one="text,label\nhello,bot\n", two="label,text\nhuman,world\nbot,NA\n")
+    rows = read_posts_csv(spark, path).collect()
+    assert sorted((r.text or "", r.label) for r in rows) == [("", "bot"), ("hello", "bot"), ("world", "human")]
+    path = _write(str(tmp_path / "b"), one="text,label\nhello,bot\n", two="label,body\nhuman,world\n")
+    with pytest.raises(ValueError, match="different columns"):
+        read_posts_csv(spark, path)
+
+
+def test_a_large_file_without_quoted_line_breaks_is_split(spark, tmp_path):
+    rows = "".join(f'{i};"text; ""{i}""";bot\n' if i % 3 else f"{i};plain;bot;surplus;x\n" for i in range(20_000))
+    path = _write(str(tmp_path / "a"), one="a;text;label\n" + rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        split = read_posts_csv(spark, path, sep=";")
+        whole = read_posts_csv(spark, path, sep=";", multi_line=True)
+        parts = lambda df: df.select(F.spark_partition_id()).distinct().count()
+        assert parts(split) > 3 and parts(whole) == 1
+        assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.collect()))
+        assert split.count() == sum(i % 3 > 0 for i in range(20_000))
+        broken = _write(str(tmp_path / "b"), one='a;text;label\n1;"two\nlines";bot\n' + rows)
+        read = read_posts_csv(spark, broken, sep=";")
+        assert parts(read) == 1 and read.filter("text = 'two\nlines'").count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

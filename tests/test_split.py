@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -62,9 +63,19 @@ def test_heavily_repeated_key(spark):
     df = spark.createDataFrame(rows, "post_id string, label int")
     got = split_stratified_exact(df, bucket_hex=1).collect()
     assert len(got) == 900
-    sides = {r.split for r in got if r.post_id == "hot"}
-    assert len(sides) == 1
-    want, _ = _expected([(k, y) for k, y in rows if k != "hot"] + [("hot", 1)])
+    # by hand: each class in (hash, key) order with its copies; the key that reaches the quota is the last in the test part
+    quotas = stratified_quotas({0: 300, 1: 600}, 0.2)
+    want = set()
+    for y, quota in quotas.items():
+        copies = Counter(k for k, label in rows if label == y)
+        reached = 0
+        for k in sorted(copies, key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k)):
+            if reached >= quota:
+                break
+            want.add((k, y))
+            reached += copies[k]
+    assert {(r.post_id, r.label) for r in got if r.split == "test"} == want
+    assert len({r.split for r in got if r.post_id == "hot"}) == 1
 
 
 def test_boundary_bucket_refinement_matches_brute_force(spark):
