@@ -26,6 +26,10 @@ HEADLINE = (
     "encode_ids",
     "head_gradient",
     "stream_predict",
+    "read_posts_semicolon",
+    "score_large_vocabulary",
+    "fit_head",
+    "fit_text_lr",
 )
 
 

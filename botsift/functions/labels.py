@@ -44,9 +44,9 @@ def label_as_int(c, name: str = "label") -> Column:
 NULL_TEXT_MODES = ("drop", "nan", "empty")
 
 
-def text_as_string(c, null_text: str = "nan") -> Column:
-    """Text to string. A missing text becomes the word 'nan' (what ``astype(str)`` gives a NaN),
-    or '' with ``null_text='empty'``; with 'drop' it stays null so that the row can be dropped."""
+def text_as_string(c, null_text: str = "drop") -> Column:
+    """Text to string. A missing text stays null, so that the row can be dropped; with 'nan' it becomes
+    that word (what ``astype(str)`` gives a NaN), with 'empty' the empty text."""
     v = _c(c).cast("string")
     if null_text == "nan":
         return F.coalesce(v, F.lit("nan"))

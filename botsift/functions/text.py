@@ -8,7 +8,7 @@ Everything stays inside whole-stage codegen; no Python UDF.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters for which Python's str.isspace() is true, i.e. Unicode White_Space
@@ -79,20 +79,19 @@ def clean(c, profile: str = "strong") -> Column:
 TRACE_STEPS = ("original", "urls_removed", "tags_removed", "non_letters_removed", "lowercased")
 
 
-def clean_trace(c) -> Column:
-    """Array of (step_no, step, value) structs, one per stage of the strong cleaning.
+def clean_trace(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, step_no, step, value): one row per stage of the strong cleaning.
 
-    Each stage is written once and reused by the next, so the regexes run once per post.
+    Each stage is a column of a projection of its own, made from the one before; only then the columns become
+    rows (under ``inline`` the whole chain would be written out again for every stage).
     """
-    s0 = _c(c)
-    s1 = strip_urls(s0)
-    s2 = strip_tags(s1)
-    s3 = strip_non_letters(s2)
-    s4 = lower_strip(s3)
-    return F.array(*[
-        F.struct(F.lit(i + 1).alias("step_no"), F.lit(name).alias("step"), v.alias("value"))
-        for i, (name, v) in enumerate(zip(TRACE_STEPS, (s0, s1, s2, s3, s4)))
-    ])
+    stages = [f"_{name}" for name in TRACE_STEPS]
+    out = df.select(*keep, F.col(text_col).alias(stages[0]))
+    for rule, before, after in zip((strip_urls, strip_tags, strip_non_letters, lower_strip), stages, stages[1:]):
+        out = out.withColumn(after, rule(before))
+    return out.select(*keep, F.inline(F.array(*[
+        F.struct(F.lit(i + 1).alias("step_no"), F.lit(name).alias("step"), F.col(f"_{name}").alias("value"))
+        for i, name in enumerate(TRACE_STEPS)])))
 
 
 def is_blank(c) -> Column:

@@ -180,7 +180,7 @@ def q_clean_raw(spark, sf):
 
 @query("clean_trace")
 def q_clean_trace(spark, sf):
-    return tables.markup(spark, sf).select("post_id", F.inline(tx.clean_trace("text")))
+    return tx.clean_trace(tables.markup(spark, sf), "text", "post_id")
 
 
 # ------------------------------------------------------------------ 2.4 split
@@ -224,6 +224,15 @@ def q_score_text(spark, sf):
     return _round_p(ev.wide.withColumnRenamed(prob_col("nb_word"), "p")).select("post_id", "label", "p")
 
 
+@query("score_large_vocabulary")
+def q_score_large_vocabulary(spark, sf):
+    """A term table beyond the broadcast bound (set low here): hot terms broadcast, the tail joined by shuffle."""
+    sp = split_posts(spark, sf)
+    models = fit_all_models(sp.filter(F.col("split") == "train"), [DEFAULT_REGISTRY[1]])
+    wide = score_models(sp.filter(F.col("split") == "test"), models, max_broadcast_rows=500, profile=DEFAULT_PROFILE)
+    return wide.select("post_id", "label", round6(prob_col("nb_bigram")).alias("p"))
+
+
 @query("predict_threshold")
 def q_predict_threshold(spark, sf):
     ev = evaluation(spark, sf, [DEFAULT_REGISTRY[0]])

@@ -75,6 +75,8 @@ oracle("fit_all_models", with_(*BASE, *[s.nb_fit(k, m, "tr") for m, k in s.REGIS
     + ["SELECT 'style', 'style', CAST(0 AS BIGINT), CAST(0.0 AS DOUBLE)"]))
 _ZW = "(SELECT te.post_id, te.label, z.z FROM te JOIN nb_word_z z ON te.post_id = z.post_id)"
 oracle("score_text", with_(*BASE, *_NB_WORD) + f"SELECT post_id, label, round({s.sigmoid('z')}, 6) AS p FROM {_ZW}")
+oracle("score_large_vocabulary", with_(*BASE, s.nb_fit("bigram", "nb_bigram", "tr"), s.nb_score("bigram", "nb_bigram", "te"))
+       + f"SELECT te.post_id, te.label, round({s.sigmoid('z.z')}, 6) AS p FROM te JOIN nb_bigram_z z ON te.post_id = z.post_id")
 oracle("predict_threshold", with_(*BASE, *_NB_WORD)
        + f"SELECT post_id, label, CAST({s.sigmoid('z')} > 0.5 AS INTEGER) AS predicted FROM {_ZW}")
 oracle("decode_label", with_(*BASE, *_NB_WORD)

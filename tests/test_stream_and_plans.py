@@ -61,8 +61,9 @@ def test_a_replayed_batch_counts_once(spark):
 
 
 def test_cleaning_stays_in_the_jvm(spark):
-    df = tables.markup(spark, SF_SMALL).select(tx.clean_strong("text"), F.inline(tx.clean_trace("text")))
-    plan = _plan(df)
+    df = tables.markup(spark, SF_SMALL)
+    plan = _plan(df.select(tx.clean_strong("text"))) + (trace := _plan(tx.clean_trace(df, "text", "post_id")))
+    assert trace.count("regexp_replace") == 4       # every stage is computed once
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 

@@ -106,7 +106,7 @@ def test_random_unicode_matches_python(spark):
 
 def test_trace_steps(spark):
     df = spark.createDataFrame([("1", '<a href="http://x.com">link</a> tail')], "post_id string, text string")
-    rows = df.select("post_id", F.inline(tx.clean_trace("text"))).orderBy("step_no").collect()
+    rows = tx.clean_trace(df, "text", "post_id").orderBy("step_no").collect()
     assert [r.step for r in rows] == list(tx.TRACE_STEPS)
     assert rows[-1].value == "a href tail"
     assert rows[1].value == '<a href=" tail'
