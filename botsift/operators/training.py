@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from botsift.config import DROPOUT, LEARNING_RATE, SEED
 from botsift.functions.numeric import bce, hash_key
 from botsift.operators.head import HeadWeights, np_keep, np_sigmoid, row_seed
-from botsift.session import scratch_path
+from botsift.session import discard, scratch_path
 
 # AdamW defaults (published formulas): betas, eps, weight decay.
 BETA1, BETA2, EPS, WEIGHT_DECAY = 0.9, 0.999, 1e-8, 0.01
@@ -154,4 +154,5 @@ def fit_head(df: DataFrame, w0: HeadWeights, epochs: int = 1, steps_per_epoch: i
                 continue
             history.append((ep, b, float(sums[-1] / n)))
             theta = adamw_step(theta, sums[:-2] / n, state, lr=lr)
+        discard(spark, path)
     return HeadWeights.from_flat(theta, w0.d_in, w0.width), history

@@ -63,7 +63,17 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(spark: SparkSession, written) -> None:
+    """Delete a table of :func:`materialize` (or a folder of :func:`scratch_path`) that no later plan reads."""
+    path = written if isinstance(written, str) else getattr(written, "_written_at", None)
+    if path and path.startswith(shared_dir(spark).rstrip("/") + "/"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship_package(spark: SparkSession) -> None:
