@@ -16,11 +16,13 @@ import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botsift.llm.common import buffer_of, id_and_text
+from botsift.llm.common import buffer_of, id_and_text, steps
 from botsift.session import scratch_path
 
 #: text bytes of a block; a longer text is a block of its own
 BLOCK_BYTES = 12 << 20
+#: text bytes of one row of a block
+PART_BYTES = 1 << 19
 SCHEMA = "kind string, block long, shard int, payload binary"
 
 
@@ -46,6 +48,11 @@ def rising(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values[:1] * 0)
 
 
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A block's text rows as one batch."""
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def texts_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a block's texts, counted from its first."""
     raw, offsets = buffer_of(batch.column(1))
@@ -62,7 +69,8 @@ def write_blocks(docs: DataFrame, ask: Callable[[int, pa.RecordBatch], Iterator[
                  block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
                  carry: Sequence[str] = ()) -> DataFrame:
     """Write the texts in blocks, with what ``ask`` (block number, rows) yields for each of them, and
-    read all of it back. Texts are rows of kind ``text``: id, text and the columns ``carry``, in this order."""
+    read all of it back. Texts are rows of kind ``text``: id, text and the columns ``carry``, in this order; a block's
+    texts come in several rows, numbered by ``shard``, which stay small for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -73,7 +81,8 @@ def write_blocks(docs: DataFrame, ask: Callable[[int, pa.RecordBatch], Iterator[
             nonlocal number, held, size
             table = pa.Table.from_batches(held).combine_chunks()
             block = table.to_batches()[0]
-            yield rows("text", [number], [0], [pack(**{str(i): c for i, c in enumerate(block.columns)})])
+            for i, part in enumerate(steps(block, block.schema.names[1], PART_BYTES)):
+                yield rows("text", [number], [i], [pack(**{str(k): c for k, c in enumerate(part.columns)})])
             yield from ask(number, block)
             number, held, size = number + 1, [], 0
 
@@ -137,8 +146,9 @@ def by_shard(df: DataFrame, *more: str) -> DataFrame:
     return df.repartition("shard").sortWithinPartitions("shard", *more)
 
 
-def by_block(df: DataFrame, *more: str) -> DataFrame:
-    return df.repartition("block").sortWithinPartitions("block", *more)
+def by_block(df: DataFrame) -> DataFrame:
+    """Rows brought together by block, in the order of their kinds and numbers."""
+    return df.repartition("block").sortWithinPartitions("block", "kind", "shard")
 
 
 def shard_count(docs: DataFrame, text_col: str, bytes_each: int) -> int:

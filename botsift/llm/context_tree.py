@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botsift.llm.blocks import by_block, by_shard, numbers, pack, rising, rows, runs_of, shard_count, texts_of, unpack, write_blocks
+from botsift.llm.blocks import by_block, by_shard, joined, numbers, pack, rising, rows, runs_of, shard_count, texts_of, unpack, write_blocks
 from botsift.session import materialize
 
 MODULUS = 10
@@ -356,7 +356,7 @@ def text_scores(shards: int, smoothing: float, train_ends: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in runs_of(batches, "block"):
-            codes, cost, replies, block = [], [], {}, None
+            codes, cost, replies, block = [], [], {}, []
             for row in part:
                 b = unpack(row["payload"])
                 if row["kind"] == "costs":
@@ -365,7 +365,8 @@ def text_scores(shards: int, smoothing: float, train_ends: int):
                 elif row["kind"] == "counts":
                     replies[row["shard"]] = numbers(b, "counts")
                 else:
-                    block = b
+                    block.append(b)
+            block = joined(block)
             table = Costs(np.concatenate(codes), np.concatenate(cost))
             raw, offsets = texts_of(block)
             raw = lower(raw)
@@ -410,7 +411,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens, distinct = sums[0] + ends, sums[1] + (1 if ends else 0)
     # "costs" and "counts" sort before "text"
     back = costs.unionByName(counts.where(F.col("kind") == "counts").select(order)).unionByName(kinds["text"].select(order))
-    out = by_block(back, "kind").mapInArrow(
+    out = by_block(back).mapInArrow(
         text_scores(shards, smoothing, ends),
         "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long")
     each = float(np.log10(tokens + smoothing * (distinct + 1)))

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from botsift.llm.blocks import by_block, by_shard, numbers, pack, rising, rows, runs_of, shard_count, texts_of, unpack, write_blocks
+from botsift.llm.blocks import by_block, by_shard, joined, numbers, pack, rows, runs_of, shard_count, texts_of, unpack, write_blocks
 
 LENGTH = 100
 SEED = 24
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 HOT_CONTEXTS = 50_000
 #: window starts that are looked at in one step
 PIECE = 1 << 17
@@ -185,18 +185,18 @@ def contexts(shards: int, length: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in runs_of(batches, "block"):
-            many, hot, block = [], [], None
+            many, hot, block = [], [], []
             for row in part:
                 b = unpack(row["payload"])
                 if row["kind"] == "again":
                     key = np.uint64(row["shard"]) << np.uint64(32) | numbers(b, "key").astype(np.uint64)
                     many.append(key)
                     hot.append(key[numbers(b, "hot")])
-                else:
-                    block = b
+                elif many:
+                    block.append(b)
             if not many:
                 continue
-            block, doc, text = in_order(block)
+            block, doc, text = in_order(joined(block))
             raw, offsets = texts_of(block)
             place, lo, hi, h = anchors(raw, offsets, length, seed)
             shard, key = keys_of(h, shards)
@@ -444,47 +444,52 @@ def compared(length: int):
     return run
 
 
+def united(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each row in order, those that touch or overlap as one."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    if not len(row):
+        return row, start, stop
+    # far-apart rows on one line, so that one running maximum does for all
+    shift = row.astype(np.int64) * (int(stop.max()) + 2)
+    reach = np.maximum.accumulate(stop + shift)
+    new = np.concatenate([[True], (start + shift)[1:] > reach[:-1]])
+    first = np.flatnonzero(new)
+    return row[first], start[first], np.maximum.reduceat(stop, first)
+
+
 def removed(carried: list[str]):
     """Per block: spans first, then the texts; the spans of each text united, and what is left of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in runs_of(batches, "block"):
-            found, block = [], None
+            found, block = [], []
             for row in part:
                 b = unpack(row["payload"])
                 if row["kind"] == "spans":
                     found.append([numbers(b, c) for c in ("row", "start", "stop")])
                 else:
-                    block = b
-            block, _, _ = in_order(block)
+                    block.append(b)
+            block, _, _ = in_order(joined(block))
             raw, offsets = texts_of(block)
-            depth = np.zeros(len(raw) + 1, np.int32)
-            if found:
-                row, start, stop = (np.concatenate(x) for x in zip(*found))
-                np.add.at(depth, offsets[row] + start, 1)
-                np.add.at(depth, offsets[row] + stop, -1)
-            gone = np.cumsum(depth[:-1]) > 0
-            # a run ends with its text
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            edge = offsets[1:-1][offsets[1:-1] < len(raw)]
-            begins[edge] = gone[edge]
-            starts = np.flatnonzero(begins)
-            owner = np.searchsorted(offsets, starts, side="right") - 1
-            stays = np.concatenate([[0], np.cumsum(~gone)])
-            kept_at = stays[offsets]
-            ends = np.flatnonzero(np.concatenate([gone[:-1] & (~gone[1:] | begins[1:]), gone[-1:]])) + 1
-            per = np.bincount(owner, minlength=block.num_rows)
-            data = raw[~gone].tobytes()
-            for a in range(0, block.num_rows, 2000):
-                b = min(a + 2000, block.num_rows)
-                x, y = np.searchsorted(owner, [a, b])
-                pairs = np.stack([starts[x:y] - offsets[owner[x:y]], ends[x:y] - offsets[owner[x:y]]], 1)
-                cut = np.concatenate([[0], np.cumsum(per[a:b])]).astype(np.int32)
+            row, start, stop = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            row, start, stop = united(row, start, stop)
+            data, per = memoryview(raw), np.bincount(row, minlength=block.num_rows)
+            first = np.concatenate([[0], np.cumsum(per)])
+            for a in range(0, block.num_rows, 1000):
+                b = min(a + 1000, block.num_rows)
+                kept = []
+                for i in range(a, b):
+                    x, y, spans = int(offsets[i]), int(offsets[i + 1]), range(first[i], first[i + 1])
+                    edges = [x, *(x + int(e) for k in spans for e in (start[k], stop[k])), y]
+                    kept.append(b"".join([data[p:q] for p, q in zip(edges[::2], edges[1::2])]))
+                x, y = first[a], first[b]
+                pairs = np.stack([start[x:y], stop[x:y]], 1)
+                cut = (first[a : b + 1] - x).astype(np.int32)
                 inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * (y - x) + 1, 2, dtype=np.int32)), pa.array(pairs.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [block.column(0).slice(a, b - a), pa.array(np.diff(offsets)[a:b], pa.int64()), pa.ListArray.from_arrays(pa.array(cut), inner),
-                     pa.array([data[kept_at[i] : kept_at[i + 1]] for i in range(a, b)], pa.binary()), *[c.slice(a, b - a) for c in block.columns[2:]]],
+                     pa.array(kept, pa.binary()), *[c.slice(a, b - a) for c in block.columns[2:]]],
                     names=["doc_id", "n_bytes", "spans", "kept", *carried])
 
     return run
@@ -499,7 +504,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     order = ["kind", "block", "shard", "payload"]
     texts = written.where(F.col("kind") == "text").select(order)
     again = by_shard(written.where(F.col("kind") == "anchors").select(order)).mapInArrow(repeated(hot_contexts), COLUMNS)
-    sent = by_block(again.unionByName(texts), "kind").mapInArrow(contexts(shards, length, seed), COLUMNS)
+    sent = by_block(again.unionByName(texts)).mapInArrow(contexts(shards, length, seed), COLUMNS)
     # spans that need no comparison are dealt by block, so that they don't meet in one shard
     sent = sent.withColumn("shard", F.when(F.col("shard") < 0, F.lit(shards) + F.pmod(F.col("block"), F.lit(shards)).cast("int")).otherwise(F.col("shard")))
     spans = by_shard(sent).mapInArrow(compared(length), COLUMNS)
@@ -507,7 +512,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     shape = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()), *behind])
-    return by_block(spans.unionByName(texts), "kind").mapInArrow(removed([f.name for f in behind]), shape)
+    return by_block(spans.unionByName(texts)).mapInArrow(removed([f.name for f in behind]), shape)
 
 
 def report(found: DataFrame) -> DataFrame:
