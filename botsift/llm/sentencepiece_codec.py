@@ -31,7 +31,7 @@ from botsift.llm.common import id_and_text, list_array, steps
 
 MARK = "▁"
 #: parts kept per worker in each of the two generations of the cache
-CACHE_PARTS = 400_000
+CACHE_PARTS = 250_000
 #: symbols of a part whose agenda is a row of a table
 ROW_SYMBOLS = 32
 NONE = np.iinfo(np.int32).max
@@ -64,8 +64,10 @@ class PieceCodec:
         self._tabulate()
         self.separable = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.cache_parts = cache_parts
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        # ids of each part; the text spelt from them is kept only where it isn't the part behind a space
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.spelt: dict[str, str] = {}
         self.corrected: set[str] = set()
 
     def merge(self, part: str) -> list[int]:
@@ -226,7 +228,7 @@ class PieceCodec:
         new = []
         for k in keys:
             kept = self.old.get(k)
-            if kept:
+            if kept is not None:
                 self.young[k] = kept
             else:
                 new.append(k)
@@ -242,7 +244,9 @@ class PieceCodec:
             if own != checked or said[1:] != text:
                 own, said = checked, " " + text
                 self.corrected.add(k)
-            self.young[k] = (own, said)
+            self.young[k] = own
+            if said != " " + k:
+                self.spelt[k] = said
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[str], list[int]]:
         """Flat ids, ids per text, decoded texts, corrected parts per text."""
@@ -252,14 +256,18 @@ class PieceCodec:
         found = self.young
         flat, lengths, decoded, wrong = [], [], [], []
         for ps in cut:
-            got = [found[p] for p in ps]
-            ids = b"".join([g[0] for g in got])
+            ids = b"".join([found[p] for p in ps])
             flat.append(ids)
             lengths.append(len(ids) // 4)
-            decoded.append("".join([g[1] for g in got])[1:])
+            if self.spelt.keys().isdisjoint(ps):
+                decoded.append(" ".join(ps))
+            else:
+                decoded.append("".join([self.spelt.get(p) or " " + p for p in ps])[1:])
             wrong.append(len([p for p in ps if p in self.corrected]) if self.corrected else 0)
         if len(found) > self.cache_parts:
             self.old, self.young = found, {}
+            self.spelt = {k: t for k, t in self.spelt.items() if k in found}
+            self.corrected &= found.keys()
         return np.frombuffer(b"".join(flat), np.int32), lengths, decoded, wrong
 
 

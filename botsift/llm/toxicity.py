@@ -53,6 +53,8 @@ LEAST_ROWS, MOST_OTHER, COVER, STEMS = 4, 0.06, 6, 5_000
 #: rows that a stem has to explain for each other row it stands in
 PRICE = 4
 BEGINNINGS = range(4, 10)
+#: counts that a task holds before it passes them on
+HELD_STEMS = 100_000
 _CLAUSE = re.compile(r"[.,;:!?()\[\]|\n\r\"«»“”]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
@@ -126,14 +128,22 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[str, float]]:
     """Seeds and the stems of the greedy cover, each with its symbol and weight (log odds over 4, up to 2)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = {0: Counter(), 1: Counter()}
+        rows = Counter(), Counter()
+
+        def close():
+            both = list(rows[0].keys() | rows[1].keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(both, pa.string()), pa.array([rows[1][s] for s in both], pa.int64()), pa.array([rows[0][s] for s in both], pa.int64())],
+                names=["stem", "toxic", "other"])
+            rows[0].clear()
+            rows[1].clear()
+
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                rows[1 if y else 0].update({s for w in set(_WORD.findall(text.lower())) for s in stems_of(w)})
-        both = list(rows[0].keys() | rows[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(both, pa.string()), pa.array([rows[1][s] for s in both], pa.int64()), pa.array([rows[0][s] for s in both], pa.int64())],
-            names=["stem", "toxic", "other"])
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist()):
+                rows[1 if y else 0].update({s for w in set(_WORD.findall(text.as_py().lower())) for s in stems_of(w)})
+                if len(rows[0]) + len(rows[1]) > HELD_STEMS:
+                    yield from close()
+        yield from close()
 
     texts = sample.groupBy("text").agg(F.max("y").alias("y"))
     sizes = texts.agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)), F.sum(F.when(F.col("y") > 0, 0).otherwise(1))).first()
