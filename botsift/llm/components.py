@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botsift.session import materialize
+from botsift.session import discard, materialize
 
 SALTS = 8
 
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pair = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     pair = pair.select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct()
     pair = materialize(pair, "edges")
-    seen = None
+    spark, seen = edges.sparkSession, None
     while True:
         state = pair.agg(F.count(F.lit(1)), F.countDistinct("hi"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or not state[0]:
@@ -55,6 +55,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = smaller.join(_least(large, "hi", "lo"), ["node", "salt"]).where("v <> least").select(
             F.col("v").alias("hi"), F.col("least").alias("lo"))
         stars = large.groupBy("hi").agg(F.min("lo").alias("lo"))
-        pair = materialize(small.unionByName(stars).distinct(), "small-star")
+        before, pair = pair, materialize(small.unionByName(stars).distinct(), "small-star")
+        discard(spark, large)
+        discard(spark, before)
     labelled = pair.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return labelled.unionByName(pair.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
