@@ -16,11 +16,13 @@ import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botsift.llm.common import buffer_of, id_and_text, steps
+from botsift.llm.common import buffer_of, id_and_text, release, steps
 from botsift.session import scratch_path
 
 #: text bytes of a block; a longer text is a block of its own
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
+#: level of the compression of what travels
+LEVEL = 6
 #: text bytes of one row of a block
 PART_BYTES = 1 << 19
 SCHEMA = "kind string, block long, shard int, payload binary"
@@ -30,7 +32,7 @@ def pack(**columns) -> bytes:
     """Arrays of one length as compressed Arrow bytes."""
     batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -104,6 +106,7 @@ def write_blocks(docs: DataFrame, ask: Callable[[int, pa.RecordBatch], Iterator[
                     yield from close()
         if held:
             yield from close()
+        release()
 
     spark = docs.sparkSession
     path = scratch_path(spark, name)
@@ -139,6 +142,7 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield value, part
         for _ in part:
             pass
+    release()
 
 
 def by_shard(df: DataFrame, *more: str) -> DataFrame:

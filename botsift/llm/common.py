@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,6 +43,14 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         start = stop
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that goes on with another operator keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array without nulls (no copy)."""
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
@@ -56,3 +65,38 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     """An Arrow list column from flat values and the length of each row's list."""
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+class Slots:
+    """Open-address table of distinct codes (64-bit, not all ones): ``index`` gives the place of a slot's code, -1
+    for an empty slot."""
+
+    EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, codes: np.ndarray):
+        self.bits = max(4, int(len(codes) * 3).bit_length())
+        self.mask = np.uint64((1 << self.bits) - 1)
+        self.codes = np.full(1 << self.bits, self.EMPTY)
+        self.index = np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._home(codes), np.arange(len(codes))
+        while len(left):
+            free = self.index[slot[left]] < 0
+            self.index[slot[left[free]]] = left[free]  # of several for one slot the last stays
+            left = left[self.index[slot[left]] != left]
+            slot[left] = slot[left] + np.uint64(1) & self.mask
+        used = self.index >= 0
+        self.codes[used] = codes[self.index[used]]
+
+    def _home(self, codes: np.ndarray) -> np.ndarray:
+        return codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The slot of each code, or the empty slot where the search for it ends."""
+        slot = self._home(codes)
+        there = self.codes[slot]
+        left = np.flatnonzero((there != codes) & (there != self.EMPTY))
+        while len(left):
+            slot[left] = slot[left] + np.uint64(1) & self.mask
+            there = self.codes[slot[left]]
+            left = left[(there != codes[left]) & (there != self.EMPTY)]
+        return slot

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botsift.llm.blocks import by_block, by_shard, joined, numbers, pack, rising, rows, runs_of, shard_count, texts_of, unpack, write_blocks
+from botsift.llm.common import Slots
 from botsift.session import materialize
 
 MODULUS = 10
@@ -305,7 +306,6 @@ def word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     compressed; their number of bytes is bounded by the number of shards."""
     for shard, part in runs_of(batches, "shard"):
         held = [(r["block"], r["payload"]) for r in part]
-        total: dict = {}
         table = pa.concat_tables([pa.Table.from_batches([unpack(p)]) for _, p in held]).combine_chunks()
         code = table.column("words").chunk(0).dictionary_encode()
         index = code.indices.to_numpy(zero_copy_only=False)
@@ -315,40 +315,18 @@ def word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = unpack(payload).num_rows
             yield rows("counts", [block], [shard], [pack(counts=counts[index[at : at + n]])])
             at += n
-        del total
         yield rows("sums", [int(counts.sum())], [int((counts > 0).sum())], [b""])
 
 
 class Costs:
-    """Open-address table from codes to costs."""
+    """Costs of codes that are all known."""
 
     def __init__(self, codes: np.ndarray, cost: np.ndarray):
-        self.bits = max(4, int(len(codes) * 3).bit_length())
-        self.mask = np.uint64((1 << self.bits) - 1)
-        self.codes = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
-        self.cost = np.zeros(1 << self.bits, np.float32)
-        slot, left = self.slot(codes), np.arange(len(codes))
-        owner = np.full(1 << self.bits, -1, np.int64)
-        while len(left):
-            free = owner[slot[left]] < 0
-            owner[slot[left[free]]] = left[free]
-            left = left[owner[slot[left]] != left]
-            slot[left] = slot[left] + np.uint64(1) & self.mask
-        used = owner >= 0
-        self.codes[used], self.cost[used] = codes[owner[used]], cost[owner[used]]
-
-    def slot(self, codes: np.ndarray) -> np.ndarray:
-        return codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)
+        self.slots = Slots(codes)
+        self.cost = np.append(cost, np.float32(0))[self.slots.index]
 
     def of(self, codes: np.ndarray) -> np.ndarray:
-        slot = self.slot(codes)
-        out = self.cost[slot]
-        left = np.flatnonzero(self.codes[slot] != codes)
-        while len(left):
-            slot[left] = slot[left] + np.uint64(1) & self.mask
-            out[left] = self.cost[slot[left]]
-            left = left[self.codes[slot[left]] != codes[left]]
-        return out
+        return self.cost[self.slots.find(codes)]
 
 
 def text_scores(shards: int, smoothing: float, train_ends: int):

@@ -6,7 +6,7 @@ is worked off until no pair is left; symbols that are no pieces fall back to byt
 agendas of a batch's new parts are worked off side by side: a row of pair ranks for each part, of which
 every round takes the least; parts of more than ``ROW_SYMBOLS`` symbols have a heap each.
 No piece has the mark after another character, so no merge crosses a mark: a text is cut
-before each run of marks and every distinct part is worked off once per worker. Each new part
+before each run of marks and every distinct part is worked off once per task (while it is in the cache). Each new part
 is checked, in the Arrow batch it first appears in, against the sentencepiece library; a part that
 differs takes the library's ids and is counted in ``n_corrected``. A vocabulary with pieces that do
 cross a mark is handled as well: its texts are one part each.
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botsift.llm.common import id_and_text, list_array, steps
+from botsift.llm.common import Slots, id_and_text, list_array, release, steps
 
 MARK = "▁"
-#: parts kept per worker in each of the two generations of the cache
+#: parts kept per task in each of the two generations of the cache
 CACHE_PARTS = 250_000
 #: symbols of a part whose agenda is a row of a table
 ROW_SYMBOLS = 32
@@ -114,7 +114,7 @@ class PieceCodec:
         return ids
 
     def _tabulate(self) -> None:
-        """Numbers for all symbols that can merge, and a sorted table of the pairs that do."""
+        """Numbers for all symbols that can merge, and a table of the pairs that do."""
         symbols = sorted({*self.pieces, *{c for p in self.pieces for c in p}})
         number = {s: i for i, s in enumerate(symbols)}
         self.piece_of = np.array([self.pieces.get(s, -1) for s in symbols], np.int32)
@@ -123,16 +123,15 @@ class PieceCodec:
             if len(s) == 1:
                 self.symbol_of[ord(s)] = number[s]
         found = [(number[p[:k]] << 32 | number[p[k:]], self.rank[p], number[p]) for p in self.pieces for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
-        found.sort()
-        self.pair = np.array([f[0] for f in found] or [-1], np.int64)
-        self.pair_rank = np.array([f[1] for f in found] or [NONE], np.int32)
-        self.pair_symbol = np.array([f[2] for f in found] or [-1], np.int32)
+        self.pairs = Slots(np.array([f[0] for f in found], np.uint64))
+        self.pair_rank = np.array([f[1] for f in found] + [NONE], np.int32)   # the last stands for no pair
+        self.pair_symbol = np.array([f[2] for f in found] + [-1], np.int32)
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Place of each pair in the table, or -1."""
-        key = left.astype(np.int64) << 32 | right.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), at, -1)
+        """Number of each pair, or -1 (a symbol of -1 is in no pair)."""
+        key = left.astype(np.uint32).astype(np.uint64) << np.uint64(32) | right.astype(np.uint32)
+        found = self.pairs.index[self.pairs.find(key.ravel())].reshape(key.shape)
+        return np.where((left >= 0) & (right >= 0), found, -1)
 
     def merge_rows(self, parts: list[str], width: int) -> list[bytes]:
         """Ids (as bytes) of parts of at most ``width`` symbols: all agendas side by side."""
@@ -143,9 +142,9 @@ class PieceCodec:
         sym = np.where(inside, self.symbol_of[chars], -1)
         sym = np.concatenate([sym, np.full((n, 1), -1, np.int32)], 1)
         start = np.tile(np.arange(width + 1, dtype=np.int16), (n, 1))
-        place = np.full((n, width + 1), -1, np.int64)
+        place = np.full((n, width + 1), -1, np.int32)
         place[:, :-1] = self._look_up(sym[:, :-1], sym[:, 1:])
-        rank = np.where(place >= 0, self.pair_rank[place], NONE)
+        rank = self.pair_rank[place]
         live, columns = np.arange(n), np.arange(width + 1)
         while len(live):
             at = rank[live].argmin(1)
@@ -165,7 +164,7 @@ class PieceCodec:
                 rows, k = live[real], k[real]
                 found = self._look_up(sym[rows, k], sym[rows, k + 1])
                 place[rows, k] = found
-                rank[rows, k] = np.where(found >= 0, self.pair_rank[found], NONE)
+                rank[rows, k] = self.pair_rank[found]
             ended = live[at + 1 >= sizes[live]]
             place[ended, sizes[ended] - 1], rank[ended, sizes[ended] - 1] = -1, NONE
         left = columns < sizes[:, None]
@@ -248,6 +247,12 @@ class PieceCodec:
             if said != " " + k:
                 self.spelt[k] = said
 
+    def forget(self) -> None:
+        """Give back the memory of the parts: the worker may go on with something else."""
+        self.young, self.old, self.spelt = {}, {}, {}
+        self.corrected.clear()
+        release()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[str], list[int]]:
         """Flat ids, ids per text, decoded texts, corrected parts per text."""
         cut = [self.parts(t) for t in texts]
@@ -295,6 +300,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                      pa.array(decoded, pa.string()), pa.array(wrong, pa.int32())],
                     names=["doc_id", "ids", "decoded", "n_corrected"],
                 )
+        pieces.forget()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botsift.llm.common import id_and_text, remainder, steps
+from botsift.llm.common import id_and_text, release, remainder, steps
 from botsift.llm.labelled import MAX_LABELLED, fit_logistic, training_sample
 
 MODULUS = 5
@@ -94,7 +94,7 @@ def target_machine() -> dict:
 
 def compose(first: dict, second: dict) -> dict:
     """Both machines at once: pairs of states, the first mark that either gives, weights multiplied."""
-    arcs, seen, todo = {}, set(), [((0, 0))]
+    arcs, seen, todo = {}, set(), [(0, 0)]
     while todo:
         a, b = state = todo.pop()
         if state in seen:
@@ -144,6 +144,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, tuple[str, float]]:
                 if len(rows[0]) + len(rows[1]) > HELD_STEMS:
                     yield from close()
         yield from close()
+        release()
 
     texts = sample.groupBy("text").agg(F.max("y").alias("y"))
     sizes = texts.agg(F.sum(F.when(F.col("y") > 0, 1).otherwise(0)), F.sum(F.when(F.col("y") > 0, 0).otherwise(1))).first()
@@ -314,7 +315,9 @@ def clean_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, v = Reader(lexicon), np.array(w)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([float(reader.features(t.as_py() or "") @ v) < 0 for t in texts], pa.bool_()))
+            for part in steps(batch, "text"):
+                texts = part.column(part.schema.get_field_index("text"))
+                yield part.filter(pa.array([float(reader.features(t.as_py() or "") @ v) < 0 for t in texts], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
