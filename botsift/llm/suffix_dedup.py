@@ -458,8 +458,9 @@ def united(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return row[first], start[first], np.maximum.reduceat(stop, first)
 
 
-def removed(carried: list[str]):
-    """Per block: spans first, then the texts; the spans of each text united, and what is left of it."""
+def removed(carried: list[str], as_text: bool):
+    """Per block: spans first, then the texts; the spans of each text united, and what is left of it: bytes, or text
+    without the characters that a cut has split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in runs_of(batches, "block"):
@@ -489,16 +490,16 @@ def removed(carried: list[str]):
                 inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * (y - x) + 1, 2, dtype=np.int32)), pa.array(pairs.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [block.column(0).slice(a, b - a), pa.array(np.diff(offsets)[a:b], pa.int64()), pa.ListArray.from_arrays(pa.array(cut), inner),
-                     pa.array(kept, pa.binary()), *[c.slice(a, b - a) for c in block.columns[2:]]],
+                     pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), *[c.slice(a, b - a) for c in block.columns[2:]]],
                     names=["doc_id", "n_bytes", "spans", "kept", *carried])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
-                   shard_bytes: int = SHARD_BYTES, hot_contexts: int = HOT_CONTEXTS, carry: Sequence[str] = (), **blocks) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): removed byte spans [start, stop] of every row, and the bytes that are left;
-    the columns ``carry`` of the row behind them, as carried_0, carried_1, ..."""
+                   shard_bytes: int = SHARD_BYTES, hot_contexts: int = HOT_CONTEXTS, carry: Sequence[str] = (), as_text: bool = False, **blocks) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept): removed byte spans [start, stop] of every row, and the bytes that are left (with
+    ``as_text``: their whole characters as a string); the columns ``carry`` of the row behind them, as carried_0, carried_1, ..."""
     shards = shard_count(docs, text_col, shard_bytes)
     written = write_blocks(docs, asked(shards, length, seed), "suffix-blocks", id_col=id_col, text_col=text_col, carry=carry, **blocks)
     order = ["kind", "block", "shard", "payload"]
@@ -511,8 +512,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     behind = [T.StructField(f"carried_{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
     shape = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType()), *behind])
-    return by_block(spans.unionByName(texts)).mapInArrow(removed([f.name for f in behind]), shape)
+        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *behind])
+    return by_block(spans.unionByName(texts)).mapInArrow(removed([f.name for f in behind], as_text), shape)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -525,16 +526,7 @@ def shortened(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (columns doc_id, text and any others) with the repeats cut out of the text; characters that
     a cut has split go wholly. A column n_chars gets the new length."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = remove_repeats(docs, carry=others)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("kept")
-            texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]], names=batch.schema.names)
-
-    shape = T.StructType([T.StructField("kept", T.StringType()) if f.name == "kept" else f for f in found.drop("spans").schema])
-    found = found.drop("spans").mapInArrow(whole, shape)
+    found = remove_repeats(docs, carry=others, as_text=True)
     columns = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text": F.col("kept").alias("text")}
     columns |= {c: F.col(f"carried_{i}").alias(c) for i, c in enumerate(others)}
     if "n_chars" in others:
