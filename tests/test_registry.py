@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from table_dirs import SF_SMALL
 
 from botsift.config import DEFAULT_PROFILE
 from botsift.operators.head import fixture_weights

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from table_dirs import SF_SMALL
 
 from botsift.operators.registry import fit_all_models, load_models, save_models
 from botsift.operators.textmodels import score_models

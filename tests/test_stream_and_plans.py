@@ -5,7 +5,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from table_dirs import SF_SMALL
 
 from botsift.functions import text as tx
 from botsift.operators.registry import fit_all_models
