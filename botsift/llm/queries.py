@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from botsift.llm import (
     context_tree,
     decontamination,
+    packing,
     quality,
     sentencepiece_codec,
     simhash,
@@ -73,6 +74,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spread(read_table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree": op1_context_tree,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_packing": op11_packing,
 }
 
 ORACLE: dict[str, str] = {

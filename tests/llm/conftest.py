@@ -32,6 +32,11 @@ HARD = [(1, "one two three four five six seven eight nine ten eleven twelve"), (
         (-3, "UPPER Case and lower case"), (5, "same id, other text")]
 
 
+@pytest.fixture(scope="session")
+def hard_rows():
+    return HARD
+
+
 @pytest.fixture(scope="session")
 def hard(frame):
     return frame(HARD, "doc_id long, text string")
