@@ -11,6 +11,7 @@ from botsift.llm import (
     context_tree,
     decontamination,
     packing,
+    prefix_trie,
     quality,
     sentencepiece_codec,
     simhash,
@@ -78,6 +79,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spread(read_table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.conversation_trie(spread(read_table(spark, sf_dir, "conversations")))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree": op1_context_tree,
     "op2_toxicity": op2_toxicity,
@@ -90,10 +96,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
     "op11_packing": op11_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
     "op5_topk": topk.ORACLE,
     "op6_decontamination": decontamination.oracle(),
     "op7_warc": warc.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
