@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from botsift.llm import (
     context_tree,
     decontamination,
+    lexical_search,
     packing,
     prefix_trie,
     quality,
@@ -79,6 +80,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spread(read_table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(spread(read_table(spark, sf_dir, "documents")))
+    return lexical_search.search(index, read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = prefix_trie.conversation_trie(spread(read_table(spark, sf_dir, "conversations")))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
     "op11_packing": op11_packing,
+    "op12_lexical_search": op12_lexical_search,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -103,5 +110,6 @@ ORACLE: dict[str, str] = {
     "op5_topk": topk.ORACLE,
     "op6_decontamination": decontamination.oracle(),
     "op7_warc": warc.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }
