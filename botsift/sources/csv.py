@@ -13,23 +13,23 @@ empty (``_overflow`` null), iff the raw record kept in ``_corrupt_record`` has m
 That count is two regex passes: doubled quotes, then quoted fields are removed, and the
 separators left are counted.
 
-Before reading, one distributed pass over the lines surveys the files: the header of each, and whether
-any line has an odd number of quotes. Without such a line no quoted field holds a line break, and files are
-split over tasks; otherwise ``multiLine`` keeps each file whole. Files whose headers name the same
-columns in another order are read apart and matched by name; other columns are an error.
+Before reading, one distributed pass over the lines surveys the blocks of the files (:mod:`botsift.sources.records`). Without a
+line that ends inside a quoted field, and with one header, the files are read as lines, split over tasks. Otherwise whole
+records are put together first, by as many tasks, and parsed by the same rule; columns that stand in another order in some files are
+matched by name, other columns are an error.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from botsift.session import materialize
+from botsift.operators.joins import join_small
 from botsift.sources.columns import q
+from botsift.sources.records import records_of, survey
 
 OVERFLOW = "_overflow"
 CORRUPT = "_corrupt_record"
@@ -43,12 +43,14 @@ NULL_WORDS = (
 ON_BAD = ("skip", "fail", "keep")
 
 
+def _format(sep: str) -> dict[str, str]:
+    """How a record is parsed. The bad-line rule needs every field of a line, also when the caller selects a few columns."""
+    return {"sep": sep, "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+            "columnPruning": "false", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def _reader(spark: SparkSession, sep: str, multi_line: bool):
-    return (spark.read.option("header", True).option("sep", sep).option("quote", '"')
-            .option("escape", '"').option("multiLine", multi_line).option("encoding", "UTF-8")
-            # the bad-line rule needs every field of a line, also when the caller selects a few columns
-            .option("columnPruning", False)
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    return spark.read.options(**_format(sep)).option("header", True).option("multiLine", multi_line)
 
 
 def raw_field_count(record, sep: str):
@@ -69,69 +71,91 @@ def header_columns(spark: SparkSession, path: str, sep: str = ",", multi_line: b
     return _reader(spark, sep, multi_line).csv(path).columns
 
 
-#: different headers among the files of one source
-MAX_HEADERS = 16
-
-
-def survey_files(spark: SparkSession, path) -> DataFrame:
-    """(file, header, odd): the first line of each file, and whether a line has an odd number of quotes."""
-    value = F.col("value")
-    odd = F.pmod(F.length(value) - F.length(F.replace(value, F.lit('"'))), F.lit(2))
-    lines = spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.struct(F.input_file_block_start().alias("at"), F.monotonically_increasing_id().alias("id")).alias("place"),
-        "value", odd.alias("odd"))
-    return lines.groupBy("file").agg(F.min_by("value", "place").alias("header"), (F.max("odd") > 0).alias("odd"))
-
-
 def read_posts_csv(spark: SparkSession, path: str, sep: str = ",", on_bad: str = "skip",
                    null_words=NULL_WORDS, multi_line: bool | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Read delimited posts files with a header each; every column is a string. ``multi_line=None``: whole
-    files only where a quoted field may hold a line break (see :func:`survey_files`).
+    """Read delimited posts files with a header each; every column is a string. ``multi_line=None``: records are put together
+    where a quoted field may hold a line break; True: such fields, and each file is read whole by one task (only needed for files whose
+    lines end in a lone carriage return, which are read so anyway); False: there are none.
 
-    on_bad='skip' drops over-long lines, 'fail' stops the job on one, 'keep' keeps them.
+    on_bad='skip' drops over-long lines (training / evaluation scripts), 'fail' stops the job on one (prepared test files), 'keep'
+    keeps them (surplus fields dropped).
     """
     if on_bad not in ON_BAD:
         raise ValueError(f"on_bad must be one of {ON_BAD}")
-    files = materialize(survey_files(spark, path), "csv-files")
-    headers = [r["header"] for r in files.select("header").distinct().orderBy("header").limit(MAX_HEADERS + 1).collect()]
-    if multi_line is None:
-        multi_line = files.filter("odd").limit(1).count() > 0
-    if len(headers) <= 1:
-        return _read_alike(spark, path, sep, on_bad, null_words, multi_line, columns)
-    if len(headers) > MAX_HEADERS:
-        raise ValueError(f"{path}: more than {MAX_HEADERS} different headers")
-    parts = []
-    for h in headers:  # as many reads as there are headers
-        same = [r["file"] for r in files.filter(F.col("header") == F.lit(h)).select("file").collect()]
-        parts.append(_read_alike(spark, same, sep, on_bad, null_words, multi_line, columns))
-    if len({frozenset(p.columns) for p in parts}) > 1:
-        raise ValueError(f"{path}: the files' headers name different columns: {sorted({tuple(p.columns) for p in parts})[:3]}")
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    starts = survey(spark, path, sep)
+    files = starts.where(F.col("block") == 0).select("file", "header")
+    seen = starts.agg(F.min("header").alias("first"), F.max("header").alias("last"), F.coalesce(F.max("opens"), F.lit(False)).alias("opens"),
+                      F.coalesce(F.max(F.contains("header", F.lit("\r"))), F.lit(False)).alias("returns")).first()
+    alike = seen["first"] == seen["last"]
+    spans = seen["opens"] if multi_line is None else multi_line
+    if alike and (multi_line or seen["returns"] or not spans):
+        return _read_alike(spark, path, sep, on_bad, null_words, bool(multi_line or seen["returns"]), columns)
+    return _read_records(spark, path, sep, on_bad, null_words, columns, starts, files, seen["first"])
+
+
+def _judged(raw: DataFrame, cols: list[str], sep: str, on_bad: str, path) -> DataFrame:
+    """The bad-line rule on rows with the columns ``cols`` and the two extra ones."""
+    too_long = (F.col(OVERFLOW).isNotNull() | F.col(CORRUPT).isNull()
+                | (raw_field_count(F.col(CORRUPT), sep) > F.lit(len(cols))))
+    if on_bad == "skip":
+        return raw.filter(~too_long)
+    if on_bad == "fail":
+        return raw.filter(F.when(too_long, F.raise_error(F.lit(f"{path}: line with too many fields"))).otherwise(F.lit(True)))
+    return raw
 
 
-def _read_alike(spark: SparkSession, path, sep: str, on_bad: str, null_words, multi_line: bool, columns: list[str] | None) -> DataFrame:
-    """Read files that have one header. Every column is a string.
+def _without_null_words(value, null_words):
+    return F.when(value.isin(list(null_words)), F.lit(None).cast("string")).otherwise(value) if null_words else value
 
-    on_bad='skip' drops over-long lines (training / evaluation scripts), 'fail' stops the job on
-    one (prepared test files), 'keep' keeps them (surplus fields dropped).
-    """
+
+def _read_alike(spark: SparkSession, path, sep: str, on_bad: str, null_words, multi_line: bool, columns: list[str] | None) -> DataFrame:
+    """Files of one header, by Spark's own reader."""
     cols = columns or header_columns(spark, path, sep, multi_line)
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols]
-                          + [T.StructField(OVERFLOW, T.StringType(), True),
-                             T.StructField(CORRUPT, T.StringType(), True)])
-    raw = (_reader(spark, sep, multi_line).schema(schema).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).csv(path))
-    too_long = (F.col(OVERFLOW).isNotNull() | F.col(CORRUPT).isNull()
-                | (raw_field_count(F.col(CORRUPT), sep) > F.lit(len(cols))))
-    if on_bad == "skip":
-        raw = raw.filter(~too_long)
-    elif on_bad == "fail":
-        raw = raw.filter(F.when(too_long, F.raise_error(F.lit(f"{path}: line with too many fields")))
-                         .otherwise(F.lit(True)))
-    nulls = list(null_words)
-    out = [F.when(F.col(q(c)).isin(nulls), F.lit(None).cast("string")).otherwise(F.col(q(c))).alias(c)
-           for c in cols] if nulls else [F.col(q(c)) for c in cols]
-    return raw.select(*out)
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in (*cols, OVERFLOW, CORRUPT)])
+    raw = _reader(spark, sep, multi_line).schema(schema).option("enforceSchema", True).csv(path)
+    return _judged(raw, cols, sep, on_bad, path).select(*[_without_null_words(F.col(q(c)), null_words).alias(c) for c in cols])
+
+
+def _parsed(text, n: int, sep: str):
+    """The fields of a record as a struct of ``n`` strings f0, f1, ... and the two extra columns."""
+    return F.from_csv(text, ", ".join(f"{c} string" for c in (*[f"f{i}" for i in range(n)], OVERFLOW, CORRUPT)), _format(sep))
+
+
+def _names(record, sep: str, width: int):
+    """The names that a header line gives, as an array (null: no name)."""
+    n = F.least(raw_field_count(record, sep), F.lit(width))
+    fields = _parsed(record, width, sep)
+    return F.slice(F.array(*[fields[f"f{i}"] for i in range(width)]), F.lit(1), n)
+
+
+def _safe(names: list[str | None]) -> list[str]:
+    """Column names as Spark's reader makes them: a missing name becomes its place, and repeated names get theirs appended."""
+    low = [n.lower() for n in names if n]
+    return [f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def _read_records(spark: SparkSession, path, sep: str, on_bad: str, null_words, columns: list[str] | None, starts: DataFrame,
+                  files: DataFrame, header: str) -> DataFrame:
+    """Records put together from lines and parsed one by one; ``header``: the first in order, which gives the columns' order."""
+    width = files.agg(F.max(raw_field_count(F.col("header"), sep))).first()[0]
+    named = files.select("file", _names(F.col("header"), sep, width).alias("names"))
+    first = spark.range(1).select(_names(F.lit(header), sep, width).alias("names")).first()["names"]
+    others = named.where(~F.col("names").eqNullSafe(F.array(*[F.lit(n) for n in first])))
+    mixed = columns is None and others.limit(1).count() > 0
+    cols = columns or _safe(first)
+    records = records_of(spark, path, sep, starts).where("value <> ''")
+    if mixed:
+        other = others.where((F.array_sort("names") != F.array_sort(F.array(*[F.lit(n) for n in first]))) | F.lit(len(set(first)) < len(first))).limit(1).collect()
+        if other:
+            raise ValueError(f"{path}: the files' headers name different columns: {first} and {other[0]['names']}")
+        places = F.array(*[F.array_position("names", F.lit(n)).cast("int") for n in first])
+        records = join_small(records, named.select("file", places.alias("places")), "file", str_cols=("file",))
+    fields = records.withColumn("_fields", _parsed(F.col("value"), len(cols), sep))
+    fields = fields.select(*(["places"] if mixed else []), "_fields.*")
+    kept = _judged(fields, cols, sep, on_bad, path)
+    listed = F.array(*[F.col(f"f{i}") for i in range(len(cols))])
+    values = [F.element_at(listed, F.col("places")[i]) if mixed else F.col(f"f{i}") for i in range(len(cols))]
+    return kept.select(*[_without_null_words(v, null_words).alias(c) for v, c in zip(values, cols)])
 
 
 def read_posts_semicolon(spark: SparkSession, path: str, **kw) -> DataFrame:
