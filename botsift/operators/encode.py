@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from botsift.config import END_ID, MAX_LEN, N_SPECIAL, PAD_ID, START_ID, UNK_ID
 from botsift.functions.terms import words
 from botsift.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, hot_and_tail, join_terms
-from botsift.operators.rank import global_rank, with_row_id
+from botsift.operators.rank import by_row, global_rank
 from botsift.session import materialize
 
 
@@ -38,7 +38,7 @@ def encode_ids(df: DataFrame, vocab: DataFrame, max_len: int | None = None, key:
     of all tokens, or of the first max_len-2. Unpadded; see :func:`pad_and_mask`."""
     carry = [c for c in carry if c in df.columns]
     tokens = words(text_col) if max_len is None else F.slice(words(text_col), 1, max_len - 2)
-    rows = with_row_id(df.select(*dict.fromkeys([key, *carry, text_col])))      # regroup per row, not per key
+    rows = by_row(df, list(dict.fromkeys([key, *carry, text_col])))      # regroup per row, not per key
     toks = (rows.select("_rid", key, *carry, tokens.alias("_w"))
             .select("_rid", key, *carry, F.posexplode_outer("_w").alias("pos", "token")))
     hot, tail = hot_and_tail(vocab, "token", "n", max_rows, max_bytes)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from botsift.session import materialize
+from botsift.sources.rows import ROW
 
 _MID, _PID, _TIE = "_rank_mid", "_rank_pid", "_rank_tie"
 _LOW_BITS = 33
@@ -30,6 +31,13 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def by_row(df: DataFrame, columns: list[str], name: str = "_rid") -> DataFrame:
+    """The columns with a number for each row: the one from the scan where ``df`` carries it, else a written one."""
+    if ROW in df.columns:
+        return df.select(F.col(ROW).alias(name), *columns)
+    return with_row_id(df.select(*columns), name)
+
+
 def ranged_layout(df: DataFrame, order_cols, n_parts: int | None = None) -> DataFrame:
     """``df`` range-partitioned and sorted on (order_cols, input row id), with ``_rank_mid`` =
     (range partition << 33) + position, written once to the shared folder."""

@@ -31,8 +31,9 @@ from botsift.config import DEFAULT_PROFILE, Profile
 from botsift.functions.numeric import safe_sigmoid
 from botsift.functions.terms import with_terms
 from botsift.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, ROW_OVERHEAD_BYTES, hot_and_tail, join_terms
-from botsift.operators.rank import with_row_id
+from botsift.operators.rank import by_row
 from botsift.session import materialize
+from botsift.sources.rows import ROW
 
 # Fixed values of the style scorer.
 STYLE_CENTER, STYLE_SCALE = 250.0, 100.0
@@ -170,7 +171,8 @@ def prob_col(name: str) -> str:
 def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", text_col: str = "text",
                  carry=("label",), max_broadcast_rows: int = MAX_BROADCAST_ROWS,
                  max_broadcast_bytes: int = MAX_BROADCAST_BYTES, profile: Profile | None = None) -> DataFrame:
-    """Wide scores: one row per post with ``p_<model>`` for every model, in one pass over the posts.
+    """Wide scores: one row per post with ``p_<model>`` for every model, in one pass over the posts. Terms are summed back
+    per row: by the row's identity from the scan where ``df`` has it (column ``ROW``), else by a written number.
     ``profile``: how ``df`` was cleaned; a model fitted under another profile is an error."""
     if not models:
         raise ValueError("no models to score")
@@ -179,21 +181,21 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
             m.profile.check_same(profile)
     carry = [c for c in carry if c in df.columns]
     nb = [m for m in models if m.kind == "nb"]
-    by_row = [m for m in models if m.apply is not None]
-    if by_row:
-        inputs = [c for c in dict.fromkeys(c for m in by_row for c in m.inputs) if c not in (key, text_col, *carry)]
-        kept = (key, *carry)
-        df = df.select(key, *carry, text_col, *inputs)
-        for m in by_row:
+    row_models = [m for m in models if m.apply is not None]
+    if row_models:
+        inputs = [c for c in dict.fromkeys(c for m in row_models for c in m.inputs) if c not in (key, text_col, *carry)]
+        kept = (key, *carry, *(c for c in (ROW,) if c in df.columns))
+        df = df.select(*kept, text_col, *inputs)
+        for m in row_models:
             df = m.apply(df, prob_col(m.name))
-        df = df.select(*kept, text_col, *[prob_col(m.name) for m in by_row])
-        carry = [*carry, *[prob_col(m.name) for m in by_row]]
+        df = df.select(*kept, text_col, *[prob_col(m.name) for m in row_models])
+        carry = [*carry, *[prob_col(m.name) for m in row_models]]
     length = F.length(F.col(text_col)).alias("_len")
     if nb:
         specs = [(m.name, m.terms) for m in nb]
-        # terms are summed back per input ROW (a written row id), not per key: duplicated keys are scored
-        # row by row and a key repeated in many rows never becomes one huge group
-        rows = with_row_id(df.select(key, *carry, text_col))
+        # per input row, not per key: duplicated keys are scored row by row and a key repeated in many
+        # rows never becomes one huge group
+        rows = by_row(df, [key, *carry, text_col])
         staged = with_terms(rows.select("_rid", key, *carry, length, text_col), text_col, [k for _, k in specs])
         ex = staged.select("_rid", key, *carry, "_len", F.inline_outer(_tagged_terms(specs)))
         # the term table keyed by the same small model index (an int instead of a name in the join key)
@@ -211,7 +213,7 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         base = joined.groupBy(*by).agg(*sums)
     else:
         base = df.select(key, *carry, length)
-    rows_of = {prob_col(m.name) for m in by_row}
+    rows_of = {prob_col(m.name) for m in row_models}
     out = [F.col(key), *[F.col(c) for c in carry if c not in rows_of]]
     for m in models:
         if m.apply is not None:

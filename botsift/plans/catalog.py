@@ -26,6 +26,7 @@ from botsift.plans.workflow import Evaluation, fit_and_score, labelled_posts, pr
 from botsift.session import scratch_path
 from botsift.sources import tables
 from botsift.sources.columns import normalize_columns, q, schema_peek, select_detected, select_text_label
+from botsift.sources.rows import ROW
 
 QUERIES: dict = {}
 
@@ -248,8 +249,8 @@ def q_decode_label(spark, sf):
 def _predict_one(spark, sf, profile):
     """The chosen model applied to every post of the table (labelled or not): blank posts are refused, the text
     is cleaned as the model's profile says."""
-    accepted, _ = reject_blank(tables.posts(spark, sf).select("post_id", "text"))
-    posts = accepted.select("post_id", tx.clean("text", profile.clean).alias("text"))
+    accepted, _ = reject_blank(tables.posts(spark, sf, row_id=True).select("post_id", "text", ROW))
+    posts = accepted.select("post_id", tx.clean("text", profile.clean).alias("text"), ROW)
     ev = evaluation(spark, sf, [DEFAULT_REGISTRY[0]], profile, score_on=posts)
     long = with_display(to_long(ev.wide, ["nb_word"], carry=(), threshold=profile.threshold))
     return long.select("post_id", "model", "prediction")
@@ -382,9 +383,9 @@ def q_rank_models(spark, sf):
 def q_metrics_by_domain(spark, sf):
     """Models trained on the posts, scored on their own test part and on the other domain."""
     sp = split_posts(spark, sf)
-    test_p = sp.filter(F.col("split") == "test").select(F.lit("P").alias("dataset"), "post_id", "text", "label")
-    other = tables.second_domain(spark, sf).select(F.lit("L").alias("dataset"), "post_id",
-                                                   tx.clean_strong("text").alias("text"), "label")
+    test_p = sp.filter(F.col("split") == "test").select(F.lit("P").alias("dataset"), "post_id", "text", "label", ROW)
+    other = tables.second_domain(spark, sf, row_id=True).select(F.lit("L").alias("dataset"), "post_id",
+                                                                tx.clean_strong("text").alias("text"), "label", ROW)
     target = test_p.unionByName(other)
     train = sp.filter(F.col("split") == "train")
     models = fit_all_models(train)
@@ -702,7 +703,7 @@ def _run_prediction_stream(spark, sf):
     models = fit_all_models(train)
     src, out, ck, counts = (scratch_path(spark, n) for n in ("stream-src", "stream-pred", "stream-ck", "stream-counts"))
     tables.posts(spark, sf).write.parquet(src)
-    stream_predict(post_stream(spark, src, POSTS_SCHEMA, max_files_per_trigger=4), models, out, ck,
+    stream_predict(post_stream(spark, src, POSTS_SCHEMA, max_files_per_trigger=4, row_id=True), models, out, ck,
                    metrics_path=counts).awaitTermination()
     return out, counts
 

@@ -22,13 +22,14 @@ from botsift.operators.split import split_stratified_exact
 from botsift.operators.textmodels import TextModel, score_models
 from botsift.sources import tables
 from botsift.sources.columns import select_text_label
+from botsift.sources.rows import ROW
 
 
 def prepare_posts(raw: DataFrame, profile: Profile = DEFAULT_PROFILE, case_sensitive: bool = False,
                   key: str = "post_id") -> DataFrame:
-    """Detect + rename columns, encode the label, drop incomplete rows, clean the text.
+    """Detect + rename columns, encode the label, drop incomplete rows, clean the text; the rows' identity stays.
     The null filter runs before the cleaning regexes (Catalyst keeps it there)."""
-    df = select_text_label(raw, keep=(key,))
+    df = select_text_label(raw, keep=(key, ROW))
     df = df.withColumn("label", encode_label("label", case_sensitive))
     df = drop_incomplete(df)
     return df.withColumn("text", clean("text", profile.clean))
@@ -36,7 +37,7 @@ def prepare_posts(raw: DataFrame, profile: Profile = DEFAULT_PROFILE, case_sensi
 
 def labelled_posts(spark: SparkSession, sf_dir: str, profile: Profile = DEFAULT_PROFILE,
                    case_sensitive: bool = False) -> DataFrame:
-    return prepare_posts(tables.posts(spark, sf_dir), profile, case_sensitive)
+    return prepare_posts(tables.posts(spark, sf_dir, row_id=True), profile, case_sensitive)
 
 
 def split(df: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:

@@ -14,11 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from botsift.sources.rows import ROW, joined_row, with_scan_rows
+
 LABEL_COL = "account.type"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, row_id: bool = False) -> DataFrame:
+    """A table; with ``row_id`` with the identity of each row (see :mod:`botsift.sources.rows`)."""
+    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return with_scan_rows(table) if row_id else table
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -33,10 +37,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def posts(spark: SparkSession, sf_dir: str, row_id: bool = False) -> DataFrame:
     """P: one post per conversation turn; the role gives the author type in mixed spelling
     (user -> human / Human, assistant -> bot / BOT, system stays 'system' and is not a class)."""
-    c = spread(read_table(spark, sf_dir, "conversations"))
+    c = spread(read_table(spark, sf_dir, "conversations", row_id))
     author = (
         F.when(F.col("role") == "user", F.when(F.col("turn") % 4 == 0, F.lit("Human")).otherwise(F.lit("human")))
         .when(F.col("role") == "assistant", F.when(F.col("conv_id") % 7 == 0, F.lit("BOT")).otherwise(F.lit("bot")))
@@ -46,6 +50,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("post_id"),
         F.col("text"),
         author.alias(LABEL_COL),
+        *([ROW] if row_id else []),
     )
 
 
@@ -62,18 +67,19 @@ def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat(F.col("url"), F.lit(" "), F.col("html")).alias("text"))
 
 
-def second_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+def second_domain(spark: SparkSession, sf_dir: str, row_id: bool = False) -> DataFrame:
     """L: labelled documents; label = 1 - quality (low quality counts as machine-written)."""
     from botsift.operators.joins import join_small
 
-    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    docs = spread(read_table(spark, sf_dir, "documents", row_id).select("doc_id", "text", *([ROW] if row_id else [])))
+    labels = read_table(spark, sf_dir, "labels", row_id).select("doc_id", "quality", *([F.col(ROW).alias("_label_row")] if row_id else []))
     # labels grow with the corpus: broadcast only under the checked row bound (the count comes
     # from parquet footers), so the document texts are not shuffled; beyond it a shuffle join
     return join_small(docs, labels, "doc_id", "inner").select(
         F.col("doc_id").cast("string").alias("post_id"),
         F.col("text"),
         (F.lit(1) - F.col("quality")).cast("int").alias("label"),
+        *([joined_row(F.col(ROW), F.col("_label_row")).alias(ROW)] if row_id else []),
     )
 
 

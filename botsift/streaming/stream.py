@@ -26,6 +26,7 @@ from botsift.operators.metrics import confusion_counts
 from botsift.operators.predict import to_long, with_display
 from botsift.operators.textmodels import TextModel, prepare, score_models
 from botsift.sources.columns import q
+from botsift.sources.rows import ROW, with_scan_rows
 
 POSTS_SCHEMA = T.StructType([
     T.StructField("post_id", T.StringType()), T.StructField("text", T.StringType()),
@@ -34,11 +35,12 @@ POSTS_SCHEMA = T.StructType([
 
 
 def post_stream(spark: SparkSession, path: str, schema: T.StructType = POSTS_SCHEMA, fmt: str = "parquet",
-                max_files_per_trigger: int | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None, row_id: bool = False) -> DataFrame:
+    """Arriving posts; with ``row_id`` (Parquet only) with the identity of each row, so that scoring writes no copy of a batch."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path)
+    return with_scan_rows(reader.load(path)) if row_id else reader.load(path)
 
 
 def predict_batch(batch: DataFrame, models: list[TextModel], profile: Profile = DEFAULT_PROFILE,
@@ -47,7 +49,8 @@ def predict_batch(batch: DataFrame, models: list[TextModel], profile: Profile =
     profile the models were fitted with, every model scored, thresholded and named."""
     accepted, _ = reject_blank(batch, "text")
     lab = encode_label(F.col(q(label_col))) if label_col and label_col in batch.columns else F.lit(None).cast("int")
-    prepared = accepted.select(key, clean("text", profile.clean).alias("text"), lab.alias("label"))
+    row = [c for c in (ROW,) if c in batch.columns]
+    prepared = accepted.select(key, clean("text", profile.clean).alias("text"), lab.alias("label"), *row)
     wide = score_models(prepared, models, key=key, carry=("label",), profile=profile)
     long = with_display(to_long(wide, [m.name for m in models], key=key, threshold=profile.threshold))
     return long.select(key, "model", "label", "p", "predicted", "prediction")
