@@ -710,10 +710,10 @@ def _run_prediction_stream(spark, sf):
 
 @query("stream_predict")
 def q_stream_predict(spark, sf):
-    from botsift.streaming.stream import PRED_SCHEMA
+    from botsift.streaming.stream import read_predictions
 
     out, _ = _run_prediction_stream(spark, sf)
-    return _round_p(spark.read.schema(PRED_SCHEMA).parquet(out)).select(
+    return _round_p(read_predictions(spark, out)).select(
         "post_id", "model", "label", "p", "predicted", "prediction")
 
 

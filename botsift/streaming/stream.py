@@ -4,16 +4,21 @@ Posts carry no event time, so nothing here needs a watermark:
 
 * ``post_stream``     file source of arriving posts (parquet or JSON files dropped in a folder);
 * ``stream_predict``  each micro-batch goes through the SAME batch plan (reject blank, clean,
-                      score all fitted models, threshold) inside ``foreachBatch`` and is written
-                      to ``<out>/batch=<id>`` with overwrite; with ``metrics_path`` the batch's confusion
-                      counts per model go to ``<metrics>/batch=<id>`` in the same step, also with overwrite.
-                      A replayed batch replaces its own folders, so neither table counts it twice. The
+                      score all fitted models, threshold) inside ``foreachBatch``, is written to a folder
+                      of its own under ``<out>/data`` and becomes visible when its entry appears in the log
+                      ``<out>/log`` (:mod:`botsift.streaming.runlog`); with ``metrics_path`` the batch's confusion
+                      counts per model go to a second log. A replayed batch writes a new folder and
+                      replaces its entry, so readers find the old rows or the new ones, and nothing counts twice. The
                       models are fixed, and their term table is prepared, when the query starts;
-* ``stream_metrics``  running confusion counts: the sum of the batches' few rows.
+* ``read_predictions``  the rows of all finished batches;
+* ``stream_metrics``  running confusion counts: the sum of the rows of the merged log, a few files
+                      whatever the number of batches.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +30,10 @@ from botsift.operators.filters import reject_blank
 from botsift.operators.metrics import confusion_counts
 from botsift.operators.predict import to_long, with_display
 from botsift.operators.textmodels import TextModel, prepare, score_models
+from botsift.sinks.publish import names, remove
 from botsift.sources.columns import q
 from botsift.sources.rows import ROW, with_scan_rows
+from botsift.streaming.runlog import RunLog
 
 POSTS_SCHEMA = T.StructType([
     T.StructField("post_id", T.StringType()), T.StructField("text", T.StringType()),
@@ -56,6 +63,58 @@ def predict_batch(batch: DataFrame, models: list[TextModel], profile: Profile =
     return long.select(key, "model", "label", "p", "predicted", "prediction")
 
 
+BATCH_SCHEMA = T.StructType([
+    T.StructField("post_id", T.StringType()), T.StructField("model", T.StringType()),
+    T.StructField("label", T.IntegerType()), T.StructField("p", T.DoubleType()),
+    T.StructField("predicted", T.IntegerType()), T.StructField("prediction", T.StringType()),
+])
+PRED_SCHEMA = T.StructType([*BATCH_SCHEMA, T.StructField("batch", T.LongType())])
+COUNTS = ("tp", "fp", "fn", "tn")
+COUNTS_SCHEMA = T.StructType([T.StructField("model", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTS]])
+FOLDERS_SCHEMA = T.StructType([T.StructField("folder", T.StringType()), T.StructField("batch", T.LongType())])
+
+
+def _added(rows: list[dict]) -> list[dict]:
+    """Counts of several batches added up: a row for each model."""
+    total: dict[str, dict] = {}
+    for r in rows:
+        t = total.setdefault(r["model"], {"model": r["model"], **dict.fromkeys(COUNTS, 0)})
+        for c in COUNTS:
+            t[c] += r[c]
+    return list(total.values())
+
+
+def batch_log(spark: SparkSession, out_path: str) -> RunLog:
+    """The finished batches of a prediction folder: which folder holds each."""
+    return RunLog(spark, f"{out_path}/log", FOLDERS_SCHEMA)
+
+
+def count_log(spark: SparkSession, metrics_path: str) -> RunLog:
+    """Confusion counts of the finished batches, added up when runs are merged."""
+    return RunLog(spark, metrics_path, COUNTS_SCHEMA, _added)
+
+
+def finish_batch(spark: SparkSession, out_path: str, batch_id: int, rows: DataFrame) -> DataFrame:
+    """Write a batch's rows to a new folder and publish it; the folders of earlier tries are deleted, the one that was visible until
+    now when the next batch is finished (somebody may be reading it). Returns the rows as written."""
+    log, data = batch_log(spark, out_path), f"{out_path}/data"
+    seen = log.find(batch_id)
+    visible = {r["folder"] for r in log.rows(seen)} if seen else set()
+    for name in names(spark, data, f"{batch_id}-*"):
+        if name not in visible:
+            remove(spark, f"{data}/{name}")
+    for run in log.runs():
+        if run.level == 0 and run.last < batch_id:
+            kept = {r["folder"] for r in log.rows(run)}
+            for name in names(spark, data, f"{run.last}-*"):
+                if name not in kept:
+                    remove(spark, f"{data}/{name}")
+    folder = f"{batch_id}-{uuid.uuid4().hex[:12]}"
+    rows.withColumn("batch", F.lit(batch_id).cast("bigint")).write.parquet(f"{data}/{folder}")
+    log.append(batch_id, [{"folder": folder, "batch": batch_id}])
+    return spark.read.schema(PRED_SCHEMA).parquet(f"{data}/{folder}")
+
+
 def stream_predict(stream: DataFrame, models: list[TextModel], out_path: str, checkpoint: str,
                    profile: Profile = DEFAULT_PROFILE, trigger: dict | None = None, metrics_path: str | None = None):
     """Start the prediction stream; returns the StreamingQuery."""
@@ -63,30 +122,25 @@ def stream_predict(stream: DataFrame, models: list[TextModel], out_path: str, ch
 
     def each(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        path = f"{out_path}/batch={batch_id}"
-        predict_batch(batch, ready, profile).write.mode("overwrite").parquet(path)
+        done = finish_batch(spark, out_path, batch_id, predict_batch(batch, ready, profile))
         if metrics_path:
-            done = spark.read.schema(BATCH_SCHEMA).parquet(path)
-            confusion_counts(done.filter(F.col("label").isNotNull())).coalesce(1) \
-                .write.mode("overwrite").parquet(f"{metrics_path}/batch={batch_id}")
+            counts = confusion_counts(done.filter(F.col("label").isNotNull())).collect()     # a row for each model
+            count_log(spark, metrics_path).append(batch_id, [{"model": r["model"], **{c: r[c] for c in COUNTS}} for r in counts])
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
 
-BATCH_SCHEMA = T.StructType([
-    T.StructField("post_id", T.StringType()), T.StructField("model", T.StringType()),
-    T.StructField("label", T.IntegerType()), T.StructField("p", T.DoubleType()),
-    T.StructField("predicted", T.IntegerType()), T.StructField("prediction", T.StringType()),
-])
-PRED_SCHEMA = T.StructType([*BATCH_SCHEMA, T.StructField("batch", T.LongType())])
-COUNTS = ("tp", "fp", "fn", "tn")
-COUNTS_SCHEMA = T.StructType([T.StructField("model", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTS],
-                              T.StructField("batch", T.LongType())])
+def read_predictions(spark: SparkSession, out_path: str) -> DataFrame:
+    """The predictions of all finished batches. A batch that is being written, or was left by a crash, isn't among them."""
+    folders = [r["folder"] for r in batch_log(spark, out_path).table().select("folder").collect()]     # one per batch
+    if not folders:
+        return spark.createDataFrame([], PRED_SCHEMA)
+    return spark.read.schema(PRED_SCHEMA).parquet(*[f"{out_path}/data/{f}" for f in folders])
 
 
 def stream_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
-    """Running confusion counts per model over all batches written so far."""
-    per_batch = spark.read.schema(COUNTS_SCHEMA).parquet(metrics_path)
-    return per_batch.groupBy("model").agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTS])
+    """Running confusion counts per model over all finished batches."""
+    per_run = count_log(spark, metrics_path).table()
+    return per_run.groupBy("model").agg(*[F.sum(c).cast("bigint").alias(c) for c in COUNTS])

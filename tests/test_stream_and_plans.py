@@ -12,7 +12,7 @@ from botsift.operators.registry import fit_all_models
 from botsift.plans import catalog
 from botsift.session import scratch_path
 from botsift.sources import tables
-from botsift.streaming.stream import POSTS_SCHEMA, PRED_SCHEMA, post_stream, predict_batch, stream_predict
+from botsift.streaming.stream import POSTS_SCHEMA, post_stream, predict_batch, read_predictions, stream_predict
 
 
 def _plan(df):
@@ -26,7 +26,7 @@ def test_stream_equals_batch(spark):
     posts = tables.posts(spark, SF_SMALL)
     posts.write.parquet(src)
     stream_predict(post_stream(spark, src, POSTS_SCHEMA, max_files_per_trigger=2, row_id=True), models, out, ck).awaitTermination()
-    streamed = spark.read.schema(PRED_SCHEMA).parquet(out).drop("batch")
+    streamed = read_predictions(spark, out).drop("batch")
     batch = predict_batch(posts, models)        # without identities from the scan: numbers are written
     key = ["post_id", "model"]
     a = {tuple(r[k] for k in key): (r.p, r.predicted) for r in streamed.collect()}
@@ -48,7 +48,7 @@ def test_a_replayed_batch_counts_once(spark):
 
     def run(checkpoint):
         stream_predict(post_stream(spark, src, POSTS_SCHEMA, max_files_per_trigger=2), models, out, checkpoint, metrics_path=counts).awaitTermination()
-        rows = spark.read.schema(PRED_SCHEMA).parquet(out)
+        rows = read_predictions(spark, out)
         return rows.count(), sorted(tuple(r) for r in stream_metrics(spark, counts).collect())
 
     before = run(ck)
