@@ -42,8 +42,8 @@ STYLE_CENTER, STYLE_SCALE = 250.0, 100.0
 @dataclass
 class TextModel:
     name: str
-    kind: str                       # "nb", "style", or one that scores row by row: "lr", "head", "external"
-    terms: str | None = None        # "word" / "bigram" / "trigram" for nb
+    kind: str                       # "nb" and "lr" (tables of terms), "style", or one that scores row by row: "head", "external"
+    terms: str | None = None        # "word" / "bigram" / "trigram" for a table of terms
     bias: float = 0.0
     weights: DataFrame | None = field(default=None, repr=False)   # (term, weight, n = occurrences)
     n_terms: int = 0
@@ -57,6 +57,10 @@ class TextModel:
     fitted: object = field(default=None, repr=False)             # what a row-by-row model is stored from
 
 
+#: kinds that are a bias and a table of term weights
+TERM_KINDS = ("nb", "lr")
+
+
 def style_model(name: str = "style", profile: Profile = DEFAULT_PROFILE) -> TextModel:
     return TextModel(name=name, kind="style", profile=profile)
 
@@ -156,12 +160,12 @@ def weight_table(nb: list[TextModel]) -> DataFrame:
 
 def prepare(models: list[TextModel]) -> list[TextModel]:
     """The models with one written weight table for all of them, for plans that are run many times."""
-    nb = [m for m in models if m.kind == "nb"]
+    nb = [m for m in models if m.kind in TERM_KINDS]
     if not nb:
         return models
     table = materialize(weight_table(nb), "weights")
     sizes = {r["model"]: r["b"] for r in table.groupBy("model").agg(F.sum(F.octet_length("term")).alias("b")).collect()}
-    return [replace(m, table=table, term_bytes=int(sizes.get(m.name) or 0)) if m.kind == "nb" else m for m in models]
+    return [replace(m, table=table, term_bytes=int(sizes.get(m.name) or 0)) if m.kind in TERM_KINDS else m for m in models]
 
 
 def prob_col(name: str) -> str:
@@ -180,7 +184,7 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         for m in models:
             m.profile.check_same(profile)
     carry = [c for c in carry if c in df.columns]
-    nb = [m for m in models if m.kind == "nb"]
+    nb = [m for m in models if m.kind in TERM_KINDS]
     row_models = [m for m in models if m.apply is not None]
     if row_models:
         inputs = [c for c in dict.fromkeys(c for m in row_models for c in m.inputs) if c not in (key, text_col, *carry)]
@@ -219,7 +223,7 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         if m.apply is not None:
             out.append(F.col(prob_col(m.name)))
             continue
-        if m.kind == "nb":
+        if m.kind in TERM_KINDS:
             z = F.lit(m.bias) + F.coalesce(F.col(f"_s_{m.name}"), F.lit(0.0))
         elif m.kind == "style":
             z = (F.col("_len").cast("double") - F.lit(STYLE_CENTER)) / F.lit(STYLE_SCALE)

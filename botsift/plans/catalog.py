@@ -18,7 +18,7 @@ from botsift.functions.numeric import predict_threshold, round6
 from botsift.operators import metrics as mt
 from botsift.operators.filters import choose_model, drop_incomplete, reject_blank
 from botsift.operators.predict import ENSEMBLE, ensemble_mean, to_long, with_display
-from botsift.operators.registry import DEFAULT_REGISTRY, MISSING_MODEL, available_models, \
+from botsift.operators.registry import DEFAULT_REGISTRY, MISSING_MODEL, available_models, contents, \
     external_model, fit_all_models, head_model, load_models, registry_frame, save_models, stored_models, ModelSpec
 from botsift.operators.split import split_counts, split_stratified_exact, split_stratified_hash
 from botsift.operators.textmodels import prob_col, score_models
@@ -449,12 +449,14 @@ def q_load_model(spark, sf):
 
 @query("available_models")
 def q_available_models(spark, sf):
+    """The registry held against a published store: what is whole, and what the stored tables hold."""
     train = split_posts(spark, sf).filter(F.col("split") == "train")
     models = fit_all_models(train)
     path = scratch_path(spark, "models")
     save_models(spark, models, path)
     reg = registry_frame(spark, list(DEFAULT_REGISTRY) + [MISSING_MODEL])
-    return available_models(reg, stored_models(spark, path)).select("model", "status")
+    status = available_models(reg, stored_models(spark, path)).select("model", "status")
+    return status.join(F.broadcast(contents(spark, path)), "model", "left")
 
 
 @query("post_stream_source")
@@ -651,16 +653,13 @@ def q_fit_head(spark, sf):
 
 @query("fit_text_lr")
 def q_fit_text_lr(spark, sf):
-    """What holds at the optimum: with a free intercept the mean probability of the training posts is their mean label.
-    Per split the posts, the mean label and (training part) the difference of the means to two digits."""
-    from botsift.operators.logistic import fit_text_lr, score_lr
+    """The weight of every training word after five steps; the bias in the row of the empty word."""
+    from botsift.operators.logistic import fit_text_lr
 
     sp = split_posts(spark, sf)
-    model = fit_text_lr(sp.filter(F.col("split") == "train"))
-    scored = score_lr(model, sp, keep=("split", "label"))
-    off = F.when(F.col("split") == "train", F.round(F.abs(F.avg("p") - F.avg("label")), 2))
-    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n_posts"), round6(F.avg("label")).alias("mean_label"),
-                                       off.alias("residual"))
+    model = fit_text_lr(sp.filter(F.col("split") == "train"), steps=5)
+    bias = spark.range(1).select(F.lit("").alias("term"), F.lit(model.bias).alias("weight"))
+    return model.weights.select("term", "weight").unionByName(bias).select("term", round6("weight").alias("weight"))
 
 
 # ------------------------------------------------------------------ 2.9 sinks (written, then read back)

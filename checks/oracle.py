@@ -137,8 +137,11 @@ oracle("read_posts_semicolon", with_(P) + _PN)
 oracle("read_posts_comma", with_(P) + _PN)
 oracle("read_prepared_test", with_(L) + f"SELECT post_id, coalesce({_nullword('text')}, 'nan') AS tweet, label FROM l")
 oracle("post_stream_source", with_(P) + "SELECT * FROM p")
-oracle("available_models", "SELECT * FROM (VALUES ('nb_word', 'available'), ('nb_bigram', 'available'), "
-       "('nb_trigram', 'available'), ('style', 'available'), ('missing_model', 'skipped')) t(model, status)")
+_CONTENT = "CAST(count(*) AS BIGINT) AS n_terms, CAST(sum(CAST(CAST('0x' || substr(md5(term || ':' || CAST(c1 + c0 AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS content"
+oracle("available_models", with_(*BASE, *[s.nb_fit(kind, m) for m, kind in s.REGISTRY],
+                                 "held AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, {_CONTENT} FROM {m}_c" for m, _ in s.REGISTRY) + ")")
+       + """SELECT r.model, CASE WHEN h.n_terms > 0 OR r.model = 'style' THEN 'available' ELSE 'skipped' END AS status, h.n_terms, h.content
+FROM (VALUES ('nb_word'), ('nb_bigram'), ('nb_trigram'), ('style'), ('missing_model')) r(model) LEFT JOIN held h ON h.model = r.model""")
 oracle("available_none", with_(P, s.labelled()) + """SELECT model, 'skipped' AS status, n_posts FROM
   (VALUES ('nb_word'), ('nb_bigram'), ('nb_trigram'), ('style'), ('missing_model')) t(model),
   (SELECT CAST(count(*) AS BIGINT) AS n_posts FROM lp)""")
@@ -276,8 +279,24 @@ t{t + 1} AS MATERIALIZED (SELECT th.param, th.idx, th.val * {1 - lr * _WD!r} - {
 
 
 oracle("fit_head", _fit_head())
-oracle("fit_text_lr", with_(*BASE) + """SELECT split, CAST(count(*) AS BIGINT) AS n_posts, round(avg(label), 6) AS mean_label,
-  CASE WHEN split = 'train' THEN CAST(0 AS DOUBLE) END AS residual FROM sp GROUP BY split""")
+def _fit_text_lr(steps: int = 5, rate: float = 0.05, reg: float = 1e-4) -> str:
+    """Full-batch Adam steps on the log-loss of word counts, written out one after another."""
+    b1, b2, eps = 0.9, 0.999, 1e-8
+    parts = [*BASE, f"""occ AS MATERIALIZED (SELECT post_id, label, term, count(*) AS tf FROM (
+  SELECT post_id, label, unnest({s.terms('text', 'word')}) AS term FROM tr UNION ALL SELECT post_id, label, '' FROM tr) GROUP BY post_id, label, term)""",
+             "size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr)",
+             "w0 AS MATERIALIZED (SELECT DISTINCT term, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v FROM occ)"]
+    for t in range(1, steps + 1):
+        parts.append(f"""r{t} AS MATERIALIZED (SELECT post_id, {s.sigmoid('z')} - label AS r FROM (
+  SELECT o.post_id, o.label, sum(o.tf * w.w) AS z FROM occ o JOIN w{t - 1} w USING (term) GROUP BY o.post_id, o.label)),
+g{t} AS MATERIALIZED (SELECT w.term, w.w, w.m, w.v, s.g + CASE WHEN w.term = '' THEN 0 ELSE {reg!r} * w.w END AS g FROM w{t - 1} w JOIN (
+  SELECT o.term, sum(o.tf * r.r) / (SELECT n FROM size) AS g FROM occ o JOIN r{t} r USING (post_id) GROUP BY o.term) s USING (term)),
+m{t} AS (SELECT term, w, {b1!r} * m + {1 - b1!r} * g AS m, {b2!r} * v + {1 - b2!r} * g * g AS v FROM g{t}),
+w{t} AS MATERIALIZED (SELECT term, w - {rate / (1 - b1 ** t)!r} * m / (sqrt(v) / {(1 - b2 ** t) ** 0.5!r} + {eps!r}) AS w, m, v FROM m{t})""")
+    return with_(*parts) + f"SELECT term, round(w, 6) AS weight FROM w{steps}"
+
+
+oracle("fit_text_lr", _fit_text_lr())
 
 # ------------------------------------------------------------------ 2.9 sinks
 oracle("write_results_csv", ORACLE["compare_with_ensemble"])
