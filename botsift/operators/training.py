@@ -7,6 +7,9 @@ reach the driver for the AdamW step (the size of the model, not of the data).
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +21,7 @@ from botsift.config import DROPOUT, LEARNING_RATE, SEED
 from botsift.functions.numeric import bce, hash_key
 from botsift.operators.head import HeadWeights, np_keep, np_sigmoid, row_seed
 from botsift.session import discard, scratch_path
+from botsift.sinks.publish import get, names, put, remove
 
 # AdamW defaults (published formulas): betas, eps, weight decay.
 BETA1, BETA2, EPS, WEIGHT_DECAY = 0.9, 0.999, 1e-8, 0.01
@@ -125,20 +129,53 @@ def adamw_step(theta: np.ndarray, g: np.ndarray, state: AdamState, lr: float = L
     return theta * (1 - lr * wd) - (lr / bc1) * state.m / denom
 
 
+class StepLog:
+    """Finished steps of a training run in the shared folder: after each step one small file with the weights, both moments, the
+    step number and the losses so far, which appears as a whole. ``settings``: what the run depends on; a log of other settings is an
+    error. The two newest files stay."""
+
+    def __init__(self, spark, path: str, settings: dict):
+        self.spark, self.path, self.settings = spark, path.rstrip("/"), json.loads(json.dumps(settings))
+
+    def last(self) -> tuple[int, np.ndarray, AdamState, list] | None:
+        """(steps done, parameters, state, history) of the newest finished step."""
+        found = names(self.spark, self.path, "*.json")
+        if not found:
+            return None
+        entry = json.loads(get(self.spark, f"{self.path}/{found[-1]}"))
+        if entry["settings"] != self.settings:
+            raise ValueError(f"{self.path}: the log is of a run with other settings: {entry['settings']}")
+        theta, m, v = (np.frombuffer(base64.b64decode(entry[c]), "<f8").copy() for c in ("theta", "m", "v"))
+        return entry["steps"], theta, AdamState(m, v, entry["t"]), [tuple(h) for h in entry["history"]]
+
+    def add(self, steps: int, theta: np.ndarray, state: AdamState, history: list) -> None:
+        vectors = {c: base64.b64encode(np.ascontiguousarray(x, "<f8").tobytes()).decode() for c, x in (("theta", theta), ("m", state.m), ("v", state.v))}
+        put(self.spark, f"{self.path}/{steps:09d}.json", json.dumps({"settings": self.settings, "steps": steps, "t": state.t, "history": history, **vectors}))
+        for name in names(self.spark, self.path, "*.json")[:-2]:
+            remove(self.spark, f"{self.path}/{name}")
+
+
 def fit_head(df: DataFrame, w0: HeadWeights, epochs: int = 1, steps_per_epoch: int = 16, lr: float = LEARNING_RATE,
              emb_col: str = "embedding", label_col: str = "label", key: str = "post_id", seed: int = SEED,
-             rate: float = DROPOUT):
+             rate: float = DROPOUT, log_path: str | None = None):
     """Mini-batch AdamW in train mode. Every epoch deals the rows anew into ``steps_per_epoch`` batches by a
     hash of (seed, epoch, key), so the number of steps, and of jobs, doesn't grow with the table: a larger table has
     larger batches, which all executors work on. An epoch's rows are written once, in a folder for each batch, so
     that a step opens its own files only; a step returns only the gradient. Without ``rate`` there is no
-    dropout. Returns (weights, history rows (epoch, step, batch_loss))."""
+    dropout. Returns (weights, history rows (epoch, step, batch_loss)). With ``log_path`` every finished step is logged
+    there (:class:`StepLog`), and a run that finds a log goes on behind its last step, with the batches and the dropout that the
+    step would have had."""
     spark = df.sparkSession
     theta = w0.flat()
     state = AdamState(np.zeros_like(theta), np.zeros_like(theta))
-    history = []
+    history, done = [], 0
+    log = None
+    if log_path:
+        log = StepLog(spark, log_path, {"steps_per_epoch": steps_per_epoch, "lr": lr, "seed": seed, "rate": rate, "key": key, "embedding": emb_col,
+                                        "label": label_col, "start": hashlib.sha256(np.ascontiguousarray(theta, "<f8").tobytes()).hexdigest()})
+        done, theta, state, history = log.last() or (0, theta, state, history)
     shape = f"{emb_col} array<float>, {label_col} int, _seed bigint, _batch int"
-    for ep in range(epochs):
+    for ep in range(done // steps_per_epoch, epochs):
         order = F.conv(F.substring(hash_key(f"{seed}:{ep}", key), 1, 8), 16, 10).cast("bigint")
         batch = F.pmod(order, F.lit(steps_per_epoch)).cast("int")
         rows = df.select(key, F.col(emb_col).cast("array<float>"), F.col(label_col).cast("int"), batch.alias("_batch"))
@@ -146,13 +183,14 @@ def fit_head(df: DataFrame, w0: HeadWeights, epochs: int = 1, steps_per_epoch: i
         path = scratch_path(spark, "head-batches")
         rows.hint("rebalance", F.col("_batch")).write.partitionBy("_batch").parquet(path)
         data = spark.read.schema(shape).parquet(path)
-        for b in range(steps_per_epoch):
+        for b in range(max(0, done - ep * steps_per_epoch), steps_per_epoch):
             w = HeadWeights.from_flat(theta, w0.d_in, w0.width)
             sums = gradient_sums(data.filter(F.col("_batch") == b), w, emb_col, label_col, "_seed" if rate else None, rate)
             n = sums[-2]
-            if not n:
-                continue
-            history.append((ep, b, float(sums[-1] / n)))
-            theta = adamw_step(theta, sums[:-2] / n, state, lr=lr)
+            if n:
+                history.append((ep, b, float(sums[-1] / n)))
+                theta = adamw_step(theta, sums[:-2] / n, state, lr=lr)
+            if log:
+                log.add(ep * steps_per_epoch + b + 1, theta, state, history)
         discard(spark, path)
     return HeadWeights.from_flat(theta, w0.d_in, w0.width), history

@@ -91,3 +91,39 @@ def test_loss_falls(spark):
     # every epoch deals the rows anew
     first = [h[2] for h in fit_head(df, w0, epochs=2, steps_per_epoch=4, lr=0.0, rate=0.0)[1]]
     assert sorted(round(v, 6) for v in first[:4]) != sorted(round(v, 6) for v in first[4:])
+
+
+@pytest.mark.parametrize("steps_done", [1, 3, 4, 6, 12])
+def test_a_run_that_was_ended_goes_on_where_it_was(spark, monkeypatch, steps_done):
+    """Ended after some step (also at the end of an epoch) and started again: the history and the weights of one whole run."""
+    from botsift.operators import training
+    from botsift.session import scratch_path
+    from botsift.sinks.publish import names
+
+    df, _, _ = _data(spark, n=96)
+    w0 = fixture_weights(8, 6)
+    options = dict(epochs=3, steps_per_epoch=4, lr=5e-2, rate=0.3)
+    whole, history = fit_head(df, w0, **options)
+    path = scratch_path(spark, "t-steps")
+    real, left = training.gradient_sums, [steps_done]
+
+    def ending(*args, **kw):
+        if not left[0]:
+            raise KeyboardInterrupt
+        left[0] -= 1
+        return real(*args, **kw)
+
+    monkeypatch.setattr(training, "gradient_sums", ending)
+    try:
+        fit_head(df, w0, log_path=path, **options)
+    except KeyboardInterrupt:
+        pass
+    left[0] = 12 - steps_done
+    resumed, again = fit_head(df.repartition(5), w0, log_path=path, **options)
+    assert left[0] == 0                                     # no step is done twice
+    assert [h[:2] for h in again] == [h[:2] for h in history]
+    assert np.allclose([h[2] for h in again], [h[2] for h in history], atol=1e-12)
+    assert np.allclose(resumed.flat(), whole.flat(), atol=1e-12)
+    assert len(names(spark, path)) <= 2
+    with pytest.raises(ValueError, match="other settings"):
+        fit_head(df, w0, log_path=path, **{**options, "lr": 1e-3})
