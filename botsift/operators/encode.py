@@ -14,18 +14,21 @@ from pyspark.sql import functions as F
 
 from botsift.config import END_ID, MAX_LEN, N_SPECIAL, PAD_ID, START_ID, UNK_ID
 from botsift.functions.terms import words
+from botsift.operators.heavy import top_counts
 from botsift.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, hot_and_tail, join_terms
 from botsift.operators.rank import by_row, global_rank
 from botsift.session import materialize
 
 
 def build_vocab(train: DataFrame, size: int | None = None, text_col: str = "text") -> DataFrame:
-    """(token, id, n) of every training token, or of the ``size`` most frequent ones. Ids are ranks over range
-    partitions (no single-partition window). Materialised once so every encoder reuses the same ids."""
-    counts = (train.select(F.explode_outer(words(text_col)).alias("token")).filter(F.col("token").isNotNull())
-              .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    """(token, id, n) of every training token, or of the ``size`` most frequent ones (:mod:`botsift.operators.heavy`: the
+    others aren't shuffled). Ids are ranks over range partitions (no single-partition window). Materialised once so
+    every encoder reuses the same ids."""
     if size is not None:
-        counts = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
+        counts = top_counts(train, words(text_col), size)
+    else:
+        counts = (train.select(F.explode_outer(words(text_col)).alias("token")).filter(F.col("token").isNotNull())
+                  .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     ranked = global_rank(counts, [F.desc("n"), F.asc("token")], "rank")
     return materialize(ranked.select("token", (F.col("rank") + N_SPECIAL - 1).cast("int").alias("id"),
                                      F.col("n").cast("bigint").alias("n")), "vocab")
