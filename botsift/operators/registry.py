@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from botsift.config import DEFAULT_PROFILE, Profile
+from botsift.operators.shared import SharedArrays
 from botsift.operators.textmodels import TERM_KINDS, TextModel, fit_naive_bayes, fit_naive_bayes_many, style_model, weight_table
 from botsift.sinks.publish import get, names, put, remove
 
@@ -88,10 +89,14 @@ def head_model(name: str, weights, emb_col: str = "embedding", profile: Profile
 
 
 def external_model(name: str, make_predict_fn: Callable, inputs: tuple[str, ...], profile: Profile = DEFAULT_PROFILE,
-                   input_tensor_shapes=None) -> TextModel:
-    """Any batch model over columns (e.g. input_ids and attention_mask of an encoder) as a registry model."""
+                   input_tensor_shapes=None, weights: SharedArrays | None = None) -> TextModel:
+    """Any batch model over columns (e.g. input_ids and attention_mask of an encoder) as a registry model. With ``weights``
+    ``make_predict_fn`` is given the mapped arrays by name, so that a large model costs each machine one copy."""
     from botsift.operators.head import score_external
 
+    if weights is not None:
+        with_weights = make_predict_fn
+        make_predict_fn = lambda: with_weights(weights.open())
     return TextModel(name, "external", profile=profile, inputs=tuple(inputs), apply=lambda df, out: df.withColumn(
         out, score_external(list(inputs), make_predict_fn, input_tensor_shapes=input_tensor_shapes)))
 
