@@ -9,20 +9,33 @@ from pyspark.sql import functions as F
 from botsift.llm.common import id_and_text, remainder
 from botsift.session import materialize
 
-#: labelled rows that a model is fitted on at most (chosen by a hash of the id)
+#: labelled texts that a model is fitted on at most (those of the lowest hashes of id and text)
 MAX_LABELLED = 12_000
 
 
+def _lowest(keys: DataFrame, bound: int) -> DataFrame:
+    """The ``bound`` rows of the lowest ``rank``. Of a large table only the lowest share, twice as much as is wanted, is ordered."""
+    n = keys.count()
+    if n > 4 * bound:
+        below = keys.where(F.col("rank") < F.lit(-(1 << 63) + int((1 << 64) * (2 * bound / n))))
+        if below.limit(bound).count() == bound:
+            keys = below
+    return keys.orderBy("rank", "doc_id", "text_hash").limit(bound)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, bound: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, y) of at most ``bound`` labelled ids outside the held-out share, as a table in the
-    shared folder. Ids with a null label are left out; the greatest label of an id counts. The chosen ids
-    (one number and one bit each, ``bound`` rows) are broadcast, so the texts aren't shuffled."""
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
-    known = known.where(F.col("id").isNotNull() & F.col("y").isNotNull() & (remainder("id", modulus) != 0))
-    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(bound)
-    rows = id_and_text(docs)
-    chosen = rows.join(F.broadcast(known), rows["doc_id"] == known["id"]).select("doc_id", "text", "y")
-    return materialize(chosen, f"labelled-{label}")
+    """(doc_id, text, y) of at most ``bound`` labelled texts outside the held-out share, as a table in the shared folder. A row
+    that repeats counts once; ids with a null label, and labels without a document, take no part; the greatest label of an id
+    counts. Only ids and hashes are joined with the labels; the chosen ones (``bound`` rows) are broadcast to fetch their texts."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (remainder("doc_id", modulus) != 0))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    rows = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    keys = rows.select("doc_id", "text_hash").join(known, "doc_id").groupBy("doc_id", "text_hash", "y").count()
+    keys = materialize(keys.select("doc_id", "text_hash", "y", F.xxhash64("doc_id", "text_hash").alias("rank")), f"labelled-keys-{label}")
+    chosen = materialize(_lowest(keys, bound).drop("rank"), f"labelled-chosen-{label}")
+    found = rows.join(F.broadcast(chosen), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    return materialize(found.select("doc_id", "text", "y"), f"labelled-{label}")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float, weight: np.ndarray | None = None,

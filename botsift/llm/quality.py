@@ -1,12 +1,12 @@
 """Quality by Bradley-Terry pairwise ranking.
 
-Each text gives a few numbers about its words, signs, case, lines and repetition. Labelled rows make
-preference pairs (a row of label 1 over one of label 0); the logistic loss on the difference of their
-numbers gives the weights, and the weighted sum is the document's strength. The strength is cut at the quantile of the labelled strengths
+Each text gives a few numbers about its words, signs, case, lines and repetition. Every labelled row of label 1 is preferred to every
+one of label 0; the logistic loss on the difference of their numbers, summed over all these pairs in blocks, gives the weights, and the weighted sum is the document's strength. The strength is cut at the quantile of the labelled strengths
 that parts the labels best (mean of both hit rates; the middle of equally good quantiles), and mapped to 0..1
 so that this quantile has score ``THRESHOLD``.
 
-Learning uses at most ``MAX_LABELLED`` rows and ``PAIRS`` pairs; scoring reads every whole text.
+Learning uses at most ``MAX_LABELLED`` rows, in an order of their own, so a score depends on the table alone, not on how it is
+dealt; scoring reads every whole text.
 
 Defined results: empty and null texts have all numbers 0 and are scored like any text; without labels of both kinds
 every score is the share of label 1 (0.5 without labels); each repeated row gives a row; extra columns are left out.
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botsift.llm.common import id_and_text, remainder, steps
-from botsift.llm.labelled import MAX_LABELLED, fit_logistic, training_sample
+from botsift.llm.labelled import MAX_LABELLED, training_sample
 
 MODULUS = 5
 THRESHOLD = 0.3
-PAIRS = 120_000
+#: pairs that are looked at together
+PAIR_BLOCK = 1 << 20
 NAMES = ("words", "word_length", "distinct", "doubled", "top_word", "upper_words", "ending_signs", "odd_signs", "bars", "digits",
          "sentence_words", "line_words", "repeated_lines", "other_letters", "marked_words")
 _LINE = re.compile(r"[^\n]+")
@@ -76,19 +77,49 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, x**2, np.sqrt(np.abs(x))], 1)
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 0.5, seed: int = 7) -> np.ndarray:
-    """Weights by the logistic loss on differences: every row of either label stands in about
-    equally many pairs with rows of the other."""
-    good, bad = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
-    pick = np.random.default_rng(seed)
-    n = min(pairs, len(good) * len(bad))
-    a = good[pick.permutation(np.arange(n) % len(good))]
-    b = bad[pick.permutation(np.arange(n) % len(bad))]
-    d = x[a] - x[b]
-    # both orders of a pair say the same; alternating them keeps the labels of the loss balanced
-    turn = np.arange(n) % 2 == 0
-    d[~turn] *= -1
-    return fit_logistic(d, turn.astype(np.float64), np.zeros(x.shape[1]), ridge)
+def _pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and curvature of the mean logistic loss of (good - bad) @ w over all pairs."""
+    up, down = good @ w, bad @ w
+    loss, pulled, pushed = 0.0, np.zeros(len(good)), np.zeros(len(bad))
+    steep, flat, mixed = np.zeros(len(good)), np.zeros(len(bad)), np.zeros((len(w), len(w)))
+    rows = max(1, PAIR_BLOCK // len(bad))
+    for a in range(0, len(good), rows):
+        z = up[a : a + rows, None] - down[None, :]
+        loss += float(np.logaddexp(0, -z).sum())
+        p = 1 / (1 + np.exp(np.clip(z, -35, 35)))          # chance of the wrong order
+        pulled[a : a + rows] += p.sum(1)
+        pushed += p.sum(0)
+        p *= 1 - p
+        steep[a : a + rows] += p.sum(1)
+        flat += p.sum(0)
+        mixed += good[a : a + rows].T @ (p @ bad)
+    n = len(good) * len(bad)
+    gradient = bad.T @ pushed - good.T @ pulled
+    curve = (good * steep[:, None]).T @ good + (bad * flat[:, None]).T @ bad - mixed - mixed.T
+    return loss / n, gradient / n, curve / n
+
+
+def fit_pairs(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, steps: int = 40) -> np.ndarray:
+    """Bradley-Terry weights: the mean logistic loss over all pairs of either label, by damped Newton steps."""
+    good, bad = x[y > 0], x[y == 0]
+    w = np.zeros(x.shape[1])
+    loss, gradient, curve = _pair_sums(good, bad, w)
+    now = loss
+    for _ in range(steps):
+        step = np.linalg.solve(curve + ridge * np.eye(len(w)), gradient + ridge * w)
+        rate = 1.0
+        while rate > 1e-4:
+            then = w - rate * step
+            loss, gradient, curve = _pair_sums(good, bad, then)
+            if loss + 0.5 * ridge * float(then @ then) <= now:
+                break
+            rate /= 2
+        else:
+            break
+        moved, now, w = now - (loss + 0.5 * ridge * float(then @ then)), loss + 0.5 * ridge * float(then @ then), then
+        if moved < 1e-9 * (1 + abs(now)):
+            break
+    return w
 
 
 def best_quantile(strength: np.ndarray, y: np.ndarray) -> float:
@@ -106,7 +137,7 @@ def best_quantile(strength: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> dict:
     """Scaling, weights, cut and width of the ranking."""
     sample = training_sample(docs, labels, "quality", MODULUS, bound)
-    rows = described(sample, "y").collect()  # at most ``bound`` rows of fifteen numbers
+    rows = sorted(described(sample, "y").collect(), key=lambda r: (r["y"], r["x"]))  # at most ``bound`` rows of fifteen numbers
     y = np.array([float(r["y"] > 0) for r in rows])
     if not len(y) or y.min() == y.max():
         return {"share": float(y.mean()) if len(y) else 0.5}
@@ -119,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> dict:
 
 
 def strengths(model: dict, x: np.ndarray) -> np.ndarray:
-    return np.clip((expand(x) - model["mean"]) / model["width"], -8, 8) @ model["w"]
+    # row by row: a product of matrices would round by the size of the batch
+    return (np.clip((expand(x) - model["mean"]) / model["width"], -8, 8) * model["w"]).sum(1)
 
 
 def scores(model: dict, x: np.ndarray) -> np.ndarray:
