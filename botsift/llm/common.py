@@ -10,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from botsift.session import materialize
+
 #: bytes of text that one Python step holds at a time (a single longer text is a step of its own)
 STEP_BYTES = 2 << 20
+#: rows of one key that a join leaves together
+HOT_ROWS = 100_000
 
 
 def remainder(col: str, modulus: int) -> Column:
@@ -29,6 +33,32 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as make it differ from all of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_dealt(many: DataFrame, one: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``many``, a table read from files, to ``one`` (a row per key at most). A key with more than ``limit`` rows is
+    dealt into parts of about that size by the rows' places in the table, and its row of ``one`` is copied to each part; other
+    keys stay as they are. The list of such keys, no longer than the rows of ``many`` by ``limit``, is broadcast."""
+    parts, part = unused([*many.columns, *one.columns], "parts", "part")
+    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    hot = materialize(hot.select(key, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias(parts)), "hot-keys")
+    if not hot.limit(1).count():
+        return many.join(one, key)
+    n = F.coalesce(F.col(parts), F.lit(1))
+    left = many.join(F.broadcast(hot), key, "left").withColumn(part, F.pmod(F.xxhash64(F.monotonically_increasing_id()), n).cast("int")).drop(parts)
+    right = one.join(F.broadcast(hot), key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)
+    return left.join(right, [key, part]).drop(part)
+
+
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows whose texts sum to about ``limit`` bytes."""
     n = batch.num_rows

@@ -2,7 +2,7 @@
 
 Every round is a pair of aggregates and joins over edges; edges between rounds are tables in
 the shared folder, so a lost executor repeats one round at most and nothing grows on the driver
-(two numbers a round reach it). A node with very many neighbours is split over ``SALTS`` keys.
+(two numbers a round reach it). A node with very many neighbours is dealt into parts by their number.
 """
 
 from __future__ import annotations
@@ -10,22 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from botsift.llm.common import HOT_ROWS, join_dealt
 from botsift.session import discard, materialize
 
-SALTS = 8
-
 
 def _least(edges: DataFrame, u: str, v: str) -> DataFrame:
-    """(node, salt, least): the smallest neighbour of each node, once for each salt."""
-    m = edges.groupBy(F.col(u).alias("node")).agg(F.min(v).alias("least"))
-    return m.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-
-
-def _salted(edges: DataFrame, v: str) -> DataFrame:
-    return edges.withColumn("salt", F.pmod(F.xxhash64(v), F.lit(SALTS)).cast("int"))
+    """(node, least): the smallest neighbour of each node."""
+    return edges.groupBy(F.col(u).alias("node")).agg(F.min(v).alias("least"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
     Edges are undirected and may repeat; loops and edges with a null end are left out. Nodes
@@ -43,16 +37,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # large-star: each node sends its larger neighbours to its smallest one (or to itself)
         both = pair.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pair.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        larger = _salted(pair.select(F.col("lo").alias("node"), F.col("hi").alias("v")), "v")
-        large = larger.join(_least(both, "u", "v"), ["node", "salt"]).select(
+        larger = pair.select(F.col("lo").alias("node"), F.col("hi").alias("v"))
+        large = join_dealt(larger, _least(both, "u", "v"), "node", hot_rows).select(
             F.col("v").alias("hi"), F.least("node", "least").alias("lo"))
         # the edge from a node to its own smallest neighbour stays, so that a pair with one edge does
         own = both.groupBy("u").agg(F.min("v").alias("v")).where("v < u").select(
             F.col("u").alias("hi"), F.col("v").alias("lo"))
         large = materialize(large.unionByName(own).distinct(), "large-star")
         # small-star: each node sends its smaller neighbours, and itself, to the smallest of them
-        smaller = _salted(large.select(F.col("hi").alias("node"), F.col("lo").alias("v")), "v")
-        small = smaller.join(_least(large, "hi", "lo"), ["node", "salt"]).where("v <> least").select(
+        smaller = large.select(F.col("hi").alias("node"), F.col("lo").alias("v"))
+        small = join_dealt(smaller, _least(large, "hi", "lo"), "node", hot_rows).where("v <> least").select(
             F.col("v").alias("hi"), F.col("least").alias("lo"))
         stars = large.groupBy("hi").agg(F.min("lo").alias("lo"))
         before, pair = pair, materialize(small.unionByName(stars).distinct(), "small-star")

@@ -7,8 +7,8 @@ only occurrences of that one make candidates. A candidate is kept by its positio
 to start and end inside the text) and then verified on every shingle of the window at its offset.
 
 One pass over the texts marks every occurrence of an item shingle; counts, prefix join and
-verification work on these marks. Item tables are broadcast up to ``BROADCAST_ROWS`` rows and shuffled
-beyond. No step brings the occurrences of one shingle, item or passage together in one task: counts
+verification work on these marks. Item tables are broadcast up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES``
+of text, and shuffled beyond; a frequent prefix shingle is then dealt into parts by its count. No step brings the occurrences of one shingle, item or passage together in one task: counts
 are combined before the shuffle and verification is keyed by document and place.
 
 Defined results: null texts have no words; each repeated row gives a row (rows of equal id and
@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from botsift.llm.common import id_and_text
+from botsift.llm.common import HOT_ROWS, id_and_text, unused
+from botsift.operators.joins import fits, size_of
 from botsift.session import materialize
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
 #: item shingles (a few words each) that are broadcast; a larger benchmark is joined by shuffle
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 128 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -103,7 +105,7 @@ def window_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     (doc_id, th, start, length, wid) of windows in texts; and which item has which window."""
     windows = materialize(item_windows(benchmark, window, item_id_col, item_text_col), "item-windows")
     shingles = materialize(window_shingles(windows, shingle), "item-shingles")
-    small = shingles.count() <= BROADCAST_ROWS
+    small = fits(*size_of(shingles, ["wid", "shingle", "shingle"]), BROADCAST_ROWS, BROADCAST_BYTES)
     marks = materialize(marked(id_and_text(docs, id_col, text_col), shingles, shingle, small), "shingle-marks")
     rows = marks.where(F.col("shingle").isNull()).select("doc_id", "th", "n_words")
     hits = marks.where(F.col("shingle").isNotNull())
@@ -111,9 +113,15 @@ def window_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     # the rarest shingle of each window; a window with a shingle that no text has drops out here
     ordered = shingles.join(_small(rarity, small), "shingle", "left").groupBy("wid", "length", "need").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "shingle")).alias("first"))
-    prefix = ordered.where("first.n > 0").select("wid", "length", "need", F.col("first.off").alias("off"), F.col("first.shingle").alias("shingle"))
+    prefix = ordered.where("first.n > 0").select("wid", "length", "need", F.col("first.n").alias("n"), F.col("first.off").alias("off"), F.col("first.shingle").alias("shingle"))
     start = F.col("pos") - F.col("off")
-    candidates = hits.join(_small(prefix, small), "shingle").where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
+    asked = hits
+    if not small:  # the prefix of a window is its rarest shingle; even that may be frequent
+        most = prefix.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        parts = -(-most // HOT_ROWS) or 1
+        asked = hits.withColumn("part", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(parts)).cast("int"))
+        prefix = prefix.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    candidates = asked.join(_small(prefix.drop("n"), small), ["shingle"] if small else ["shingle", "part"]).where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
     candidates = candidates.select("doc_id", "th", start.alias("start"), "length", "need", "wid").distinct()
     expected = candidates.join(_small(shingles.select("wid", "off", "shingle"), small), "wid").select(
         "doc_id", "th", "start", "length", "need", "wid", (F.col("start") + F.col("off")).alias("pos"), "shingle")
@@ -134,7 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     spans = found.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("length")).alias("stop"))
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))))
     hit = spans.withColumn("fresh", fresh).groupBy(*key).agg(F.sum("fresh").alias("n_hit"))
-    small = windows.count() <= BROADCAST_ROWS
+    small = fits(*size_of(windows, ["wid", "item_id"]), BROADCAST_ROWS, BROADCAST_BYTES)
     items = found.select(*key, "wid").distinct().join(_small(windows, small), "wid")
     items = items.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     both = hit.alias("h").join(items.alias("i"), F.col("h.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("h.th") == F.col("i.th")), "left").select(
@@ -157,7 +165,7 @@ def report(found: DataFrame) -> DataFrame:
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` (columns doc_id, text and any others) without a window of an item."""
-    keys = ["__none", "__id", "__hash"]
+    keys = unused(docs.columns, "none", "id", "hash")
     hit = contamination(docs, benchmark).where("n_hit > 0").select(
         F.col("doc_id").isNull().alias(keys[0]), F.coalesce("doc_id", F.lit(0)).alias(keys[1]), F.col("th").alias(keys[2])).distinct()
     rows = docs.select(

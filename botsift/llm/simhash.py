@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from botsift.llm.common import id_and_text, steps
+from botsift.llm.common import HOT_ROWS, id_and_text, join_dealt, steps, unused
 from botsift.llm.components import connected_components
 from botsift.session import materialize
 
@@ -33,7 +33,7 @@ SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
 #: members of a key that are compared with each other without a further split
 KEY_LIMIT = 1024
-#: parts that the rows of one fingerprint are dealt into for the last join
+#: parts that counts of one fingerprint or key are combined in first
 SALTS = 16
 
 
@@ -167,22 +167,20 @@ def link(distinct: DataFrame, distance: int = MAX_DISTANCE, key_limit: int = KEY
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, text_hash, fp, component, component_id) for every row: fingerprints within ``distance`` bits are
     linked; component is the smallest fingerprint and component_id the smallest id that can be reached."""
     rows = fingerprints(docs, words, id_col, text_col)
     rows = materialize(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "fingerprints")
     shares = materialize(rows.groupBy("fp", "salt").agg(F.min("doc_id").alias("least")), "fingerprint-shares")
     distinct = shares.groupBy("fp").agg(F.min("least").alias("least"))
-    nodes = connected_components(link(distinct.select("fp"), distance))
+    nodes = connected_components(link(distinct.select("fp"), distance), hot_rows=hot_rows)
     placed = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = materialize(placed, "fingerprint-placed")
     heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    heads = heads.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    named = materialize(placed.join(heads, ["component", "part"]).select("fp", "component", "component_id"), "fingerprint-components")
-    named = shares.select("fp", "salt").join(named, "fp")
-    return rows.join(named, ["fp", "salt"]).select("doc_id", "text_hash", "fp", "component", "component_id")
+    named = materialize(join_dealt(placed, heads, "component", hot_rows).select("fp", "component", "component_id"), "fingerprint-components")
+    return join_dealt(rows.drop("salt"), named, "fp", hot_rows).select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
@@ -190,11 +188,11 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, distance: int = MAX
     (null last), then the smallest hash of the text; of wholly equal rows one."""
     found = near_duplicates(docs, words, distance)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
-    keys = ["__none", "__id", "__hash"]
+    *keys, number = unused(docs.columns, "none", "id", "hash", "number")
     first = first.select(F.col("k.none").alias(keys[0]), F.coalesce("k.doc_id", F.lit(0)).alias(keys[1]), F.col("k.text_hash").alias(keys[2]))
     rows = docs.select(
         "*", F.col("doc_id").isNull().alias(keys[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(keys[1]),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias(keys[2]))
     kept = rows.join(first, keys, "left_semi")
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    return kept.withColumn("__number", number).where(F.col("__number") == 1).drop(*keys, "__number")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    return kept.withColumn(number, place).where(F.col(number) == 1).drop(*keys, number)

@@ -5,7 +5,9 @@ SF = "/root/testdata/sf0.01"
 
 # extra columns whose names the operators use inside
 EXTRA = {"fp": 1, "salt": "s", "th": 2, "w": "w", "y": 3, "kind": "text", "block": 4, "shard": 5, "payload": "p", "score": 0.5, "ids": "x",
-         "spans": "z", "kept": "k", "pos": 6, "n": 7, "component": 8, "text_hash": 9, "v": "v", "dim": 10, "norm": 1.5}
+         "spans": "z", "kept": "k", "pos": 6, "n": 7, "component": 8, "text_hash": 9, "v": "v", "dim": 10, "norm": 1.5,
+         "none": True, "id": 11, "hash": 12, "number": 13, "_hash": 14, "__hash": 15, "__none": 16, "__id": 17, "__number": 18, "part": 19, "parts": 20,
+         "carried_0": "c", "rank": 22, "numbered": "x", "path": "y", "words": "w"}
 
 
 @pytest.fixture(scope="session")

@@ -45,8 +45,21 @@ def test_hard_rows(frame):
 
 
 def test_shuffled_tables_give_the_same(frame, monkeypatch):
-    monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
-    assert run(frame(DOCS, "doc_id long, text string"), frame(ITEMS, "item_id long, text string")) == brute(DOCS, ITEMS)
+    """Beyond the bounds, by rows or by bytes, also with prefix shingles that are dealt into parts."""
+    for rows, nbytes, hot in ((0, 1 << 30, 100_000), (500_000, 100, 3)):
+        monkeypatch.setattr(dc, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(dc, "BROADCAST_BYTES", nbytes)
+        monkeypatch.setattr(dc, "HOT_ROWS", hot)
+        assert run(frame(DOCS, "doc_id long, text string"), frame(ITEMS, "item_id long, text string")) == brute(DOCS, ITEMS)
+
+
+def test_columns_of_any_name_stay(frame):
+    docs = frame(DOCS, "doc_id long, text string")
+    kept = dc.clean_rows(docs, frame(ITEMS, "item_id long, text string"))
+    assert kept.columns == docs.columns and {"__hash", "__none", "none", "part"} <= set(kept.columns)
+    clean = sorted((d, t) for (d, t), hit in ((r, [x for x in brute([r], ITEMS) if x[2]]) for r in DOCS) if not hit and d is not None and t is not None)
+    got = sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None and r.text is not None)
+    assert got == clean and all(r["__hash"] == 15 and r["_hash"] == 14 for r in kept.collect())
 
 
 def test_empty(frame, empty):

@@ -2,9 +2,12 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from botsift.llm import simhash
+from botsift.llm.common import join_dealt
 from botsift.llm.components import connected_components
+from botsift.session import materialize
 
 
 def plain(text, words=3):
@@ -70,6 +73,34 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+    hot = connected_components(spark.createDataFrame(edges, "a long, b long"), hot_rows=3).collect()
+    assert {r.node: r.component for r in hot} == got
+
+
+def test_hot_keys_are_dealt_into_parts(spark):
+    """A key with most rows, all of them equal, is joined by many tasks; no row is lost or doubled."""
+    many = materialize(spark.range(4000).selectExpr("CASE WHEN id % 10 < 9 THEN 7 ELSE id END AS k", "1 AS id"), "t-many")
+    one = spark.range(4000).selectExpr("id AS k", "id * 2 AS v", "5 AS part")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        got = join_dealt(many, one, "k", 100)
+        assert got.columns == ["k", "id", "v", "part"]
+        per_task = got.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in per_task) < 1200 and len(per_task) >= 6
+        assert sorted(map(tuple, got.collect())) == sorted((r.k, 1, r.k * 2, 5) for r in many.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+
+
+def test_groups_with_split_keys_and_parts(frame, sf_docs):
+    rows = sf_docs[:80] + [(2000 + i, "a copy of many words in one text") for i in range(60)] + [(3000, "a copy of many words in one text")] * 30
+    df = frame(rows, "doc_id long, text string")
+    columns = ["doc_id", "text_hash", "fp", "component", "component_id"]
+    whole = sorted(map(tuple, simhash.near_duplicates(df).select(columns).collect()))
+    assert sorted(map(tuple, simhash.near_duplicates(df, hot_rows=7).select(columns).collect())) == whole and len(whole) == len(rows)
 
 
 def test_hard_rows_one_of_each_and_empty(hard, empty):
