@@ -23,32 +23,23 @@ from botsift.session import materialize, ship_package  # noqa: E402
 from botsift.sources.tables import read_table, spread  # noqa: E402
 
 
-#: rows of documents that pass to Python at a time (a few MB of text, where the default would take all of a task)
-ARROW_ROWS = 2_000
-
-
-def ready(spark: SparkSession) -> None:
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ready(spark)
+    ship_package(spark)
     return toxicity.clean_rows(spread(docs), read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ready(spark)
+    ship_package(spark)
     return simhash.one_of_each(spread(docs), simhash.SHINGLE_WORDS, simhash.MAX_DISTANCE)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ready(spark)
+    ship_package(spark)
     return suffix_dedup.shortened(spread(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ready(spark)
+    ship_package(spark)
     return decontamination.clean_rows(spread(docs), read_table(spark, sf_dir, "benchmark"))
 
 
