@@ -3,12 +3,14 @@
 Writing: payloads are grouped by SHA-1 and length (combined before the shuffle); the record of the smallest
 id carries the payload, the others of at least ``min_bytes`` become revisit records that refer to it. Spark's
 text writer writes the records: a record ends with two line ends, which is the writer's line separator, so each
-file is a plain WARC file. Files hold about ``ARCHIVE_BYTES``.
+file is a plain WARC file. Files hold about ``ARCHIVE_BYTES``: records of very different sizes go to different files, so that a
+number of records bounds a file's bytes, and a few huge pages among many small ones don't gather in one.
 
 Reading: every archive is parsed by the lengths in its headers, payload digests are computed again and held against the
-headers, and its captures, sorted by URL key, time and id, make one run of the index. Merging: the runs are cut into
-ranges of the key; each task merges the slices of its range, one per run, with a loser tree. Ranges
-follow each other, so the index is ordered as a whole; a range is bounded in rows, since key, time, id and place cut a hot URL as well.
+headers, and its captures, sorted by URL key, time and id, make one run of the index, which is written. Merging: the runs are
+cut at sampled keys; a task gets its range's slice of every run, in the order of the run, and merges the slices with a
+loser tree. Nothing is sorted again: where a slice's order breaks off (a run that was read in two pieces), a further slice begins.
+Ranges follow each other, so the index is ordered as a whole; a range is bounded in rows, since key, time, id and place cut a hot URL as well.
 
 Defined results: a null html is an empty payload; a null url has no target header and an empty key; rows without id refer to
 the smallest id of their payload, and are responses if there is none; repeated rows are records each (rows with the smallest id of a
@@ -31,6 +33,10 @@ from botsift.llm.common import steps
 from botsift.session import materialize, scratch_path
 
 ARCHIVE_BYTES = 16 << 20
+#: sizes of the records of one file differ by this factor at most (beyond four times the mean)
+SIZE_STEP = 16
+#: bytes of a record besides its payload, about
+HEAD_BYTES = 600
 RANGE_ROWS = 50_000
 #: digests of repeated payloads that are broadcast; more are joined by shuffle, with hot ones split
 BROADCAST_ROWS = 200_000
@@ -90,8 +96,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     keyed = rows.withColumn("sha", F.unhex(F.sha1("html"))).withColumn("size", F.octet_length("html"))
     sums = keyed.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     sums = materialize(sums, "payloads")
-    total = sums.agg(F.coalesce(F.sum(F.col("n") * (F.col("size") + 600)), F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)),
-                     F.sum(F.when((F.col("n") > 1) & (F.col("size") >= min_bytes), 1).otherwise(0))).first()
+    total = sums.agg(F.coalesce(F.sum(F.col("n") * (F.col("size") + HEAD_BYTES)), F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)),
+                     F.sum(F.when((F.col("n") > 1) & (F.col("size") >= min_bytes), 1).otherwise(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     again = sums.where((F.col("n") > 1) & (F.col("size") >= min_bytes) & F.col("first").isNotNull()).select("sha", "size", "first")
     if (total[2] or 0) <= BROADCAST_ROWS:
         typed = keyed.join(F.broadcast(again), ["sha", "size"], "left")
@@ -99,7 +105,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
         again = again.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         typed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(again, ["sha", "size", "salt"], "left")
     revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    typed = typed.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    typed = typed.select("size", "page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,9 +113,16 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
                 cols = [part.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "revisit")]
                 yield pa.RecordBatch.from_arrays([pa.array([record(*r) for r in zip(*cols)], pa.string())], names=["value"])
 
-    each = max(1, int(ARCHIVE_BYTES * (total[1] or 1) / total[0]))
-    typed.mapInArrow(run, "value string").write.option("lineSep", END * 2).option("maxRecordsPerFile", each).text(path)
-    return path
+    mean, least, most = total[0] / (total[1] or 1), -1, 4 * int(total[0] / (total[1] or 1))
+    step = 0
+    while True:  # one write for each step of sizes, a few at most: the first holds nearly all records
+        each = max(1, int(4 * ARCHIVE_BYTES / (most + HEAD_BYTES)) if step else int(ARCHIVE_BYTES / mean))
+        some = typed.where((F.col("size") > least) & (F.col("size") <= most)).drop("size")
+        if not step or sums.where((F.col("size") > least) & (F.col("size") <= most)).limit(1).count():
+            some.mapInArrow(run, "value string").write.option("lineSep", END * 2).option("maxRecordsPerFile", each).text(f"{path}/size-{step}")
+        if most >= total[3]:
+            return path
+        least, most, step = most, most * SIZE_STEP, step + 1
 
 
 def captures(archive: str, data: bytes) -> Iterator[tuple]:
@@ -150,16 +163,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows of all archives under ``path``, each archive's rows sorted: the runs of the merge."""
+    """Index rows of all archives under ``path``, each archive's rows sorted: the runs of the merge. An archive's name is
+    its folder and file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                rows = sorted(captures(archive.rpartition("/")[2], data.as_py()), key=order_of)
+                rows = sorted(captures("/".join(archive.split("/")[-2:]), data.as_py()), key=order_of)
                 for i in range(0, len(rows), 10_000):
                     yield _batch(rows[i : i + 10_000])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/size-*").select("path", "content")
     return files.mapInArrow(run, INDEX)
 
 
@@ -208,19 +222,21 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     runs = materialize(runs, "capture-runs")
     ranges = max(1, -(-runs.count() // range_rows), runs.sparkSession.sparkContext.defaultParallelism)
     keys = ["url_key", "timestamp", "page_id", "archive", "offset"]
-    cut = runs.repartitionByRange(ranges, *keys).sortWithinPartitions("archive", "url_key", "timestamp", F.asc_nulls_first("page_id"), "offset")
-    cut = cut.withColumn("range_no", F.spark_partition_id())
+    cut = runs.repartitionByRange(ranges, *keys).withColumn("range_no", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[tuple]] = {}
-        number = 0
+        slices, last, number = [], {}, 0  # last: the newest slice of each run
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for row in zip(*cols):
-                number = row[-1]
-                slices.setdefault(row[3], []).append(row[:-1])
+                number, row = row[-1], row[:-1]
+                mine = last.get(row[3])
+                if mine is None or order_of(mine[-1]) > order_of(row):
+                    mine = last[row[3]] = []
+                    slices.append(mine)
+                mine.append(row)
         held, place = [], 0
-        for row in LoserTree(list(slices.values()), order_of):
+        for row in LoserTree(slices, order_of):
             held.append(row)
             if len(held) == 10_000:
                 yield _numbered(held, number, place)

@@ -49,6 +49,35 @@ def test_index_is_ordered_as_a_whole(frame):
     assert keys == sorted(keys) and len(rows) == 600 and len({r.archive for r in rows}) > 3 and len({r.range_no for r in rows}) > 3
 
 
+def test_huge_records_among_small_ones(spark, frame, monkeypatch):
+    """Files are rolled by bytes: a few records of megabytes in a row don't make a file of them all."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 18)
+    rows = [(i, f"http://s.example.com/{i}", f"small page {i}") for i in range(3000)]
+    rows += [(10_000 + i, f"http://huge.example.com/{i}", f"{i} " + "x" * (1 << 20)) for i in range(40)] + [(20_000, "http://mid.example.com/", "y" * 30_000)]
+    path = scratch_path(spark, "warc-test")
+    got = warc.archive_and_index(frame(rows, "page_id long, url string, html string", 1), 0, path).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == want(rows)
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.archive, []).append(r.length)
+    assert all(sum(s) <= 4 * (1 << 18) + 2000 or len(s) == 1 for s in sizes.values()) and len(sizes) > 40
+
+
+def test_the_merge_sorts_nothing_again(spark, frame):
+    import re as _re
+
+    table = frame([(i, f"http://h{i % 5}.org/{i % 3}", f"p{i}") for i in range(200)], "page_id long, url string, html string", 4)
+    runs = warc.read_runs(spark, warc.write_archives(table, scratch_path(spark, "warc-test")))
+    merged = warc.merge_runs(runs, range_rows=40)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and not _re.search(r"\bSort\b", plan)
+    # runs that come in pieces and out of turn are merged all the same
+    mixed = warc.merge_runs(runs.repartition(9, "offset"), range_rows=40).collect()
+    mixed.sort(key=lambda r: (r.range_no, r.place))
+    keys = [(r.url_key, r.timestamp, r.page_id) for r in mixed]
+    assert keys == sorted(keys) and len(keys) == 200
+
+
 def test_loser_tree():
     rng = np.random.default_rng(9)
     for k in (0, 1, 2, 3, 5, 8, 13):
