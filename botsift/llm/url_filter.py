@@ -6,8 +6,8 @@ search: word counts come from the visible text of all pages, and only the counts
 up that stand somewhere in a host (distinct labels, all their substrings, one join). A multinomial naive Bayes over
 host words and path tokens, with the pages that a rule decides as its labelled rows, gives the verdict.
 
-Counts cover all pages. Everything is done on distinct hosts and distinct urls, so a hot host or url
-costs a row; joins back to pages are on shares of a url (``SALTS``), so none is read by one task.
+Counts cover all pages and all words. Everything is done on distinct hosts and distinct urls, so a hot host or url
+costs a row; in the joins back, a label, host or url of many rows is dealt into parts by their number.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, and no rule unless one
 fits those; without pages that rules decide, or with one kind of them only, the more frequent verdict (allow
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from botsift.llm.common import HOT_ROWS, join_dealt
 from botsift.session import materialize
 
 # Fixed rules of the registered query: (host, path, verdict).
@@ -57,7 +58,7 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(word, n): words of the visible text of all pages, in lower case."""
     text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    return words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
@@ -79,8 +80,8 @@ def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
-def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(host, words): distinct hosts with the words of their labels, in order."""
+def segmented(hosts: DataFrame, counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(host, words): distinct hosts with the words of their labels, in order; none where a host has no letters."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     pieces = hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(r"\p{L}+"), F.lit(0))).alias("place", "label"))
     pieces = materialize(pieces, "host-labels")
@@ -98,8 +99,9 @@ def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(cut, pa.list_(pa.string()))], names=["label", "words"])
 
     cut = known.mapInArrow(run, "label string, words array<string>")
-    return pieces.join(cut, "label").groupBy("host").agg(
+    found = join_dealt(pieces, cut, "label", hot_rows).groupBy("host").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda s: s["words"])).alias("words"))
+    return hosts.join(found, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
 def path_tokens(path: Column) -> Column:
@@ -109,23 +111,19 @@ def path_tokens(path: Column) -> Column:
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
-                html_col: str = "html") -> DataFrame:
+                html_col: str = "html", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_words, log_odds) of every page; log_odds of allow over block
     where no rule decides."""
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    shares = materialize(rows.groupBy("host", "path", "salt").agg(F.count(F.lit(1)).alias("n")), "url-shares")
-    urls = shares.groupBy("host", "path").agg(F.sum("n").alias("n"))
+    rows = materialize(rows, "page-urls")
+    urls = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = materialize(urls.withColumn("rule", name).withColumn("verdict", verdict), "urls")
     counts = materialize(word_counts(pages, html_col), "page-words")
-    words = segmented(urls.select("host").distinct(), counts)
-    # a hot host has many urls: its words are copied to every part of them
-    words = words.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    known = urls.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(words, ["host", "part"], "left")
-    known = known.withColumn("host_words", F.coalesce("words", F.array().cast("array<string>")))
-    known = materialize(known.select("host", "path", "n", "rule", "verdict", "host_words"), "url-words")
+    words = segmented(urls.select("host").distinct(), counts, hot_rows)
+    known = join_dealt(urls, words, "host", hot_rows)
+    known = materialize(known.select("host", "path", "n", "rule", "verdict", F.col("words").alias("host_words")), "url-words")
     tokens = known.select("host", "path", "n", "verdict", F.explode(F.concat(
         F.transform("host_words", lambda w: F.concat(F.lit("host:"), w)), F.transform(path_tokens(F.col("path")), lambda w: F.concat(F.lit("path:"), w)))).alias("token"))
     allow = F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)
@@ -150,5 +148,4 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     judged = known.select(
         "host", "path", "rule", F.coalesce("verdict", F.when(F.col("log_odds") >= 0, "allow").otherwise("block")).alias("verdict"),
         "host_words", F.when(F.col("verdict").isNull(), F.col("log_odds")).alias("log_odds"))
-    named = shares.select("host", "path", "salt").join(judged, ["host", "path"])
-    return rows.join(named, ["host", "path", "salt"]).select("page_id", "host", "path", "rule", "verdict", "host_words", "log_odds")
+    return join_dealt(rows, judged, ["host", "path"], hot_rows).select("page_id", "host", "path", "rule", "verdict", "host_words", "log_odds")

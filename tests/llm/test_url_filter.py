@@ -1,4 +1,6 @@
 import itertools
+import random
+import re
 
 import numpy as np
 import pytest
@@ -50,6 +52,71 @@ def test_shuffled_weights_give_the_same(frame, monkeypatch):
     assert key(uf.filter_urls(df).collect()) == one
 
 
+def whole_by_hand(pages):
+    """The whole result by plain Python: counts of all visible words, best cut of every label by trying all cuts, Bayes over tokens."""
+    counts = {}
+    for _, _, html in pages:
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", html or "")
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            counts[w] = counts.get(w, 0) + 1
+    total = max(1, sum(counts.values()))
+
+    def cost(word):
+        n = counts.get(word, 0) if len(word) <= uf.LONGEST_WORD else 0
+        return np.log(n / total) if n else np.log(10 / (total + 10)) - np.log(10) * len(word)
+
+    def cut(label):
+        cuts = []
+        for marks in itertools.product((0, 1), repeat=len(label) - 1):
+            words, word = [], label[0]
+            for c, m in zip(label[1:], marks):
+                if m:
+                    words.append(word)
+                    word = c
+                else:
+                    word += c
+            cuts.append(words + [word])
+        return max(cuts, key=lambda ws: sum(map(cost, ws)))
+
+    def tokens(host, path):
+        found = [f"host:{w}" for label in re.findall(r"[^\W\d_]+", host) for w in cut(label)]
+        return found + [f"path:{'#' + str(len(t)) if t[0].isdigit() else t}" for t in re.findall(r"[^\W\d_]+|\d+", path.lower())]
+
+    rows = [(i, *plain(u)) for i, u, _ in pages]
+    seen = {"allow": {}, "block": {}}
+    n = {"allow": 0, "block": 0}
+    for _, host, path in rows:
+        fit = rule(host, path)
+        if fit:
+            n[fit[1]] += 1
+            for t in tokens(host, path):
+                seen[fit[1]][t] = seen[fit[1]].get(t, 0) + 1
+    names = set(seen["allow"]) | set(seen["block"])
+    sums = {v: sum(seen[v].values()) + 0.5 * len(names) for v in seen}
+    out = []
+    for i, host, path in rows:
+        fit = rule(host, path)
+        odds = np.log(n["allow"] / n["block"]) + sum(
+            np.log((seen["allow"].get(t, 0) + 0.5) / sums["allow"]) - np.log((seen["block"].get(t, 0) + 0.5) / sums["block"]) for t in tokens(host, path) if t in names)
+        out.append((i, host, path, fit[0] if fit else None, fit[1] if fit else "allow" if odds >= 0 else "block", None if fit else round(float(odds), 6)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [1, 100_000])
+def test_whole_result_by_hand(frame, hot):
+    rng = random.Random(5)
+    words = ["shop", "blog", "news", "pills", "cheap", "hop", "s", "log"]
+    pages = []
+    for i in range(150):
+        label = "".join(rng.choices(words[:5], k=rng.randint(1, 2)))
+        host = rng.choice([f"www.{label}.com", f"{label}.net", f"{label}.org", "www.example.com", "10.0.0.1"])
+        path = "/" + "/".join(rng.choice(["fr", "es", "en", "a", "12", "345"]) for _ in range(rng.randint(0, 2)))
+        pages.append((i, f"http://{host}{path}", " ".join(rng.choices(words, k=5)) + " averyveryverylongwordoftwentyonelettersandmore"))
+    rows = uf.filter_urls(frame(pages, "page_id long, url string, html string"), hot_rows=hot).collect()
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict, None if r.log_odds is None else round(r.log_odds, 6)) for r in rows), key=str)
+    assert got == whole_by_hand(pages)
+
+
 def test_bayes_by_hand(frame):
     pages = [(1, "http://good.com/aa", ""), (2, "http://good.com/aa", ""), (3, "http://bad.net/fr/zz", ""), (4, "http://good.org/aa", ""), (5, "http://bad.org/zz", "")]
     rows = {r.page_id: r for r in uf.filter_urls(frame(pages, "page_id long, url string, html string")).collect()}
