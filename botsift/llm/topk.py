@@ -9,8 +9,9 @@ prunes by length (only the vectors long enough are multiplied); a high one prune
 (only the vectors whose value at the query's strongest coordinate lies in the feasible region
 are). Every product that is left is computed in whole numbers, so the result is exact.
 
-A group is bounded by ``GROUP_BYTES``; queries stream through it in batches. Nothing is
-broadcast but one row of bounds per group.
+A group is bounded by ``GROUP_BYTES``. Where many queries go to a group (all of them open in that of the longest vectors), they are
+dealt into parts of about ``PART_QUERIES``, and the group is copied to each: no task answers more. Nothing is broadcast but one
+row of bounds per group.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without
 id, take no part. Vectors of unequal dimension aren't compared. Repeated query rows are one query;
@@ -34,6 +35,8 @@ TOP = 5
 BUCKET_ROWS = 4096
 GROUP_BYTES = 48 << 20
 QUERY_BATCH = 256
+#: queries that one task answers from one group
+PART_QUERIES = 256
 #: local cosine threshold from which a bucket is pruned by coordinate instead of length
 COORDINATE_FROM = 0.6
 SCALE = 256.0
@@ -118,7 +121,7 @@ def _better(best: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.nda
 
 
 def _search(top: int, bucket_rows: int):
-    """Task body: rows of a group come first (kind 0), then its queries (kind 1)."""
+    """Task body: rows of a group come first (kind 0), then the queries of one part (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, buckets, queries = None, [], None, []
@@ -156,12 +159,12 @@ def _search(top: int, bucket_rows: int):
                     names=["query_id", "q", "vec_id", "score"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("grp", "dim", "kind", "vec_id", "v", "bound")]
-            for g, dim, kind, vid, blob, bound in zip(*cols):
-                if (g, dim) != group:
+            cols = [batch.column(c).to_pylist() for c in ("grp", "dim", "part", "kind", "vec_id", "v", "bound")]
+            for g, dim, part, kind, vid, blob, bound in zip(*cols):
+                if (g, dim, part) != group:
                     if queries:
                         yield from answer()
-                    group, held, buckets = (g, dim), [], None
+                    group, held, buckets = (g, dim, part), [], None
                 if kind == 0:
                     held.append((vid, blob))
                 else:
@@ -175,7 +178,8 @@ def _search(top: int, bucket_rows: int):
 
 
 def top_products(table: DataFrame, queries: str, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding",
-                 scale: float = SCALE, bucket_rows: int = BUCKET_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+                 scale: float = SCALE, bucket_rows: int = BUCKET_ROWS, group_bytes: int = GROUP_BYTES,
+                 part_queries: int = PART_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows that the SQL condition ``queries`` (over vec_id) picks,
     the ``top`` greatest inner products with the vectors of all other rows."""
     spark = table.sparkSession
@@ -190,11 +194,16 @@ def top_products(table: DataFrame, queries: str, top: int = TOP, id_col: str = "
 
     def search(ask: DataFrame) -> DataFrame:
         """Answers of (grp, dim, vec_id, v, bound) rows in their groups."""
-        shape = ["grp", "dim", "kind", "norm", "vec_id", "v", "bound"]
-        there = dealt.join(ask.select("grp", "dim").distinct(), ["grp", "dim"], "left_semi")
+        shape = ["grp", "dim", "part", "kind", "norm", "vec_id", "v", "bound"]
+        ask = materialize(ask, "asked")
+        parts = ask.groupBy("grp", "dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(part_queries)).cast("int").alias("parts"))
+        parts = materialize(parts, "asked-parts")  # a row per group
+        there = dealt.join(F.broadcast(parts), ["grp", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         there = there.withColumn("kind", F.lit(0)).withColumn("bound", F.lit(None).cast("long")).select(shape)
-        both = there.unionByName(ask.withColumn("kind", F.lit(1)).select(shape))
-        both = both.repartition(groups, "grp", "dim").sortWithinPartitions("grp", "dim", "kind", F.desc("norm"), "vec_id")
+        mine = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")
+        both = there.unionByName(ask.join(F.broadcast(parts), ["grp", "dim"]).withColumn("part", mine).withColumn("kind", F.lit(1)).select(shape))
+        tasks = max(groups, parts.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0])
+        both = both.repartition(tasks, "grp", "dim", "part").sortWithinPartitions("grp", "dim", "part", "kind", F.desc("norm"), "vec_id")
         return both.mapInArrow(_search(top, bucket_rows), "query_id long, q binary, vec_id long, score long")
 
     opening = search(asked.join(first, "dim").withColumn("bound", F.lit(None).cast("long")))

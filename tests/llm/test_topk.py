@@ -23,7 +23,7 @@ def run(df, **options):
     return [tuple(r) for r in topk.top_products(df, "vec_id % 50 = 0", **options).collect()]
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_rows": 16}, {"group_bytes": 4000, "bucket_rows": 7}])
+@pytest.mark.parametrize("options", [{}, {"bucket_rows": 16}, {"group_bytes": 4000, "bucket_rows": 7}, {"part_queries": 2}, {"part_queries": 1, "group_bytes": 9000}])
 def test_hard_rows(frame, options):
     rng = np.random.default_rng(8)
     rows = [(i, rng.normal(0, rng.choice([0.05, 1.0, 4.0]), 8).tolist()) for i in range(400)]
@@ -53,3 +53,36 @@ def test_prunings_keep_all_that_reach_the_bound():
             got = b.candidates(q.astype(float), float(np.linalg.norm(q)), bound)
             need = set(np.flatnonzero(products >= bound).tolist())
             assert need <= set([] if got is None else got.tolist())
+
+
+def test_no_task_answers_most_queries(spark):
+    """All queries open in the group of the longest vectors: they are dealt over tasks, which a task's share of answers shows."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(0, 1, 4).tolist()) for i in range(1, 8000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        topk_opening = []
+        real = topk.materialize
+
+        def noting(table, name):
+            if name == "first-answers":
+                table = table.withColumn("task", F.spark_partition_id())
+            out = real(table, name)
+            if name == "first-answers":
+                topk_opening.extend(out.groupBy("task").agg(F.countDistinct("query_id").alias("n")).collect())
+                out = out.drop("task")
+            return out
+
+        topk.materialize = noting
+        assert set(run(df, part_queries=8)) == brute(rows)
+    finally:
+        topk.materialize = real
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    counts = [r.n for r in topk_opening]
+    assert sum(counts) == 159 and max(counts) <= 40 and len(counts) >= 8
