@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -53,7 +54,37 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder (never reused, so no clean-up race)."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    for scope in getattr(spark.sparkContext, "_botsift_scopes", ()):
+        scope.paths.append(path)
+    return path
+
+
+class ScratchScope:
+    """The folders that were made inside a :func:`scratch_scope`."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def keep(self, written):
+        """Don't delete this folder, or table of :func:`materialize`; returns it."""
+        path = written if isinstance(written, str) else written._written_at
+        self.paths = [p for p in self.paths if p != path]
+        return written
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete, at the end, every intermediate table that was written inside (numbered and ranked rows, fitted counts, split keys, ...).
+    What is wanted afterwards has to be written elsewhere, collected, or kept by the scope; lazy results of the inside can't be read any more."""
+    sc, scope = spark.sparkContext, ScratchScope()
+    sc._botsift_scopes = [*getattr(sc, "_botsift_scopes", ()), scope]
+    try:
+        yield scope
+    finally:
+        sc._botsift_scopes = [s for s in sc._botsift_scopes if s is not scope]
+        for path in scope.paths:
+            discard(spark, path)
 
 
 def materialize(df, name: str):
