@@ -7,8 +7,9 @@ the estimates of all depths when a byte is scored. A context that training hasn'
 shorter ones. A text is its lower-cased (A-Z) bytes and an end mark; contexts never reach into another text.
 
 Counting: blocks of texts (see blocks.py) count their distinct strings of DEPTH + 1 bytes; these are summed by
-shards of the two nearest context bytes, and every shard builds its part of the tree. The levels above (the empty context and those
-of one byte, at most 65,280 nodes) are summed over the shards and handed to all tasks. Each block then gets the
+shards of the two nearest context bytes, or of three where a histogram of all texts shows a pair to be frequent, and every shard
+builds its part of the tree. The levels above (the empty context, those of one byte, and those of the frequent pairs: at
+most 255 nodes for each of 1 + 255 + 4,096 contexts) are summed over the shards and handed to all tasks. Each block then gets the
 code length of its own strings back. Word counts of the base score travel the same way, by shards of the word.
 Nothing that grows with the corpus is broadcast or collected, and no text is read in part.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botsift.llm.blocks import by_block, by_shard, joined, numbers, pack, rising, rows, runs_of, shard_count, texts_of, unpack, write_blocks
-from botsift.llm.common import Slots
+from botsift.llm.common import Slots, buffer_of, id_and_text
 from botsift.session import materialize
 
 MODULUS = 10
@@ -37,6 +38,8 @@ DEPTH = 5
 EDGE = 0xFF
 PIECE = 1 << 20
 SHARD_BYTES = 16 << 20
+#: pairs of context bytes in so many places, or in this part of all, are split by a third byte
+HOT_PLACES, HOT_PARTS = SHARD_BYTES // 2, 4096
 SMOOTHING = 0.1
 LEVELS = range(8)
 
@@ -91,9 +94,35 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[first], np.add.reduceat(counts, first)
 
 
-def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
-    pair = (codes >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)
-    return (pair * 2654435761 >> 12) % shards
+def pair_of(codes: np.ndarray) -> np.ndarray:
+    """The two nearest context bytes."""
+    return (codes >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)
+
+
+def frequent_pairs(docs: DataFrame, places: int, id_col: str, text_col: str) -> np.ndarray:
+    """Which pairs of bytes (of 65,536, the nearer one in front) stand in more than ``places`` places of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            raw, offsets = buffer_of(batch.column(1))
+            for a in range(int(offsets[0]), int(offsets[-1]), PIECE):
+                part = lower(raw[a : min(a + PIECE + 1, int(offsets[-1]))]).astype(np.int64)
+                n += np.bincount(part[1:] << 8 | part[:-1], minlength=1 << 16)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["pair", "n"])
+
+    counts = id_and_text(docs, id_col, text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    hot = np.zeros(1 << 16, bool)
+    hot[[r["pair"] for r in counts.where(F.col("n") > places).collect()]] = True  # fewer than HOT_PARTS
+    return hot
+
+
+def shard_of(codes: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
+    """By the two nearest context bytes, three where these are frequent."""
+    pair = pair_of(codes)
+    triple = (codes >> np.uint64(8 * (DEPTH - 2))).astype(np.int64) + (1 << 16)
+    return (np.where(hot[pair], triple, pair) * 2654435761 >> 12) % shards
 
 
 def word_lists(block: pa.RecordBatch) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -109,7 +138,7 @@ def word_shards(words: pa.Array, shards: int) -> np.ndarray:
     return np.array([zlib.crc32(w) for w in words.cast(pa.binary()).to_pylist()], np.int64) % shards
 
 
-def counted(shards: int):
+def counted(shards: int, hot: np.ndarray):
     """What a block asks: its strings and words, with their counts in training texts, by shard."""
 
     def ask(number: int, block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -124,7 +153,7 @@ def counted(shards: int):
             at = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]]))
             parts.append((plain[at], np.add.reduceat((tagged & np.uint64(1)).astype(np.int64), at)))
         codes, counts = summed(*[np.concatenate(x) for x in zip(*parts)])
-        shard = shard_of(codes, shards)
+        shard = shard_of(codes, shards, hot)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in range(shards):
@@ -196,6 +225,11 @@ def node_key(codes: np.ndarray, depth: int, level: int) -> np.ndarray:
     return context << np.uint64(8) | np.uint64(1 << level) | byte >> np.uint64(8 - level)
 
 
+def parent_key(key: np.ndarray) -> np.ndarray:
+    """The same decision one byte of context nearer."""
+    return key >> np.uint64(16) << np.uint64(8) | key & np.uint64(255)
+
+
 def next_bit(codes: np.ndarray, level: int) -> np.ndarray:
     return (codes >> np.uint64(7 - level) & np.uint64(1)).astype(np.int64)
 
@@ -214,66 +248,79 @@ def grow(codes: np.ndarray, counts: np.ndarray, least: int) -> dict[tuple[int, i
             children = None
             if depth < DEPTH:
                 below = tree[depth + 1, level]
-                parent = below.key >> np.uint64(16) << np.uint64(8) | below.key & np.uint64(255)
-                children = np.bincount(np.searchsorted(key[first], parent), weights=below.weighted, minlength=len(first))
+                children = np.bincount(np.searchsorted(key[first], parent_key(below.key)), weights=below.weighted, minlength=len(first))
             tree[depth, level] = Nodes(key[first], total - ones, ones, children)
     return tree
 
 
-def shard_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shard_tree(hot: np.ndarray):
     """Sum the strings of each shard, grow its part of the tree, and keep for each string the eight
-    probabilities that contexts of two bytes and more give; for contexts of one byte, the sums of their children."""
-    for shard, part in runs_of(batches, "shard"):
-        codes, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-        def compact():
-            nonlocal codes, counts, held, size
-            codes, counts = summed(np.concatenate([codes, *[h[0] for h in held]]), np.concatenate([counts, *[h[1] for h in held]]))
-            held, size = [], 0
-
-        for row in part:
-            b = unpack(row["payload"])
-            held.append((np.cumsum(numbers(b, "codes"), dtype=np.uint64), numbers(b, "counts").astype(np.int64)))
-            size += len(held[-1][0])
-            if size > max(2_000_000, len(codes)):
-                compact()
-        compact()
-        tree = grow(codes[counts > 0], counts[counts > 0], 2)
-        kept = {}
+    probabilities that contexts of two bytes and more give (three and more for frequent pairs); for contexts of one byte, and of
+    frequent pairs, the sums of their children."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, part in runs_of(batches, "shard"):
+            yield from _shard_tree(shard, part, hot)
+
+    return run
+
+
+def _shard_tree(shard: int, part: Iterator[dict], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    codes, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def compact():
+        nonlocal codes, counts, held, size
+        codes, counts = summed(np.concatenate([codes, *[h[0] for h in held]]), np.concatenate([counts, *[h[1] for h in held]]))
+        held, size = [], 0
+
+    for row in part:
+        b = unpack(row["payload"])
+        held.append((np.cumsum(numbers(b, "codes"), dtype=np.uint64), numbers(b, "counts").astype(np.int64)))
+        size += len(held[-1][0])
+        if size > max(2_000_000, len(codes)):
+            compact()
+    compact()
+    wide = hot[pair_of(codes)]
+    kept = {f"p{level}": np.full(len(codes), np.nan, np.float32) for level in LEVELS}
+    for some, least in ((np.flatnonzero(~wide), 2), (np.flatnonzero(wide), 3)):
+        mine, n = codes[some], counts[some]
+        tree = grow(mine[n > 0], n[n > 0], least)
         for level in LEVELS:
-            bit, p = next_bit(codes, level), np.full(len(codes), np.nan)
-            for depth in range(DEPTH, 1, -1):
-                p = tree[depth, level].mix(node_key(codes, depth, level), bit, p)
-            kept[f"p{level}"] = p.astype(np.float32)
-        yield rows("model", [0], [shard], [pack(codes=rising(codes), **kept)])
-        top = [tree[2, level] for level in LEVELS]
-        key = np.concatenate([t.key >> np.uint64(16) << np.uint64(8) | t.key & np.uint64(255) for t in top])
+            bit, p = next_bit(mine, level), np.full(len(mine), np.nan)
+            for depth in range(DEPTH, least - 1, -1):
+                p = tree[depth, level].mix(node_key(mine, depth, level), bit, p)
+            kept[f"p{level}"][some] = p
+        top = [tree[least, level] for level in LEVELS]
+        key = np.concatenate([parent_key(t.key) for t in top])
         values = [np.concatenate([getattr(t, a) for t in top]) for a in ("zeros", "ones", "weighted")]
         uniq, where = np.unique(key, return_inverse=True)
-        sums = [np.bincount(where, weights=v, minlength=len(uniq)) for v in values]
-        yield rows("top", [0], [shard], [pack(key=uniq.astype(np.int64), zeros=sums[0], ones=sums[1], children=sums[2])])
+        sums = [np.bincount(where, weights=v, minlength=len(uniq)).astype(np.float64) for v in values]
+        yield rows("top", [0], [shard], [pack(depth=np.full(len(uniq), least - 1), key=uniq.astype(np.int64), zeros=sums[0], ones=sums[1], children=sums[2])])
+    yield rows("model", [0], [shard], [pack(codes=rising(codes), **kept)])
 
 
 def top_nodes(parts: DataFrame) -> dict[tuple[int, int], Nodes]:
-    """Nodes of the contexts of one byte and of the empty context (at most 255 * 256 + 255)."""
+    """Nodes of the frequent pairs, of the contexts of one byte and of the empty context."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column("payload"):
                 yield unpack(p.as_py())
 
-    sums = parts.select("payload").mapInArrow(spread, "key long, zeros double, ones double, children double")
-    found = sums.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("children").alias("children")).collect()
-    found.sort(key=lambda r: r["key"])
-    key = np.array([r["key"] for r in found], np.uint64)
-    zeros, ones, children = (np.array([r[c] for r in found], np.float64) for c in ("zeros", "ones", "children"))
+    sums = parts.select("payload").mapInArrow(spread, "depth long, key long, zeros double, ones double, children double")
+    found = sums.groupBy("depth", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("children").alias("children")).collect()
+    found.sort(key=lambda r: (r["depth"], r["key"]))
+    depth_of, key = np.array([r["depth"] for r in found], np.int64), np.array([r["key"] for r in found], np.uint64)
+    values = [np.array([r[c] for r in found], np.float64) for c in ("zeros", "ones", "children")]
     tree = {}
     for level in LEVELS:
-        here = (key & np.uint64(255)) >> np.uint64(level) == 1
-        one = Nodes(key[here], zeros[here], ones[here], children[here])
-        root, where = np.unique(one.key & np.uint64(255), return_inverse=True)
-        sums_of = [np.bincount(where, weights=v, minlength=len(root)) for v in (one.zeros, one.ones, one.weighted)]
-        tree[1, level], tree[0, level] = one, Nodes(root, *sums_of)
+        above = np.zeros(0, np.uint64), [np.zeros(0)] * 3  # what the nodes of one byte more add to their parents
+        for depth in (2, 1, 0):
+            here = (depth_of == depth) & ((key & np.uint64(255)) >> np.uint64(level) == 1)
+            uniq, where = np.unique(np.concatenate([key[here], above[0]]), return_inverse=True)
+            nodes = Nodes(uniq, *[np.bincount(where, weights=np.concatenate([v[here], a]), minlength=len(uniq)) for v, a in zip(values, above[1])])
+            tree[depth, level] = nodes
+            above = parent_key(nodes.key), [nodes.zeros, nodes.ones, nodes.weighted]
     return tree
 
 
@@ -290,7 +337,7 @@ def answers(tree: dict[tuple[int, int], Nodes]):
                     total = np.zeros(len(codes))
                     for level in LEVELS:
                         bit, p = next_bit(codes, level), numbers(b, f"p{level}").astype(np.float64)
-                        for depth in (1, 0):
+                        for depth in (2, 1, 0):
                             p = tree[depth, level].mix(node_key(codes, depth, level), bit, p)
                         total += np.log10(np.where(np.isnan(p), 0.5, p))
                     known, cost = codes, total.astype(np.float32)
@@ -371,14 +418,15 @@ def text_scores(shards: int, smoothing: float, train_ends: int):
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING,
-                shard_bytes: int = SHARD_BYTES, **blocks) -> DataFrame:
+                shard_bytes: int = SHARD_BYTES, hot_places: int | None = None, **blocks) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row."""
     shards = shard_count(docs, text_col, shard_bytes)
-    asked = write_blocks(docs, counted(shards), "context-blocks", id_col=id_col, text_col=text_col, **blocks)
+    hot = frequent_pairs(docs, hot_places or max(HOT_PLACES, shards * shard_bytes // HOT_PARTS), id_col, text_col)
+    asked = write_blocks(docs, counted(shards, hot), "context-blocks", id_col=id_col, text_col=text_col, **blocks)
     kinds = {k: asked.where(F.col("kind") == k) for k in ("text", "strings", "words", "ends")}
     order = ["kind", "block", "shard", "payload"]
     columns = "kind string, block long, shard int, payload binary"
-    built = materialize(by_shard(kinds["strings"].select(order)).mapInArrow(shard_tree, columns), "context-tree")
+    built = materialize(by_shard(kinds["strings"].select(order)).mapInArrow(shard_tree(hot), columns), "context-tree")
     tree = top_nodes(built.where(F.col("kind") == "top"))
     # "model" sorts before "strings", so a shard's model comes before what is asked of it
     both = built.where(F.col("kind") == "model").select(order).unionByName(kinds["strings"].select(order))

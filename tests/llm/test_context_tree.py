@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from botsift.llm import context_tree as ct
 
@@ -101,6 +102,26 @@ def test_equals_the_definition(frame, sf_docs):
     same(ct.score_texts(frame(rows, "doc_id long, text string"), block_bytes=3000).collect(), by_hand(rows))
 
 
+def test_split_pairs_equal_the_definition(frame, sf_docs):
+    """Frequent pairs of context bytes are split by a third byte: the same tree, also where all pairs, or all but rare ones, are."""
+    rows = [(i, t[:300]) for i, t in sf_docs[:50]] + [(None, None), (100, ""), (101, "é 中 😀"), (102, "aaaa" * 100)]
+    want = by_hand(rows)
+    for places in (1, 30, 200):
+        same(ct.score_texts(frame(rows, "doc_id long, text string"), block_bytes=3000, hot_places=places).collect(), want)
+
+
+def test_the_largest_shard_falls_with_split_pairs(sf_docs):
+    text = pa.array([t for _, t in sf_docs], pa.string())
+    raw, offsets = ct.texts_of(pa.RecordBatch.from_arrays([pa.array(range(len(text))), text], names=["a", "b"]))
+    codes = np.unique(np.concatenate([c for _, _, c in ct.strings(ct.lower(raw), offsets)]))
+    n = np.bincount(ct.lower(raw)[1:].astype(np.int64) << 8 | ct.lower(raw)[:-1], minlength=1 << 16)
+    largest = {}
+    for shards in (16, 64, 256, 1024):
+        largest[shards] = [np.bincount(ct.shard_of(codes, shards, hot)).max() / len(codes) for hot in (np.zeros(1 << 16, bool), n > len(raw) / (2 * shards))]
+    assert largest[1024][1] < 0.4 * largest[1024][0] and largest[256][1] < 0.7 * largest[256][0]
+    assert largest[1024][1] < largest[256][1] < largest[64][1] < largest[16][1]
+
+
 def test_hard_rows_and_empty_tables(hard, empty):
     got = ct.score_texts(hard).collect()
     assert len(got) == 14 and all(math.isfinite(r.score) and math.isfinite(r.base_score) and r.score < 0 for r in got)
