@@ -4,12 +4,18 @@ toxicity (documents scored as toxic go), SimHash near-dedup (one document of eac
 of strings that also start earlier go; a document of which nothing is left stays with an empty text), benchmark decontamination
 (documents with an item's window go), SentencePiece encoding and decoding (ids and digests). All but the last return the
 columns of ``documents``, n_chars anew after the third. Empty tables, nulls and repeated rows are handled as the operators state.
+
+A stage writes its result in the shared folder and returns the written table; its inner tables are deleted then, and ``run`` deletes a
+stage's result when the next one's is written. Texts pass to Python in small batches; the caller's setting of their size comes back with
+the result.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,32 +25,54 @@ if _HERE not in sys.path:
 
 from botsift.llm import decontamination, sentencepiece_codec, simhash, suffix_dedup, toxicity  # noqa: E402
 from botsift.llm.queries import vocabulary  # noqa: E402
-from botsift.session import materialize, ship_package  # noqa: E402
+from botsift.session import discard, materialize, scratch_scope, ship_package  # noqa: E402
 from botsift.sources.tables import read_table, spread  # noqa: E402
 
 
+#: rows of documents that pass to Python at a time (a few MB of text, where the default would take all of a task)
+ARROW_ROWS = 2_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with its result as a written table, nothing else left behind, and the session as it was."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        before = spark.conf.get(BATCH_SETTING)
+        spark.conf.set(BATCH_SETTING, ARROW_ROWS)
+        try:
+            with scratch_scope(spark) as scope:
+                return scope.keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{stage.__name__}"))
+        finally:
+            spark.conf.set(BATCH_SETTING, before)
+
+    return run_stage
+
+
+@written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return toxicity.clean_rows(spread(docs), read_table(spark, sf_dir, "labels"))
 
 
+@written
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return simhash.one_of_each(spread(docs), simhash.SHINGLE_WORDS, simhash.MAX_DISTANCE)
 
 
+@written
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return suffix_dedup.shortened(spread(docs))
 
 
+@written
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return decontamination.clean_rows(spread(docs), read_table(spark, sf_dir, "benchmark"))
 
 
+@written
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     coded = sentencepiece_codec.encode_decode(spread(docs), vocabulary())
     return sentencepiece_codec.digests(coded, "ids")
 
@@ -60,8 +88,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{i}")
+    for _, stage in STAGES:
+        before, docs = docs, stage(spark, docs, sf_dir)
+        discard(spark, before)  # the given table isn't of the shared folder, and stays
     return docs
 
 
