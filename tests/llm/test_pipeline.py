@@ -1,8 +1,10 @@
+import os
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from botsift.llm import decontamination, simhash, suffix_dedup
-from botsift.session import materialize
+from botsift.session import materialize, shared_dir
 from botsift.sources.tables import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,11 @@ def test_hard_rows_pass_all_stages(spark, frame, tmp_path):
         frame([], schema).write.mode("overwrite").parquet(f"{d}/empty/{name}.parquet")
     frame([], "item_id long, text string").write.mode("overwrite").parquet(f"{d}/empty/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{d}/empty").collect() == []
+
+
+def test_the_session_and_the_shared_folder_are_left_as_they_were(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    size, before = spark.conf.get(corpus_pipeline.BATCH_SETTING), set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, SF)
+    assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == size
+    assert [n.rpartition("-")[0] for n in set(os.listdir(folder)) - before] == ["pipeline-encode"] and out.count() > 0
