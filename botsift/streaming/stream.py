@@ -115,6 +115,35 @@ def finish_batch(spark: SparkSession, out_path: str, batch_id: int, rows: DataFr
     return spark.read.schema(PRED_SCHEMA).parquet(f"{data}/{folder}")
 
 
+def compact_predictions(spark: SparkSession, out_path: str, rows_per_file: int = 1_000_000) -> int:
+    """Rewrite the folders of every merged log entry as one folder with files of about ``rows_per_file`` rows, published by replacing the
+    entry; returns how many entries were rewritten. With the log's levels, n batches then have about as many folders as the log has entries.
+    What readers have open stays until :func:`delete_unpublished`."""
+    log, data, done = batch_log(spark, out_path), f"{out_path}/data", 0
+    for run in log.runs():
+        rows = log.rows(run)
+        if run.level > 0 and len(rows) > 1:
+            folder = f"{run.first}-{run.last}-{uuid.uuid4().hex[:12]}"
+            old = spark.read.schema(PRED_SCHEMA).parquet(*[f"{data}/{r['folder']}" for r in rows])
+            old.coalesce(max(1, -(-old.count() // rows_per_file))).write.parquet(f"{data}/{folder}")
+            log.replace(run, [{"folder": folder, "batch": run.last}])
+            done += 1
+    return done
+
+
+def delete_unpublished(spark: SparkSession, out_path: str) -> list[str]:
+    """Delete the folders of finished batches that no log entry names (earlier tries, folders that were rewritten); call it when
+    no reader has them open. Folders of the batch that is being written stay."""
+    log, data = batch_log(spark, out_path), f"{out_path}/data"
+    runs = log.runs()
+    kept = {r["folder"] for run in runs for r in log.rows(run)}
+    last = max((run.last for run in runs), default=-1)
+    gone = [n for n in names(spark, data) if n not in kept and int(n.split("-")[0]) <= last]
+    for n in gone:
+        remove(spark, f"{data}/{n}")
+    return gone
+
+
 def stream_predict(stream: DataFrame, models: list[TextModel], out_path: str, checkpoint: str,
                    profile: Profile = DEFAULT_PROFILE, trigger: dict | None = None, metrics_path: str | None = None):
     """Start the prediction stream; returns the StreamingQuery."""

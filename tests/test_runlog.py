@@ -159,3 +159,24 @@ def test_small_files_are_replaced_as_a_whole(spark):
     for text in ("one", "", "zwei ö\nlines\n"):
         publish.put(spark, f"{path}/a", text)
         assert publish.get(spark, f"{path}/a") == text and publish.names(spark, path) == ["a"]
+
+
+def test_prediction_folders_are_rewritten_in_few(spark):
+    """Twenty batches, merged entries rewritten as one folder each: the same rows at every step, few folders in the end, and a
+    reader of before keeps its files until unpublished folders are deleted."""
+    out = scratch_path(spark, "t-out")
+    for batch in range(20):
+        st.finish_batch(spark, out, batch, _rows(spark, 5, batch / 100))
+    before = _seen(spark, out)
+    opened = st.read_predictions(spark, out)
+    assert len(before) == 20 and len(publish.names(spark, f"{out}/data")) == 20
+    assert st.compact_predictions(spark, out) == 2 and st.compact_predictions(spark, out) == 0
+    assert _seen(spark, out) == before and opened.count() == 100
+    st.finish_batch(spark, out, 19, _rows(spark, 5, 0.19))          # the newest batch once more
+    assert len(st.delete_unpublished(spark, out)) >= 16
+    assert _seen(spark, out) == before and len(publish.names(spark, f"{out}/data")) == 2 + 4
+    for batch in range(20, 70):
+        st.finish_batch(spark, out, batch, _rows(spark, 5, batch / 100))
+    st.compact_predictions(spark, out)
+    st.delete_unpublished(spark, out)
+    assert len(_seen(spark, out)) == 70 and len(publish.names(spark, f"{out}/data")) == len(st.batch_log(spark, out).runs()) <= 15
