@@ -2,12 +2,14 @@
 
 Operators that gather keys from all texts and send an answer back to each text work on blocks: what a
 block asks is deduplicated inside it, so a key that is in a third of all texts costs a block one entry,
-and rows are dealt out by shard (a hash of the key) and by block, never by the key alone. The blocks
+and rows are dealt out by shard (a hash of the key) and by block, never by the key alone. A block has at most one message for a
+shard, and none where it has no key for it, so there are no more messages than keys, of a few bytes each where they are short. The blocks
 are written once; their numbers stay valid for all later jobs, also when a task is run again.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -28,9 +30,61 @@ PART_BYTES = 1 << 19
 SCHEMA = "kind string, block long, shard int, payload binary"
 
 
+#: types of columns that a short message holds; its bytes, up to which it isn't worth compressing
+_KINDS = [pa.int8(), pa.uint8(), pa.int16(), pa.uint16(), pa.int32(), pa.uint32(), pa.int64(), pa.uint64(), pa.float32(), pa.float64(),
+          pa.bool_(), pa.string(), pa.binary(), pa.large_string(), pa.large_binary()]
+_WIDE = 10
+SHORT = 1024
+_MARK = b"S"
+
+
+def _short(batch: pa.RecordBatch) -> bytes | None:
+    """A few values with a frame of a few bytes: an Arrow stream's own frame is some hundred, which counts where most blocks have
+    little to say to a shard. None where the batch is longer, or of other types."""
+    if batch.nbytes > SHORT or any(c.type not in _KINDS or c.null_count for c in batch.columns):
+        return None
+    out = [_MARK, struct.pack("<BH", batch.num_columns, batch.num_rows)]
+    for name, col in zip(batch.schema.names, batch.columns):
+        kind = _KINDS.index(col.type)
+        out.append(struct.pack("<BB", kind, len(name.encode())) + name.encode())
+        if kind < _WIDE:
+            out.append(col.to_numpy(zero_copy_only=False).tobytes())
+        elif kind == _WIDE:
+            out.append(bytes(col.to_pylist()))
+        else:
+            values = [v.encode() if isinstance(v, str) else v for v in col.to_pylist()]
+            out.append(np.array([len(v) for v in values], "<u2").tobytes() + b"".join(values))
+    return b"".join(out)
+
+
+def _from_short(payload: bytes) -> pa.RecordBatch:
+    columns, n = struct.unpack_from("<BH", payload, 1)
+    at, names, arrays = 4, [], []
+    for _ in range(columns):
+        kind, size = struct.unpack_from("<BB", payload, at)
+        names.append(payload[at + 2 : at + 2 + size].decode())
+        at += 2 + size
+        if kind < _WIDE:
+            values = np.frombuffer(payload, _KINDS[kind].to_pandas_dtype(), n, at)
+            at += values.nbytes
+        elif kind == _WIDE:
+            values = np.frombuffer(payload, np.bool_, n, at)
+            at += n
+        else:
+            ends = at + 2 * n + np.concatenate([[0], np.cumsum(np.frombuffer(payload, "<u2", n, at), dtype=np.int64)])
+            values = [payload[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            values = [v.decode() for v in values] if pa.types.is_string(_KINDS[kind]) or pa.types.is_large_string(_KINDS[kind]) else values
+            at = int(ends[-1])
+        arrays.append(pa.array(values, _KINDS[kind]))
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def pack(**columns) -> bytes:
-    """Arrays of one length as compressed Arrow bytes."""
+    """Arrays of one length as bytes: compressed Arrow, or a short message of their values."""
     batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+    short = _short(batch)
+    if short is not None:
+        return short
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
         w.write_batch(batch)
@@ -38,6 +92,8 @@ def pack(**columns) -> bytes:
 
 
 def unpack(payload: bytes) -> pa.RecordBatch:
+    if payload[:1] == _MARK:
+        return _from_short(payload)
     return pa.ipc.open_stream(payload).read_next_batch()
 
 
