@@ -281,8 +281,9 @@ class Suffixes:
         q = np.where(y, self.raw[np.minimum(self.begin[b] + n, end)].astype(np.int64), -1)
         return np.where(p == q, a < b, p < q)
 
-    def verified(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
-        """Whether suffixes a and b have exactly n bytes in common, byte by byte."""
+    def verified(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which pairs of suffixes a and b have exactly n bytes in common, byte by byte, and stand in order: a ends there, or goes on
+        with the smaller byte. (If all neighbours of a group do, the group is sorted.)"""
         end = len(self.raw) - 1
         good = np.ones(len(a), bool)
         for k in range(int(n.max(initial=-1)) + 1):
@@ -290,7 +291,8 @@ class Suffixes:
             x = self.raw[np.minimum(self.begin[a] + k, end)] == self.raw[np.minimum(self.begin[b] + k, end)]
             inside = k < np.minimum(self.size[a], self.size[b])
             good &= ~live | np.where(k < n, x, ~(x & inside))
-        return bool(good.all())
+        x, y = (self.raw[np.minimum(self.begin[s] + n, end)] for s in (a, b))
+        return good & ((self.size[a] == n) | (self.size[b] > n) & (x < y))
 
 
 def merge_sort(group: np.ndarray, suffixes: Suffixes) -> np.ndarray:
@@ -329,19 +331,19 @@ def merge_sort(group: np.ndarray, suffixes: Suffixes) -> np.ndarray:
 
 def sorted_classes(group: np.ndarray, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): suffixes sorted inside their groups, and what each has in common with the one before it
-    (-1 for the first of a group). Verified by bytes; sorted by bytes where hashes collided."""
+    (-1 for the first of a group). Verified by bytes; a group in which hashes collided is sorted by bytes."""
     suffixes = Suffixes(raw, begin, size)
     order = merge_sort(group, suffixes)
     common = np.full(len(order), -1, np.int64)
     inner = np.flatnonzero(group[order][1:] == group[order][:-1]) + 1
     a, b = order[inner - 1], order[inner]
     common[inner] = suffixes.common(a, b)
-    if not suffixes.verified(a, b, common[inner]):
-        data = raw.tobytes()
-        part = [data[x : x + n] for x, n in zip(begin.tolist(), size.tolist())]
-        order = np.array(sorted(range(len(part)), key=lambda i: (group[i], part[i])), np.int64)
-        for i in inner.tolist():
-            x, y = part[order[i - 1]], part[order[i]]
+    for g in np.unique(group[b[~suffixes.verified(a, b, common[inner])]]).tolist():
+        at = np.flatnonzero(group[order] == g)
+        part = {i: raw[begin[i] : begin[i] + size[i]].tobytes() for i in order[at].tolist()}
+        order[at] = sorted(part, key=lambda i: (part[i], i))
+        for i in at[1:].tolist():
+            x, y = part[int(order[i - 1])], part[int(order[i])]
             common[i] = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
     return order, common
 

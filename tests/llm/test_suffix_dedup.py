@@ -83,3 +83,32 @@ def test_shortened_rows_keep_their_columns(frame):
     # the text repeats itself after twelve characters
     assert rows[3].text == "" and rows[3].lang == "z" and rows[2].text == "" and rows[1].lang == "x"
     assert rows[1].n_chars == len(rows[1].text) < len(text) and text.startswith(rows[1].text[:50])
+
+
+def test_groups_with_colliding_hashes_are_sorted_by_bytes(monkeypatch):
+    """Strings whose polynomial hashes are equal modulo a power of two, among groups that don't collide: every group is
+    sorted, and only those with a collision are sorted again."""
+    def swapped(n, a, b):
+        return bytes((a, b)[bin(i).count("1") & 1] for i in range(1 << n))
+
+    rng = np.random.default_rng(7)
+    strings, group = [], []
+    for g in range(12):
+        some = [bytes(rng.integers(97, 100, int(rng.integers(0, 60))).astype(np.uint8)) for _ in range(9)]
+        if g % 4 == 1:
+            some += [swapped(11, 97, 98) + s for s in some[:4]] + [swapped(11, 98, 97) + s for s in some[:4]]
+        strings += some
+        group += [g] * len(some)
+    group = np.array(group)
+    size = np.array([len(s) for s in strings], np.int64)
+    begin = np.cumsum(size) - size
+    raw = np.frombuffer(b"".join(strings), np.uint8)
+    order, common = sd.sorted_classes(group, raw, begin, size)
+    assert [(group[i], strings[i]) for i in order] == sorted(zip(group.tolist(), strings))
+    for k, (i, j) in enumerate(zip(order, order[1:]), 1):
+        want = -1 if group[i] != group[j] else next((n for n, (p, q) in enumerate(zip(strings[i], strings[j])) if p != q), min(len(strings[i]), len(strings[j])))
+        assert common[k] == want
+    # an order that the comparisons got wrong is found even where neighbours' lengths are right
+    suffixes = sd.Suffixes(np.frombuffer(b"abac", np.uint8), np.array([0, 2]), np.array([2, 2]))
+    assert suffixes.verified(np.array([0]), np.array([1]), np.array([1])).tolist() == [True]
+    assert suffixes.verified(np.array([1]), np.array([0]), np.array([1])).tolist() == [False]
