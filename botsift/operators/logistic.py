@@ -93,17 +93,19 @@ def fit_text_lr(train: DataFrame, name: str = "lr", steps: int = STEPS, rate: fl
     zero = [F.lit(0.0).alias(c) for c in ("w", "m", "v")]
     ids = vocab.select("id").unionByName(spark.range(1).select(F.lit(START_ID).cast("int").alias("id")))
     state = materialize(ids.select("id", *zero), "lr-state")
-    for t in range(1, steps + 1):
-        slices = asked.join(state.select("id", "w"), "id").groupBy("block").agg(F.collect_list(F.struct("id", "w")).alias("weights"))
-        parts = spark.table(table).join(slices, "block").select("posts", "weights").mapInArrow(_gradients, "id int, g double")
-        total = parts.groupBy("id").agg((F.sum("g") / F.lit(float(n))).alias("sum"))
-        before = state
-        state = materialize(_adam(before.join(total, "id", "left"), F.coalesce("sum", F.lit(0.0)), t, rate, reg), "lr-state")
-        discard(spark, before)
-    spark.sql(f"DROP TABLE {table}")
-    for written in (path, encoded, asked):
-        discard(spark, written)
+    try:
+        for t in range(1, steps + 1):
+            slices = asked.join(state.select("id", "w"), "id").groupBy("block").agg(F.collect_list(F.struct("id", "w")).alias("weights"))
+            parts = spark.table(table).join(slices, "block").select("posts", "weights").mapInArrow(_gradients, "id int, g double")
+            total = parts.groupBy("id").agg((F.sum("g") / F.lit(float(n))).alias("sum"))
+            before = state
+            state = materialize(_adam(before.join(total, "id", "left"), F.coalesce("sum", F.lit(0.0)), t, rate, reg), "lr-state")
+            discard(spark, before)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
     bias = state.where(F.col("id") == START_ID).first()["w"]
-    weights = vocab.join(state, "id").select(F.col("token").alias("term"), F.col("w").alias("weight"), "n")
+    weights = materialize(vocab.join(state, "id").select(F.col("token").alias("term"), F.col("w").alias("weight"), "n"), "lr-weights")
+    for written in (path, encoded, asked, state, vocab):
+        discard(spark, written)
     size = weights.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     return TextModel(name, "lr", "word", float(bias), weights, int(size[0]), int(size[1]), profile)
