@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from botsift.operators.joins import join_small
 from botsift.sources.columns import q
 from botsift.sources.records import records_of, survey
+from botsift.sources.rows import ROW
 
 OVERFLOW = "_overflow"
 CORRUPT = "_corrupt_record"
@@ -72,13 +73,14 @@ def header_columns(spark: SparkSession, path: str, sep: str = ",", multi_line: b
 
 
 def read_posts_csv(spark: SparkSession, path: str, sep: str = ",", on_bad: str = "skip",
-                   null_words=NULL_WORDS, multi_line: bool | None = None, columns: list[str] | None = None) -> DataFrame:
+                   null_words=NULL_WORDS, multi_line: bool | None = None, columns: list[str] | None = None, row_id: bool = False) -> DataFrame:
     """Read delimited posts files with a header each; every column is a string. ``multi_line=None``: records are put together
     where a quoted field may hold a line break; True: such fields, and each file is read whole by one task (only needed for files whose
     lines end in a lone carriage return, which are read so anyway); False: there are none.
 
     on_bad='skip' drops over-long lines (training / evaluation scripts), 'fail' stops the job on one (prepared test files), 'keep'
-    keeps them (surplus fields dropped).
+    keeps them (surplus fields dropped). ``row_id``: with the identity of each record (:mod:`botsift.sources.rows`: its file, block and
+    number), so that scoring and encoding write no copy of the texts; the same as long as the files are split alike.
     """
     if on_bad not in ON_BAD:
         raise ValueError(f"on_bad must be one of {ON_BAD}")
@@ -88,9 +90,11 @@ def read_posts_csv(spark: SparkSession, path: str, sep: str = ",", on_bad: str =
                       F.coalesce(F.max(F.contains("header", F.lit("\r"))), F.lit(False)).alias("returns")).first()
     alike = seen["first"] == seen["last"]
     spans = seen["opens"] if multi_line is None else multi_line
-    if alike and (multi_line or seen["returns"] or not spans):
+    if row_id and (multi_line or seen["returns"]):
+        raise ValueError("rows are told apart by blocks and lines; files that are read whole have none")
+    if alike and not row_id and (multi_line or seen["returns"] or not spans):
         return _read_alike(spark, path, sep, on_bad, null_words, bool(multi_line or seen["returns"]), columns)
-    return _read_records(spark, path, sep, on_bad, null_words, columns, starts, files, seen["first"])
+    return _read_records(spark, path, sep, on_bad, null_words, columns, starts, files, seen["first"], row_id)
 
 
 def _judged(raw: DataFrame, cols: list[str], sep: str, on_bad: str, path) -> DataFrame:
@@ -135,7 +139,7 @@ def _safe(names: list[str | None]) -> list[str]:
 
 
 def _read_records(spark: SparkSession, path, sep: str, on_bad: str, null_words, columns: list[str] | None, starts: DataFrame,
-                  files: DataFrame, header: str) -> DataFrame:
+                  files: DataFrame, header: str, row_id: bool = False) -> DataFrame:
     """Records put together from lines and parsed one by one; ``header``: the first in order, which gives the columns' order."""
     width = files.agg(F.max(raw_field_count(F.col("header"), sep))).first()[0]
     named = files.select("file", _names(F.col("header"), sep, width).alias("names"))
@@ -151,11 +155,12 @@ def _read_records(spark: SparkSession, path, sep: str, on_bad: str, null_words,
         places = F.array(*[F.array_position("names", F.lit(n)).cast("int") for n in first])
         records = join_small(records, named.select("file", places.alias("places")), "file", str_cols=("file",))
     fields = records.withColumn("_fields", _parsed(F.col("value"), len(cols), sep))
-    fields = fields.select(*(["places"] if mixed else []), "_fields.*")
+    row = F.struct(F.xxhash64("file", "block").alias("file"), "at").alias(ROW)
+    fields = fields.select(*(["places"] if mixed else []), *([row] if row_id else []), "_fields.*")
     kept = _judged(fields, cols, sep, on_bad, path)
     listed = F.array(*[F.col(f"f{i}") for i in range(len(cols))])
     values = [F.element_at(listed, F.col("places")[i]) if mixed else F.col(f"f{i}") for i in range(len(cols))]
-    return kept.select(*[_without_null_words(v, null_words).alias(c) for v, c in zip(values, cols)])
+    return kept.select(*[_without_null_words(v, null_words).alias(c) for v, c in zip(values, cols)], *([ROW] if row_id else []))
 
 
 def read_posts_semicolon(spark: SparkSession, path: str, **kw) -> DataFrame:

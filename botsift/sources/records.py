@@ -109,20 +109,21 @@ def survey(spark: SparkSession, path, sep: str) -> DataFrame:
 
 
 def _whole_records(only_pieces: bool):
-    """Lines (file, block, value, end0, end1, inside, owner) to whole records (file, value), the first of each file left out; or
-    to the pieces of records that cross the end of a block (file, owner, block, value)."""
+    """Lines (file, block, value, end0, end1, inside, owner) to whole records (file, value, block, at), numbered in their block, the
+    first of each file left out; or to the pieces of records that cross the end of a block (file, value, owner, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, pending = [], []
+        found, pending, at = [], [], 0
         file = block = owner = None
         inside = reached = header = False  # in a field; in a record of an earlier block; in the file's first record
 
         def close(crosses: bool) -> None:
             """The pending lines are a record, or its piece in this block."""
-            nonlocal header
+            nonlocal header, at
             if pending:
                 if crosses == only_pieces and not header and owner is not None:
-                    found.append((file, "\n".join(pending), owner, block))
+                    found.append((file, "\n".join(pending), *((owner, block) if only_pieces else (block, at))))
+                    at += 1
                 header = False
                 pending.clear()
 
@@ -130,7 +131,7 @@ def _whole_records(only_pieces: bool):
             for new_file, new_block, value, end0, end1, start, owned in zip(*[batch.column(i).to_pylist() for i in range(7)]):
                 if new_block != block or new_file != file:
                     close(inside or reached)
-                    file, block, owner, inside, reached, header = new_file, new_block, owned, start, start, new_block == 0
+                    file, block, owner, inside, reached, header, at = new_file, new_block, owned, start, start, new_block == 0, 0
                 if not inside:
                     close(reached)
                     owner, reached = block, False
@@ -146,15 +147,16 @@ def _whole_records(only_pieces: bool):
 
 
 def _found(found: list[tuple], only_pieces: bool) -> pa.RecordBatch:
-    names = ["file", "value", *(["owner", "block"] if only_pieces else [])]
+    names = ["file", "value", *(["owner", "block"] if only_pieces else ["block", "at"])]
     columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.string(), pa.int64(), pa.int64()))]
     found.clear()
-    return pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def records_of(spark: SparkSession, path, sep: str, starts: DataFrame) -> DataFrame:
-    """(file, value): every record behind the first of each file, as text; line breaks inside it are ``\\n``. ``starts``: see
-    :func:`survey`. Records that cross the end of a block cost one more reading of their files."""
+    """(file, value, block, at): every record behind the first of each file, as text; line breaks inside it are ``\\n``. Block and
+    number tell the records of a file apart (a record that crosses the end of a block has the number -1 in the block where it begins).
+    ``starts``: see :func:`survey`. Records that cross the end of a block cost one more reading of their files."""
     shared = starts.select("file", "block", "inside", "owner", "crlf")
     few = starts.count() <= MAX_BROADCAST_ROWS
     lines = lines_of(spark, path, sep)
@@ -168,7 +170,7 @@ def records_of(spark: SparkSession, path, sep: str, starts: DataFrame) -> DataFr
         placed = some.withColumn("_at", F.monotonically_increasing_id()).join(shared, ["file", "block"], "left")
         return placed.repartition("file", "block").sortWithinPartitions("file", "block", "_at").select(columns)
 
-    whole = with_starts(lines).mapInArrow(_whole_records(False), "file string, value string")
+    whole = with_starts(lines).mapInArrow(_whole_records(False), "file string, value string, block long, at long")
     crossing = starts.where("crosses").select("file").distinct()
     if not crossing.limit(1).count():
         return whole
@@ -176,4 +178,4 @@ def records_of(spark: SparkSession, path, sep: str, starts: DataFrame) -> DataFr
     pieces = with_starts(some).mapInArrow(_whole_records(True), "file string, value string, owner long, block long")
     listed = F.array_sort(F.collect_list(F.struct("block", "value")))
     joined = pieces.groupBy("file", "owner").agg(F.array_join(listed["value"], "\n").alias("value"))
-    return whole.unionByName(joined.select("file", "value"))
+    return whole.unionByName(joined.select("file", "value", F.col("owner").alias("block"), F.lit(-1).cast("long").alias("at")))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from table_dirs import SF_SMALL
 
 from botsift.sources.csv import read_posts_csv
 from botsift.sources.records import ends_inside, survey
@@ -159,3 +160,34 @@ def test_changed_splits_are_an_error(spark, tmp_path, small_blocks):
     small_blocks(300)
     with pytest.raises(Exception, match="split differently"):
         df.withColumn("more", F.lit(1)).collect()
+
+
+def test_records_are_told_apart_and_scored_without_a_copy(spark, tmp_path, small_blocks):
+    """Identities of records: one each, the same in every job and behind any shuffle; scoring writes no copy of the texts."""
+    from botsift.operators.registry import fit_all_models
+    from botsift.operators.textmodels import score_models
+    from botsift.plans import catalog
+    from botsift.sources.csv import write_csv
+    from botsift.sources.rows import ROW
+
+    path = _file(tmp_path, _made_up(13, 500, ","))
+    small_blocks(700)
+    df = read_posts_csv(spark, path, row_id=True)
+    rows = df.collect()
+    assert len({tuple(r[ROW]) for r in rows}) == len(rows) and any(r[ROW].at == -1 for r in rows)
+    again = {tuple(r[ROW]): r.id for r in df.repartition(7).collect()}
+    assert again == {tuple(r[ROW]): r.id for r in rows}
+    assert _rows(df.drop(ROW)) == _rows(read_posts_csv(spark, path))
+    small_blocks(1 << 20)
+    sp = catalog.split_posts(spark, SF_SMALL)
+    models = fit_all_models(sp.filter("split = 'train'"))
+    folder = str(tmp_path / "posts")
+    write_csv(sp.select("post_id", "text", "label").withColumn("text", F.concat("text", F.lit("\nmore"))), folder)
+    posts = read_posts_csv(spark, folder, row_id=True)
+    scored = score_models(posts, models)
+    assert "numbered-" not in scored._jdf.queryExecution().executedPlan().toString()
+    plain = score_models(posts.drop(ROW), models)
+    key = lambda d: sorted((r.post_id, round(r.p_nb_word, 9)) for r in d.collect())
+    assert key(scored) == key(plain) and scored.count() == sp.count()
+    with pytest.raises(ValueError, match="told apart"):
+        read_posts_csv(spark, path, multi_line=True, row_id=True)
