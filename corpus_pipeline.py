@@ -5,9 +5,9 @@ of strings that also start earlier go; a document of which nothing is left stays
 (documents with an item's window go), SentencePiece encoding and decoding (ids and digests). All but the last return the
 columns of ``documents``, n_chars anew after the third. Empty tables, nulls and repeated rows are handled as the operators state.
 
-A stage writes its result in the shared folder and returns the written table; its inner tables are deleted then, and ``run`` deletes a
-stage's result when the next one's is written. Texts pass to Python in small batches; the caller's setting of their size comes back with
-the result.
+A stage but the last writes its result in the shared folder and returns the written table; its inner tables are deleted then, and ``run``
+deletes a stage's result when the next one's is written. Texts pass to Python in small batches; the caller's setting of their size
+comes back with the result. The last stage has no inner tables and is returned as a plan, which ``run`` writes.
 """
 
 from __future__ import annotations
@@ -71,8 +71,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.clean_rows(spread(docs), read_table(spark, sf_dir, "benchmark"))
 
 
-@written
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     coded = sentencepiece_codec.encode_decode(spread(docs), vocabulary())
     return sentencepiece_codec.digests(coded, "ids")
 
@@ -88,10 +88,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         before, docs = docs, stage(spark, docs, sf_dir)
         discard(spark, before)  # the given table isn't of the shared folder, and stays
-    return docs
+    out = written(STAGES[-1][1])(spark, docs, sf_dir)
+    discard(spark, docs)
+    return out
 
 
 #: no SQL can express the stages
