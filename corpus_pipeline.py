@@ -5,17 +5,14 @@ of strings that also start earlier go; a document of which nothing is left stays
 (documents with an item's window go), SentencePiece encoding and decoding (ids and digests). All but the last return the
 columns of ``documents``, n_chars anew after the third. Empty tables, nulls and repeated rows are handled as the operators state.
 
-A stage but the last writes its result in the shared folder and returns the written table; its inner tables are deleted then, and ``run``
-deletes a stage's result when the next one's is written. Texts pass to Python in small batches; the caller's setting of their size
-comes back with the result. The last stage has no inner tables and is returned as a plan, which ``run`` writes.
+Texts pass to Python in small batches. A stage returns a plan that its caller evaluates, so a stage that is called by itself leaves
+that batch size set; ``run`` puts the caller's back. ``run`` writes every stage's result, and deletes its inner tables and the result before.
 """
 
 from __future__ import annotations
 
 import os
 import sys
-from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,45 +31,33 @@ ARROW_ROWS = 2_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage with its result as a written table, nothing else left behind, and the session as it was."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship_package(spark)
-        before = spark.conf.get(BATCH_SETTING)
-        spark.conf.set(BATCH_SETTING, ARROW_ROWS)
-        try:
-            with scratch_scope(spark) as scope:
-                return scope.keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{stage.__name__}"))
-        finally:
-            spark.conf.set(BATCH_SETTING, before)
-
-    return run_stage
+def ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    spark.conf.set(BATCH_SETTING, ARROW_ROWS)
 
 
-@written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return toxicity.clean_rows(spread(docs), read_table(spark, sf_dir, "labels"))
 
 
-@written
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return simhash.one_of_each(spread(docs), simhash.SHINGLE_WORDS, simhash.MAX_DISTANCE)
 
 
-@written
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return suffix_dedup.shortened(spread(docs))
 
 
-@written
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return decontamination.clean_rows(spread(docs), read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    ready(spark)
     coded = sentencepiece_codec.encode_decode(spread(docs), vocabulary())
     return sentencepiece_codec.digests(coded, "ids")
 
@@ -87,13 +72,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        before, docs = docs, stage(spark, docs, sf_dir)
-        discard(spark, before)  # the given table isn't of the shared folder, and stays
-    out = written(STAGES[-1][1])(spark, docs, sf_dir)
-    discard(spark, docs)
-    return out
+    docs, before = read_table(spark, sf_dir, "documents"), spark.conf.get(BATCH_SETTING)
+    try:
+        for _, stage in STAGES:
+            with scratch_scope(spark) as scope:
+                result = scope.keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{stage.__name__}"))
+            discard(spark, docs)  # the given table isn't of the shared folder, and stays
+            docs = result
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    return docs
 
 
 #: no SQL can express the stages
