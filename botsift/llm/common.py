@@ -44,16 +44,20 @@ def unused(columns: Sequence[str], *names: str) -> list[str]:
     return out
 
 
-def join_dealt(many: DataFrame, one: DataFrame, key: str | list[str], limit: int = HOT_ROWS) -> DataFrame:
+def join_dealt(many: DataFrame, one: DataFrame, key: str | list[str], limit: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Inner join of ``many``, a table read from files, to ``one`` (a row per key at most). A key with more than ``limit`` rows is
     dealt into parts of about that size by the rows' places in the table, and its row of ``one`` is copied to each part; other
-    keys stay as they are. The list of such keys, no longer than the rows of ``many`` by ``limit``, is broadcast."""
+    keys stay as they are. The list of such keys, no longer than the rows of ``many`` by ``limit``, is broadcast. ``rows``: how many
+    rows ``many`` has at most, where that is known; no key can have more."""
     key = [key] if isinstance(key, str) else list(key)
     parts, part = unused([*many.columns, *one.columns], "parts", "part")
-    hot = many.groupBy(*key).agg(F.count(F.lit(1)).alias(parts)).where(F.col(parts) > limit)
-    hot = materialize(hot.select(*key, F.ceil(F.col(parts) / F.lit(limit)).cast("int").alias(parts)), "hot-keys")
-    if not hot.limit(1).count():
+    if rows is not None and rows <= limit:
+        return many.join(one, key)
+    counts = many.groupBy(*key).agg(F.count(F.lit(1)).alias(parts))
+    if (counts.agg(F.max(parts)).first()[0] or 0) <= limit:
         return many.join(one, key)
+    hot = counts.where(F.col(parts) > limit)
+    hot = materialize(hot.select(*key, F.ceil(F.col(parts) / F.lit(limit)).cast("int").alias(parts)), "hot-keys")
     n = F.coalesce(F.col(parts), F.lit(1))
     left = many.join(F.broadcast(hot), key, "left").withColumn(part, F.pmod(F.xxhash64(F.monotonically_increasing_id()), n).cast("int")).drop(parts)
     right = one.join(F.broadcast(hot), key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)

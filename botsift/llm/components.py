@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", hot_rows:
         both = pair.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pair.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         larger = pair.select(F.col("lo").alias("node"), F.col("hi").alias("v"))
-        large = join_dealt(larger, _least(both, "u", "v"), "node", hot_rows).select(
+        large = join_dealt(larger, _least(both, "u", "v"), "node", hot_rows, state[0]).select(
             F.col("v").alias("hi"), F.least("node", "least").alias("lo"))
         # the edge from a node to its own smallest neighbour stays, so that a pair with one edge does
         own = both.groupBy("u").agg(F.min("v").alias("v")).where("v < u").select(
@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", hot_rows:
         large = materialize(large.unionByName(own).distinct(), "large-star")
         # small-star: each node sends its smaller neighbours, and itself, to the smallest of them
         smaller = large.select(F.col("hi").alias("node"), F.col("lo").alias("v"))
-        small = join_dealt(smaller, _least(large, "hi", "lo"), "node", hot_rows).where("v <> least").select(
+        small = join_dealt(smaller, _least(large, "hi", "lo"), "node", hot_rows, 2 * state[0]).where("v <> least").select(
             F.col("v").alias("hi"), F.col("least").alias("lo"))
         stars = large.groupBy("hi").agg(F.min("lo").alias("lo"))
         before, pair = pair, materialize(small.unionByName(stars).distinct(), "small-star")
