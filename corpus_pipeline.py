@@ -27,7 +27,9 @@ from botsift.sources.tables import read_table, spread  # noqa: E402
 
 
 #: rows of documents that pass to Python at a time (a few MB of text, where the default would take all of a task)
-ARROW_ROWS = 2_000
+ARROW_ROWS = 1_000
+#: the codec's steps and cache: the executors' memory is fuller here than in a query of its own
+CODEC_STEP_BYTES, CODEC_PARTS = 1 << 19, 200_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -58,7 +60,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    coded = sentencepiece_codec.encode_decode(spread(docs), vocabulary())
+    coded = sentencepiece_codec.encode_decode(spread(docs), vocabulary(), step_bytes=CODEC_STEP_BYTES, cache_parts=CODEC_PARTS)
     return sentencepiece_codec.digests(coded, "ids")
 
 
