@@ -22,17 +22,21 @@ def _system(spark: SparkSession, path: str):
 def put(spark: SparkSession, path: str, text: str) -> None:
     """Write or replace a small file in one step."""
     folder, _, name = path.rpartition("/")
-    fs, beside = _system(spark, folder), f"{folder}/.{name}.{uuid.uuid4().hex[:12]}"
+    jvm, beside = spark._jvm, f"{folder}/.{name}.{uuid.uuid4().hex[:12]}"
+    # an instance of our own, without the checksum file that a local file system would keep beside each file: two files can't be
+    # replaced in one step
+    fs = jvm.org.apache.hadoop.fs.FileSystem.newInstance(_path(spark, folder).toUri(), spark._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)
     out = fs.create(_path(spark, beside), True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    jvm = spark._jvm
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(_path(spark, beside)).toUri(), spark._jsc.hadoopConfiguration())
     how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(fs.makeQualified(_path(spark, beside)), fs.makeQualified(_path(spark, path)), how)
+    fs.close()
 
 
 def get(spark: SparkSession, path: str) -> str | None:

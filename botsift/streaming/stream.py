@@ -163,7 +163,7 @@ def stream_predict(stream: DataFrame, models: list[TextModel], out_path: str, ch
 
 def read_predictions(spark: SparkSession, out_path: str) -> DataFrame:
     """The predictions of all finished batches. A batch that is being written, or was left by a crash, isn't among them."""
-    folders = [r["folder"] for r in batch_log(spark, out_path).table().select("folder").collect()]     # one per batch
+    folders = [r["folder"] for r in batch_log(spark, out_path).snapshot()]     # one per batch, or per merged entry after compaction
     if not folders:
         return spark.createDataFrame([], PRED_SCHEMA)
     return spark.read.schema(PRED_SCHEMA).parquet(*[f"{out_path}/data/{f}" for f in folders])

@@ -139,7 +139,11 @@ def test_a_reader_while_batches_are_replaced(spark):
 
     def read():
         while not stop.is_set():
-            got = _seen(spark, out)
+            try:
+                got = _seen(spark, out)
+            except Exception as e:  # a reader must never fail either
+                wrong.append(e)
+                return
             seen.append(got)
             if len(got) != 1 or next(iter(got))[2] != 500:
                 wrong.append(got)
@@ -180,3 +184,30 @@ def test_prediction_folders_are_rewritten_in_few(spark):
     st.compact_predictions(spark, out)
     st.delete_unpublished(spark, out)
     assert len(_seen(spark, out)) == 70 and len(publish.names(spark, f"{out}/data")) == len(st.batch_log(spark, out).runs()) <= 15
+
+
+def test_readers_while_the_log_is_merged(spark):
+    """Batches come, runs are merged and deleted: a reader in another thread always finds a whole number of batches."""
+    path = scratch_path(spark, "t-log")
+    log = RunLog(spark, path, st.COUNTS_SCHEMA, st._added, 2)
+    stop, seen, wrong = threading.Event(), [0], []
+
+    def read():
+        while not stop.is_set():
+            try:
+                rows = RunLog(spark, path, st.COUNTS_SCHEMA, st._added, 2).snapshot()
+            except Exception as e:
+                wrong.append(e)
+                return
+            n, total = sum(r["tp"] for r in rows), sum(r["fp"] for r in rows)
+            if total != n * (n - 1) // 2 or n < seen[-1]:
+                wrong.append((n, total))
+            seen.append(n)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for batch in range(60):
+        log.append(batch, _count_row(batch))
+    stop.set()
+    reader.join()
+    assert not wrong and len(seen) > 10
