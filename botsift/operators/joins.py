@@ -10,11 +10,16 @@ allows (exactly: from a histogram of the frequencies), are broadcast, and the re
 Both joins follow each other in ONE branch, so the posts are read once, and occurrences that the
 broadcast has settled (or that have no term) get keys of their own in the second join: they are spread
 evenly and match nothing.
+
+Occurrences are looked up by a 64-bit hash of their key (Spark's hashed relations are fastest with one long), and the key itself
+is compared too, so two keys of one hash stay two. Most occurrences the broadcast leaves over are in no table at all (word pairs nobody
+has written before): a bitmap over the hashes of the tail, some bits for each term, is broadcast too and says of most of them that the tail
+can't hold them. They are settled then, and no longer shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rows of a model / vocabulary table that may be shipped to every executor.
@@ -26,6 +31,10 @@ ROW_OVERHEAD_BYTES = 64
 STEPS_PER_DOUBLING = 8
 # Keys that settled occurrences are spread over.
 SPREAD = 1 << 20
+# Bits of the tail's bitmap for each term, if MAX_BITMAP_BYTES allow, and bits in each of its blocks (as a power of two).
+BITS_PER_TERM = 16
+MAX_BITMAP_BYTES = MAX_BROADCAST_BYTES // 4
+BLOCK_LOG2 = 15
 
 
 def size_of(df: DataFrame, str_cols) -> tuple[int, int]:
@@ -80,27 +89,76 @@ def hot_and_tail(table: DataFrame, str_col: str, freq_col: str, max_rows: int, m
     return table.filter(step >= cut), table.filter(step < cut)
 
 
+def key_hash(columns) -> Column:
+    """The long that a key is looked up by."""
+    return F.xxhash64(*columns)
+
+
+def bitmap_blocks(rows: int, max_bytes: int = MAX_BITMAP_BYTES) -> int:
+    """Blocks of a bitmap for so many keys."""
+    return max(1, min(-(-rows * BITS_PER_TERM >> BLOCK_LOG2), max_bytes * 8 >> BLOCK_LOG2))
+
+
+def _bit_of(hashed: Column, blocks: int) -> Column:
+    return F.pmod(hashed, F.lit(blocks << BLOCK_LOG2))
+
+
+def key_bitmap(table: DataFrame, on: list[str], blocks: int) -> DataFrame:
+    """(block, words): the bits of the keys of ``table``, as longs, in each of the blocks."""
+    bit = _bit_of(key_hash(F.col(c) for c in on), blocks).alias("_bit")
+    none = table.sparkSession.range(blocks << BLOCK_LOG2 - 6).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    some = table.select(bit).select(F.shiftright("_bit", 6).alias("word"), F.expr("shiftleft(1L, cast(_bit & 63 as int))").alias("bits"))
+    words = some.unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    listed = words.groupBy(F.shiftright("word", BLOCK_LOG2 - 6).alias("block")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("listed"))
+    return listed.select("block", F.col("listed.bits").alias("words"))
+
+
+def _may_be_in(words: str, bit: Column) -> Column:
+    word = F.get(F.col(words), F.shiftright(bit, 6).bitwiseAND(F.lit((1 << BLOCK_LOG2 - 6) - 1)).cast("int"))
+    return F.coalesce(F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+
+
+def _with_hot(big: DataFrame, hot: DataFrame, on: list[str], value_col: str) -> DataFrame:
+    """Left join to the broadcast terms by ``_hash``; the keys are compared as ranges, which leaves the hash the only join key."""
+    types = dict(big.dtypes)
+    same = [F.col(c).cast(types[c]) for c in on]
+    table = hot.select(key_hash(same).alias("_hot_hash"), *[k.alias(f"_hot_{c}") for k, c in zip(same, on)], F.col(value_col).alias("_hot"))
+    found = F.col("_hash") == F.col("_hot_hash")
+    for c in on:
+        found = found & (F.col(c) >= F.col(f"_hot_{c}")) & (F.col(c) <= F.col(f"_hot_{c}"))
+    return big.join(F.broadcast(table), found, "left").drop("_hot_hash", *[f"_hot_{c}" for c in on])
+
+
 def join_terms(big: DataFrame, hot: DataFrame | None, tail: DataFrame | None, on: list[str], value_col: str,
-               spread_cols: list[str], sum_by: list[str] | None = None) -> DataFrame:
+               spread_cols: list[str], sum_by: list[str] | None = None, bitmap: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Left join of term occurrences to a term table cut by :func:`hot_and_tail`; adds ``value_col``.
 
     ``on``: key columns, the last one the term. With ``sum_by`` occurrences are added up: one row for each
     ``sum_by`` + ``on`` group comes out, all settled occurrences of a ``sum_by`` row in one, and the value is the
-    group's sum; only these sums are shuffled to the tail."""
+    group's sum; only these sums are shuffled to the tail. ``bitmap``: :func:`key_bitmap` of the tail and its blocks, so that
+    occurrences the tail can't hold count as settled."""
     term = on[-1]
     settled = F.col(term).isNull()
+    big = big.withColumn("_hash", key_hash(F.col(c) for c in on))
     if hot is not None:
-        big = big.join(F.broadcast(hot.select(*on, F.col(value_col).alias("_hot"))), on, "left")
+        big = _with_hot(big, hot, on, value_col)
         settled = settled | F.col("_hot").isNotNull()
     else:
         big = big.withColumn("_hot", F.lit(None).cast(dict(tail.dtypes)[value_col]))
     if tail is None:
-        return big.withColumnRenamed("_hot", value_col)
+        return big.drop("_hash").withColumnRenamed("_hot", value_col)
+    types = dict(big.dtypes)
+    if bitmap is not None:
+        bit = _bit_of(F.col("_hash"), bitmap[1])
+        big = big.withColumn("_block", F.when(~settled, F.shiftright(bit, BLOCK_LOG2)))
+        big = big.join(F.broadcast(bitmap[0].select(F.col("block").alias("_block"), F.col("words").alias("_words"))), "_block", "left")
+        settled = settled | ~_may_be_in("_words", bit)
     big = big.withColumn("_key", F.when(settled, F.lit("")).otherwise(F.col(term)))
     big = big.withColumn("_part", F.when(settled, F.pmod(F.xxhash64(*spread_cols), F.lit(SPREAD)) + 1).otherwise(F.lit(0)))
+    big = big.drop("_hash", "_block", "_words")
     if sum_by is not None:
         big = big.groupBy(*sum_by, *on[:-1], "_key", "_part").agg(F.sum("_hot").alias("_hot"), F.count(F.lit(1)).alias("_times"))
-    rest = tail.select(*on[:-1], F.col(term).alias("_key"), F.lit(0).cast("bigint").alias("_part"), F.col(value_col).alias("_tail"))
+    rest = tail.select(*[F.col(c).cast(types[c]).alias(c) for c in on[:-1]], F.col(term).alias("_key"), F.lit(0).cast("bigint").alias("_part"), F.col(value_col).alias("_tail"))
     joined = big.join(rest, [*on[:-1], "_key", "_part"], "left")
     value = F.col("_tail") * F.col("_times") if sum_by is not None else F.col("_tail")
     joined = joined.withColumn(value_col, F.coalesce("_hot", value))

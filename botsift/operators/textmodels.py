@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from botsift.config import DEFAULT_PROFILE, Profile
 from botsift.functions.numeric import safe_sigmoid
 from botsift.functions.terms import with_terms
-from botsift.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, ROW_OVERHEAD_BYTES, hot_and_tail, join_terms
+from botsift.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, ROW_OVERHEAD_BYTES, bitmap_blocks, hot_and_tail, join_terms, key_bitmap
 from botsift.operators.rank import by_row
 from botsift.session import materialize
 from botsift.sources.rows import ROW
@@ -39,6 +39,17 @@ from botsift.sources.rows import ROW
 STYLE_CENTER, STYLE_SCALE = 250.0, 100.0
 
 
+@dataclass
+class Lookup:
+    """The term tables of several models as :func:`score_models` joins them: (m, term, weight, n), ``m`` the model's place in
+    ``names``, the most frequent terms, the others, and the bitmap of the others with its number of blocks."""
+    names: tuple[str, ...]
+    bounds: tuple[int, int]
+    hot: DataFrame | None = field(repr=False)
+    tail: DataFrame | None = field(repr=False)
+    bitmap: tuple[DataFrame, int] | None = field(repr=False)
+
+
 @dataclass
 class TextModel:
     name: str
@@ -52,6 +63,7 @@ class TextModel:
     source: DataFrame | None = field(default=None, repr=False)   # shared (model, term, c1, c0) table
     totals: tuple | None = None                                    # (T1, T0, V) of this model
     table: DataFrame | None = field(default=None, repr=False)    # shared (model, term, weight, n) table, see prepare()
+    lookup: Lookup | None = field(default=None, repr=False)      # the cut of that table, see prepare()
     apply: Callable[[DataFrame, str], DataFrame] | None = field(default=None, repr=False)  # adds the named column
     inputs: tuple[str, ...] = ()                                   # columns besides the text that ``apply`` reads
     fitted: object = field(default=None, repr=False)             # what a row-by-row model is stored from
@@ -158,14 +170,34 @@ def weight_table(nb: list[TextModel]) -> DataFrame:
                   [m.weights.select(F.lit(m.name).alias("model"), "term", "weight", "n") for m in nb])
 
 
+def lookup_of(nb: list[TextModel], max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> Lookup:
+    """What is broadcast of the models' terms, and what is joined by shuffle."""
+    # the term table keyed by the models' positions (an int instead of a name in the join key)
+    idx = reduce(lambda acc, i: acc.when(F.col("model") == nb[i].name, F.lit(i)), range(1, len(nb)),
+                 F.when(F.col("model") == nb[0].name, F.lit(0)))
+    table = weight_table(nb).select(idx.alias("m"), "term", "weight", "n")
+    known = all(m.term_bytes is not None for m in nb)
+    rows = sum(m.n_terms for m in nb)
+    total_bytes = sum(m.term_bytes for m in nb) + ROW_OVERHEAD_BYTES * rows if known else None
+    hot, tail = hot_and_tail(table, "term", "n", max_rows, max_bytes, rows, total_bytes)
+    blocks = bitmap_blocks(rows, max(1, max_bytes // 4))
+    bitmap = (key_bitmap(tail, ["m", "term"], blocks), blocks) if tail is not None else None
+    return Lookup(tuple(m.name for m in nb), (max_rows, max_bytes), hot, tail, bitmap)
+
+
 def prepare(models: list[TextModel]) -> list[TextModel]:
-    """The models with one written weight table for all of them, for plans that are run many times."""
+    """The models with one written weight table for all of them, its cut and the bitmap of its rare terms, for plans that are run
+    many times."""
     nb = [m for m in models if m.kind in TERM_KINDS]
     if not nb:
         return models
     table = materialize(weight_table(nb), "weights")
     sizes = {r["model"]: r["b"] for r in table.groupBy("model").agg(F.sum(F.octet_length("term")).alias("b")).collect()}
-    return [replace(m, table=table, term_bytes=int(sizes.get(m.name) or 0)) if m.kind in TERM_KINDS else m for m in models]
+    ready = [replace(m, table=table, term_bytes=int(sizes.get(m.name) or 0)) if m.kind in TERM_KINDS else m for m in models]
+    lookup = lookup_of([m for m in ready if m.kind in TERM_KINDS])
+    if lookup.bitmap is not None:
+        lookup.bitmap = (materialize(lookup.bitmap[0], "term-bitmap"), lookup.bitmap[1])
+    return [replace(m, lookup=lookup) if m.kind in TERM_KINDS else m for m in ready]
 
 
 def prob_col(name: str) -> str:
@@ -202,17 +234,12 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         rows = by_row(df, [key, *carry, text_col])
         staged = with_terms(rows.select("_rid", key, *carry, length, text_col), text_col, [k for _, k in specs])
         ex = staged.select("_rid", key, *carry, "_len", F.inline_outer(_tagged_terms(specs)))
-        # the term table keyed by the same small model index (an int instead of a name in the join key)
-        idx = reduce(lambda acc, i: acc.when(F.col("model") == nb[i].name, F.lit(i)), range(1, len(nb)),
-                     F.when(F.col("model") == nb[0].name, F.lit(0)))
-        table = weight_table(nb).select(idx.alias("m"), "term", "weight", "n")
-        known = all(m.term_bytes is not None for m in nb)
-        total_bytes = (sum(m.term_bytes for m in nb) + ROW_OVERHEAD_BYTES * sum(m.n_terms for m in nb)
-                       if known else None)
+        cut = nb[0].lookup
+        if cut is None or cut.names != tuple(m.name for m in nb) or cut.bounds != (max_broadcast_rows, max_broadcast_bytes) \
+                or any(m.lookup is not cut for m in nb):
+            cut = lookup_of(nb, max_broadcast_rows, max_broadcast_bytes)
         by = ["_rid", key, *carry, "_len"]
-        hot, tail = hot_and_tail(table, "term", "n", max_broadcast_rows, max_broadcast_bytes,
-                                 sum(m.n_terms for m in nb), total_bytes)
-        joined = join_terms(ex, hot, tail, ["m", "term"], "weight", ["_rid", "m"], sum_by=by)
+        joined = join_terms(ex, cut.hot, cut.tail, ["m", "term"], "weight", ["_rid", "m"], sum_by=by, bitmap=cut.bitmap)
         sums = [F.sum(F.when(F.col("m") == i, F.col("weight"))).alias(f"_s_{m.name}") for i, m in enumerate(nb)]
         base = joined.groupBy(*by).agg(*sums)
     else:

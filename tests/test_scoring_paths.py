@@ -121,6 +121,42 @@ def test_terms_without_a_post_and_settled_terms_are_spread(spark):
     assert {r.rid: r.w or 0 for r in sums} == {1: 3, 2: 0, 3: 0, 4: 5}
 
 
+def test_terms_that_the_tail_cannot_hold_are_not_shuffled(spark):
+    """A thousand unseen terms of a row are settled by the bitmap, all but a few; those of the tail are all found."""
+    from botsift.operators.joins import bitmap_blocks, hot_and_tail, join_terms, key_bitmap
+
+    table = spark.range(300).select(F.concat(F.lit("t"), "id").alias("term"), F.lit(1.0).alias("weight"), F.lit(1).alias("n"))
+    table = table.unionByName(spark.createDataFrame([("the", 0.5, 9)], table.schema))
+    unseen = spark.range(1000).select((F.col("id") % 2).alias("rid"), F.concat(F.lit("u"), "id").alias("term"))
+    big = unseen.unionByName(table.select(F.lit(1).cast("bigint").alias("rid"), "term"))
+    hot, tail = hot_and_tail(table, "term", "n", 1, 1 << 28)
+    blocks = bitmap_blocks(300)
+    rows = join_terms(big, hot, tail, ["term"], "weight", ["rid"], sum_by=["rid"], bitmap=(key_bitmap(tail, ["term"], blocks), blocks))
+    assert 302 <= rows.count() < 400          # 300 of the tail, two of what is settled, and a few bits in common
+    sums = rows.groupBy("rid").agg(F.sum("weight").alias("w")).collect()
+    assert {r.rid: r.w or 0 for r in sums} == {0: 0, 1: 300.5}
+    narrow = join_terms(big, hot, tail, ["term"], "weight", ["rid"], sum_by=["rid"], bitmap=(key_bitmap(tail, ["term"], 1), 1))
+    assert {r.rid: r.w or 0 for r in narrow.groupBy("rid").agg(F.sum("weight").alias("w")).collect()} == {0: 0, 1: 300.5}
+
+
+def test_terms_are_looked_up_by_one_long(spark, monkeypatch):
+    """The broadcast is keyed by a hash; terms of one hash stay apart."""
+    from botsift.operators import joins
+
+    table = spark.createDataFrame([(0, "a", 1.0, 9), (0, "b", 2.0, 9), (1, "a", 4.0, 9), (0, "c", 8.0, 1)], "m int, term string, weight double, n int")
+    big = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (2, 1, "a"), (2, 1, "b"), (3, 0, None), (3, 0, "c")], "rid int, m int, term string")
+
+    def scored():
+        hot, tail = joins.hot_and_tail(table, "term", "n", 3, 1 << 28)
+        df = joins.join_terms(big, hot, tail, ["m", "term"], "weight", ["rid"], sum_by=["rid"], bitmap=(joins.key_bitmap(tail, ["m", "term"], 1), 1))
+        return df._jdf.queryExecution().executedPlan().toString(), {r.rid: r.w for r in df.groupBy("rid").agg(F.sum("weight").alias("w")).collect()}
+
+    plan, got = scored()
+    assert "BroadcastHashJoin [_hash" in plan and got == {1: 3.0, 2: 4.0, 3: 8.0}
+    monkeypatch.setattr(joins, "key_hash", lambda columns: F.lit(5).cast("bigint") + F.xxhash64(*columns) * 0)
+    assert scored()[1] == got
+
+
 def test_no_training_word_is_unknown_and_no_post_is_cut(spark):
     from botsift.config import UNK_ID
     from botsift.functions.terms import words
