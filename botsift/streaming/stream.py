@@ -53,7 +53,9 @@ def post_stream(spark: SparkSession, path: str, schema: T.StructType = POSTS_SCH
 def predict_batch(batch: DataFrame, models: list[TextModel], profile: Profile = DEFAULT_PROFILE,
                   label_col: str | None = "account.type", key: str = "post_id") -> DataFrame:
     """The per-post path on a static (micro-)batch: blank posts refused, text cleaned with the
-    profile the models were fitted with, every model scored, thresholded and named."""
+    profile the models were fitted with, every model scored, thresholded and named. A batch is a few files, often of one
+    row group each: its rows are dealt out first, else as many tasks as files would do all the work."""
+    batch = batch.repartition(max(batch.rdd.getNumPartitions(), batch.sparkSession.sparkContext.defaultParallelism))
     accepted, _ = reject_blank(batch, "text")
     lab = encode_label(F.col(q(label_col))) if label_col and label_col in batch.columns else F.lit(None).cast("int")
     row = [c for c in (ROW,) if c in batch.columns]

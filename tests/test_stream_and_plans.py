@@ -12,6 +12,7 @@ from botsift.operators.registry import fit_all_models
 from botsift.plans import catalog
 from botsift.session import scratch_path
 from botsift.sources import tables
+from botsift.sources.rows import with_scan_rows
 from botsift.streaming.stream import POSTS_SCHEMA, post_stream, predict_batch, read_predictions, stream_predict
 
 
@@ -121,3 +122,14 @@ def test_term_pass_has_no_interpreted_lambda(spark):
     assert "lambdafunction" not in _plan(counts)
     models = fit_all_models(sp.filter(F.col("split") == "train"))
     assert "lambdafunction" not in _plan(score_models(sp.filter(F.col("split") == "test"), models))
+
+
+def test_a_batch_of_few_files_is_scored_by_all_cores(spark):
+    """One file of one row group: its rows are dealt out before the texts are taken apart."""
+    src = scratch_path(spark, "t-one-file")
+    rows = [(f"p{i}", f"word{i % 7} two three", "human") for i in range(400)]
+    spark.createDataFrame(rows, POSTS_SCHEMA).coalesce(1).write.parquet(src)
+    models = catalog.fit_all_models(catalog.split_posts(spark, SF_SMALL).filter(F.col("split") == "train"), catalog.DEFAULT_REGISTRY[:1])
+    plan = _plan(predict_batch(with_scan_rows(spark.read.schema(POSTS_SCHEMA).parquet(src)), models))
+    dealt = plan.index("RoundRobinPartitioning")
+    assert plan.index("Generate inline") < dealt < plan.index("FileScan parquet [post_id")
