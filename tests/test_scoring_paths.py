@@ -157,6 +157,25 @@ def test_terms_are_looked_up_by_one_long(spark, monkeypatch):
     assert scored()[1] == got
 
 
+def test_prepared_models_are_not_cut_again(spark, monkeypatch):
+    """A stream scores every batch with the cut made when it starts: no job over the weight table for each batch."""
+    from botsift.operators import textmodels as tm
+
+    sp = catalog.split_posts(spark, SF_SMALL)
+    models = fit_all_models(sp.filter(F.col("split") == "train"))
+    test = sp.filter(F.col("split") == "test")
+    monkeypatch.setattr(tm, "lookup_of", lambda nb, *bounds, f=tm.lookup_of: f(nb, 300, tm.MAX_BROADCAST_BYTES))
+    ready = tm.prepare(models)
+    cut = ready[0].lookup
+    assert cut.tail is not None and cut.bitmap is not None
+    cut.bounds = (tm.MAX_BROADCAST_ROWS, tm.MAX_BROADCAST_BYTES)
+    monkeypatch.undo()
+    base = _scores(score_models(test, models))
+    monkeypatch.setattr(tm, "hot_and_tail", None)
+    got = _scores(score_models(test, ready))
+    assert got.keys() == base.keys() and all(abs(x - y) < 1e-9 for k in base for x, y in zip(base[k], got[k]))
+
+
 def test_no_training_word_is_unknown_and_no_post_is_cut(spark):
     from botsift.config import UNK_ID
     from botsift.functions.terms import words
