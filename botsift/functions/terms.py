@@ -4,17 +4,20 @@ word    = non-empty pieces between whitespace
 bigram  = adjacent words joined by one blank
 trigram = every 3-character substring that is not all whitespace
 
-The scoring path uses one codegen'd split / regex pass per kind (``words``, ``bigrams``,
-``trigrams``); ``bigrams_of`` and ``trigrams_of_chars`` are the same definitions written with
+Fitting and scoring take texts apart with ``explode_terms``: one split into words and one into code points, whose shifted
+slices are exploded side by side and put together as terms only then. ``words``, ``bigrams`` and ``trigrams`` give the terms as arrays,
+in one codegen'd split / regex pass per kind; ``bigrams_of`` and ``trigrams_of_chars`` are the same definitions written with
 array lambdas, kept as executable specifications for the tests.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from botsift.functions.text import SPLIT_WS_RE, WS
+from botsift.functions.text import SPLIT_WS_RE, WS, WS_CHARS
 
 TERM_KINDS = ("word", "bigram", "trigram")
 _HAS_NON_WS = f"[^{WS}]"
@@ -101,3 +104,41 @@ def with_terms(df: DataFrame, text_col: str, kinds, prefix: str = "_terms_") ->
         else:
             raise ValueError(f"unknown term kind {k!r}; use one of {TERM_KINDS}")
     return df.select("*", *out)
+
+
+def _side_by_side(m: int, n: Column, array: str, width: int) -> Column:
+    """``n`` structs (m, a, b, c) of ``width`` neighbours each in ``array``; what a narrower term doesn't need is null."""
+    none = F.array().cast("array<string>")
+    shifted = [F.slice(F.col(array), F.lit(i + 1), n).alias(c) if i < width else none.alias(c) for i, c in enumerate("abc")]
+    return F.arrays_zip(F.array_repeat(F.lit(m), n).alias("m"), *shifted)
+
+
+def explode_terms(df: DataFrame, text_col: str, kinds, keep, per_text: bool = False) -> DataFrame:
+    """(*keep, m, term): a row for each term of each text, ``m`` the place of its kind in ``kinds``; with ``per_text`` also a row
+    (number of kinds, '') for each text. A text without terms has a row with a null term, and so has every place where three characters are
+    all whitespace.
+
+    No regex pass per kind and no string per term before the rows are there: a bigram is two neighbouring words, a trigram three
+    neighbouring code points. ``inline_outer``, as a plain generator makes the optimizer infer "size(array) > 0" and push that copy of the
+    whole term expression below the exchange."""
+    kinds = list(kinds)
+    for k in kinds:
+        if k not in TERM_KINDS:
+            raise ValueError(f"unknown term kind {k!r}; use one of {TERM_KINDS}")
+    # the arrays and their sizes are columns of projections of their own, so that each is computed once
+    arrays = [words(text_col).alias("_words")] * any(k != "trigram" for k in kinds) + [chars(text_col).alias("_chars")] * ("trigram" in kinds)
+    df = df.select(*keep, *arrays)
+    width = {"word": 1, "bigram": 2, "trigram": 3}
+    source = {"word": "_words", "bigram": "_words", "trigram": "_chars"}
+    df = df.select("*", *[F.greatest(F.size(source[k]) - (width[k] - 1), F.lit(0)).alias(f"_n_{k}") for k in dict.fromkeys(kinds)])
+    parts = [_side_by_side(i, F.col(f"_n_{k}"), source[k], width[k]) for i, k in enumerate(kinds)]
+    if per_text:
+        parts.append(F.array(F.struct(F.lit(len(kinds)).alias("m"), *[F.lit("").alias(c) for c in "abc"])))
+    rows = df.select(*keep, F.inline_outer(F.concat(*parts)))
+    a, b, c = (F.col(x) for x in "abc")
+    blank = reduce(lambda x, y: x & y, [x.isin(*WS_CHARS) for x in (a, b, c)])
+    made = {"word": a, "bigram": F.concat(a, F.lit(" "), b), "trigram": F.when(~blank, F.concat(a, b, c))}
+    term = F.when(F.lit(False), a)
+    for i, k in enumerate(kinds):
+        term = term.when(F.col("m") == i, made[k])
+    return rows.select(*keep, "m", (term.otherwise(a) if per_text else term).alias("term"))

@@ -8,11 +8,11 @@ hashed relation.
 Beyond the bound a table of terms is cut by frequency: the most frequent terms, as many as the bound
 allows (exactly: from a histogram of the frequencies), are broadcast, and the rest is joined by shuffle.
 Both joins follow each other in ONE branch, so the posts are read once, and occurrences that the
-broadcast has settled (or that have no term) get keys of their own in the second join: they are spread
-evenly and match nothing.
+broadcast has settled (or that have no term) have no key in the second join: they are spread
+evenly by their rows' hash and match nothing.
 
-Occurrences are looked up by a 64-bit hash of their key (Spark's hashed relations are fastest with one long), and the key itself
-is compared too, so two keys of one hash stay two. Most occurrences the broadcast leaves over are in no table at all (word pairs nobody
+Occurrences are looked up by a 64-bit hash of their key (Spark's hashed relations are fastest with one long, and so is its sort for the
+join by shuffle), and the key itself is compared too, so two keys of one hash stay two. Most occurrences the broadcast leaves over are in no table at all (word pairs nobody
 has written before): a bitmap over the hashes of the tail, some bits for each term, is broadcast too and says of most of them that the tail
 can't hold them. They are settled then, and no longer shuffled.
 """
@@ -74,19 +74,20 @@ def hot_and_tail(table: DataFrame, str_col: str, freq_col: str, max_rows: int, m
         total_rows, total_bytes = size_of(table, [str_col])
     if fits(total_rows, total_bytes, max_rows, max_bytes):
         return table, None
-    step = F.floor(F.log2(F.greatest(F.col(freq_col), F.lit(1))) * STEPS_PER_DOUBLING).cast("int")
+    freq = F.greatest(F.col(freq_col), F.lit(1))
+    step = F.floor(F.log2(freq) * STEPS_PER_DOUBLING).cast("int")
     steps = table.groupBy(step.alias("step")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(str_col)).alias("b")).orderBy(F.desc("step")).collect()
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(str_col)).alias("b"), F.min(freq).alias("least")).orderBy(F.desc("step")).collect()
     rows = nbytes = 0
     cut = None
     for s in steps:
         rows, nbytes = rows + s["n"], nbytes + (s["b"] or 0) + s["n"] * ROW_OVERHEAD_BYTES
         if not fits(rows, nbytes, max_rows, max_bytes):
             break
-        cut = s["step"]
+        cut = s["least"]
     if cut is None:
         return None, table
-    return table.filter(step >= cut), table.filter(step < cut)
+    return table.filter(freq >= cut), table.filter(freq < cut)
 
 
 def key_hash(columns) -> Column:
@@ -118,15 +119,15 @@ def _may_be_in(words: str, bit: Column) -> Column:
     return F.coalesce(F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
 
 
-def _with_hot(big: DataFrame, hot: DataFrame, on: list[str], value_col: str) -> DataFrame:
-    """Left join to the broadcast terms by ``_hash``; the keys are compared as ranges, which leaves the hash the only join key."""
+def _looked_up(big: DataFrame, table: DataFrame, on: list[str], keys: list[str], hashed: Column, value_col: str, name: str, broadcast: bool) -> DataFrame:
+    """Left join to a table of terms by ``hashed``; adds its value as ``name``. ``keys``: the columns of ``big`` that hold the key ``on``; they
+    are compared as ranges, which leaves the hash the only join key. The table's hash is an expression of the join, not a column to shuffle."""
     types = dict(big.dtypes)
-    same = [F.col(c).cast(types[c]) for c in on]
-    table = hot.select(key_hash(same).alias("_hot_hash"), *[k.alias(f"_hot_{c}") for k, c in zip(same, on)], F.col(value_col).alias("_hot"))
-    found = F.col("_hash") == F.col("_hot_hash")
-    for c in on:
-        found = found & (F.col(c) >= F.col(f"_hot_{c}")) & (F.col(c) <= F.col(f"_hot_{c}"))
-    return big.join(F.broadcast(table), found, "left").drop("_hot_hash", *[f"_hot_{c}" for c in on])
+    table = table.select(*[F.col(c).cast(types[k]).alias(f"{name}_{c}") for c, k in zip(on, keys)], F.col(value_col).alias(name))
+    found = hashed == key_hash(F.col(f"{name}_{c}") for c in on)
+    for c, k in zip(on, keys):
+        found = found & (F.col(k) >= F.col(f"{name}_{c}")) & (F.col(k) <= F.col(f"{name}_{c}"))
+    return big.join(F.broadcast(table) if broadcast else table, found, "left").drop(*[f"{name}_{c}" for c in on])
 
 
 def join_terms(big: DataFrame, hot: DataFrame | None, tail: DataFrame | None, on: list[str], value_col: str,
@@ -141,25 +142,24 @@ def join_terms(big: DataFrame, hot: DataFrame | None, tail: DataFrame | None, on
     settled = F.col(term).isNull()
     big = big.withColumn("_hash", key_hash(F.col(c) for c in on))
     if hot is not None:
-        big = _with_hot(big, hot, on, value_col)
+        big = _looked_up(big, hot, on, on, F.col("_hash"), value_col, "_hot", broadcast=True)
         settled = settled | F.col("_hot").isNotNull()
     else:
         big = big.withColumn("_hot", F.lit(None).cast(dict(tail.dtypes)[value_col]))
     if tail is None:
         return big.drop("_hash").withColumnRenamed("_hot", value_col)
-    types = dict(big.dtypes)
     if bitmap is not None:
         bit = _bit_of(F.col("_hash"), bitmap[1])
         big = big.withColumn("_block", F.when(~settled, F.shiftright(bit, BLOCK_LOG2)))
         big = big.join(F.broadcast(bitmap[0].select(F.col("block").alias("_block"), F.col("words").alias("_words"))), "_block", "left")
         settled = settled | ~_may_be_in("_words", bit)
-    big = big.withColumn("_key", F.when(settled, F.lit("")).otherwise(F.col(term)))
-    big = big.withColumn("_part", F.when(settled, F.pmod(F.xxhash64(*spread_cols), F.lit(SPREAD)) + 1).otherwise(F.lit(0)))
+    big = big.withColumn("_key", F.when(~settled, F.col(term)))
     big = big.drop("_hash", "_block", "_words")
     if sum_by is not None:
-        big = big.groupBy(*sum_by, *on[:-1], "_key", "_part").agg(F.sum("_hot").alias("_hot"), F.count(F.lit(1)).alias("_times"))
-    rest = tail.select(*[F.col(c).cast(types[c]).alias(c) for c in on[:-1]], F.col(term).alias("_key"), F.lit(0).cast("bigint").alias("_part"), F.col(value_col).alias("_tail"))
-    joined = big.join(rest, [*on[:-1], "_key", "_part"], "left")
+        big = big.groupBy(*sum_by, *on[:-1], "_key").agg(F.sum("_hot").alias("_hot"), F.count(F.lit(1)).alias("_times"))
+    keys = [*on[:-1], "_key"]
+    hashed = F.when(F.col("_key").isNull(), F.pmod(F.xxhash64(*spread_cols), F.lit(SPREAD))).otherwise(key_hash(F.col(c) for c in keys))
+    joined = _looked_up(big, tail, on, keys, hashed, value_col, "_tail", broadcast=False)
     value = F.col("_tail") * F.col("_times") if sum_by is not None else F.col("_tail")
     joined = joined.withColumn(value_col, F.coalesce("_hot", value))
-    return joined.drop("_key", "_part", "_hot", "_tail", "_times")
+    return joined.drop("_key", "_hot", "_tail", "_times")

@@ -12,9 +12,8 @@ The style scorer needs no training: z = (length(text) - 250) / 100.
 
 Fitting is one explode + groupBy(term) (map-side combined); the term table is materialised in the
 shared folder and its row count kept, so scoring can decide to broadcast it on a checked size.
-Scoring all models is ONE pass over the posts: the term arrays of every model are concatenated
-(tagged with a small model index), exploded once, joined to the union of the term tables and
-summed per post.
+Scoring all models is ONE pass over the posts: the terms of every model (tagged with a small model
+index) come out of one explode, are joined to the union of the term tables and summed per post.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from botsift.config import DEFAULT_PROFILE, Profile
 from botsift.functions.numeric import safe_sigmoid
-from botsift.functions.terms import with_terms
+from botsift.functions.terms import explode_terms
 from botsift.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, ROW_OVERHEAD_BYTES, bitmap_blocks, hot_and_tail, join_terms, key_bitmap
 from botsift.operators.rank import by_row
 from botsift.session import materialize
@@ -77,18 +76,6 @@ def style_model(name: str = "style", profile: Profile = DEFAULT_PROFILE) -> Text
     return TextModel(name=name, kind="style", profile=profile)
 
 
-def _tagged_terms(specs, prefix: str = "_terms_") -> "F.Column":
-    """One array of (m, term) structs for all naive-Bayes models, so one ``inline`` serves all;
-    ``m`` is the model's position in ``specs``. Built from codegen'd array functions (a constant
-    array zipped with the term array); a ``transform`` lambda here would be interpreted per term.
-    Reads the per-kind arrays added by :func:`with_terms`."""
-    parts = []
-    for i, (_, kind) in enumerate(specs):
-        terms = F.col(prefix + kind)
-        parts.append(F.arrays_zip(F.array_repeat(F.lit(i), F.size(terms)).alias("m"), terms.alias("term")))
-    return F.concat(*parts)
-
-
 def _model_name(specs, names_extra=()) -> "F.Column":
     """Position ``m`` back to the model name (on aggregated rows only)."""
     return F.element_at(F.array(*[F.lit(n) for n, _ in specs], *[F.lit(n) for n in names_extra]),
@@ -103,11 +90,8 @@ def term_counts(train: DataFrame, specs, text_col: str = "text", label_col: str
     """(model, term, c1, c0): occurrences per class for every model in ONE pass over the training
     rows, plus one (__posts__, '') row holding the number of posts per class. Partial aggregation
     runs before the shuffle, so a stop word costs one row per task."""
-    staged = with_terms(train.select(F.col(label_col).alias("_y"), text_col), text_col, [k for _, k in specs])
-    per_post = F.array(F.struct(F.lit(len(specs)).alias("m"), F.lit("").alias("term")))
-    # inline_outer: a plain generator makes the optimizer infer "size(array) > 0" and push that copy
-    # of the whole term expression below the exchange; the arrays are never empty (one pseudo-term each)
-    ex = staged.select("_y", F.inline_outer(F.concat(_tagged_terms(specs), per_post)))
+    posts = train.select(F.col(label_col).alias("_y"), text_col)
+    ex = explode_terms(posts, text_col, [k for _, k in specs], ["_y"], per_text=True).filter(F.col("term").isNotNull())
     counts = ex.groupBy("m", "term").agg(
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("bigint").alias("c1"),
         F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).cast("bigint").alias("c0"),
@@ -186,18 +170,24 @@ def lookup_of(nb: list[TextModel], max_rows: int = MAX_BROADCAST_ROWS, max_bytes
 
 
 def prepare(models: list[TextModel]) -> list[TextModel]:
-    """The models with one written weight table for all of them, its cut and the bitmap of its rare terms, for plans that are run
-    many times."""
+    """The models with the cut of their weight table written, as it is joined, and the bitmap of its rare terms, for plans that are run
+    many times: each reads the few most frequent terms and the others, and computes no weight again."""
     nb = [m for m in models if m.kind in TERM_KINDS]
     if not nb:
         return models
-    table = materialize(weight_table(nb), "weights")
-    sizes = {r["model"]: r["b"] for r in table.groupBy("model").agg(F.sum(F.octet_length("term")).alias("b")).collect()}
-    ready = [replace(m, table=table, term_bytes=int(sizes.get(m.name) or 0)) if m.kind in TERM_KINDS else m for m in models]
-    lookup = lookup_of([m for m in ready if m.kind in TERM_KINDS])
-    if lookup.bitmap is not None:
-        lookup.bitmap = (materialize(lookup.bitmap[0], "term-bitmap"), lookup.bitmap[1])
-    return [replace(m, lookup=lookup) if m.kind in TERM_KINDS else m for m in ready]
+    if any(m.term_bytes is None for m in nb):
+        table = materialize(weight_table(nb), "weights")
+        sizes = {r["model"]: r["b"] for r in table.groupBy("model").agg(F.sum(F.octet_length("term")).alias("b")).collect()}
+        nb = [replace(m, table=table, term_bytes=int(sizes.get(m.name) or 0)) for m in nb]
+    lookup = lookup_of(nb)
+    if lookup.hot is not None:
+        lookup.hot = materialize(lookup.hot.select("m", "term", "weight"), "hot-terms")
+    if lookup.tail is not None:
+        lookup.tail = materialize(lookup.tail.select("m", "term", "weight"), "other-terms")
+        blocks = lookup.bitmap[1]
+        lookup.bitmap = (materialize(key_bitmap(lookup.tail, ["m", "term"], blocks), "term-bitmap"), blocks)
+    ready = {m.name: replace(m, lookup=lookup) for m in nb}
+    return [ready[m.name] if m.kind in TERM_KINDS else m for m in models]
 
 
 def prob_col(name: str) -> str:
@@ -228,17 +218,15 @@ def score_models(df: DataFrame, models: list[TextModel], key: str = "post_id", t
         carry = [*carry, *[prob_col(m.name) for m in row_models]]
     length = F.length(F.col(text_col)).alias("_len")
     if nb:
-        specs = [(m.name, m.terms) for m in nb]
         # per input row, not per key: duplicated keys are scored row by row and a key repeated in many
         # rows never becomes one huge group
         rows = by_row(df, [key, *carry, text_col])
-        staged = with_terms(rows.select("_rid", key, *carry, length, text_col), text_col, [k for _, k in specs])
-        ex = staged.select("_rid", key, *carry, "_len", F.inline_outer(_tagged_terms(specs)))
+        by = ["_rid", key, *carry, "_len"]
+        ex = explode_terms(rows.select("_rid", key, *carry, length, text_col), text_col, [m.terms for m in nb], by)
         cut = nb[0].lookup
         if cut is None or cut.names != tuple(m.name for m in nb) or cut.bounds != (max_broadcast_rows, max_broadcast_bytes) \
                 or any(m.lookup is not cut for m in nb):
             cut = lookup_of(nb, max_broadcast_rows, max_broadcast_bytes)
-        by = ["_rid", key, *carry, "_len"]
         joined = join_terms(ex, cut.hot, cut.tail, ["m", "term"], "weight", ["_rid", "m"], sum_by=by, bitmap=cut.bitmap)
         sums = [F.sum(F.when(F.col("m") == i, F.col("weight"))).alias(f"_s_{m.name}") for i, m in enumerate(nb)]
         base = joined.groupBy(*by).agg(*sums)

@@ -1,5 +1,6 @@
 """The text scorers give the same result whatever join strategy the size check picks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from table_dirs import SF_SMALL
@@ -8,6 +9,7 @@ from botsift.operators.registry import fit_all_models, load_models, save_models
 from botsift.operators.textmodels import score_models
 from botsift.plans import catalog
 from botsift.session import scratch_path
+from botsift.sources import tables
 
 
 def _scores(df):
@@ -196,3 +198,29 @@ def test_no_training_word_is_unknown_and_no_post_is_cut(spark):
     assert max(len(i) for _, i in small) > 128
     ids = sorted(r.id for r in vocab.collect())
     assert ids == list(range(4, 4 + len(ids)))
+
+
+def test_a_batch_reads_the_written_cut_and_joins_the_tail_by_one_long(spark):
+    """The join to the tail shuffles and sorts by the hash alone; the plan reads the written cut, and neither computes weights nor splits the
+    table again."""
+    from botsift.operators import textmodels as tm
+    from botsift.sources.rows import with_scan_rows
+    from botsift.streaming.stream import predict_batch
+
+    models = fit_all_models(catalog.split_posts(spark, SF_SMALL).filter(F.col("split") == "train"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tm, "lookup_of", lambda nb, f=tm.lookup_of: f(nb, 300, tm.MAX_BROADCAST_BYTES))
+        ready = tm.prepare(models)
+    ready[0].lookup.bounds = (tm.MAX_BROADCAST_ROWS, tm.MAX_BROADCAST_BYTES)
+    path = scratch_path(spark, "t-posts")
+    tables.posts(spark, SF_SMALL).write.parquet(path)
+    posts = spark.read.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = predict_batch(with_scan_rows(posts), ready)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(CASE WHEN isnull(_key") == 1 and plan.count("Exchange hashpartitioning(xxhash64(_tail_m") == 1
+    assert "LOG(" not in plan.upper() and plan.count("SortMergeJoin [CASE") == 1 and plan.count("Sort [") == 2
+    a, b = ({(r.post_id, r.model): r.p for r in predict_batch(x, m).collect()} for x, m in ((with_scan_rows(posts), ready), (posts, models)))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)

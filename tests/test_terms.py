@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from botsift.functions.terms import bigrams, trigrams, trigrams_of_chars, chars, words, with_terms
+from botsift.functions.text import WS_CHARS
 
 
 def py_words(s):
@@ -37,3 +39,41 @@ def test_with_terms_columns(spark):
     r = with_terms(df, "text", ["word", "bigram", "trigram"]).first()
     assert r["_terms_word"] == ["x", "y", "z"] and r["_terms_bigram"] == ["x y", "y z"]
     assert r["_terms_trigram"] == ["x y", " y ", "y  ", "  z"]
+
+
+def test_exploded_terms_are_those_of_the_arrays(spark):
+    """Words, bigrams and trigrams of the rows are the arrays' ones, for random Unicode with every kind of whitespace."""
+    from collections import Counter
+
+    from botsift.functions.terms import TERM_KINDS, explode_terms
+
+    rng = random.Random(5)
+    alphabet = [*"ab c<", *WS_CHARS, "\u00e9", "\U0001f600", "\u200b", "\u4e2d"]
+    texts = [None, "", " ", "\t\n\u3000", "a", "a b", "abc", *["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(200)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    kinds = ["trigram", "word", "bigram", "word"]
+    arrays = {r.id: r for r in with_terms(df, "text", TERM_KINDS).collect()}
+    for per_text in (False, True):
+        got = {i: Counter() for i in arrays}
+        for r in explode_terms(df, "text", kinds, ["id"], per_text).collect():
+            got[r.id][(r.m, r.term)] += r.term is not None
+        for i, r in arrays.items():
+            want = Counter((m, t) for m, k in enumerate(kinds) for t in (r[f"_terms_{k}"] or ()))
+            if per_text and r.text is not None:
+                want[(len(kinds), "")] += 1
+            assert +got[i] == want, r.text
+    with pytest.raises(ValueError):
+        explode_terms(df, "text", ["letter"], ["id"])
+
+
+def test_terms_are_exploded_without_a_regex_pass_per_kind(spark):
+    from botsift.functions.terms import explode_terms
+    from botsift.operators.textmodels import term_counts
+
+    df = spark.createDataFrame([("a b c", 1), ("b c", 0)], "text string, label int")
+    counts = term_counts(df, [("w", "word"), ("b", "bigram"), ("t", "trigram")])
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("split(") == 2 and plan.count("Generate inline") == 1
+    got = {(r.model, r.term): (r.c1, r.c0) for r in counts.collect()}
+    assert got[("w", "b")] == got[("b", "b c")] == got[("t", "b c")] == got[("__posts__", "")] == (1, 1) and got[("b", "a b")] == (1, 0)
+    assert None not in {k[1] for k in got}
