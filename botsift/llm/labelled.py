@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botsift.llm.common import id_and_text, remainder
-from botsift.session import materialize
+from botsift.session import materialize, small_batches
 
 #: labelled texts that a model is fitted on at most (those of the lowest hashes of id and text)
 MAX_LABELLED = 12_000
@@ -38,6 +38,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return materialize(found.select("doc_id", "text", "y"), f"labelled-{label}")
 
 
+def evaluated(rows: DataFrame, name: str) -> DataFrame:
+    """A few numbers for each of many texts, as a table in the shared folder: evaluated here, in small batches, and written by as many
+    tasks as there are cores rather than by each task that reads texts."""
+    spark = rows.sparkSession
+    with small_batches(spark):
+        return materialize(rows.repartition(spark.sparkContext.defaultParallelism), name)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float, weight: np.ndarray | None = None,
                  steps: int = 60) -> np.ndarray:
     """Coefficients of a logistic loss with a ridge towards ``prior``, by damped Newton steps."""

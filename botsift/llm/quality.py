@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botsift.llm.common import id_and_text, remainder, steps
-from botsift.llm.labelled import MAX_LABELLED, training_sample
+from botsift.llm.labelled import MAX_LABELLED, evaluated, training_sample
+from botsift.session import small_batches
 
 MODULUS = 5
 THRESHOLD = 0.3
@@ -136,8 +137,9 @@ def best_quantile(strength: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> dict:
     """Scaling, weights, cut and width of the ranking."""
-    sample = training_sample(docs, labels, "quality", MODULUS, bound)
-    rows = sorted(described(sample, "y").collect(), key=lambda r: (r["y"], r["x"]))  # at most ``bound`` rows of fifteen numbers
+    with small_batches(docs.sparkSession):
+        sample = training_sample(docs, labels, "quality", MODULUS, bound)
+        rows = sorted(described(sample, "y").collect(), key=lambda r: (r["y"], r["x"]))  # at most ``bound`` rows of fifteen numbers
     y = np.array([float(r["y"] > 0) for r in rows])
     if not len(y) or y.min() == y.max():
         return {"share": float(y.mean()) if len(y) else 0.5}
@@ -173,6 +175,6 @@ def quality(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Da
                 x = np.array([numbers(t) for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores(model, x))], names=["doc_id", "score"])
 
-    out = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+    out = evaluated(id_and_text(docs).mapInArrow(run, "doc_id long, score double"), "quality-scores")
     return out.select("doc_id", (remainder("doc_id", MODULUS) == 0).alias("held_out"), "score",
                       (F.col("score") >= F.lit(THRESHOLD)).cast("int").alias("predicted"))

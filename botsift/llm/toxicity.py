@@ -39,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botsift.llm.common import id_and_text, release, remainder, steps
-from botsift.llm.labelled import MAX_LABELLED, fit_logistic, training_sample
+from botsift.llm.labelled import MAX_LABELLED, evaluated, fit_logistic, training_sample
+from botsift.session import small_batches
 
 MODULUS = 5
 # Fixed words of the grammar, by symbol.
@@ -383,9 +384,10 @@ def features_of(rows: DataFrame, reader_of: dict, keep: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> tuple[dict, np.ndarray]:
     """The lexicon and the weights of the kinds."""
-    sample = training_sample(docs, labels, "toxic", MODULUS, bound)
-    lexicon = learn_lexicon(sample)
-    rows = sorted(features_of(sample, lexicon, "y").collect(), key=lambda r: (r["y"], r["x"]))  # at most ``bound`` rows of nine numbers
+    with small_batches(docs.sparkSession):
+        sample = training_sample(docs, labels, "toxic", MODULUS, bound)
+        lexicon = learn_lexicon(sample)
+        rows = sorted(features_of(sample, lexicon, "y").collect(), key=lambda r: (r["y"], r["x"]))  # at most ``bound`` rows of nine numbers
     if len({r["y"] > 0 for r in rows}) < 2:
         return lexicon, prior()
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["y"] > 0) for r in rows])
@@ -413,7 +415,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None =
     """(doc_id, held_out, score, predicted, n_kinds) of every document; ``learn_from`` gives the texts of
     the labels where these aren't in ``docs``."""
     lexicon, weights = fit(docs if learn_from is None else learn_from, labels, bound)
-    out = score(docs, lexicon, weights)
+    out = evaluated(score(docs, lexicon, weights), "toxicity-scores")
     return out.select("doc_id", (remainder("doc_id", MODULUS) == 0).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_kinds")
 

@@ -99,6 +99,24 @@ def materialize(df, name: str):
     return out
 
 
+#: rows of texts that a scan decodes, and that pass to Python, at a time inside :func:`small_batches`
+SMALL_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 256, "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What is evaluated inside holds few texts at a time (the default would be thousands, whatever their length); the session's
+    own settings are put back at the end. Smaller ones stay."""
+    before = {k: spark.conf.get(k) for k in SMALL_BATCHES}
+    try:
+        for k, rows in SMALL_BATCHES.items():
+            spark.conf.set(k, min(int(before[k]), rows) if int(before[k]) > 0 else rows)
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+
+
 def discard(spark: SparkSession, written) -> None:
     """Delete a table of :func:`materialize` (or a folder of :func:`scratch_path`) that no later plan reads."""
     path = written if isinstance(written, str) else getattr(written, "_written_at", None)

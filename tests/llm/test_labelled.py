@@ -6,9 +6,10 @@ import zlib
 import numpy as np
 import pytest
 
-from botsift.llm import quality, toxicity
+from botsift.llm import labelled, quality, toxicity
 from botsift.llm.labelled import training_sample
 from botsift.llm.queries import op2_toxicity, op3_quality
+from botsift.session import SMALL_BATCHES, small_batches
 from botsift.sources.tables import read_table
 
 SF = "/root/testdata/sf0.1"
@@ -174,6 +175,36 @@ def test_the_sample_is_bounded_and_distinct(frame):
     assert {(r.doc_id, r.text) for r in again} == {(r.doc_id, r.text) for r in training_sample(docs, labels, "toxic", 5, 50).collect()}
 
 
+@pytest.mark.parametrize("module, run", [(toxicity, toxicity.toxicity), (quality, quality.quality)])
+def test_texts_are_read_in_small_batches(spark, frame, monkeypatch, module, run):
+    """The sample and the scores are evaluated in small batches, scores are written by no more tasks than there are cores, and the settings come back, also after an error."""
+    docs, labels = frame([(i, f"text {i}") for i in range(300)], "doc_id long, text string", 40), frame([(i, i % 2, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    kept, seen = {k: spark.conf.get(k) for k in SMALL_BATCHES}, {}
+
+    def spied(name, f):
+        def inner(*args, **options):
+            seen[name] = {k: int(spark.conf.get(k)) for k in SMALL_BATCHES}
+            return f(*args, **options)
+        return inner
+
+    monkeypatch.setattr(module, "training_sample", spied("sample", module.training_sample))
+    monkeypatch.setattr(labelled, "materialize", spied("scores", labelled.materialize))
+    rows = run(docs, labels)
+    assert seen == {"sample": SMALL_BATCHES, "scores": SMALL_BATCHES} and {k: spark.conf.get(k) for k in SMALL_BATCHES} == kept
+    assert len(rows.inputFiles()) <= spark.sparkContext.defaultParallelism and sorted(r.doc_id for r in rows.collect()) == list(range(300))
+    smaller = {k: "7" for k in SMALL_BATCHES}
+    try:
+        for k, v in smaller.items():
+            spark.conf.set(k, v)
+        with pytest.raises(ZeroDivisionError), small_batches(spark):
+            assert {k: spark.conf.get(k) for k in SMALL_BATCHES} == smaller
+            1 / 0  # noqa: B018
+        assert {k: spark.conf.get(k) for k in SMALL_BATCHES} == smaller
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_clean_rows(frame, spark):
     docs = frame([(i, f"text number {i}" + (" you stupid idiot" * 3 if i % 4 == 0 else ""), i) for i in range(40)] + [(None, None, None)], "doc_id long, text string, n_chars int")
     kept = toxicity.clean_rows(docs, frame([], "doc_id long, quality int, toxic int"))
